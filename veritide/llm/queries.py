@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, simhash, url_filter
-from .common import table
+from . import ann, decontaminate, langid, lm, mixing, quality, simhash, tokens, url_filter
+from .common import fold, table
 
 #: The rules of the url query (host, path, verdict).
 URL_RULES = [
@@ -19,6 +20,32 @@ URL_RULES = [
 ]
 
 
+def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.in_training_order(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), fold("doc_id", 7) == 2)
+
+
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(fold("doc_id", 5) != 0)
+    scored = quality.score(docs, quality.learn(docs, labels))
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    parser = langid.learn(docs.where(fold("doc_id", 4) != 2))
+    found = langid.identify(docs.select("doc_id", "text"), parser)
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
@@ -65,9 +92,14 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM par
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_output": op1_token_output,
+    "op2_lm_score": op2_lm_score,
+    "op3_ann": op3_ann,
+    "op4_quality": op4_quality,
     "op6_decontaminate": op6_decontaminate,
     "op7_url_filter": op7_url_filter,
     "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
+    "op10_langid": op10_langid,
 }
 ORACLE_SQL: dict[str, str] = {"op6_decontaminate": OP6_SQL, "op7_url_filter": OP7_SQL}
