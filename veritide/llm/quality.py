@@ -83,6 +83,19 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return x, offsets[:-1]
 
 
+def in_chunks(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """Runs of texts of about a megabyte, which bounds what the features of one run need."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size > CHUNK:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 class Model:
     def __init__(self, seed: int = 3):
         r = np.random.default_rng(seed)
@@ -116,7 +129,9 @@ class Model:
         return {"W": f["x"].T @ dh, "b": dh.sum(0), "V": f["h"].T @ dv, "U": f["h"].T @ du, "w": (f["v"] * f["u"]).T @ de, "c": f["z"].T @ d, "o": d.sum(keepdims=True)}
 
     def fit(self, texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, seed: int = 4) -> Model:
-        x, first = passages(texts)
+        parts = [passages(c) for c in in_chunks(texts)]
+        ends = np.cumsum([0, *(len(x) for x, _ in parts)])
+        x, first = np.concatenate([x for x, _ in parts]), np.concatenate([f + e for (_, f), e in zip(parts, ends[:-1], strict=True)])
         self.mean, self.scale = x.mean(0), (1 / np.maximum(x.std(0), 0.02)).astype(np.float32)
         n = np.diff(np.append(first, len(x)))
         r = np.random.default_rng(seed)
@@ -141,10 +156,7 @@ class Model:
         return self
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        if not texts:
-            return np.zeros(0)
-        x, first = passages(texts)
-        return self.forward(x, first)["s"].astype(float)
+        return np.concatenate([np.zeros(0), *(self.forward(*passages(c))["s"].astype(float) for c in in_chunks(texts))])
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", doc_id: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> Model:
@@ -169,14 +181,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         m = shared.value
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary())
-            scores, held, size = [np.zeros(0)], [], 0
-            for x in column:
-                held.append(x.as_py() or b"")
-                size += len(held[-1])
-                if size > CHUNK:
-                    scores.append(m.score(held))
-                    held, size = [], 0
-            scores.append(m.score(held))
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(np.concatenate(scores))], names=into.names)
+            scores = m.score([x.as_py() or b"" for x in column])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(scores)], names=into.names)
 
     return docs.select(*kept).mapInArrow(run, into)
