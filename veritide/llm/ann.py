@@ -26,14 +26,14 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-SAMPLE, BRANCH, LEAF_SAMPLE, CALIBRATION, RECALL, HOT = 20_000, 8, 24, 96, 0.97, 50_000
+SAMPLE, BRANCH, LEAF_ROWS, CALIBRATION, RECALL, HOT = 40_000, 8, 64, 96, 0.97, 50_000
 BUFFER, BLOCK, QUERY_BLOCK = 65_536, 2_048, 128
 
 
 class Tree:
     """Centres of each node's children; a child is a node (>= 0) or leaf -1 - number."""
 
-    def __init__(self, sample: np.ndarray, branch: int = BRANCH, leaf: int = LEAF_SAMPLE, seed: int = 7):
+    def __init__(self, sample: np.ndarray, leaf: int, branch: int = BRANCH, seed: int = 7):
         self.centres: list[np.ndarray] = []
         self.children: list[list[int]] = []
         self.leaves = 0
@@ -241,7 +241,8 @@ def search(rows: DataFrame, k: int = 10, every: int = 100, recall: float = RECAL
         fitted = rows.limit(sample).select("v").collect()
     if not fitted:
         return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
-    tree = Tree(np.array([r["v"] for r in fitted], float))
+    #: Leaves hold about LEAF_ROWS of all rows, as long as the sample can tell them apart.
+    tree = Tree(np.array([r["v"] for r in fitted], float), max(8, LEAF_ROWS * len(fitted) // max(count, 1)))
     visits = calibrate(tree, rows, width, count, k, recall)
     blocks = materialise(_blocks(rows, tree, width, k), "blocks")
     #: Leaves are bounded by the sample; only the hot ones are listed.
@@ -255,9 +256,18 @@ def search(rows: DataFrame, k: int = 10, every: int = 100, recall: float = RECAL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts: list = []
+            #: A block of queries meets all blocks of its leaf in the batch at once.
+            by_queries: dict[tuple[bytes, bytes], list[tuple[bytes, bytes]]] = {}
             for a, b, c, d in zip(*(col.to_pylist() for col in batch.columns), strict=True):
-                parts.append(_near(np.frombuffer(a, np.int64), np.frombuffer(b, kind).reshape(-1, width).astype(float), np.frombuffer(c, np.int64), np.frombuffer(d, kind).reshape(-1, width).astype(float), k))
+                by_queries.setdefault((a, b), []).append((c, d))
+            parts: list = []
+            for (a, b), blocks_met in by_queries.items():
+                ids = np.frombuffer(b"".join(c for c, _ in blocks_met), np.int64)
+                x = np.frombuffer(b"".join(d for _, d in blocks_met), kind).reshape(-1, width).astype(float)
+                parts.append(_near(np.frombuffer(a, np.int64), np.frombuffer(b, kind).reshape(-1, width).astype(float), ids, x, k))
+                if len(parts) > 256:
+                    merged = _out(parts, k)
+                    parts = [tuple(col.to_numpy() for col in merged.columns)]
             yield _out(parts, k)
 
     return _ranked(met.mapInArrow(run, "query_id long, vec_id long, score double"), k)
