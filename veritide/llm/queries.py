@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, lm, mixing, quality, simhash, tokens, url_filter
+from . import ann, decontaminate, langid, lm, mixing, quality, sharding, simhash, tokens, url_filter
 from .common import fold, table
 
 #: The rules of the url query (host, path, verdict).
@@ -46,6 +46,11 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.shard(docs).select("doc_id", "bytes", "shard", "depth", "shard_bytes", "shard_rows")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
@@ -68,6 +73,14 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+OP5_SQL = f"""
+WITH h AS (SELECT doc_id, cast(strlen(coalesce(text, '')) AS bigint) AS bytes, cast('0x' || substr(md5(cast(doc_id AS varchar) || chr(0) || coalesce(text, '')), 1, 15) AS bigint) AS h FROM documents),
+levels AS (SELECT doc_id, bytes, h, unnest(range(0, 33)) AS d FROM h),
+buckets AS (SELECT d, h >> (60 - d) AS p, sum(bytes) AS shard_bytes, count(*) AS shard_rows FROM levels GROUP BY ALL),
+fit AS (SELECT doc_id, bytes, h, levels.d, shard_bytes, shard_rows, row_number() OVER (PARTITION BY doc_id ORDER BY levels.d) AS n FROM levels JOIN buckets ON levels.d = buckets.d AND levels.h >> (60 - levels.d) = buckets.p WHERE shard_bytes <= {sharding.LIMIT})
+SELECT doc_id, bytes, substr(lpad(bin(h), 60, '0'), 1, d) AS shard, d AS depth, cast(shard_bytes AS bigint) AS shard_bytes, shard_rows FROM fit WHERE n = 1
+"""
+
 OP6_SQL = f"""
 WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 bw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
@@ -96,10 +109,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm_score": op2_lm_score,
     "op3_ann": op3_ann,
     "op4_quality": op4_quality,
+    "op5_sharding": op5_sharding,
     "op6_decontaminate": op6_decontaminate,
     "op7_url_filter": op7_url_filter,
     "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
     "op10_langid": op10_langid,
 }
-ORACLE_SQL: dict[str, str] = {"op6_decontaminate": OP6_SQL, "op7_url_filter": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_sharding": OP5_SQL, "op6_decontaminate": OP6_SQL, "op7_url_filter": OP7_SQL}
