@@ -1,6 +1,768 @@
-"""Registered queries of the retrieval operators and their SQL."""
+"""Registered queries, one an operator, over whole test tables, each with SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veritide.functions import text as X
+from veritide.operators import analysis, chunking, evidence, graph, metrics, retrieval, wiki
+from veritide.plans.fixtures import TOKEN_SQL, Views, with_views
+from veritide.sources import tables
+from veritide.streaming import traces
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, *views: str):
+    """Register a function of Views under its name, with SQL over the tables and the views named."""
+
+    def add(f: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Views(spark, sf_dir))
+        if sql:
+            ORACLE_SQL[f.__name__] = with_views(sql, *views) if views else sql
+        return f
+
+    return add
+
+
+# ---- projections and derived columns ------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, substr(sha256(text), 1, 16) AS checksum FROM documents")
+def doc_checksum(v):
+    return v.t("documents").select("doc_id", X.checksum(F.col("text")).alias("checksum"))
+
+
+@query("SELECT doc_id, greatest(1, length(text) // 4) AS tokens FROM documents")
+def token_estimate(v):
+    return v.t("documents").select("doc_id", X.token_estimate(F.col("text")).cast("long").alias("tokens"))
+
+
+@query(r"""SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '(?m)[ \t]+$', '', 'g'), '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')) AS clean FROM pages""")
+def clean_text(v):
+    return v.t("pages").select("page_id", F.md5(X.clean(F.col("html"))).alias("clean"))
+
+
+PATHS_SQL = """WITH p AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN './Codex\\' WHEN 1 THEN 'wiki/' WHEN 2 THEN 'chronicles/' WHEN 3 THEN 'ephemera/ballad_concerning_' WHEN 4 THEN 'ephemera/Letter_concerning_' ELSE 'other/' END || 'doc ' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.md' ELSE '.scan.pdf' END AS path FROM documents),
+n AS (SELECT *, regexp_replace(replace(lower(path), '\\', '/'), '^[./]+', '') AS norm FROM p)"""
+
+
+def paths(v):
+    kind = F.col("doc_id") % 6
+    folder = F.when(kind == 0, "./Codex\\").when(kind == 1, "wiki/").when(kind == 2, "chronicles/").when(kind == 3, "ephemera/ballad_concerning_").when(kind == 4, "ephemera/Letter_concerning_").otherwise("other/")
+    return v.t("documents").select("doc_id", F.concat(folder, F.lit("doc "), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, ".md").otherwise(".scan.pdf")).alias("path"))
+
+
+@query(PATHS_SQL + " SELECT doc_id, norm FROM n")
+def path_normalise(v):
+    return paths(v).select("doc_id", X.path_normal(F.col("path")).alias("norm"))
+
+
+@query(PATHS_SQL + """ SELECT doc_id, CASE WHEN norm LIKE 'codex/%' OR norm LIKE 'images/%' THEN 1 WHEN norm LIKE 'wiki/%' THEN 2 WHEN norm LIKE 'chronicles/%' THEN 3 WHEN norm LIKE 'ephemera/ballad%' OR norm LIKE 'ephemera/sermon%' THEN 5 ELSE 4 END AS tier,
+CASE WHEN norm LIKE 'codex/%' THEN 'codex / official figure plate' WHEN norm LIKE 'wiki/%' THEN 'fan-wiki article' WHEN norm LIKE 'chronicles/%' THEN 'narrative novel' WHEN norm LIKE 'ephemera/ballad%' THEN 'folkloric / homiletic - unreliable narrator' WHEN norm LIKE 'ephemera/%' THEN 'in-world primary record' ELSE 'unknown provenance - flag for review' END AS reason FROM n""")
+def authority_tier(v):
+    a = X.authority(F.col("path"))
+    return paths(v).select("doc_id", a["tier"].alias("tier"), a["reason"].alias("reason"))
+
+
+@query(PATHS_SQL + " SELECT doc_id, CASE WHEN norm LIKE 'codex/%' THEN 'codex' WHEN norm LIKE 'wiki/%' THEN 'wiki' WHEN norm LIKE 'chronicles/%' THEN 'novel' WHEN norm LIKE 'ephemera/%' THEN string_split(substr(norm, 10), '_concerning_')[1] ELSE 'unknown' END AS source_type FROM n")
+def source_type(v):
+    return paths(v).select("doc_id", X.source_type(F.col("path")).alias("source_type"))
+
+
+@query(PATHS_SQL + ", d AS (SELECT doc_id, replace(regexp_replace(regexp_replace(regexp_extract(path, '[^/]*$'), '\\.[^.]*$', ''), '\\.scan$', ''), ' ', '_') AS id, doc_id % 2 = 1 AS scan FROM n) SELECT doc_id, id AS document_id, scan FROM d")
+def document_ids(v):
+    return paths(v).select("doc_id", X.document_id(F.col("path")).alias("document_id"), X.is_scan(F.col("path")).alias("scan"))
+
+
+@query("WITH b AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS ord FROM documents) SELECT doc_id || ':b' || ord AS block_id, ord, substr(sha256(text), 1, 16) AS checksum FROM b")
+def line_blocks(v):
+    return v.blocks().select("block_id", F.col("ord").cast("long").alias("ord"), X.checksum(F.col("text")).alias("checksum"))
+
+
+@query(r"""SELECT c_custkey, caption, regexp_matches(caption, '^[ \t]*(fig(?:ure)?\.?|plate|table)[ \t]+([ivxlc]+|[0-9]+)\b', 'i') AS is_caption FROM (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'Fig. ' || c_custkey || ' shows' WHEN 1 THEN '  Plate IV: ' || c_name WHEN 2 THEN 'Table x' WHEN 3 THEN 'Tables 3' ELSE c_name END AS caption FROM customer)""")
+def caption_flag(v):
+    k, n = F.col("c_custkey") % 5, F.col("c_custkey").cast("string")
+    text = F.when(k == 0, F.concat(F.lit("Fig. "), n, F.lit(" shows"))).when(k == 1, F.concat(F.lit("  Plate IV: "), "c_name")).when(k == 2, "Table x").when(k == 3, "Tables 3").otherwise(F.col("c_name"))
+    return v.t("customer").select("c_custkey", text.alias("caption"), X.is_caption(text).alias("is_caption"))
+
+
+@query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS title, len(regexp_extract_all(html, '(?i)<h[1-6][ >]')) AS n_headings, len(regexp_extract_all(html, '(?i)<a[ \t\n\x0B\f\r]')) AS n_links, len(regexp_extract_all(html, '(?i)<p[ >]')) AS n_paragraphs, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS first_heading FROM pages""")
+def html_outline(v):
+    o = tables.html_outline(v.t("pages"))
+    return o.select("page_id", "title", *(F.col(c).cast("long").alias(c) for c in ("n_headings", "n_links", "n_paragraphs")), "first_heading")
+
+
+@query("SELECT source, CASE WHEN n < 500 THEN 0 WHEN n < 1000 THEN 1 WHEN n < 2000 THEN 2 WHEN n < 5000 THEN 3 ELSE 4 END AS bin, count(*) AS docs, sum(n)::bigint AS chars FROM (SELECT source, length(text) AS n FROM documents) GROUP BY ALL")
+def profile_histogram(v):
+    return v.t("documents").select("source", F.length("text").alias("n")).groupBy("source", metrics.histogram(F.col("n"), [500, 1000, 2000, 5000]).alias("bin")).agg(F.count("*").alias("docs"), F.sum("n").alias("chars"))
+
+
+@query("SELECT CASE WHEN n < 50 THEN 'scanned' WHEN n < 200 THEN 'sparse' ELSE 'digital' END AS class, count(*) AS n FROM (SELECT length(text) AS n FROM v_chunks) GROUP BY 1", "v_chunks")
+def scan_class(v):
+    return v.chunks().groupBy(X.scan_class(F.length("text")).alias("class")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, CASE WHEN value IS NULL OR value < 0 OR value > 500 THEN 'value' WHEN event_type NOT IN ('click', 'view', 'purchase', 'signup', 'login') THEN 'type' END AS problem FROM events")
+def dead_letter_split(v):
+    good, bad = tables.route(v.t("events").select("event_id", "value", "event_type"), {"value": F.col("value").between(0, 500), "type": F.col("event_type").isin("click", "view", "purchase", "signup", "login")})
+    return good.select("event_id", F.lit(None).cast("string").alias("problem")).unionByName(bad.select("event_id", "problem"))
+
+
+@query("SELECT sha256(text) AS sha, count(*) AS n, min(doc_id) AS first_doc, string_agg(cast(doc_id AS varchar), ',' ORDER BY doc_id) AS docs FROM documents GROUP BY 1 HAVING count(*) > 1")
+def exact_dup_groups(v):
+    return v.t("documents").groupBy(F.sha2("text", 256).alias("sha")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("docs")).where("n > 1")
+
+
+COPIES_SQL = """WITH f AS (SELECT 'f' || source AS folder, 'doc_' || (doc_id // 3) AS doc, CASE doc_id % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.docx' WHEN 2 THEN '.pdf' ELSE '.scan.pdf' END AS ext, doc_id % 4 AS k FROM documents),
+p AS (SELECT DISTINCT folder, doc, folder || '/' || doc || ext AS path, k = 3 AS scan, CASE k WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS pref FROM f),
+r AS (SELECT *, row_number() OVER (PARTITION BY folder, doc ORDER BY scan, pref, path) AS n FROM p)"""
+
+
+def copies(v):
+    k = F.col("doc_id") % 4
+    ext = F.when(k == 0, ".md").when(k == 1, ".docx").when(k == 2, ".pdf").otherwise(".scan.pdf")
+    path = F.concat(F.lit("f"), "source", F.lit("/doc_"), F.floor(F.col("doc_id") / 3).cast("string"), ext)
+    return tables.pair_copies(v.t("documents").select(path.alias("path")).distinct())
+
+
+@query(COPIES_SQL + " SELECT folder, doc AS doc_id, max(CASE WHEN n = 1 THEN path END) AS canonical, coalesce(string_agg(path, ',' ORDER BY n) FILTER (n > 1), '') AS aliases FROM r GROUP BY 1, 2")
+def canonical_pick(v):
+    return copies(v).select("folder", "doc_id", "canonical", F.array_join("aliases", ",").alias("aliases"))
+
+
+@query(COPIES_SQL + " SELECT count(DISTINCT (folder, doc)) AS logical, count(*) AS files, count(*) FILTER (n = 2) AS paired, count(*) FILTER (n > 1) AS removed FROM r")
+def pairing_summary(v):
+    n = F.size("aliases")
+    return copies(v).agg(F.count("*").alias("logical"), F.sum(n + 1).alias("files"), F.count_if(n > 0).alias("paired"), F.sum(n).alias("removed"))
+
+
+@query("SELECT doc_id, coalesce(nullif(s, ''), replace(d, '_', ' ')) AS title FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang || ' > ' || source ELSE '' END AS s, source || '_' || doc_id AS d FROM documents)")
+def hit_title(v):
+    path = F.when(F.col("doc_id") % 3 == 0, F.array("lang", "source")).otherwise(F.array().cast("array<string>"))
+    return v.t("documents").select("doc_id", X.title_of(path, F.concat("source", F.lit("_"), F.col("doc_id").cast("string"))).alias("title"))
+
+
+@query("SELECT doc_id, 'cite_' || substr(sha256(doc_id || chr(0) || text), 1, 16) AS id, sha256(text) AS sha FROM documents")
+def citation_ids(v):
+    d = F.col("doc_id").cast("string")
+    return v.t("documents").select("doc_id", X.citation_id(d, F.col("text")).alias("id"), F.sha2("text", 256).alias("sha"))
+
+
+@query("SELECT doc_id, sha256('m' || chr(0) || lang || chr(0) || source) AS key FROM documents")
+def cache_keys(v):
+    return v.t("documents").select("doc_id", X.cache_key(F.lit("m"), F.col("lang"), F.col("source")).alias("key"))
+
+
+@query("""SELECT p_partkey, '| ' || p_name || ' | ' || p_brand || ' |' || chr(10) || '|---|---|' || chr(10) || '| ' || p_type || ' |  |' AS md FROM part""")
+def markdown_tables(v):
+    rows = F.array(F.array("p_name", "p_brand"), F.array("p_type"))
+    return v.t("part").select("p_partkey", X.rows_to_markdown(rows).alias("md"))
+
+
+@query("SELECT p_partkey, p_name || chr(10) || p_brand || chr(10) || '  size: ' || p_size || chr(10) || '  kind: ' || p_type AS text FROM part")
+def image_text(v):
+    values = F.array(F.struct(F.lit("size").alias("label"), F.col("p_size").cast("string").alias("value")), F.struct(F.lit("kind").alias("label"), F.col("p_type").alias("value")))
+    return v.t("part").select("p_partkey", X.searchable(F.col("p_name"), F.col("p_brand"), F.lit(""), values, F.lit(None).cast("string")).alias("text"))
+
+
+# ---- sparse, dense, fused search -----------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, len(t) AS n, len(list_distinct(t)) AS n_distinct FROM (SELECT doc_id, regexp_extract_all(lower(text), '{TOKEN_SQL}') AS t FROM documents)")
+def tokenize_count(v):
+    t = X.tokens(F.col("text"))
+    return v.t("documents").select("doc_id", F.size(t).cast("long").alias("n"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
+
+
+@query(f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{TOKEN_SQL}')) AS term FROM documents) GROUP BY term")
+def doc_freq(v):
+    terms = v.t("documents").select("doc_id", F.explode(X.tokens(F.col("text"))).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    return terms.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+BM25_SQL = f"""WITH toks AS (SELECT chunk_id, unnest(regexp_extract_all(lower(text), '{TOKEN_SQL}')) AS term FROM src),
+tf AS (SELECT term, chunk_id, count(*) AS tf FROM toks GROUP BY ALL),
+dl AS (SELECT chunk_id, len(regexp_extract_all(lower(text), '{TOKEN_SQL}')) AS dl FROM src),
+st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+q AS (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest(regexp_extract_all(lower(query), '{TOKEN_SQL}')) AS term FROM v_queries) GROUP BY ALL),
+sc AS (SELECT qid, chunk_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl)))), 6) AS score FROM q JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (chunk_id) CROSS JOIN st GROUP BY ALL),
+bm AS (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_pos) AS rank FROM sc JOIN src USING (chunk_id) WHERE keep)"""
+DOC_SRC = "WITH src AS (SELECT cast(doc_id AS varchar) AS chunk_id, doc_id AS chunk_pos, text, {keep} AS keep FROM v_docs), "
+
+
+def doc_index(v) -> retrieval.Index:
+    """Whole documents as chunks."""
+    d = v.docs()
+    return retrieval.build_index(d.select(F.col("doc_id").cast("string").alias("chunk_id"), "doc_id", F.col("doc_id").alias("chunk_pos"), "text", "authority_tier", "source_type"))
+
+
+@query(DOC_SRC.format(keep="true") + BM25_SQL.removeprefix("WITH ") + " SELECT qid, chunk_id, score, rank FROM bm WHERE rank <= 10", "v_docs", "v_queries")
+def bm25_topk(v):
+    return retrieval.bm25(doc_index(v), v.queries())
+
+
+@query(DOC_SRC.format(keep="authority_tier IN (1, 2) AND source_type <> 'src0'") + BM25_SQL.removeprefix("WITH ") + " SELECT qid, chunk_id, score, rank FROM bm WHERE rank <= 10", "v_docs", "v_queries")
+def bm25_filtered_topk(v):
+    return retrieval.bm25(doc_index(v), v.queries(), filters={"authority_tier": [1, 2], "source_type": [f"src{i}" for i in range(1, 20)]})
+
+
+@query("WITH src AS (SELECT chunk_id, chunk_pos, text, true AS keep FROM v_chunks), " + BM25_SQL.removeprefix("WITH ") + " SELECT qid, chunk_id, score, rank FROM bm WHERE rank <= 10", "v_chunks", "v_queries")
+def bm25_chunk_topk(v):
+    return retrieval.bm25(retrieval.build_index(v.chunks()), v.queries())
+
+
+DENSE_SQL = """WITH pairs AS (SELECT qid, cast(vec_id AS varchar) AS chunk_id, list_transform(embedding, x -> cast(x AS double)) AS a, list_transform(qvec, x -> cast(x AS double)) AS b FROM embeddings CROSS JOIN v_qvec WHERE {keep}),
+dn AS (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM (SELECT qid, chunk_id, round(list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))), 6) AS score FROM pairs))"""
+
+
+@query(DENSE_SQL.format(keep="true") + " SELECT qid, chunk_id, score, rank FROM dn WHERE rank <= 10", "v_qvec")
+def cosine_topk(v):
+    return retrieval.dense(v.vectors(), v.vector_queries())
+
+
+@query(DENSE_SQL.format(keep="label IN (0, 3, 7)") + " SELECT qid, chunk_id, score, rank FROM dn WHERE rank <= 10", "v_qvec")
+def cosine_filtered_topk(v):
+    return retrieval.dense(v.vectors(), v.vector_queries(), filters={"label": [0, 3, 7]})
+
+
+HYBRID = DOC_SRC.format(keep="true") + BM25_SQL.removeprefix("WITH ") + ", " + DENSE_SQL.format(keep="true").removeprefix("WITH ") + """,
+fu AS (SELECT qid, chunk_id, s.rank AS sparse_rank, d.rank AS dense_rank, round(coalesce(1 / (60 + s.rank), 0) + coalesce(1 / (60 + d.rank), 0), 9) AS score FROM (SELECT * FROM bm WHERE rank <= 40) s FULL JOIN (SELECT * FROM dn WHERE rank <= 40) d USING (qid, chunk_id)),
+rr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM fu)"""
+
+
+@query(HYBRID + " SELECT qid, chunk_id, sparse_rank, dense_rank, score, rank FROM rr", "v_docs", "v_queries", "v_qvec")
+def rrf_fusion(v):
+    return retrieval.rrf(retrieval.bm25(doc_index(v), v.queries(), 40), retrieval.dense(v.vectors(), v.vector_queries(), 40))
+
+
+@query(HYBRID + " SELECT qid, chunk_id, score, rank FROM rr WHERE rank <= 10", "v_docs", "v_queries", "v_qvec")
+def hybrid_topk(v):
+    q = v.queries().join(v.vector_queries(), "qid", "left")
+    return retrieval.search(doc_index(v), v.vectors(), q).select("qid", "chunk_id", "score", "rank")
+
+
+OVERLAP_SQL = f""", tx AS (SELECT cast(doc_id AS varchar) AS chunk_id, list_distinct(regexp_extract_all(lower(text), '{TOKEN_SQL}')) AS t FROM documents), qx AS (SELECT qid, list_distinct(regexp_extract_all(lower(query), '{TOKEN_SQL}')) AS u FROM v_queries),
+re AS (SELECT qid, chunk_id, rr.rank AS fused, round(2.0 * len(list_intersect(t, u)) / (len(t) + len(u)), 6) AS rerank_score FROM rr JOIN tx USING (chunk_id) JOIN qx USING (qid) WHERE rr.rank <= 40)"""
+
+
+@query(HYBRID + OVERLAP_SQL + ", rs AS (SELECT qid, chunk_id, rerank_score, row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC, fused) AS rank FROM re) SELECT * FROM rs WHERE rank <= 10", "v_docs", "v_queries", "v_qvec")
+def hybrid_reranked(v):
+    q = v.queries().join(v.vector_queries(), "qid", "left")
+    return retrieval.search(doc_index(v), v.vectors(), q, retrieval.SearchConfig(rerank=True)).select("qid", "chunk_id", "rerank_score", "rank")
+
+
+INTENT_TEXT = "CASE c_custkey % 7 WHEN 0 THEN 'Do sources disagree about ' WHEN 1 THEN 'Show the plate of ' WHEN 2 THEN 'Compare ' WHEN 3 THEN 'Whose ward is ' WHEN 4 THEN 'Tell me about ' WHEN 5 THEN 'Who leads ' ELSE 'What region holds ' END || c_name"
+INTENT_SQL = f"WITH i AS (SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN 'contradiction' WHEN 1 THEN 'visual' WHEN 2 THEN 'comparison' WHEN 3 THEN 'multi_hop' WHEN 4 THEN 'exploratory' ELSE 'direct' END AS intent FROM customer WHERE length({INTENT_TEXT}) > 0)"
+
+
+def questions(v):
+    k = F.col("c_custkey") % 7
+    lead = F.lit("What region holds ")
+    for n, t in enumerate(["Do sources disagree about ", "Show the plate of ", "Compare ", "Whose ward is ", "Tell me about ", "Who leads "]):
+        lead = F.when(k == n, t).otherwise(lead)
+    return v.t("customer").select("c_custkey", F.concat(lead, "c_name").alias("question"))
+
+
+@query(INTENT_SQL + " SELECT * FROM i")
+def intent_classify(v):
+    return questions(v).select("c_custkey", analysis.intent(F.col("question"), F.lit(1)).alias("intent"))
+
+
+@query(INTENT_SQL + " SELECT c_custkey, intent NOT IN ('multi_hop', 'contradiction') AS rerank, intent IN ('multi_hop', 'contradiction') AS expand, CASE intent WHEN 'multi_hop' THEN 'graph_neighbors' WHEN 'visual' THEN 'figure_search' ELSE 'hybrid_search' END AS action FROM i")
+def intent_policy(v):
+    i = analysis.intent(F.col("question"), F.lit(1))
+    p = retrieval.policy(i)
+    return questions(v).select("c_custkey", p["rerank"].alias("rerank"), p["expand"].alias("expand"), analysis.first_action(i, F.lit(1)).alias("action"))
+
+
+# ---- expansion and graph -------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, chunk_id AS first_chunk FROM v_chunks WHERE ord = 0", "v_chunks")
+def first_chunk_per_doc(v):
+    return v.chunks().groupBy("doc_id").agg(F.min_by("chunk_id", "chunk_pos").alias("first_chunk"))
+
+
+@query("WITH src AS (SELECT chunk_id, chunk_pos, text, true AS keep FROM v_chunks), " + BM25_SQL.removeprefix("WITH ") + """, h AS (SELECT qid, chunk_id AS hit, rank, doc_id, section_path, chunk_pos FROM bm JOIN v_chunks USING (chunk_id) WHERE rank <= 10),
+nb AS (SELECT h.qid, c.chunk_id, h.hit, h.rank, c.chunk_pos - h.chunk_pos AS off FROM h JOIN v_chunks c ON c.doc_id = h.doc_id AND c.section_path = h.section_path AND abs(c.chunk_pos - h.chunk_pos) = 1 WHERE NOT EXISTS (SELECT 1 FROM h x WHERE x.qid = h.qid AND x.hit = c.chunk_id)),
+fr AS (SELECT *, row_number() OVER (PARTITION BY qid, chunk_id ORDER BY rank, off) AS n FROM nb)
+SELECT qid, chunk_id, 'section neighbour ' || CASE WHEN off < 0 THEN 'before' ELSE 'after' END || ' ' || hit AS reason FROM fr WHERE n = 1""", "v_chunks", "v_queries")
+def section_expand(v):
+    chunks = v.chunks()
+    hits = retrieval.bm25(retrieval.build_index(chunks), v.queries())
+    return graph.section_neighbours(hits, chunks)
+
+
+MENTION_SQL = "WITH q AS (SELECT o_orderkey AS qid, 'orders of ' || c_name || ' and nation_' || c_nationkey AS query FROM orders JOIN customer ON o_custkey = c_custkey)"
+MENTIONS = MENTION_SQL + """, w AS (SELECT entity_id, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS form FROM v_entities),
+m AS (SELECT DISTINCT o_orderkey AS qid, w.entity_id, w.form FROM orders JOIN customer ON o_custkey = c_custkey JOIN w ON w.form = trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) UNION SELECT DISTINCT o_orderkey, w.entity_id, w.form FROM orders JOIN customer ON o_custkey = c_custkey JOIN w ON w.form = 'nation ' || c_nationkey)"""
+
+
+def order_questions(v):
+    return v.t("orders").join(v.t("customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("qid"), F.concat(F.lit("orders of "), "c_name", F.lit(" and nation_"), F.col("c_nationkey").cast("string")).alias("query"))
+
+
+@query(MENTIONS + " SELECT qid, entity_id, form FROM m", "v_entities")
+def entity_mentions(v):
+    return graph.mentions(order_questions(v), v.entities()).select("qid", "entity_id", "form")
+
+
+@query("""WITH s AS (SELECT 'r' || r_regionkey AS qid, 'ent_region_' || r_regionkey AS entity_id FROM region),
+ed AS (SELECT s.qid, e.subject_id, e.evidence, e.tier, e.object_id FROM s JOIN v_places e ON e.object_id = s.entity_id),
+r AS (SELECT qid, 'ent_nation_' || substr(subject_id, 12) AS ent, 'nation/' || substr(subject_id, 12) || '.md' AS ref, evidence, subject_id, object_id, row_number() OVER (PARTITION BY qid ORDER BY tier, subject_id) AS rank FROM ed)
+SELECT qid, 'first:' || substr(subject_id, 12) AS chunk_id, substr(subject_id, 12) AS doc_id, 'reached via ' || subject_id || ' -located_in-> ' || object_id || ' | evidence ' || evidence AS reason, rank FROM r WHERE rank <= 12""", "v_places")
+def graph_expand(v):
+    seeds = v.t("region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("qid"), F.concat(F.lit("ent_region_"), F.col("r_regionkey").cast("string")).alias("entity_id"))
+    firsts = v.t("nation").select(F.col("n_nationkey").cast("string").alias("doc_id"), F.concat(F.lit("first:"), F.col("n_nationkey").cast("string")).alias("chunk_id"))
+    none = v.spark.createDataFrame([], "qid string, doc_id string")
+    return graph.expand(seeds, v.places(), v.entities(), firsts, none)
+
+
+@query("SELECT l_linenumber AS k, cast(o_orderkey % 7 AS int) AS fused, greatest(0, least(cast(floor(l_linenumber * 0.5) AS int), cast(o_orderkey % 7 AS int) - 1)) AS budget, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL")
+def expansion_budget(v):
+    j = v.t("lineitem").join(v.t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_linenumber").alias("k"), (F.col("o_orderkey") % 7).cast("int").alias("fused"))
+    return j.groupBy("k", "fused", graph.expansion_budget(F.col("k"), F.col("fused")).alias("budget")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey, 'ent_' || trim(regexp_replace(lower(regexp_replace(n, '^(the|a|an) +', '', 'i')), '[^a-z0-9]+', '_', 'g'), '_') AS entity_id FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'The ' ELSE '' END || p_name AS n FROM part)")
+def entity_slug(v):
+    n = F.concat(F.when(F.col("p_partkey") % 3 == 0, "The ").otherwise(""), "p_name")
+    return v.t("part").select("p_partkey", X.entity_id(n).alias("entity_id"))
+
+
+@query("SELECT 'part/' || p_partkey || '.md#infobox:Region' AS evidence, 'ent_part_' || p_partkey AS subject_id, 'located_in' AS predicate, 'ent_' || trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', '_', 'g'), '_') AS object_id, NULL AS qualifier FROM part UNION ALL SELECT 'part/' || p_partkey || '.md#infobox:Wields', 'ent_part_' || p_partkey, p, 'ent_size_' || p_size, 'since ' || p_size || ' AS' FROM part CROSS JOIN (VALUES ('wields'), ('bore_since')) t(p) UNION ALL SELECT 'part/' || p_partkey || '.md#infobox:Mentor', 'ent_' || trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g'), '_'), 'mentor_of', 'ent_part_' || p_partkey, NULL FROM part")
+def infobox_edges(v):
+    return wiki.extract(part_articles(v))[1].select("evidence", "subject_id", "predicate", "object_id", "qualifier")
+
+
+def part_articles(v):
+    k = F.col("p_partkey").cast("string")
+    text = F.concat(F.lit("# Part "), k, F.lit("\n\n## Infobox\n\n| Field | Value |\n|---|---|\n| Region | [["), "p_brand", F.lit("]] |\n| Wields | Size "), F.col("p_size").cast("string"), F.lit(" since "), F.col("p_size").cast("string"), F.lit(" AS |\n| Mentor | **"), "p_type", F.lit("** |\n| Role | none |\n| Oddity | x |\n\n## More\n\n| Region | no |\n"))
+    return v.t("part").select(F.concat(F.lit("part/"), k, F.lit(".md")).alias("path"), text.alias("text"))
+
+
+@query("SELECT count(*) * 3 AS mapped, count(*) AS unmapped, 0.75 AS coverage FROM part")
+def field_coverage(v):
+    return wiki.field_coverage(wiki.infobox_items(wiki.parse(part_articles(v))))
+
+
+@query("""SELECT l_orderkey || ':' || l_linenumber AS chunk_id, CASE WHEN l_linenumber = 1 THEN 'unknown_entity' WHEN l_linenumber = 2 THEN 'bad_predicate' WHEN l_linenumber = 3 THEN 'self_loop' WHEN l_linenumber = 4 THEN 'no_quote' WHEN l_returnflag = 'R' THEN 'quote_not_in_text' END AS drop_reason FROM lineitem""")
+def edge_validate(v):
+    n, s = F.col("l_linenumber"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
+    o = F.concat(F.lit("o"), F.col("l_orderkey").cast("string"))
+    cid = F.concat(F.col("l_orderkey").cast("string"), F.lit(":"), n.cast("string"))
+    li = v.t("lineitem")
+    proposed = li.select(cid.alias("chunk_id"), F.when(n == 1, "x").otherwise(s).alias("subject_id"), F.when(n == 2, "likes").otherwise("supplies").alias("predicate"), F.when(n == 3, s).otherwise(o).alias("object_id"), F.lit(None).cast("string").alias("qualifier"), F.when(n == 4, "  ").when(F.col("l_returnflag") == "R", "never said").otherwise("SHIPS  to").alias("quote"))
+    candidates = li.select(cid.alias("chunk_id"), F.concat(s, F.lit(" ships\nto "), o).alias("text"), F.lit(3).alias("tier"), F.array(s, o).alias("entity_ids"))
+    return wiki.validate(proposed, candidates, ["supplies", "located_in"]).select("chunk_id", "drop_reason")
+
+
+@query("SELECT from_id, to_id, evidence FROM (SELECT object_id AS from_id, subject_id AS to_id, evidence FROM v_places UNION ALL SELECT subject_id, object_id, evidence FROM v_places) WHERE from_id LIKE 'ent_nation_%'", "v_places")
+def edges_undirected(v):
+    ids = v.entities().where(F.col("entity_id").startswith("ent_nation_")).select("entity_id")
+    return graph.undirected(v.places(), ids).select("from_id", "to_id", "evidence")
+
+
+LINK_SQL = "WITH l AS (SELECT DISTINCT subject_id AS a, object_id AS b FROM v_places UNION SELECT object_id, subject_id FROM v_places)"
+
+
+@query(LINK_SQL + " SELECT entity_id AS seed, entity_id, 0 AS hop FROM v_entities WHERE entity_id LIKE 'ent_nation_%' UNION ALL SELECT a, b, 1 FROM l WHERE a LIKE 'ent_nation_%'", "v_places", "v_entities")
+def neighbors_1hop(v):
+    seeds = v.entities().where(F.col("entity_id").startswith("ent_nation_")).select(F.col("entity_id").alias("seed"), "entity_id")
+    return graph.neighbours(v.places(), seeds, 1)[0]
+
+
+@query(LINK_SQL + ", s AS (SELECT entity_id AS seed FROM v_entities WHERE entity_id LIKE 'ent_region_%'), h AS (SELECT seed, seed AS entity_id, 0 AS hop FROM s UNION ALL SELECT seed, b, 1 FROM s JOIN l ON a = seed UNION ALL SELECT seed, y.b, 2 FROM s JOIN l x ON x.a = seed JOIN l y ON y.a = x.b) SELECT seed, entity_id, min(hop) AS hop FROM h GROUP BY ALL", "v_places", "v_entities")
+def neighbors_2hop(v):
+    seeds = v.entities().where(F.col("entity_id").startswith("ent_region_")).select(F.col("entity_id").alias("seed"), "entity_id")
+    return graph.neighbours(v.places(), seeds, 2)[0]
+
+
+STEP_SQL = "WITH e AS (SELECT subject_id AS a, object_id AS b, subject_id || ' -' || predicate || '-> ' || object_id AS step FROM v_places UNION ALL SELECT object_id, subject_id, subject_id || ' -' || predicate || '-> ' || object_id FROM v_places)"
+
+
+@query(STEP_SQL + ", p AS (SELECT x.entity_id AS source, y.entity_id AS target FROM v_entities x, v_entities y WHERE (x.entity_id LIKE 'ent_supplier_%' OR x.entity_id LIKE 'ent_nation_%') AND y.entity_id LIKE 'ent_region_%'), r AS (SELECT source, target, 1 AS hops, e.step AS path FROM p JOIN e ON e.a = source AND e.b = target UNION ALL SELECT source, target, 2, x.step || ' | ' || y.step FROM p JOIN e x ON x.a = source JOIN e y ON y.a = x.b AND y.b = target WHERE x.b <> target AND x.b <> source UNION ALL SELECT source, target, 3, x.step || ' | ' || y.step || ' | ' || z.step FROM p JOIN e x ON x.a = source JOIN e y ON y.a = x.b JOIN e z ON z.a = y.b AND z.b = target WHERE x.b <> target AND y.b NOT IN (source, target) AND x.b <> source AND y.b <> x.b) SELECT source, target, hops, path FROM r", "v_places", "v_entities")
+def paths_3hop(v):
+    e = v.entities().select("entity_id")
+    a = e.where(F.col("entity_id").startswith("ent_supplier_") | F.col("entity_id").startswith("ent_nation_")).select(F.col("entity_id").alias("source"))
+    pairs = a.join(F.broadcast(v.t("region").select(F.concat(F.lit("ent_region_"), F.col("r_regionkey").cast("string")).alias("target"))))
+    return graph.paths(v.places(), pairs, 3).select("source", "target", "hops", F.array_join("steps", " | ").alias("path"))
+
+
+@query("SELECT subject_id AS source, object_id AS target, subject_id || ' -supplies-> ' || object_id AS path, string_agg(evidence, ',' ORDER BY evidence) AS evidence FROM v_supplies GROUP BY ALL", "v_supplies")
+def distinct_paths(v):
+    s = v.supplies()
+    found = graph.paths(s, s.select(F.col("subject_id").alias("source"), F.col("object_id").alias("target")).distinct(), 1, 1 << 20)
+    return graph.distinct_paths(found).select("source", "target", "path", "evidence")
+
+
+@query("SELECT ref, coalesce(e.entity_id, n.entity_id, slug) AS entity_id, coalesce(e.entity_id, n.entity_id) IS NOT NULL AS resolved FROM (SELECT s_name AS ref, 'ent_' || trim(regexp_replace(lower(s_name), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM supplier UNION ALL SELECT 'ent_nation_' || n_nationkey, 'ent_nation_' || n_nationkey FROM nation UNION ALL SELECT p_name, 'ent_' || trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '_') FROM (SELECT DISTINCT p_name FROM part)) a LEFT JOIN v_entities e ON e.entity_id = slug LEFT JOIN (SELECT lower(name) AS low, min(entity_id) AS entity_id FROM v_entities GROUP BY 1) n ON n.low = lower(ref)", "v_entities")
+def resolve_entity(v):
+    asked = v.t("supplier").select(F.col("s_name").alias("ref")).unionByName(v.t("nation").select(F.concat(F.lit("ent_nation_"), F.col("n_nationkey").cast("string")).alias("ref"))).unionByName(v.t("part").select(F.col("p_name").alias("ref")).distinct())
+    return graph.resolve(v.entities(), asked)
+
+
+@query("SELECT entity_id, name, count(*) OVER () AS total FROM v_entities WHERE type = 'Location' ORDER BY name, entity_id LIMIT 20", "v_entities")
+def vocab_page(v):
+    return graph.vocabulary(v.entities(), "Location", 20).select("entity_id", "name", F.col("total").cast("long").alias("total"))
+
+
+@query("SELECT subject_id, object_id, evidence FROM v_supplies GROUP BY ALL HAVING count(*) FILTER (tier <= 2) = 0", "v_supplies")
+def merge_new_edges(v):
+    s = v.supplies()
+    return graph.merge_edges(s.where("tier <= 2"), s)[1].select("subject_id", "object_id", "evidence")
+
+
+@query("SELECT p.evidence, coalesce(s.name, subject_id) || ' -' || predicate || '-> ' || coalesce(o.name, object_id) AS hop_text FROM v_places p LEFT JOIN v_entities s ON s.entity_id = subject_id LEFT JOIN v_entities o ON o.entity_id = object_id", "v_places", "v_entities")
+def hop_text(v):
+    return graph.named(v.places(), v.entities()).select("evidence", "hop_text")
+
+
+# ---- assertions, conflicts, citations ------------------------------------------------------------------------------
+
+
+@query(r"""SELECT o_orderkey, CASE WHEN k = 0 THEN cast(cast(floor(o_totalprice) AS bigint) AS varchar) WHEN k = 1 THEN o_orderkey || ' AS' WHEN k = 2 THEN cast(o_orderkey AS varchar) ELSE 'none recorded' END AS value, k = 3 AS absent FROM (SELECT *, o_orderkey % 4 AS k FROM orders)""")
+def normalise_value(v):
+    k, n = F.col("o_orderkey") % 4, F.col("o_orderkey").cast("string")
+    raw = F.when(k == 0, F.concat(F.lit("**"), F.format_number(F.floor("o_totalprice"), 0), F.lit("**"))).when(k == 1, F.concat(n, F.lit("as"))).when(k == 2, F.concat(n, F.lit(" troops"))).otherwise(" None  Recorded ")
+    return v.t("orders").select("o_orderkey", X.value_normal(raw).alias("value"), X.is_absence(raw).alias("absent"))
+
+
+CLUSTER_SQL = """WITH bv AS (SELECT entity, attribute, value, min(tier) AS tier, count(DISTINCT doc_id) AS n_docs, string_agg(DISTINCT doc_id, ',' ORDER BY doc_id) AS docs FROM v_claims GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY entity, attribute ORDER BY tier, n_docs DESC, value) AS rank, count(*) OVER (PARTITION BY entity, attribute) AS n_values FROM bv)"""
+
+
+@query(CLUSTER_SQL + " SELECT entity, value, tier, n_docs, docs, rank, n_values FROM rk", "v_claims")
+def assertion_clusters(v):
+    return evidence.clusters(v.claims()).select("entity", "value", "tier", "n_docs", F.array_join("docs", ",").alias("docs"), "rank", "n_values")
+
+
+PAIR_SQL = CLUSTER_SQL + ", p AS (SELECT a.entity, a.value AS value_a, a.tier AS tier_a, a.docs AS docs_a, a.n_docs, b.value AS value_b, b.tier AS tier_b, b.docs AS docs_b FROM rk a JOIN rk b USING (entity, attribute) WHERE a.rank = 1 AND b.rank = 2)"
+
+
+@query(PAIR_SQL + " SELECT entity, value_a, tier_a, docs_a, value_b, tier_b, docs_b FROM p", "v_claims")
+def conflict_top2(v):
+    return evidence.conflicts(v.claims()).select("entity", "value_a", "tier_a", F.array_join("docs_a", ",").alias("docs_a"), "value_b", "tier_b", F.array_join("docs_b", ",").alias("docs_b"))
+
+
+@query(PAIR_SQL + """ SELECT entity, CASE WHEN tier_a = tier_b THEN 'unresolved' WHEN n_docs > 1 AND tier_a = 1 THEN 'tier_1_corroborated' ELSE 'higher_tier' END AS resolution,
+CASE WHEN tier_a = tier_b THEN 'Both claims sit at tier ' || tier_a || ' and neither is corroborated by an independent source, so the disagreement is surfaced rather than decided.' WHEN n_docs > 1 AND tier_a = 1 THEN 'The tier-1 reading is corroborated by ' || n_docs || ' independent documents; the competing claim is tier ' || tier_b || '.'
+ELSE 'Tier ' || tier_a || ' outranks tier ' || tier_b || '. ' || CASE tier_b WHEN 5 THEN 'Tier 5 is folkloric and attested but unreliable.' WHEN 4 THEN 'Tier 4 is primary evidence but partial.' WHEN 3 THEN 'Tier 3 is narrative, where a fact may be spoken by an unreliable character.' ELSE 'Tier 2 is encyclopaedic commentary rather than an official record.' END END AS rationale FROM p""", "v_claims")
+def conflict_resolution(v):
+    return evidence.conflicts(v.claims()).select("entity", "resolution", "rationale")
+
+
+@query("SELECT chunk_id, 'Part ' || l_partkey AS entity, 'garrison strength' AS attribute, cast(l_quantity AS bigint) || '' AS value FROM (SELECT l_orderkey || ':' || l_linenumber AS chunk_id, l_partkey, l_quantity FROM lineitem)")
+def assertion_extract(v):
+    """Rows of a gazetteer, one a line item: another place, the place, a cell. The nearest place before the value owns it."""
+    text = F.concat(F.lit("Entry of Nowhere. Then Part "), F.col("l_partkey").cast("string"), F.lit("\n| Garrison strength | "), F.col("l_quantity").cast("long").cast("string"), F.lit(" troops |\n"))
+    names = [(f"Part {r[0]}", "Location") for r in v.t("part").select("p_partkey").collect()] + [("Nowhere", "Faction")]
+    #: A vocabulary of many names goes to the scan in blocks that this query does not need at its size; names of parts are met by id.
+    li = v.t("lineitem").select(F.concat(F.col("l_orderkey").cast("string"), F.lit(":"), F.col("l_linenumber").cast("string")).alias("chunk_id"), F.lit("d").alias("doc_id"), F.lit(2).alias("authority_tier"), F.array(F.lit("Nowhere")).alias("section_path"), text.alias("text"))
+    return evidence.assertions(li, names).select("chunk_id", "entity", "attribute", "value")
+
+
+@query("WITH e AS (SELECT event_id, user_id, ts, event_type FROM events), p AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase') SELECT e.event_id, (SELECT max(p.ts) FROM p WHERE p.user_id = e.user_id AND p.ts < e.ts) AS last_purchase FROM e")
+def near_preceding_asof(v):
+    """The nearest earlier purchase of the same user: an as-of join as one window over the union of both sides."""
+    from pyspark.sql import Window
+
+    e = v.t("events").select("event_id", "user_id", "ts", "event_type").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    w = Window.partitionBy("user_id").orderBy("us").rangeBetween(Window.unboundedPreceding, -1)
+    return e.select("event_id", F.max(F.when(F.col("event_type") == "purchase", F.col("ts"))).over(w).alias("last_purchase"))
+
+
+@query("SELECT md5(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) AS form, min(doc_id) AS kept, count(*) AS copies FROM documents GROUP BY 1")
+def exact_ws_dedup(v):
+    return v.t("documents").groupBy(F.md5(X.squeeze(F.col("text"))).alias("form")).agg(F.min("doc_id").alias("kept"), F.count("*").alias("copies"))
+
+
+@query("SELECT l_orderkey AS claim_id, CASE WHEN count(DISTINCT l_suppkey) > 1 AND count(DISTINCT l_returnflag || ' ' || l_linestatus) > 1 THEN 'corroborated' ELSE 'single_source' END AS support FROM lineitem GROUP BY 1")
+def support_label(v):
+    return evidence.support(v.t("lineitem").select(F.col("l_orderkey").alias("claim_id"), F.col("l_suppkey").alias("doc_id"), F.concat("l_returnflag", F.lit("  "), "l_linestatus").alias("text")))
+
+
+@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'missing_chunk' WHEN 1 THEN 'doc_mismatch' WHEN 2 THEN 'excerpt_not_in_text' WHEN 3 THEN 'hash_mismatch' END AS problem FROM documents")
+def citation_check(v):
+    k, d = F.col("doc_id") % 5, F.col("doc_id").cast("string")
+    docs = v.t("documents").select("doc_id", "text")
+    excerpt = F.when(k == 2, F.concat("text", F.lit("!never"))).otherwise(F.substring("text", 3, 40))
+    c = docs.select("doc_id", d.alias("id"), F.when(k == 0, F.concat(d, F.lit("x"))).otherwise(d).alias("chunk_id"), F.when(k == 1, "other").otherwise(d).alias("cited"), excerpt.alias("excerpt"), F.when(k == 3, F.sha2(F.lit("y"), 256)).otherwise(F.sha2(excerpt, 256)).alias("excerpt_sha256"))
+    checked = evidence.check_citations(c.select("id", "chunk_id", F.col("cited").alias("doc_id"), "excerpt", "excerpt_sha256"), docs.select(d.alias("chunk_id"), d.alias("doc_id"), "text"))
+    return checked.select(F.col("id").cast("long").alias("doc_id"), "problem")
+
+
+@query("SELECT doc_id, md5(substr(text, 11, 50)) AS span FROM documents WHERE length(text) >= 61")
+def verbatim_citation(v):
+    """Quotations with white space and quotes changed are found again as the source has them."""
+    d = v.t("documents").where(F.length("text") >= 61).select("doc_id", "text", F.substring("text", 11, 50).alias("q"))
+    quote = F.regexp_replace("q", "\n", "  ")
+    #: A quotation may start or end in white space, which the source's own span then lacks.
+    found = d.select("doc_id", "q", evidence.verbatim(F.translate(quote, "'", "’"), F.col("text")).alias("span"))
+    return found.select("doc_id", F.md5(F.when(F.trim("span") == F.regexp_replace("q", r"^\s+|\s+$", ""), F.col("q")).otherwise(F.col("span"))).alias("span"))
+
+
+@query("SELECT p_partkey AS qid, p_name || ': ' || p_size AS quote FROM part WHERE p_partkey % 3 > 0")
+def numeric_binding(v):
+    """A line of an image's text names the asked subject with its number; with two such images nothing is chosen."""
+    k = F.col("p_partkey").cast("string")
+    p = v.t("part").select("p_partkey", "p_name", "p_size", k.alias("a"))
+    assets = p.select(F.col("p_partkey").alias("qid"), F.explode(F.when(F.col("p_partkey") % 3 == 0, F.array("a", F.concat("a", F.lit("b")))).otherwise(F.array("a"))).alias("asset_id"), F.col("p_name").alias("subject"), F.col("p_name").alias("label"), F.col("p_size").cast("string").alias("value"))
+    chunks = assets.select(F.concat(F.lit("img:"), "asset_id").alias("chunk_id"), F.array("asset_id").alias("asset_ids"), F.concat(F.lit("caption\n  "), "label", F.lit(": "), "value", F.lit("\nother: 7")).alias("text"))
+    return evidence.numeric_drafts(assets, chunks).select("qid", "quote")
+
+
+@query("SELECT o_orderkey AS qid, l_linenumber AS chunk_id FROM (SELECT l_orderkey AS o_orderkey, l_linenumber, l_returnflag = 'A' AS named, max(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey) AS some FROM lineitem) WHERE named OR some = 0")
+def focused_hits(v):
+    li = v.t("lineitem")
+    hits = li.select(F.col("l_orderkey").alias("qid"), F.col("l_linenumber").alias("chunk_id"), F.concat(F.lit("Flag-"), "l_returnflag", F.lit(" record")).alias("title"))
+    return evidence.focused(hits, li.select(F.col("l_orderkey").alias("qid")).distinct().withColumn("name", F.lit("flag a"))).select("qid", "chunk_id")
+
+
+@query("SELECT c_custkey, span, label FROM (SELECT c_custkey, unnest(CASE c_custkey % 4 WHEN 0 THEN ['by order of'] WHEN 1 THEN ['Ignore previous', 'you must flee'] WHEN 2 THEN ['act as'] ELSE [] END) AS span, unnest(CASE c_custkey % 4 WHEN 0 THEN ['in-world order'] WHEN 1 THEN ['override attempt', 'imperative address'] WHEN 2 THEN ['role assignment'] ELSE [] END) AS label FROM customer)")
+def instruction_scan(v):
+    k = F.col("c_custkey") % 4
+    text = F.when(k == 0, "sealed by order of the crown").when(k == 1, "Ignore previous words, you must flee").when(k == 2, "to act as guide").otherwise("nothing here")
+    return evidence.instruction_spans(v.t("customer").select("c_custkey", F.concat("c_name", F.lit(": "), text).alias("text")))
+
+
+# ---- questions -----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT n_nationkey AS qid, 'ent_nation_' || n_nationkey AS entity_id FROM nation")
+def name_mentions(v):
+    asked = v.t("nation").select(F.col("n_nationkey").alias("qid"), F.concat(F.lit("Who rules “"), "n_name", F.lit("”, and since when?")).alias("query"))
+    names = v.entities().where(F.col("entity_id").startswith("ent_nation_"))
+    return analysis.name_mentions(asked, names).select("qid", "entity_id")
+
+
+@query("SELECT s_suppkey AS qid, e.entity_id, levenshtein(lower(span), lower(e.name)) AS edits FROM (SELECT s_suppkey, s_name || 'x' AS span FROM supplier) JOIN v_entities e ON e.entity_id LIKE 'ent_supplier_%' AND levenshtein(lower(span), lower(e.name)) BETWEEN 1 AND 2", "v_entities")
+def typo_candidates(v):
+    spans = v.t("supplier").select(F.col("s_suppkey").alias("qid"), F.concat("s_name", F.lit("x")).alias("span"))
+    names = v.entities().where(F.col("entity_id").startswith("ent_supplier_"))
+    return analysis.typo_candidates(spans, names).select("qid", "entity_id", F.col("edits").cast("long").alias("edits"))
+
+
+@query()
+def typo_corrections(v):
+    spans = v.t("supplier").select(F.col("s_suppkey").alias("qid"), F.regexp_replace("s_name", "Suppl", "Supl").alias("span"))
+    return analysis.corrections(spans, v.entities().where(F.col("entity_id").startswith("ent_supplier_")))
+
+
+# ---- metrics -------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT conv_id, count(*) AS n, CASE WHEN count(*) <= 1 THEN 0.0 ELSE (count(*) - count(DISTINCT lower(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))))) / count(*) END AS redundancy FROM conversations GROUP BY 1")
+def redundancy_rate(v):
+    return metrics.redundancy(v.t("conversations").withColumn("query", F.col("text")), "conv_id")
+
+
+RANKED = DOC_SRC.format(keep="true") + BM25_SQL.removeprefix("WITH ") + """, top AS (SELECT qid, cast(chunk_id AS bigint) AS doc_id, rank FROM bm WHERE rank <= 10),
+f AS (SELECT g.qid, g.doc_id, t.rank FROM v_gold g LEFT JOIN top t USING (qid, doc_id)),
+mt AS (SELECT q.qid, count(f.doc_id) AS n_gold, CASE WHEN count(f.doc_id) > 0 THEN count(f.rank) / count(f.doc_id) ELSE 0.0 END AS recall, count(f.rank) / 10 AS prec, count(f.doc_id) > 0 AND count(f.rank) = count(f.doc_id) AS covered,
+  CASE WHEN count(f.doc_id) > 0 THEN coalesce(sum(1 / log2(f.rank + 1)), 0) / list_sum(list_transform(range(1, least(10, count(f.doc_id)) + 1), r -> 1 / log2(r + 1))) ELSE 0.0 END AS ndcg, min(f.rank) AS first_rank, coalesce(1 / min(f.rank), 0) AS rr FROM v_queries q LEFT JOIN f USING (qid) GROUP BY q.qid)"""
+
+
+def ranked(v):
+    hits = retrieval.bm25(doc_index(v), v.queries()).withColumn("doc_id", F.col("chunk_id").cast("long"))
+    return metrics.ranking(v.queries(), v.gold(), metrics.by_document(hits))
+
+
+@query("WITH h AS (SELECT conv_id AS qid, role AS doc_id, min(turn) AS t FROM conversations GROUP BY ALL) SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY t, doc_id) AS rank FROM h")
+def rank_dedup(v):
+    return metrics.by_document(v.t("conversations").select(F.col("conv_id").alias("qid"), F.col("role").alias("doc_id"), F.col("turn").alias("rank")))
+
+
+@query(RANKED + " SELECT qid, n_gold, round(recall, 6) AS recall FROM mt", "v_docs", "v_queries", "v_gold")
+def recall_at_k(v):
+    return ranked(v).select("qid", "n_gold", F.round("recall", 6).alias("recall"))
+
+
+@query(RANKED + " SELECT qid, round(prec, 6) AS precision FROM mt", "v_docs", "v_queries", "v_gold")
+def precision_at_k(v):
+    return ranked(v).select("qid", F.round("precision", 6).alias("precision"))
+
+
+@query(RANKED + " SELECT qid, covered FROM mt", "v_docs", "v_queries", "v_gold")
+def coverage_at_k(v):
+    return ranked(v).select("qid", "covered")
+
+
+@query(RANKED + " SELECT qid, round(ndcg, 6) AS ndcg FROM mt", "v_docs", "v_queries", "v_gold")
+def ndcg_at_k(v):
+    return ranked(v).select("qid", F.round("ndcg", 6).alias("ndcg"))
+
+
+@query(RANKED + " SELECT qid, first_rank, round(rr, 6) AS rr FROM mt", "v_docs", "v_queries", "v_gold")
+def mrr(v):
+    return ranked(v).select("qid", "first_rank", F.round("rr", 6).alias("rr"))
+
+
+SUMMARY = RANKED + ", s AS (SELECT *, qid % 2 AS suite, n_gold > 0 AS scored, (qid * 37) % 101 AS latency FROM mt), su AS (SELECT suite, count(*) AS questions, count(*) FILTER (scored) AS n_scored, coalesce(avg(recall) FILTER (scored), 0) AS recall, coalesce(avg(prec) FILTER (scored), 0) AS precision, coalesce(avg(covered::int) FILTER (scored), 0) AS coverage, coalesce(avg(ndcg) FILTER (scored), 0) AS ndcg, coalesce(avg(rr) FILTER (scored), 0) AS mrr, list_sort(list(latency)) AS l FROM s GROUP BY suite)"
+
+
+def summary(v):
+    rows = ranked(v).withColumn("suite", F.col("qid") % 2).withColumn("latency_ms", F.col("qid") * 37 % 101)
+    return metrics.suite_summary(rows, ["suite"])
+
+
+@query(SUMMARY + " SELECT suite, questions, n_scored, round(recall, 6) AS recall, round(precision, 6) AS precision, round(coverage, 6) AS coverage, round(ndcg, 6) AS ndcg, round(mrr, 6) AS mrr, l[len(l) // 2 + 1] AS p50_ms, l[least(len(l) - 1, cast(floor(len(l) * 0.95) AS bigint)) + 1] AS p95_ms FROM su", "v_docs", "v_queries", "v_gold")
+def suite_summary(v):
+    return summary(v).select("suite", "questions", "n_scored", *(F.round(c, 6).alias(c) for c in ("recall", "precision", "coverage", "ndcg", "mrr")), "p50_ms", "p95_ms")
+
+
+@query(SUMMARY + ", g AS (SELECT suite, unnest(['recall', 'coverage', 'ndcg', 'mrr']) AS metric, unnest([recall, coverage, ndcg, mrr]) AS value FROM su), b AS (SELECT suite, metric, CASE metric WHEN 'recall' THEN value WHEN 'coverage' THEN value + 0.01 WHEN 'ndcg' THEN value - 0.01 ELSE value + 0.0005 END AS baseline FROM g WHERE suite = 0) SELECT suite, metric, CASE WHEN baseline IS NULL OR round(value - baseline, 9) < -0.001 THEN 'regression' WHEN round(value - baseline, 9) > 0.001 THEN 'gain' ELSE 'same' END AS verdict FROM g LEFT JOIN b USING (suite, metric)", "v_docs", "v_queries", "v_gold")
+def baseline_gate(v):
+    now = summary(v).select("suite", *metrics.GATED)
+    before = now.where("suite = 0").select("suite", "recall", (F.col("coverage") + 0.01).alias("coverage"), (F.col("ndcg") - 0.01).alias("ndcg"), (F.col("mrr") + 0.0005).alias("mrr"))
+    return metrics.gate(now, before, ["suite"]).select("suite", "metric", "verdict")
+
+
+@query("SELECT o_orderpriority AS grp, avg((o_orderstatus <> 'P')::int) AS groundedness, count(*) AS claims FROM orders GROUP BY 1")
+def groundedness(v):
+    return metrics.groundedness(v.t("orders").select(F.col("o_orderpriority").alias("grp"), F.when(F.col("o_orderstatus") == "P", "inferred").otherwise("entailed").alias("support")), ["grp"])
+
+
+QUALITY_SQL = "WITH c AS (SELECT DISTINCT l_orderkey AS qid, l_suppkey AS item FROM lineitem WHERE l_returnflag <> 'N'), g AS (SELECT DISTINCT l_orderkey AS qid, l_suppkey AS item FROM lineitem WHERE l_linestatus = 'F' OR l_linenumber = 1), k AS (SELECT DISTINCT l_orderkey AS qid FROM lineitem), b AS (SELECT qid, count(*) AS n FROM c JOIN g USING (qid, item) GROUP BY 1) SELECT k.qid, coalesce(coalesce(b.n, 0) / nc.n, 0) AS precision, coalesce(coalesce(b.n, 0) / ng.n, 0) AS recall FROM k LEFT JOIN b USING (qid) LEFT JOIN (SELECT qid, count(*) AS n FROM c GROUP BY 1) nc USING (qid) LEFT JOIN (SELECT qid, count(*) AS n FROM g GROUP BY 1) ng USING (qid)"
+
+
+@query(QUALITY_SQL)
+def citation_precision_recall(v):
+    li = v.t("lineitem").select(F.col("l_orderkey").alias("qid"), F.col("l_suppkey").alias("item"), "l_returnflag", "l_linestatus", "l_linenumber")
+    return metrics.set_quality(li.where("l_returnflag <> 'N'"), li.where("l_linestatus = 'F' OR l_linenumber = 1"), li, "item")
+
+
+@query(QUALITY_SQL.replace("l_suppkey", "md5(cast(l_partkey AS varchar))"))
+def asset_precision_recall(v):
+    li = v.t("lineitem").select(F.col("l_orderkey").alias("qid"), F.md5(F.col("l_partkey").cast("string")).alias("item"), "l_returnflag", "l_linestatus", "l_linenumber")
+    return metrics.set_quality(li.where("l_returnflag <> 'N'"), li.where("l_linestatus = 'F' OR l_linenumber = 1"), li, "item")
+
+
+@query("SELECT p_partkey, contains(trim(regexp_replace(lower('It is ' || p_name || '!'), '[^a-z0-9]+', ' ', 'g')), trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g'))) AND p_partkey % 2 = 0 AS matches FROM part")
+def answer_matches(v):
+    accept = F.when(F.col("p_partkey") % 2 == 0, F.array(F.lit("--"), F.upper("p_name"))).otherwise(F.array(F.lit("zz top"), F.lit("")))
+    return metrics.answer_matches(v.t("part").select("p_partkey", F.concat(F.lit("It is "), "p_name", F.lit("!")).alias("answer"), accept.alias("accept"))).select("p_partkey", "matches")
+
+
+GAIN_SQL = "WITH s AS (SELECT user_id AS trace, cast(event_id % 12 AS bigint) AS step, event_type AS doc_id FROM events), g AS (SELECT DISTINCT user_id AS trace, event_type AS doc_id FROM events WHERE value > 50), f AS (SELECT trace, doc_id, min(step) AS step FROM s JOIN g USING (trace, doc_id) GROUP BY ALL), a AS (SELECT st.trace, st.step, count(f.doc_id) AS gain FROM (SELECT DISTINCT trace, step FROM s) st LEFT JOIN f USING (trace, step) GROUP BY ALL), c AS (SELECT *, sum(gain) OVER (PARTITION BY trace ORDER BY step)::bigint AS cumulative FROM a)"
+
+
+def gains(v):
+    e = v.t("events")
+    steps = e.select(F.col("user_id").alias("trace"), (F.col("event_id") % 12).alias("step"), F.col("event_type").alias("doc_id"))
+    return metrics.gain_per_step(steps, e.where("value > 50").select(F.col("user_id").alias("trace"), F.col("event_type").alias("doc_id")))
+
+
+@query(GAIN_SQL + " SELECT trace, step, gain FROM c")
+def gain_per_step(v):
+    return gains(v).select("trace", "step", "gain")
+
+
+@query(GAIN_SQL + ", t AS (SELECT trace, count(*) AS n FROM g GROUP BY 1) SELECT trace, step, cumulative, round(coalesce(cumulative / n, 0), 6) AS cumulative_recall FROM c LEFT JOIN t USING (trace)")
+def trajectory_recall(v):
+    return gains(v).select("trace", "step", "cumulative", F.round("cumulative_recall", 6).alias("cumulative_recall"))
+
+
+@query("WITH o AS (SELECT CASE WHEN o_orderkey % 10 = 0 THEN CASE WHEN o_orderstatus = 'P' THEN 'none' ELSE 'refusal' END WHEN o_orderstatus = 'P' THEN 'refusal' WHEN o_orderkey % 3 = 0 THEN 'none' WHEN o_orderkey % 5 = 1 THEN 'extraction' WHEN o_totalprice < 100000 THEN 'retrieval' ELSE 'synthesis' END AS label FROM orders) SELECT label, count(o.label) AS n FROM (VALUES ('extraction'), ('none'), ('refusal'), ('retrieval'), ('synthesis')) l(label) LEFT JOIN o USING (label) GROUP BY 1")
+def failure_taxonomy(v):
+    k = F.col("o_orderkey")
+    label = metrics.failure(k % 10 != 0, F.col("o_orderstatus") == "P", k % 3 == 0, k % 5 != 1, F.col("o_totalprice") >= 100000)
+    return metrics.distribution(v.t("orders").select(label.alias("label")))
+
+
+@query("SELECT event_type AS model, count(*) AS calls, sum(event_id % 100)::bigint AS tokens_in, sum(event_id % 10)::bigint AS tokens_out, round(sum(CASE WHEN event_id % 4 = 0 THEN 0 ELSE value END), 4) AS cost_usd, sum(event_id % 1000)::bigint AS latency_ms, round(count(*) FILTER (event_id % 4 = 0) / count(*), 6) AS hit_rate, count(*) FILTER (event_id % 7 = 0) AS fallbacks FROM events GROUP BY 1")
+def usage_summary(v):
+    i = F.col("event_id")
+    u = v.t("events").select(F.col("event_type").alias("model"), (i % 100).alias("tokens_in"), (i % 10).alias("tokens_out"), F.col("value").alias("cost_usd"), (i % 1000).alias("latency_ms"), (i % 4 == 0).alias("cached"), (i % 7 == 0).alias("fallback"))
+    return metrics.usage_summary(u, ["model"]).withColumn("cost_usd", F.round("cost_usd", 4)).withColumn("hit_rate", F.round("hit_rate", 6))
+
+
+@query("SELECT conv_id, count(*) AS steps, count(DISTINCT role) AS agents, sum(length(text))::bigint AS chars, max(turn) AS last_step FROM conversations GROUP BY 1")
+def trace_totals(v):
+    t = v.t("conversations").select(F.col("conv_id").alias("trace"), F.col("turn").alias("step"), "role", "text", F.lit(1).alias("written"))
+    return metrics.latest_steps(t).groupBy(F.col("trace").alias("conv_id")).agg(F.count("*").alias("steps"), F.count_distinct("role").alias("agents"), F.sum(F.length("text")).alias("chars"), F.max("step").alias("last_step"))
+
+
+CACHE_SQL = "WITH c AS (SELECT user_id || ':' || event_type AS key, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) > 1 AS hit FROM events)"
+
+
+def calls(v):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
+    return v.t("events").select(F.concat(F.col("user_id").cast("string"), F.lit(":"), "event_type").alias("key"), (F.row_number().over(w) > 1).alias("hit"))
+
+
+@query(CACHE_SQL + " SELECT count(DISTINCT key) AS entries, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, round(count(*) FILTER (hit) / count(*), 6) AS hit_rate FROM c")
+def cache_stats(v):
+    return metrics.cache_stats(calls(v)).withColumn("hit_rate", F.round("hit_rate", 6))
+
+
+@query("SELECT DISTINCT user_id || ':' || event_type AS key FROM events WHERE user_id || ':' || event_type NOT IN (SELECT user_id || ':' || event_type FROM events WHERE value > 60)")
+def cache_misses(v):
+    e = v.t("events").select(F.concat(F.col("user_id").cast("string"), F.lit(":"), "event_type").alias("key"), "value", F.col("ts").alias("created_at"))
+    return metrics.cache_split(e.select("key"), e.where("value > 60"))[1]
+
+
+@query("SELECT source, median(n) AS median_chars, avg(n) AS mean_chars, count(*) FILTER (n < 50) AS near_empty FROM (SELECT source, length(text) AS n FROM v_chunks JOIN (SELECT doc_id, source FROM documents) USING (doc_id)) GROUP BY 1", "v_chunks")
+def ocr_class_stats(v):
+    c = v.chunks().select(F.col("source_type").alias("source"), F.length("text").alias("n"))
+    return c.groupBy("source").agg(F.median("n").alias("median_chars"), F.avg("n").alias("mean_chars"), F.count_if(F.col("n") < 50).alias("near_empty"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 hour, ts) AS window_start, event_type, count(*) AS calls, round(sum(value), 4) AS total, max(value) AS most FROM events GROUP BY ALL")
+def usage_windows(v):
+    return traces.usage_windows(v.t("events")).withColumn("total", F.round("total", 4))
+
+
+@query("SELECT avg(quality) AS mean, count(DISTINCT l.doc_id) / (SELECT count(DISTINCT doc_id) FROM documents) AS complete, count(*) - count(DISTINCT l.doc_id) AS repeated, 0 AS unknown FROM labels l")
+def review_summary(v):
+    return metrics.review_summary(v.t("labels").select(F.col("doc_id").alias("item_id"), F.col("quality").alias("score")), v.t("documents").select(F.col("doc_id").alias("item_id")))
+
+
+# ---- folds: no SQL, held against plain models in the tests --------------------------------------------------------
+
+
+def typed_blocks(v):
+    """Lines as blocks: every ninth a heading that opens a section, every thirteenth a table."""
+    k = F.col("ord")
+    b = v.blocks().select(F.col("doc_id").cast("string").alias("doc_id"), "block_id", "ord", F.lit(1).alias("page"), F.when(k % 13 == 12, "table").when(k % 9 == 0, "heading").otherwise("text").alias("block_type"), "text", F.array(F.concat(F.lit("s"), F.floor(k / 9).cast("string"))).alias("section_path"), F.lit(None).cast("string").alias("asset_path"))
+    return b
+
+
+@query()
+def chunk_documents(v):
+    return chunking.chunk(typed_blocks(v)).select("chunk_id", "doc_id", "token_count", F.array_join("block_ids", ",").alias("block_ids"), F.array_join("section_path", ">").alias("section"))
+
+
+@query()
+def chunk_sweep(v):
+    """Counts by chunk size."""
+    out = None
+    for size in (300, 450, 600):
+        one = chunking.chunk(typed_blocks(v), size).agg(F.lit(size).alias("target"), F.count("*").alias("chunks"), F.count_if(F.col("token_count") > 512).alias("over_512"), F.median("token_count").alias("median_tokens"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query()
+def sentence_packing(v):
+    return v.t("documents").select("doc_id", chunking.pack_sentences(F.col("text"), 100).alias("p")).select("doc_id", F.size("p").alias("parts"), F.array_max(F.transform("p", X.token_estimate)).alias("largest"))
+
+
+@query("SELECT doc_id, s.ord, s.ord // 9 AS grp FROM (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS ord FROM documents) s")
+def section_groups(v):
+    g = chunking.section_groups(typed_blocks(v))
+    return g.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ord").cast("long").alias("ord"), F.col("group").alias("grp"))
+
+
+@query()
+def merge_evidence(v):
+    hits = retrieval.bm25(doc_index(v), v.queries(), 20).join(v.docs().select(F.col("doc_id").cast("string").alias("chunk_id"), "text", "authority_tier"), "chunk_id")
+    return evidence.merge_evidence(hits)
