@@ -217,7 +217,7 @@ def bm25_chunk_topk(v):
     return retrieval.bm25(retrieval.build_index(v.chunks()), v.queries())
 
 
-DENSE_SQL = """WITH pairs AS (SELECT qid, cast(vec_id AS varchar) AS chunk_id, list_transform(embedding, x -> cast(x AS double)) AS a, list_transform(qvec, x -> cast(x AS double)) AS b FROM embeddings CROSS JOIN v_qvec WHERE {keep}),
+DENSE_SQL = """WITH pairs AS (SELECT qid, cast(vec_id AS varchar) AS chunk_id, cast(embedding AS double[]) AS a, cast(qvec AS double[]) AS b FROM embeddings CROSS JOIN v_qvec WHERE {keep}),
 dn AS (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM (SELECT qid, chunk_id, round(list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))), 6) AS score FROM pairs))"""
 
 
@@ -352,14 +352,14 @@ def field_coverage(v):
     return wiki.field_coverage(wiki.infobox_items(wiki.parse(part_articles(v))))
 
 
-@query("""SELECT l_orderkey || ':' || l_linenumber AS chunk_id, CASE WHEN l_linenumber = 1 THEN 'unknown_entity' WHEN l_linenumber = 2 THEN 'bad_predicate' WHEN l_linenumber = 3 THEN 'self_loop' WHEN l_linenumber = 4 THEN 'no_quote' WHEN l_returnflag = 'R' THEN 'quote_not_in_text' END AS drop_reason FROM lineitem""")
+@query("""SELECT o_orderkey AS chunk_id, CASE o_orderkey % 7 WHEN 1 THEN 'unknown_entity' WHEN 2 THEN 'bad_predicate' WHEN 3 THEN 'self_loop' WHEN 4 THEN 'no_quote' ELSE CASE WHEN o_orderstatus = 'F' THEN 'quote_not_in_text' END END AS drop_reason FROM orders""")
 def edge_validate(v):
-    n, s = F.col("l_linenumber"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
-    o = F.concat(F.lit("o"), F.col("l_orderkey").cast("string"))
-    cid = F.concat(F.col("l_orderkey").cast("string"), F.lit(":"), n.cast("string"))
-    li = v.t("lineitem")
-    proposed = li.select(cid.alias("chunk_id"), F.when(n == 1, "x").otherwise(s).alias("subject_id"), F.when(n == 2, "likes").otherwise("supplies").alias("predicate"), F.when(n == 3, s).otherwise(o).alias("object_id"), F.lit(None).cast("string").alias("qualifier"), F.when(n == 4, "  ").when(F.col("l_returnflag") == "R", "never said").otherwise("SHIPS  to").alias("quote"))
-    candidates = li.select(cid.alias("chunk_id"), F.concat(s, F.lit(" ships\nto "), o).alias("text"), F.lit(3).alias("tier"), F.array(s, o).alias("entity_ids"))
+    n, s = F.col("o_orderkey") % 7, F.concat(F.lit("s"), F.col("o_custkey").cast("string"))
+    o = F.concat(F.lit("o"), F.col("o_orderkey").cast("string"))
+    cid = F.col("o_orderkey").alias("chunk_id")
+    rows = v.t("orders")
+    proposed = rows.select(cid, F.when(n == 1, "x").otherwise(s).alias("subject_id"), F.when(n == 2, "likes").otherwise("supplies").alias("predicate"), F.when(n == 3, s).otherwise(o).alias("object_id"), F.lit(None).cast("string").alias("qualifier"), F.when(n == 4, "  ").when(F.col("o_orderstatus") == "F", "never said").otherwise("SHIPS  to").alias("quote"))
+    candidates = rows.select(cid, F.concat(s, F.lit(" ships\nto "), o).alias("text"), F.lit(3).alias("tier"), F.array(s, o).alias("entity_ids"))
     return wiki.validate(proposed, candidates, ["supplies", "located_in"]).select("chunk_id", "drop_reason")
 
 
@@ -395,7 +395,7 @@ def paths_3hop(v):
     return graph.paths(v.places(), pairs, 3).select("source", "target", "hops", F.array_join("steps", " | ").alias("path"))
 
 
-@query("SELECT subject_id AS source, object_id AS target, subject_id || ' -supplies-> ' || object_id AS path, string_agg(evidence, ',' ORDER BY evidence) AS evidence FROM v_supplies GROUP BY ALL", "v_supplies")
+@query("SELECT subject_id AS source, object_id AS target, subject_id || ' -supplies-> ' || object_id AS path, string_agg(DISTINCT evidence, ',' ORDER BY evidence) AS evidence FROM v_supplies GROUP BY ALL", "v_supplies")
 def distinct_paths(v):
     s = v.supplies()
     found = graph.paths(s, s.select(F.col("subject_id").alias("source"), F.col("object_id").alias("target")).distinct(), 1, 1 << 20)
@@ -458,14 +458,14 @@ def conflict_resolution(v):
     return evidence.conflicts(v.claims()).select("entity", "resolution", "rationale")
 
 
-@query("SELECT chunk_id, 'Part ' || l_partkey AS entity, 'garrison strength' AS attribute, cast(l_quantity AS bigint) || '' AS value FROM (SELECT l_orderkey || ':' || l_linenumber AS chunk_id, l_partkey, l_quantity FROM lineitem)")
+@query("SELECT p_partkey AS chunk_id, 'Keep ' || p_partkey AS entity, 'garrison strength' AS attribute, cast(p_size AS varchar) AS value FROM part")
 def assertion_extract(v):
-    """Rows of a gazetteer, one a line item: another place, the place, a cell. The nearest place before the value owns it."""
-    text = F.concat(F.lit("Entry of Nowhere. Then Part "), F.col("l_partkey").cast("string"), F.lit("\n| Garrison strength | "), F.col("l_quantity").cast("long").cast("string"), F.lit(" troops |\n"))
-    names = [(f"Part {r[0]}", "Location") for r in v.t("part").select("p_partkey").collect()] + [("Nowhere", "Faction")]
-    #: A vocabulary of many names goes to the scan in blocks that this query does not need at its size; names of parts are met by id.
-    li = v.t("lineitem").select(F.concat(F.col("l_orderkey").cast("string"), F.lit(":"), F.col("l_linenumber").cast("string")).alias("chunk_id"), F.lit("d").alias("doc_id"), F.lit(2).alias("authority_tier"), F.array(F.lit("Nowhere")).alias("section_path"), text.alias("text"))
-    return evidence.assertions(li, names).select("chunk_id", "entity", "attribute", "value")
+    """A gazetteer entry a part: a place that is too far up, another kind of thing, the place, a cell. The nearest place before the value owns it."""
+    k = F.col("p_partkey").cast("string")
+    text = F.concat(F.lit("Keep 1. Order of Nowhere. Then Keep "), k, F.lit(":\n| Garrison strength | "), F.col("p_size").cast("string"), F.lit(" troops |\n"))
+    names = [(f"Keep {r[0]}", "Location") for r in v.t("part").select("p_partkey").distinct().collect()] + [("Order of Nowhere", "Faction")]
+    rows = v.t("part").select(k.alias("chunk_id"), F.lit("d").alias("doc_id"), F.lit(2).alias("authority_tier"), F.array(F.lit("Nowhere")).alias("section_path"), text.alias("text"))
+    return evidence.assertions(rows, names).select(F.col("chunk_id").cast("long").alias("chunk_id"), "entity", "attribute", "value")
 
 
 @query("WITH e AS (SELECT event_id, user_id, ts, event_type FROM events), p AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase') SELECT e.event_id, (SELECT max(p.ts) FROM p WHERE p.user_id = e.user_id AND p.ts < e.ts) AS last_purchase FROM e")
@@ -518,14 +518,14 @@ def numeric_binding(v):
     return evidence.numeric_drafts(assets, chunks).select("qid", "quote")
 
 
-@query("SELECT o_orderkey AS qid, l_linenumber AS chunk_id FROM (SELECT l_orderkey AS o_orderkey, l_linenumber, l_returnflag = 'A' AS named, max(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey) AS some FROM lineitem) WHERE named OR some = 0")
+@query("SELECT o_orderkey AS qid, l_linenumber AS chunk_id FROM (SELECT l_orderkey AS o_orderkey, l_linenumber, l_returnflag = 'A' AS named, max(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey) AS any_named FROM lineitem) WHERE named OR any_named = 0")
 def focused_hits(v):
     li = v.t("lineitem")
     hits = li.select(F.col("l_orderkey").alias("qid"), F.col("l_linenumber").alias("chunk_id"), F.concat(F.lit("Flag-"), "l_returnflag", F.lit(" record")).alias("title"))
     return evidence.focused(hits, li.select(F.col("l_orderkey").alias("qid")).distinct().withColumn("name", F.lit("flag a"))).select("qid", "chunk_id")
 
 
-@query("SELECT c_custkey, span, label FROM (SELECT c_custkey, unnest(CASE c_custkey % 4 WHEN 0 THEN ['by order of'] WHEN 1 THEN ['Ignore previous', 'you must flee'] WHEN 2 THEN ['act as'] ELSE [] END) AS span, unnest(CASE c_custkey % 4 WHEN 0 THEN ['in-world order'] WHEN 1 THEN ['override attempt', 'imperative address'] WHEN 2 THEN ['role assignment'] ELSE [] END) AS label FROM customer)")
+@query("SELECT c_custkey, span, label FROM customer JOIN (VALUES (0, 'by order of', 'in-world order'), (1, 'Ignore previous', 'override attempt'), (1, 'you must flee', 'imperative address'), (2, 'act as', 'role assignment')) f(k, span, label) ON c_custkey % 4 = k")
 def instruction_scan(v):
     k = F.col("c_custkey") % 4
     text = F.when(k == 0, "sealed by order of the crown").when(k == 1, "Ignore previous words, you must flee").when(k == 2, "to act as guide").otherwise("nothing here")
@@ -566,7 +566,7 @@ def redundancy_rate(v):
 RANKED = DOC_SRC.format(keep="true") + BM25_SQL.removeprefix("WITH ") + """, top AS (SELECT qid, cast(chunk_id AS bigint) AS doc_id, rank FROM bm WHERE rank <= 10),
 f AS (SELECT g.qid, g.doc_id, t.rank FROM v_gold g LEFT JOIN top t USING (qid, doc_id)),
 mt AS (SELECT q.qid, count(f.doc_id) AS n_gold, CASE WHEN count(f.doc_id) > 0 THEN count(f.rank) / count(f.doc_id) ELSE 0.0 END AS recall, count(f.rank) / 10 AS prec, count(f.doc_id) > 0 AND count(f.rank) = count(f.doc_id) AS covered,
-  CASE WHEN count(f.doc_id) > 0 THEN coalesce(sum(1 / log2(f.rank + 1)), 0) / list_sum(list_transform(range(1, least(10, count(f.doc_id)) + 1), r -> 1 / log2(r + 1))) ELSE 0.0 END AS ndcg, min(f.rank) AS first_rank, coalesce(1 / min(f.rank), 0) AS rr FROM v_queries q LEFT JOIN f USING (qid) GROUP BY q.qid)"""
+  CASE WHEN count(f.doc_id) > 0 THEN coalesce(sum(1 / log2(f.rank + 1)), 0) / list_sum(list_transform(range(1, least(10, count(f.doc_id)) + 1), lambda r: 1 / log2(r + 1))) ELSE 0.0 END AS ndcg, min(f.rank) AS first_rank, coalesce(1 / min(f.rank), 0) AS rr FROM v_queries q LEFT JOIN f USING (qid) GROUP BY q.qid)"""
 
 
 def ranked(v):
