@@ -9,8 +9,8 @@ start before or end after the document (positional and length bounds), and verif
 The benchmark side is taken in blocks of bounded bytes. One block is the usual case; a larger benchmark runs block after
 block over the same rows in one job, so its size never decides whether it fits.
 
-Defined cases: a null or empty text has no words, no hits and no items; an item without words has no window; repeated
-items are items of their own; a null item id counts as the text ``null``; rows are judged one by one. Extra columns are kept
+Defined cases: a null or empty text has no words, no hits and no items; an item without words has no window; rows of one
+item id are one item; a null item id counts as the text ``null``; rows are judged one by one. Extra columns are kept
 (own columns replace any of the same name).
 """
 
@@ -187,7 +187,7 @@ def _mark(df: DataFrame, text: str, windows: Windows, first: bool, last: bool) -
                     merged[-1] = max(merged[-1], int(b))
                 else:
                     merged += [int(a), int(b)]
-            ids = sorted(i)
+            ids = sorted(set(i))
             rows.append((sum(merged[1::2]) - sum(merged[::2]), hashlib.sha256(",".join(ids).encode()).hexdigest(), ids, merged))
         return pd.DataFrame(rows, columns=["n_hit", "items_sha256", "item_ids", "hit_spans"])
 
