@@ -155,11 +155,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     )
     same = F.col("_id").eqNullSafe(F.col("t_id")) & (F.col("size") == F.col("t_size")) & (F.col("_null") == F.col("t_null")) & F.col("_source").eqNullSafe(F.col("t_source"))
     shape = lambda df, extra: df.withColumn("copies", F.col("_whole") + extra).select(*kept, "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
-    single = shape(sized.join(settled.where("_rows = 1"), same), F.col("_extra"))
+    #: Units grow with the documents, so these are merge joins at any size, not broadcasts at some.
+    single = shape(sized.join(settled.where("_rows = 1").hint("merge"), same), F.col("_extra"))
     if settled.where("_rows > 1").isEmpty():
         return single
     #: Repeated rows: numbered within the parts of a stored table, and the parts take their turns in order.
-    repeated = materialise(sized.join(settled.where("_rows > 1"), same).withColumn("_part", F.spark_partition_id()), "mixrepeated")
+    repeated = materialise(sized.join(settled.where("_rows > 1").hint("merge"), same).withColumn("_part", F.spark_partition_id()), "mixrepeated")
     parts = repeated.groupBy(*KEY, "_part").agg(F.count("*").alias("_in_part"))
     parts = parts.withColumn("_before", F.coalesce(F.sum("_in_part").over(Window.partitionBy(*KEY).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     parts = parts.select(*(F.col(c).alias(f"p_{c}") for c in KEY), F.col("_part").alias("p_part"), "_before")

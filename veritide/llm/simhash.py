@@ -297,7 +297,8 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **h
     """docs, whole, with one row of each group: the row of smallest id."""
     groups = group(docs.select(doc_id, text), text, doc_id, **how)
     keepers = materialise(groups.where(F.col(doc_id).eqNullSafe(F.col("component_id"))).groupBy(F.col(doc_id).alias("_keep"), "component_id").agg(F.count("*").alias("_rows")).drop("component_id"), "keepers")
-    stay = docs.join(keepers, F.col(doc_id).eqNullSafe(F.col("_keep")))
+    #: Keepers grow with the documents, so this is a merge join at any size, not a broadcast at some.
+    stay = docs.join(keepers.hint("merge"), F.col(doc_id).eqNullSafe(F.col("_keep")))
     once = stay.where("_rows = 1").select(*docs.columns)
     if keepers.where("_rows > 1").isEmpty():
         return once
