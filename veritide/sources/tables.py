@@ -7,18 +7,18 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from veritide.functions import text as X
 
 #: Fixed: of copies of a document in several formats, the first of these is read.
 FORMATS = ["md", "docx", "pdf", "txt"]
 
-BLOCK = T.StructType.fromDDL("block_id string, doc_id string, page int, ord int, block_type string, text string, asset_path string, bbox array<double>, section_path array<string>, caption_ref string, ocr_confidence double, token_count int, checksum string")
-CHUNK = T.StructType.fromDDL("chunk_id string, doc_id string, block_ids array<string>, text string, page_span struct<lo:int,hi:int>, section_path array<string>, authority_tier int, source_type string, embedding_id string, asset_ids array<string>, token_count int")
-ENTITY = T.StructType.fromDDL("entity_id string, name string, type string, aliases array<string>, mention_count int, doc_ids array<string>")
-EDGE = T.StructType.fromDDL("subject_id string, predicate string, object_id string, evidence string, tier int, confidence double, qualifier string")
-IMAGE = T.StructType.fromDDL("asset_id string, paths array<string>, canonical_path string, tier int, caption string, entity_link string, kind string, subject string, description string, text_visible string, values array<struct<label:string,value:string>>, objects_depicted array<string>, ocr_text string, ocr_char_count int, ocr_confidence double, searchable_text string, cached boolean")
+#: Closed schemas.
+BLOCK = "block_id string, doc_id string, page int, ord int, block_type string, text string, asset_path string, bbox array<double>, section_path array<string>, caption_ref string, ocr_confidence double, token_count int, checksum string"
+CHUNK = "chunk_id string, doc_id string, block_ids array<string>, text string, page_span struct<lo:int,hi:int>, section_path array<string>, authority_tier int, source_type string, embedding_id string, asset_ids array<string>, token_count int"
+ENTITY = "entity_id string, name string, type string, aliases array<string>, mention_count int, doc_ids array<string>"
+EDGE = "subject_id string, predicate string, object_id string, evidence string, tier int, confidence double, qualifier string"
+IMAGE = "asset_id string, paths array<string>, canonical_path string, tier int, caption string, entity_link string, kind string, subject string, description string, text_visible string, values array<struct<label:string,value:string>>, objects_depicted array<string>, ocr_text string, ocr_char_count int, ocr_confidence double, searchable_text string, cached boolean"
 
 
 def archive(spark: SparkSession, root: str) -> DataFrame:
@@ -47,15 +47,15 @@ def same_content(files: DataFrame) -> DataFrame:
     return files.groupBy(F.sha2("content", 256).alias("sha")).agg(F.array_sort(F.collect_list("path")).alias("paths")).withColumn("canonical", F.coalesce(F.get(F.filter("paths", lambda p: p.startswith("images/")), F.lit(0)), F.element_at("paths", 1)))
 
 
-def read_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines under a closed schema; a line that does not fit fails the read."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def read_lines_or_set_aside(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+def read_lines_or_set_aside(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(records, lines that do not parse)."""
     raw = spark.read.text(path).where(F.trim("value") != "")
-    parsed = raw.select("value", F.from_json("value", T.StructType([*schema.fields, T.StructField("_bad", T.StringType())]), {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    parsed = raw.select("value", F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
     bad = F.col("r").isNull() | F.col("r._bad").isNotNull()
     return parsed.where(~bad).select("r.*").drop("_bad"), parsed.where(bad).select("value")
 
