@@ -83,9 +83,10 @@ class Parser:
             stream = [s for t in texts for s in [0, *self.symbols(t)[:share].tolist()]][:symbols]
             states = suffix_automaton(stream)
             root = [states[0].get(s, 0) | int(BREAK) for s in range(self.size)]
-            #: Where the match breaks, a phrase starts with the symbol at hand.
+            #: Where the match breaks, a phrase starts with the symbol at hand. State 0 is where nothing has matched: the
+            #: beginning, and after a symbol that the language lacks, which is a phrase by itself; any symbol breaks there.
             rows = np.tile(np.array(root, np.uint16), (len(states), 1))
-            for k, row in enumerate(states):
+            for k, row in enumerate(states[1:], 1):
                 for s, to in row.items():
                     rows[k, s] = to
             tables.append(rows)
@@ -122,7 +123,7 @@ class Parser:
         base = (np.arange(len(self.languages)) * self.table.shape[1] * self.size)[:, None]
         flat = self.table.ravel()
         state = np.zeros((len(self.languages), total), np.int32)
-        count = np.ones((len(self.languages), total), np.int32)
+        count = np.zeros((len(self.languages), total), np.int32)
         for t in range(int(width[0])):
             a = int(active[t])
             at = state[:, :a] * self.size
