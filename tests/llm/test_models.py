@@ -122,6 +122,15 @@ def test_rare_words_are_looked_up_in_the_whole_vocabulary(spark, monkeypatch):
     assert one == two
 
 
+def test_words_are_spelled_together_as_alone():
+    tok = lm.Tokenizer()
+    none = lm.Spelling(np.full(tok.end + 1, lm.SPELLED), np.zeros((lm.SPELLED + 2, lm.SPELLED + 2)), np.zeros(tok.end + 1))
+    s = lm.Scorer(tok, [], np.zeros(0), 0, 0, 0, np.zeros(tok.end + 1), none, [])
+    words = [w.encode() for w in ["the", "don't", "\xa0x", "x\xa0", "\u3000", "é\x85é", "12,3", "漢字", "...", "a\x1cb", "\U0001f600", "x" * 300]]
+    ids, n = s.spell_all(words)
+    assert n.tolist() == [len(s.spell(w)) for w in words] and ids.tolist() == np.concatenate([s.spell(w) for w in words]).tolist()
+
+
 def test_windows_score_each_place_once():
     for n in (1, 5, 24, 25, 100):
         _, target, scored = lm.windows(np.arange(n), np.arange(n) + 1000)
