@@ -110,3 +110,50 @@ def test_entry(spark):
 
     assert entry.entry(spark).columns == ["qid", "chunk_id", "score", "rank"]
     assert "veritide" in sys.modules and json.dumps(sorted(entry.queries()))
+
+
+def docx(body):
+    import io
+    import zipfile
+
+    buffer = io.BytesIO()
+    ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {ns}><w:body>{body}</w:body></w:document>")
+    return buffer.getvalue()
+
+
+def test_word_processor_documents(spark):
+    from veritide.operators import ingest
+
+    p = lambda text, style="": f"<w:p>{f'<w:pPr><w:pStyle w:val={chr(34)}{style}{chr(34)}/></w:pPr>' if style else ''}<w:r><w:t>{text}</w:t></w:r></w:p>"
+    cell = lambda t: f"<w:tc>{p(t)}</w:tc>"
+    body = p("Keep", "Title") + p("one") + p("two") + p("Walls", "Heading1") + f"<w:tbl><w:tr>{cell('a')}{cell('b')}</w:tr><w:tr>{cell('1')}</w:tr></w:tbl>" + p("Plate 3 walls")
+    files = spark.createDataFrame([("d", bytearray(docx(body))), ("bad", bytearray(b"no zip"))], "doc_id string, content binary")
+    blocks, dead = ingest.docx_blocks(files)
+    assert [(b.block_type, b.text, b.section_path) for b in blocks.orderBy("ord").collect()] == [
+        ("heading", "Keep", ["Keep"]),
+        ("text", "one\n\ntwo", ["Keep"]),
+        ("heading", "Walls", ["Keep", "Walls"]),
+        ("table", "| a | b |\n|---|---|\n| 1 |  |", ["Keep", "Walls"]),
+        ("caption", "Plate 3 walls", ["Keep", "Walls"]),
+    ]
+    assert [r.doc_id for r in dead.collect()] == ["bad"]
+
+
+def test_retries_and_boxes(spark):
+    from veritide.operators import answers
+
+    calls, waits = [], []
+
+    def fails():
+        calls.append(1)
+        raise OSError
+
+    with pytest.raises(OSError):
+        answers.Retry(jitter=0).run(fails, sleep=waits.append)
+    assert len(calls) == 5 and waits == [1, 2, 4, 8]
+    box = lambda b: spark.range(1).select(answers.valid_box(F.expr(b), F.lit(10.0), F.lit(10.0)).alias("x")).first().x
+    assert box("array(0D, 1D, 5D, 9D)") and not box("array(0D, 1D, 5D, 11D)") and not box("array(5D, 1D, 5D, 9D)") and not box("array(1D)")
+    errors = spark.range(1).select(answers.structural_errors(F.lit(True), F.lit(False), F.lit(False), F.lit(True)).alias("x")).first().x
+    assert errors == ["claim_citation_unresolved", "partial_without_missing_information"]

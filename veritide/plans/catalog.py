@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritide.functions import text as X
-from veritide.operators import analysis, chunking, evidence, graph, metrics, retrieval, wiki
+from veritide.operators import analysis, answers, chunking, evidence, graph, ingest, metrics, retrieval, wiki
 from veritide.plans.fixtures import TOKEN_SQL, Views, with_views
 from veritide.sources import tables
 from veritide.streaming import traces
@@ -347,7 +347,7 @@ def part_articles(v):
     return v.t("part").select(F.concat(F.lit("part/"), k, F.lit(".md")).alias("path"), text.alias("text"))
 
 
-@query("SELECT count(*) * 3 AS mapped, count(*) AS unmapped, 0.75 AS coverage FROM part")
+@query("SELECT count(*) * 3 AS mapped, count(*) AS unmapped, cast(0.75 AS double) AS coverage FROM part")
 def field_coverage(v):
     return wiki.field_coverage(wiki.infobox_items(wiki.parse(part_articles(v))))
 
@@ -766,3 +766,102 @@ def section_groups(v):
 def merge_evidence(v):
     hits = retrieval.bm25(doc_index(v), v.queries(), 20).join(v.docs().select(F.col("doc_id").cast("string").alias("chunk_id"), "text", "authority_tier"), "chunk_id")
     return evidence.merge_evidence(hits)
+
+
+# ---- ingestion and answers -----------------------------------------------------------------------------------------
+
+
+@query(PATHS_SQL + r" SELECT doc_id, CASE WHEN regexp_matches(low, 'ballad|tavern|rumou?r|hearsay|folk|legend|song|tale|verse|ditty') THEN 5 WHEN regexp_matches(low, 'codex|plate|datasheet|data[\s_-]?book|reference|appendix|table[\s_-]?\d|figure[\s_-]?plate') THEN 1 WHEN regexp_matches(low, 'wiki|encyclop|article|entry|lexicon|gazetteer') THEN 2 WHEN regexp_matches(low, 'letter|ledger|transcript|trial|dispatch|decree|order|manifest|receipt|deposition|writ|invoice|inventory') THEN 4 WHEN regexp_matches(low, 'novel|volume|vol[\s_.\-]?\d|chapter|book[\s_.\-]?\d|part[\s_.\-]?\d') THEN 3 ELSE 0 END AS tier FROM (SELECT doc_id, replace(lower(path), '\', '/') AS low FROM n)")
+def guess_tier(v):
+    return paths(v).select("doc_id", ingest.guess_tier(F.col("path")).alias("tier"))
+
+
+@query("SELECT event_id, round(CASE WHEN event_id % 3 = 0 THEN 0 WHEN event_type = 'click' THEN (user_id * 0.27 + event_id * 1.10) / 1e6 WHEN event_type = 'view' THEN (user_id * 0.30 + event_id * 2.50) / 1e6 ELSE 0 END, 9) AS cost_usd FROM events")
+def call_cost(v):
+    model = F.when(F.col("event_type") == "click", "deepseek/deepseek-chat").when(F.col("event_type") == "view", "gemini-2.5-flash").otherwise("free")
+    return v.t("events").select("event_id", F.round(ingest.cost(model, F.col("user_id"), F.col("event_id"), F.col("event_id") % 3 == 0), 9).alias("cost_usd"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'Plate ' || p_partkey || ' - Old ' || 'Keep (location)' WHEN 1 THEN p_name ELSE 'img ' || p_partkey END AS caption, CASE p_partkey % 3 WHEN 0 THEN 'ent_old_keep' WHEN 1 THEN 'ent_' || trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '_') END AS entity_link, CASE WHEN p_partkey % 3 = 1 THEN 'wiki/' || p_partkey || '.md' END AS owner FROM part")
+def image_captions(v):
+    k = F.col("p_partkey").cast("string")
+    path = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("images/plate_"), k, F.lit("_location_old_keep.png"))).otherwise(F.concat(F.lit("wiki/images/img_"), k, F.lit(".png")))
+    p = v.t("part").select("p_partkey", "p_name", path.alias("path"))
+    shown = p.where("p_partkey % 3 = 1").select("path", F.concat(F.lit("wiki/"), F.col("p_partkey").cast("string"), F.lit(".md")).alias("article"), F.col("p_name").alias("alt"))
+    return ingest.captions(p.select("p_partkey", "path"), shown).select("p_partkey", "caption", "entity_link", "owner")
+
+
+@query(PATHS_SQL + " SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'markdown' ELSE 'pdf' END AS reader FROM n")
+def format_routing(v):
+    return paths(v).select("doc_id", ingest.reader_for(F.col("path"), F.lit("# x")).alias("reader"))
+
+
+BLOCK_KIND_SQL = "WITH b AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS ord FROM documents), k AS (SELECT *, CASE WHEN ord % 13 = 12 THEN 'table' WHEN ord % 9 = 0 THEN 'heading' ELSE 'text' END AS kind FROM b)"
+
+
+@query(BLOCK_KIND_SQL + " SELECT doc_id, count(*) AS blocks, count(*) FILTER (kind = 'table') AS tables, count(*) FILTER (kind = 'heading') AS headings, 0 AS captions, sum(length(text))::bigint AS chars FROM k GROUP BY 1")
+def ingest_counters(v):
+    c = ingest.block_counts(typed_blocks(v))
+    return c.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+@query("SELECT source, count(*) AS pages, sum(length(text))::bigint AS chars, round(count(*) FILTER (length(text) < 50) / count(*), 6) AS scanned_share, round(count(*) FILTER (length(text) BETWEEN 50 AND 199) / count(*), 6) AS sparse_share, CASE WHEN count(*) FILTER (length(text) < 50) / count(*) < 0.05 THEN 'text' WHEN count(*) FILTER (length(text) < 50) / count(*) < 0.3 THEN 'mixed' ELSE 'needs recognition' END AS verdict FROM (SELECT source_type AS source, text FROM v_chunks) GROUP BY 1", "v_chunks")
+def corpus_profile(v):
+    p = ingest.profile(v.chunks().select(F.col("source_type").alias("source"), F.length("text").alias("chars")), ["source"])
+    return p.withColumn("verdict", ingest.verdict(F.col("scanned_share"))).withColumn("scanned_share", F.round("scanned_share", 6)).withColumn("sparse_share", F.round("sparse_share", 6))
+
+
+@query("SELECT o_orderkey AS chunk_id, 2 AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 5 >= 2")
+def edge_candidates(v):
+    rows = order_questions(v).select(F.col("qid").alias("chunk_id"), F.col("query").alias("text"), (F.col("qid") % 5 + 1).alias("authority_tier"), F.lit("letter").alias("source_type"))
+    return ingest.edge_candidates(rows, v.entities()).select("chunk_id", F.size("entity_ids").cast("long").alias("n"))
+
+
+@query("SELECT o_orderkey, support, cast(CASE support WHEN 'corroborated' THEN 0.9 WHEN 'single_source' THEN 0.75 ELSE 0.3 END AS double) AS confidence FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 1 THEN 'inferred' WHEN o_orderstatus = 'F' THEN 'corroborated' ELSE 'single_source' END AS support FROM orders WHERE o_orderkey % 4 < 3)")
+def claim_verification(v):
+    k, n = F.col("o_orderkey").cast("string"), F.col("o_orderkey") % 4
+    o = v.t("orders")
+    chunks = o.select(k.alias("chunk_id"), F.lit("d").alias("doc_id"), F.concat(F.lit("order "), k, F.lit(" is sealed")).alias("text"))
+    excerpt = F.when(n == 3, "forged").otherwise(F.concat(F.lit("order "), k, F.lit(" is sealed")))
+    citations = o.select(k.alias("trace_id"), F.lit("c1").alias("id"), k.alias("chunk_id"), F.lit("d").alias("doc_id"), excerpt.alias("excerpt"), F.sha2(excerpt, 256).alias("excerpt_sha256"))
+    claims = o.select(k.alias("trace_id"), F.lit(1).alias("claim_id"), F.when(n == 1, "something else").otherwise(F.concat(k, F.lit(" is sealed"))).alias("text"), F.when(F.col("o_orderstatus") == "F", "corroborated").otherwise("single_source").alias("support"), F.array(F.lit("c1")).alias("citation_ids"))
+    return answers.verify(claims, citations, chunks)[0].select(F.col("trace_id").cast("long").alias("o_orderkey"), "support", "confidence")
+
+
+@query("SELECT p_partkey, cast(CASE WHEN p_partkey % 4 = 0 THEN 0.0 WHEN p_partkey % 2 = 0 THEN 0.95 ELSE 0.85 END AS double) AS score FROM part")
+def asset_scores(v):
+    k = F.col("p_partkey")
+    a = v.t("part").select("p_partkey", F.concat(F.lit("The "), "p_name").alias("subject"), F.when(k % 2 == 0, F.array(F.struct(F.lit("a").alias("label"), F.lit("1").alias("value")))).otherwise(F.expr("slice(array(named_struct('label', 'a', 'value', '1')), 1, 0)")).alias("values"), F.when(k % 4 == 0, "who?").otherwise(F.concat(F.lit("what is "), "p_name", F.lit("?"))).alias("question"), F.concat("p_name", F.lit(" holds")).alias("claim"))
+    return answers.score_assets(a).select("p_partkey", "score")
+
+
+@query("SELECT p_partkey, p_size % 2 = 0 AS matches FROM part")
+def whole_word_match(v):
+    n = F.col("p_size").cast("string")
+    text = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("It holds "), n, F.lit(" men."))).otherwise(F.concat(F.lit("It holds 1"), n, F.lit("0 men.")))
+    return v.t("part").select("p_partkey", answers.whole_match(text, F.array(n, F.lit(" "))).alias("matches"))
+
+
+@query("SELECT conv_id, count(*) FILTER (turn % 3 = 1) = 0 AS sufficient, count(DISTINCT turn) FILTER (turn % 3 = 1) AS n_missing FROM conversations GROUP BY 1")
+def question_coverage(v):
+    c = v.t("conversations").select(F.col("conv_id").alias("trace_id"), F.col("turn").cast("string").alias("sub_question"), "text", "turn")
+    key = F.concat_ws(":", F.col("trace_id").cast("string"), "sub_question")
+    chunks = c.groupBy(key.alias("chunk_id")).agg(F.min("text").alias("text"))
+    quotes = c.groupBy("trace_id", "sub_question", key.alias("chunk_id"), "turn").agg(F.min("text").alias("t")).select("trace_id", "sub_question", "chunk_id", F.when(F.col("turn") % 3 == 1, "\u0001 never").otherwise(F.col("t")).alias("quote"))
+    return answers.covered(c, quotes, chunks).select(F.col("trace_id").alias("conv_id"), "sufficient", F.size("missing").cast("long").alias("n_missing"))
+
+
+@query("SELECT c_mktsegment, n, CASE WHEN n > 25 THEN 'ready' ELSE 'degraded' END AS status FROM (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1)")
+def readiness(v):
+    n = v.t("customer").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+    counts = n.select("c_mktsegment", "n", F.col("n").alias("documents"), F.col("n").alias("chunks"), F.lit(0).alias("images"), (F.col("n") - 25).alias("vectors"), F.lit(1).alias("providers"))
+    return answers.readiness(counts).select("c_mktsegment", "n", "status")
+
+
+@query("SELECT p_partkey AS qid, p_partkey % 2 = 0 AS by_ocr, true AS by_model FROM part")
+def channel_recovery(v):
+    k = F.col("p_partkey").cast("string")
+    p = v.t("part").select("p_partkey", k.alias("asset_id"), F.concat(F.lit("Keep-"), k, F.lit(",000 men")).alias("t"))
+    records = p.select("asset_id", F.when(F.col("p_partkey") % 2 == 0, F.col("t")).alias("ocr_text"), F.concat(F.lit("x "), "t").alias("model_text"))
+    gold = p.select(F.col("p_partkey").alias("qid"), "asset_id", F.array(F.concat(F.lit("keep "), "asset_id", F.lit("000"))).alias("accept"))
+    return answers.recovery(records, gold)
