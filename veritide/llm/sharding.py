@@ -76,7 +76,8 @@ def shard(docs: DataFrame, limit: int = LIMIT, text: str = "text", doc_id: str =
     columns = ("shard", "depth", "shard_bytes", "shard_rows")
     for k, (deep, placed) in enumerate(rounds):
         named = placed.select(F.col("cell").alias(f"_c{k}"), *(F.col(c).alias(f"_{c}{k}") for c in columns))
-        out = out.join(named, prefix(F.col("_h"), deep) == F.col(f"_c{k}"), "left")
+        #: The directory grows with the documents: a merge join at any size.
+        out = out.join(named.hint("merge"), prefix(F.col("_h"), deep) == F.col(f"_c{k}"), "left")
     out = out.select(*kept, "bytes", "_h", *(F.coalesce(*(F.col(f"_{c}{k}") for k in range(len(rounds)))).alias(c) for c in columns))
     if stuck is None:
         return out.drop("_h")
