@@ -33,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jpath.getFileSystem(spark._jsc.hadoopConfiguration() if hasattr(spark, "_jsc") else spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
+        jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
     except Exception:  # noqa: BLE001  the session may be gone when the process ends
         return
 
@@ -56,16 +56,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_table(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files of a materialised table that no result reads any more."""
-    for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/veritide-" in f:
-            _delete(spark, f)
-
-
 def fold(column: Column | str, mod: int) -> Column:
     """crc32 of the id as text, modulo mod. A null id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(column).cast("string") if isinstance(column, str) else column.cast("string"), F.lit(""))) % mod
+    return F.crc32(F.coalesce((F.col(column) if isinstance(column, str) else column).cast("string"), F.lit(""))) % mod
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

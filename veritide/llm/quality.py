@@ -55,7 +55,7 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     passage = offsets[text_of_word] + place // PASSAGE
     #: Bytes belong to the passage of the last word that began; those before a text's first word to its first passage.
     word = np.cumsum(first) - 1
-    of_byte = np.maximum(passage[np.maximum(word, 0)], np.repeat(offsets[:-1], np.diff(owner_end, prepend=0)))
+    of_byte = np.maximum(np.where(word < 0, 0, passage[np.maximum(word, 0)]), np.repeat(offsets[:-1], np.diff(owner_end, prepend=0)))
     shares = np.bincount(of_byte * CLASSES + kind, minlength=total * CLASSES).reshape(total, CLASSES)
     x[:, :CLASSES] = shares / np.maximum(shares.sum(1, keepdims=True), 1)
     stops = np.flatnonzero(~inside[1:] & inside[:-1]) + 1
