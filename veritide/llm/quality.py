@@ -48,16 +48,17 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.concatenate([[0], np.cumsum(per_passages)])
     total = int(offsets[-1])
     x = np.zeros((total, STATS + BUCKETS), np.float32)
-    if not len(starts):
-        return x, offsets[:-1]
     text_of_word = np.repeat(np.arange(len(texts)), per_text)
     place = np.arange(len(starts)) - np.repeat(n_words - per_text, per_text)
     passage = offsets[text_of_word] + place // PASSAGE
     #: Bytes belong to the passage of the last word that began; those before a text's first word to its first passage.
     word = np.cumsum(first) - 1
-    of_byte = np.maximum(np.where(word < 0, 0, passage[np.maximum(word, 0)]), np.repeat(offsets[:-1], np.diff(owner_end, prepend=0)))
+    latest = np.where(word < 0, 0, passage[np.maximum(word, 0)]) if len(starts) else 0
+    of_byte = np.maximum(latest, np.repeat(offsets[:-1], np.diff(owner_end, prepend=0)))
     shares = np.bincount(of_byte * CLASSES + kind, minlength=total * CLASSES).reshape(total, CLASSES)
     x[:, :CLASSES] = shares / np.maximum(shares.sum(1, keepdims=True), 1)
+    if not len(starts):
+        return x, offsets[:-1]
     stops = np.flatnonzero(~inside[1:] & inside[:-1]) + 1
     length = stops - starts
     low = np.where(kind == 3, data + 32, data)
