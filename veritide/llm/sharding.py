@@ -44,7 +44,7 @@ def split(cells: DataFrame, limit: int, low: int, deep: int) -> DataFrame:
     """cells (cell: prefixes of ``deep`` bits, b, n) with the depth, from ``low`` on, at which their bucket fits: cell, depth, shard_bytes, shard_rows; no row for those above the limit even at ``deep``."""
     levels = cells.select("cell", "b", "n", F.explode(F.sequence(F.lit(low), F.lit(deep))).alias("d")).withColumn("p", F.call_function("shiftright", F.col("cell"), (F.lit(deep) - F.col("d")).cast("int")))
     fits = levels.groupBy("d", "p").agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("shard_rows")).where(F.col("shard_bytes") <= limit)
-    met = levels.join(fits, ["d", "p"])
+    met = levels.join(fits.hint("merge"), ["d", "p"])
     return met.groupBy("cell").agg(F.min(F.struct("d", "p", "shard_bytes", "shard_rows")).alias("m")).select("cell", F.col("m.d").alias("depth"), bits(F.col("m.p"), F.col("m.d")).alias("shard"), "m.shard_bytes", "m.shard_rows")
 
 
