@@ -24,14 +24,27 @@ INTENT_POLICY = {"multi_hop": (False, True), "contradiction": (False, True), "vi
 
 @dataclass(frozen=True)
 class Index:
-    """chunks (chunk_id, doc_id, text, chunk_pos, ...), postings (term, chunk_id, tf), lengths (chunk_id, dl), frequencies (term, df)."""
+    """chunks (chunk_id, doc_id, text, chunk_pos, ...), terms (term, chunk_id: a row an occurrence), lengths (chunk_id, dl), totals (n, avgdl)."""
 
     chunks: DataFrame
-    postings: DataFrame
+    terms: DataFrame
     lengths: DataFrame
-    frequencies: DataFrame
     totals: DataFrame
 
+    @property
+    def postings(self) -> DataFrame:
+        """term, chunk_id, tf."""
+        return self.terms.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
+
+    @property
+    def frequencies(self) -> DataFrame:
+        """term, df."""
+        return self.postings.groupBy("term").agg(F.count("*").alias("df"))
+
+    def of(self, terms: DataFrame) -> "Index":
+        """The index of these terms alone: other occurrences go before anything is counted."""
+        return Index(self.chunks, self.terms.join(terms, "term", "left_semi"), self.lengths, self.totals)
+
 
 @dataclass(frozen=True)
 class SearchConfig:
@@ -43,9 +56,8 @@ class SearchConfig:
 
 def build_index(chunks: DataFrame) -> Index:
     terms = chunks.select("chunk_id", F.explode(X.tokens(F.col("text"))).alias("term"))
-    postings = terms.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
     lengths = chunks.select("chunk_id", F.size(X.tokens(F.col("text"))).alias("dl"))
-    return Index(chunks, postings, lengths, postings.groupBy("term").agg(F.count("*").alias("df")), lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
+    return Index(chunks, terms, lengths, lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
 
 
 def passes(chunks: DataFrame, filters: dict[str, list]) -> Column:
@@ -68,10 +80,11 @@ def bm25(index: Index, queries: DataFrame, k: int = 10, filters: dict[str, list]
     asked = queries.select("qid", F.explode(X.tokens(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    own = index.of(asked.select("term"))
     chunks = index.chunks.where(passes(index.chunks, filters or {})).select("chunk_id", "chunk_pos")
     met = (
-        index.postings.join(asked, "term")
-        .join(index.frequencies, "term")
+        own.postings.join(asked, "term")
+        .join(own.frequencies, "term")
         .join(index.lengths, "chunk_id")
         .join(F.broadcast(index.totals))
         .withColumn("part", F.col("qtf") * idf * weight)
