@@ -77,3 +77,15 @@ def test_null_ids_and_repeated_rows(spark):
 def test_allocation_is_cheapest():
     costs = [{-1: 0, 0: 5, 1: 9}, {-1: 0, 0: 1, 1: 2}, {-1: 0, 0: 4, 1: 50}]
     assert simhash.allocate(costs, 0) == (6, [-1, 1, 0])
+
+
+def test_groups_not_ids_choose_the_rows_that_stay(spark):
+    """Unrelated texts under one id or none all stay; the keeper of one group may be a copy in another."""
+    r = random.Random(9)
+    text = lambda: " ".join(f"w{r.randrange(9999)}" for _ in range(60))
+    a, b, hot, none = text(), text(), [text() for _ in range(5)], [text() for _ in range(4)]
+    rows = [(7, a), (8, a), (3, b), (7, b), *((5, t) for t in hot), *((None, t) for t in none), (5, hot[0]), (9, hot[1]), (None, hot[2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted([(7, a), (3, b), *((5, t) for t in hot), *((None, t) for t in none)], key=str)
+    for dedup in (simhash.deduplicate,):
+        assert sorted(((x.doc_id, x.text) for x in dedup(docs).collect()), key=str) == want

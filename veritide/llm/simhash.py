@@ -18,7 +18,7 @@ Extra columns are kept (own columns replace any of the same name).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import comb
 
 import numpy as np
@@ -280,28 +280,44 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """docs without the text, with fingerprint (16 hex digits) and component_id (smallest id within reach)."""
-    kept = [c for c in docs.columns if c not in ADDED]
-    prints = materialise(fingerprints(docs.select(*kept), text, shingle), "prints")
+def labelled(docs: DataFrame, text: str, doc_id: str, radius: int, shingle: int, block: int) -> DataFrame:
+    """docs with ``_fp`` instead of the text, ``_label`` (the smallest fingerprint within reach) and component_id."""
+    prints = materialise(fingerprints(docs, text, shingle), "prints")
     distinct = materialise(prints.groupBy("_fp").agg(F.min(doc_id).alias("_least")), "distinct")
     groups, thresholds = plan(distinct.select("_fp"), radius)
     labels = components(links(distinct.select("_fp"), groups, thresholds, radius, block))
-    labelled = distinct.join(labels, F.col("_fp") == F.col("node"), "left").select("_fp", "_least", F.coalesce("label", "_fp").alias("label"))
-    least = labelled.groupBy("label").agg(F.min("_least").alias("component_id"))
-    of = materialise(labelled.select("_fp", "label").join(least, "label").select(F.col("_fp").alias("f"), "component_id"), "components")
-    return prints.join(of, F.col("_fp") == F.col("f")).select(*(c for c in kept if c != text), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+    reached = distinct.join(labels, F.col("_fp") == F.col("node"), "left").select("_fp", "_least", F.coalesce("label", "_fp").alias("_label"))
+    least = reached.groupBy("_label").agg(F.min("_least").alias("component_id"))
+    of = materialise(reached.select("_fp", "_label").join(least, "_label").select(F.col("_fp").alias("f"), "_label", "component_id"), "components")
+    return prints.join(of, F.col("_fp") == F.col("f")).drop("f")
 
 
-def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
-    """docs, whole, with one row of each group: the row of smallest id."""
-    groups = group(docs.select(doc_id, text), text, doc_id, **how)
-    keepers = materialise(groups.where(F.col(doc_id).eqNullSafe(F.col("component_id"))).groupBy(F.col(doc_id).alias("_keep"), "component_id").agg(F.count("*").alias("_rows")).drop("component_id"), "keepers")
+def group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+    """docs without the text, with fingerprint (16 hex digits) and component_id (smallest id within reach)."""
+    kept = [c for c in docs.columns if c not in ADDED]
+    reached = labelled(docs.select(*kept), text, doc_id, radius, shingle, block)
+    return reached.select(*(c for c in kept if c != text), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, label: Callable[[DataFrame], DataFrame], text: str, doc_id: str) -> DataFrame:
+    """docs, whole, with one row of each label: the row of smallest id, null last; of several the one of smallest hash.
+
+    label: from rows (_id, _row, text) to rows (_id, _row, _label). ``_row`` is the hash of a whole row.
+    """
+    row = F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()))
+    rows = label(docs.select(F.col(doc_id).alias("_id"), row.alias("_row"), text)).groupBy("_label", "_id", "_row").agg(F.count("*").alias("_rows"))
+    least = rows.groupBy("_label").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row", "_rows")).alias("k"))
+    keepers = materialise(least.select(F.col("k._id").alias("_keep"), F.col("k._row").alias("_row"), F.col("k._rows").alias("_rows")), "keepers")
     #: Keepers grow with the documents, so this is a merge join at any size, not a broadcast at some.
-    stay = docs.join(keepers.hint("merge"), F.col(doc_id).eqNullSafe(F.col("_keep")))
+    stay = docs.select("*", row.alias("_own")).join(keepers.hint("merge"), (F.col("_own") == F.col("_row")) & F.col(doc_id).eqNullSafe(F.col("_keep")))
     once = stay.where("_rows = 1").select(*docs.columns)
     if keepers.where("_rows > 1").isEmpty():
         return once
-    #: Rows that share the smallest id: the aggregate keeps one, whatever their number.
-    more = stay.where("_rows > 1").groupBy("_keep").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(text)).alias("r")).select("r.*")
+    #: Rows that are repeated whole: the aggregate keeps one, whatever their number.
+    more = stay.where("_rows > 1").groupBy("_keep", "_row").agg(F.first(F.struct(*docs.columns)).alias("r")).select("r.*")
     return once.unionByName(more)
+
+
+def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+    """docs, whole, with one row of each group: the row of smallest id."""
+    return keep_one(docs, lambda rows: labelled(rows, text, "_id", radius, shingle, block), text, doc_id)
