@@ -3,7 +3,7 @@ import random
 import numpy as np
 import xxhash
 
-from veritide.llm import simhash
+from veritide.llm import near, simhash
 
 
 def brute(texts):
@@ -87,5 +87,5 @@ def test_groups_not_ids_choose_the_rows_that_stay(spark):
     rows = [(7, a), (8, a), (3, b), (7, b), *((5, t) for t in hot), *((None, t) for t in none), (5, hot[0]), (9, hot[1]), (None, hot[2])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = sorted([(7, a), (3, b), *((5, t) for t in hot), *((None, t) for t in none)], key=str)
-    for dedup in (simhash.deduplicate,):
+    for dedup in (simhash.deduplicate, near.deduplicate):
         assert sorted(((x.doc_id, x.text) for x in dedup(docs).collect()), key=str) == want
