@@ -106,3 +106,25 @@ def test_order_depends_on_key_and_partitions_are_ranges(spark):
 def test_query_returns_every_sequence(spark):
     got = queries.op1_token_output(spark, "/root/testdata/sf0.001")
     assert got.select("doc_id").distinct().count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+
+
+def test_query_and_stage_write_every_shard(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for k, make in enumerate((lambda: queries.op1_token_output(spark, "/root/testdata/sf0.001"), lambda: corpus_pipeline.token_output(spark, docs, ""))):
+        monkeypatch.setattr(tokens, "new_dir", lambda *_, k=k: f"file://{tmp_path}/{k}")
+        rows = sorted(make().collect(), key=lambda r: r.slot)
+        assert [x.tobytes() for x in tokens.read_slots(f"file://{tmp_path}/{k}")] == [r.tokens for r in rows]
+        assert {(r.shard, r.bytes, r.sha256) for r in rows} == {(j, len(b), hashlib.sha256(b).hexdigest()) for j, b in enumerate(x.read_bytes() for x in sorted((tmp_path / str(k)).iterdir()))}
+
+
+def test_rows_go_through_shards(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i} " * (i % 40)) for i in range(300)], "doc_id long, text string").repartition(3)
+    ordered = tokens.in_training_order(docs, length=32, per_shard=7)
+    uri = f"file://{tmp_path}/a"
+    rows = sorted(tokens.through_shards(ordered, uri).collect(), key=lambda r: r.slot)
+    assert [r[:7] for r in rows] == sorted(tuple(r) for r in ordered.collect())
+    assert [x.tobytes() for x in tokens.read_slots(uri, 0, 7, 32)] == [r.tokens for r in rows]
+    manifest = {m.shard: (m.bytes, m.sha256) for m in tokens.write_shards(ordered, uri).collect()}
+    assert {r.shard: (r.bytes, r.sha256) for r in rows} == manifest

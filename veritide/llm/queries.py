@@ -21,7 +21,7 @@ URL_RULES = [
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.in_training_order(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return tokens.to_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, tasks
+from .common import materialise, new_dir, tasks
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern that this vocabulary was made for.
@@ -162,44 +162,87 @@ def in_training_order(docs: DataFrame, tokenizer: Tokenizer | None = None, key:
     return placed.repartitionById(ranges, F.floor(F.col("shard") * ranges / shards).cast("int")).sortWithinPartitions("slot")
 
 
-def write_shards(ordered: DataFrame, uri: str) -> DataFrame:
-    """Write ``shard-N.bin`` files of fixed stride; shard, n, bytes, sha256 of each.
+class _Shards:
+    """Writes ``shard-N.bin`` files of fixed stride to a folder.
 
     A shard appears under its name only when whole (written beside it, then moved), so a lost executor leaves nothing half
     done, and a shard that is there already with the right size and sum is not written again.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, uri: str):
         from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(uri)
-        store.create_dir(root)
+        self.absent = fs.FileType.NotFound
+        self.store, self.root = fs.FileSystem.from_uri(uri)
+        self.store.create_dir(self.root)
 
-        def close(shard: int, parts: list[bytes]) -> tuple[int, int, int, str]:
-            body = b"".join(parts)
-            name, digest = f"{root}/shard-{shard:08d}.bin", hashlib.sha256(body).hexdigest()
-            info = store.get_file_info(name)
-            if info.type == fs.FileType.NotFound or info.size != len(body) or hashlib.sha256(store.open_input_stream(name).read()).hexdigest() != digest:
-                with store.open_output_stream(part := f"{root}/.part-{uuid.uuid4().hex}") as f:
-                    f.write(body)
-                store.move(part, name)
-            return shard, len(parts), len(body), digest
+    def close(self, shard: int, parts: list[bytes]) -> tuple[int, int, int, str]:
+        """The shard's line of the manifest."""
+        body = b"".join(parts)
+        name, digest = f"{self.root}/shard-{shard:08d}.bin", hashlib.sha256(body).hexdigest()
+        info = self.store.get_file_info(name)
+        if info.type == self.absent or info.size != len(body) or hashlib.sha256(self.store.open_input_stream(name).read()).hexdigest() != digest:
+            with self.store.open_output_stream(part := f"{self.root}/.part-{uuid.uuid4().hex}") as f:
+                f.write(body)
+            self.store.move(part, name)
+        return shard, len(parts), len(body), digest
 
+
+def write_shards(ordered: DataFrame, uri: str) -> DataFrame:
+    """Write ``shard-N.bin`` files of fixed stride; shard, n, bytes, sha256 of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards = _Shards(uri)
         at, parts, done = None, [], []
         for batch in batches:
             for s, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if s != at and parts:
-                    done.append(close(at, parts))
+                    done.append(shards.close(at, parts))
                     parts = []
                 at = s
                 parts.append(t.as_py())
         if parts:
-            done.append(close(at, parts))
+            done.append(shards.close(at, parts))
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done, strict=True) if done else [[]] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["shard", "n", "bytes", "sha256"])
 
     return materialise(ordered.select("shard", "tokens").mapInArrow(run, "shard long, n long, bytes long, sha256 string"), "shards")
 
 
+def through_shards(ordered: DataFrame, uri: str) -> DataFrame:
+    """The rows of ordered, each with bytes and sha256 of the shard file that it was written to. A task holds a shard at a time."""
+    into = T.StructType([*ordered.schema, T.StructField("bytes", T.LongType()), T.StructField("sha256", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards, at, held = _Shards(uri), None, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            _, _, size, digest = shards.close(at, [t.as_py() for b in held for t in b.column("tokens")])
+            for b in held:
+                n = b.num_rows
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([size] * n, pa.int64()), pa.array([digest] * n)], names=into.names)
+
+        for batch in batches:
+            own = batch.column("shard").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if own[a] != at and held:
+                    yield from close()
+                    held = []
+                at = int(own[a])
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from close()
+
+    return ordered.mapInArrow(run, into)
+
+
+def to_shards(docs: DataFrame) -> DataFrame:
+    """The whole job: shard files in the shared folder, and in_training_order's rows with the files' bytes and sums."""
+    return through_shards(in_training_order(docs), new_dir(docs.sparkSession, "training"))
+
+
 def read_slots(uri: str, start: int = 0, per_shard: int = PER_SHARD, length: int = LENGTH) -> Iterator[np.ndarray]:
     """The sequences from a slot on, in training order: one seek, then sequential reads."""
     from pyarrow import fs
