@@ -173,3 +173,12 @@ def test_model_beats_base_on_held_out_text_it_can_know(spark):
     """On whole held-out texts, words and all; unseen words count at the base's flat rate there, so seen ones are compared."""
     rows = lm.score(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), fold("doc_id", 7) == 2).where("not held_out").collect()
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_rare_words_score_by_their_counts(spark, monkeypatch):
+    """A score is the same, whether words are sent to the tasks or joined."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(300)
+    one = {r.doc_id: r.score for r in lm.score(docs, fold("doc_id", 7) == 2).collect()}
+    monkeypatch.setattr(lm.learn, "__defaults__", (None, lm.SAMPLE_DOCS, 200))
+    two = {r.doc_id: r.score for r in lm.score(docs, fold("doc_id", 7) == 2).collect()}
+    assert len(one) == 300 and two == pytest.approx(one, rel=1e-4)
