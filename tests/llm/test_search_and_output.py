@@ -47,6 +47,12 @@ def test_hot_vector_nulls_and_repeats(spark):
     assert all(len({v for _, v, _ in x}) == 10 for x in got.values())
 
 
+def test_an_id_in_many_equal_rows_hides_no_other(spark):
+    rows = [(0, [1.0, 2.0])] * 40 + [(i, [1.0, 2.0]) for i in range(1, 15)] + [(200 + i, [5.0 + i, 9.0]) for i in range(20)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)).where("query_id = 0").orderBy("rank").collect()
+    assert [(x.vec_id, x.score) for x in got] == [(i, 0.0) for i in range(1, 11)]
+
+
 def test_few_and_no_candidates(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.5, 0.0])], "vec_id long, embedding array<float>")
     assert [(x["rank"], x.vec_id, x.score) for x in ann.search(df).orderBy("rank").collect()] == [(1, 2, 0.5), (2, 1, 1.0)]

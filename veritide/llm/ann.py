@@ -186,6 +186,12 @@ def _blocks(rows: DataFrame, tree: Tree, width: int, k: int) -> DataFrame:
             order = np.lexsort((ids, leaf))
             ids, x, leaf = ids[order], x[order], leaf[order]
             _, same = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * width))).ravel(), return_inverse=True)
+            #: Rows repeated whole go first, so that k + 1 ids of each vector stay, not k + 1 rows.
+            by = np.lexsort((ids, same))
+            first = np.ones(len(ids), bool)
+            first[1:] = (same[by][1:] != same[by][:-1]) | (ids[by][1:] != ids[by][:-1])
+            once = np.sort(by[first])
+            ids, x, leaf, same = ids[once], x[once], leaf[once], same[once]
             by = np.argsort(same, kind="stable")
             nth = np.empty(len(ids), np.int64)
             nth[by] = np.arange(len(ids)) - np.searchsorted(same[by], same[by])
