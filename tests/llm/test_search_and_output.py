@@ -100,6 +100,30 @@ def test_round_trip_shards_and_resumption(spark, tmp_path):
     assert tokens.in_training_order(docs.limit(0), tok).count() == 0
 
 
+def test_long_texts_are_tokenised_in_runs(monkeypatch):
+    tok = tokens.Tokenizer()
+    texts = ["one two  three\n four 's\n\n five 12 ab!? \u3000x y " * 40, "x" * 900, " lead and trail ", "a\nb c\td " * 30]
+    whole = [tok.encode(t).tolist() for t in texts]
+    for run in (1, 7, 50):
+        monkeypatch.setattr(tokens, "RUN", run)
+        assert [tok.encode(t).tolist() for t in texts] == whole
+        assert all("".join(tok.runs(t)) == t for t in texts)
+
+
+def test_codec_gives_back_what_it_packed():
+    r = np.random.default_rng(0)
+    rows = [r.zipf(1.4, n).astype("<u2").tobytes() for n in [*[512] * 300, 1, 0, 77]]
+    for code in (tokens.Codec(rows), tokens.Codec([])):
+        assert [code.unpack(code.pack(x)) for x in rows] == rows
+
+
+def test_extra_columns_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, "same", 5, "x")] * 3 + [(None, None, 6, "y")] * 2, "doc_id long, text string, slot int, tokens string")
+    rows = tokens.in_training_order(docs, length=16, per_shard=2).orderBy("slot").collect()
+    assert [r.slot for r in rows] == list(range(5)) and sorted((r.doc_id or 0) for r in rows) == [0, 0, 1, 1, 1]
+    assert rows[0].__fields__ == ["slot", "shard", "offset", "doc_id", "seq_no", "n_tokens", "tokens"]
+
+
 def test_order_depends_on_key_and_partitions_are_ranges(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     a = tokens.in_training_order(docs, per_shard=100)

@@ -6,22 +6,27 @@
 3. A keyed Feistel network permutes the smallest even-bit domain that holds N; numbers that leave 0..N-1 walk on along their
    cycle until they are back. That gives each sequence its slot: a bijection that needs no sort, no shuffle of keys and no
    state but the key, and can be inverted.
-4. Range partitions of slots are sorted, so a shard is a run of slots, and slot s stands at byte
+4. Sequences are stored and shuffled packed: one by one, by a codec with a dictionary from a few texts, on which only their size depends.
+5. Range partitions of slots are sorted, so a shard is a run of slots, and slot s stands at byte
    (s mod per_shard) * stride of shard s div per_shard. A reader resumes from a slot number alone.
 
-Defined cases: a null or empty text is one sequence with the end-of-text id alone; repeated rows get slots of their own; an empty table
-gives no slots. Ids are little-endian unsigned 16-bit numbers, which the vocabulary's size is checked against.
+Defined cases: a null or empty text is one sequence with the end-of-text id alone; repeated rows and equal or null ids get slots of
+their own; a very long text is tokenised in runs of about a megabyte, cut where no token can lie across; an empty table gives no
+slots. Of extra columns none is read or returned, whatever their names. Ids are little-endian unsigned 16-bit numbers, which the
+vocabulary's size is checked against.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +38,10 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern that this vocabulary was made for.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LENGTH, PER_SHARD, ROUNDS = 512, 8192, 6
+#: Characters in a run of a long text; texts and characters of each that the dictionary is made from, and its bytes.
+RUN, DICT_DOCS, DICT_CHARS, DICT_BYTES = 1 << 20, 400, 20_000, 1 << 18
+#: A space between two words belongs to the second: no token lies across its left side.
+_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -58,9 +67,17 @@ class Tokenizer:
             self._encoding = tiktoken.Encoding("veritide", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
         return self._encoding
 
+    def runs(self, text: str) -> Iterator[str]:
+        """The text in parts that can be tokenised one by one."""
+        at = 0
+        while len(text) - at > RUN and (cut := _BETWEEN.search(text, at + RUN)):
+            yield text[at : cut.start()]
+            at = cut.start()
+        yield text[at:]
+
     def encode(self, text: str | None) -> np.ndarray:
-        ids = self.encoding.encode_to_numpy(text) if text else np.zeros(0, np.uint32)
-        return np.append(ids.astype("<u2"), np.array([self.end], "<u2"))
+        ids = [self.encoding.encode_to_numpy(r).astype("<u2") for r in self.runs(text)] if text else []
+        return np.concatenate([*ids, np.array([self.end], "<u2")])
 
     def decode(self, ids: np.ndarray) -> str:
         return self.encoding.decode([int(i) for i in ids if i != self.end])
@@ -102,46 +119,76 @@ class Feistel:
         return self._walk(slot, True)
 
 
-def sequences(docs: DataFrame, tokenizer: Tokenizer, length: int = LENGTH, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, seq_no, n_tokens, tokens (binary of a fixed size), with the task and the place in it."""
-    shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
-    into = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), *(T.StructField(n, t) for n, t in (("seq_no", T.LongType()), ("n_tokens", T.IntegerType()), ("tokens", T.BinaryType()), ("_task", T.LongType()), ("_place", T.LongType())))])
+class Codec:
+    """Packs a sequence's bytes by itself; the dictionary is a matter of size alone."""
+
+    def __init__(self, samples: list[bytes]):
+        self.dictionary = b""
+        if len(samples) >= 100:
+            try:
+                self.dictionary = zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
+            except zstandard.ZstdError:  # too little to learn from
+                self.dictionary = b""
+        self._pack = self._unpack = None
+
+    def __getstate__(self) -> dict:
+        return {"dictionary": self.dictionary, "_pack": None, "_unpack": None}
+
+    def pack(self, data: bytes) -> bytes:
+        if self._pack is None:
+            d = {"dict_data": zstandard.ZstdCompressionDict(self.dictionary)} if self.dictionary else {}
+            self._pack = zstandard.ZstdCompressor(level=6, write_checksum=False, write_dict_id=False, **d).compress
+        return self._pack(data)
+
+    def unpack(self, data: bytes) -> bytes:
+        if self._unpack is None:
+            d = {"dict_data": zstandard.ZstdCompressionDict(self.dictionary)} if self.dictionary else {}
+            self._unpack = zstandard.ZstdDecompressor(**d).decompress
+        return self._unpack(data)
+
+
+def codec(docs: DataFrame, tokenizer: Tokenizer, length: int, text: str) -> Codec:
+    """A codec from the passages of a few rows, whichever come first."""
+    got = docs.select(F.substring(text, 1, DICT_CHARS).alias("t")).where(F.length("t") > 0).limit(DICT_DOCS).collect()
+    ids = [tokenizer.encode(r["t"]).tobytes() for r in got]
+    return Codec([i[k : k + 2 * length] for i in ids for k in range(0, len(i), 2 * length)])
+
+
+def sequences(docs: DataFrame, tokenizer: Tokenizer, codec: Codec, length: int = LENGTH, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, seq_no, n_tokens, packed (tokens without what fills them up), with the task and the place in it."""
+    shared = docs.sparkSession.sparkContext.broadcast((tokenizer, codec))
+    into = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), *(T.StructField(n, t) for n, t in (("seq_no", T.LongType()), ("n_tokens", T.IntegerType()), ("packed", T.BinaryType()), ("_task", T.LongType()), ("_place", T.LongType())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, task, place = shared.value, TaskContext.get().partitionId(), 0
+        (tok, code), task, place = shared.value, TaskContext.get().partitionId(), 0
+        held: list[tuple] = []
 
-        def flush(ids: list, seqs: list, counts: list, data: list, at: int) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(ids, out_type), pa.array(seqs, pa.int64()), pa.array(counts, pa.int32()), pa.array(data, pa.binary()), pa.array([task] * len(ids), pa.int64()), pa.array(range(at, at + len(ids)), pa.int64())], names=into.names)
+        def flush(kind: pa.DataType) -> pa.RecordBatch:
+            ids, seqs, counts, data = zip(*held, strict=True)
+            n = len(held)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(seqs, pa.int64()), pa.array(counts, pa.int32()), pa.array(data, pa.binary()), pa.array([task] * n, pa.int64()), pa.array(range(place - n, place), pa.int64())], names=into.names)
 
         for batch in batches:
             own = batch.column(batch.schema.get_field_index(doc_id))
-            out_type = own.type
-            ids, seqs, counts, data = [], [], [], []
             for i, t in zip(own, batch.column(batch.schema.get_field_index(text)), strict=True):
-                e = tok.encode(t.as_py())
-                n = -(-len(e) // length)
-                full = np.full(n * length, tok.end, "<u2")
-                full[: len(e)] = e
-                raw, step = full.tobytes(), 2 * length
-                ids += [i.as_py()] * n
-                seqs += range(n)
-                counts += [length] * (n - 1) + [len(e) - (n - 1) * length]
-                data += [raw[k : k + step] for k in range(0, len(raw), step)]
-                if len(ids) >= 8192:
-                    yield flush(ids, seqs, counts, data, place)
-                    place += len(ids)
-                    ids, seqs, counts, data = [], [], [], []
-            if ids:
-                yield flush(ids, seqs, counts, data, place)
-                place += len(ids)
+                key, e = i.as_py(), tok.encode(t.as_py())
+                raw = e.tobytes()
+                for k in range(0, len(e), length):
+                    held.append((key, k // length, min(length, len(e) - k), code.pack(raw[2 * k : 2 * (k + length)])))
+                    place += 1
+                    if len(held) == 8192:
+                        yield flush(own.type)
+            if held:
+                yield flush(own.type)
 
     return docs.select(doc_id, text).mapInArrow(run, into)
 
 
-def in_training_order(docs: DataFrame, tokenizer: Tokenizer | None = None, key: int = 20240601, length: int = LENGTH, per_shard: int = PER_SHARD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """slot, shard, offset (byte in the shard), doc_id, seq_no, n_tokens, tokens; partitioned by ranges of whole shards, sorted by slot."""
+def _placed(docs: DataFrame, tokenizer: Tokenizer, code: Codec, key: int, length: int, per_shard: int, text: str, doc_id: str) -> DataFrame:
+    """slot, shard, offset, doc_id, seq_no, n_tokens, packed; partitioned by ranges of whole shards, sorted by slot."""
     spark = docs.sparkSession
-    stored = materialise(sequences(docs, tokenizer or Tokenizer(), length, text, doc_id), "sequences")
+    stored = materialise(sequences(docs, tokenizer, code, length, text, doc_id), "sequences")
     counts = stored.groupBy("_task").agg(F.count("*").alias("_n"))
     counts = materialise(counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))), "seqcounts")
     n = counts.agg(F.sum("_n")).first()[0] or 0
@@ -158,10 +205,38 @@ def in_training_order(docs: DataFrame, tokenizer: Tokenizer | None = None, key:
     ranges = min(shards, max(tasks(spark), -(-n * 2 * length // (512 << 20))))
     shard: Column = F.floor(F.col("slot") / per_shard)
     numbered = stored.join(counts.select(F.col("_task").alias("_t"), "_before"), F.col("_task") == F.col("_t")).withColumn("slot", slot(F.col("_before") + F.col("_place")))
-    placed = numbered.select("slot", shard.alias("shard"), (F.pmod("slot", F.lit(per_shard)) * 2 * length).alias("offset"), "doc_id", "seq_no", "n_tokens", "tokens")
+    placed = numbered.select("slot", shard.alias("shard"), (F.pmod("slot", F.lit(per_shard)) * 2 * length).alias("offset"), "doc_id", "seq_no", "n_tokens", "packed")
     return placed.repartitionById(ranges, F.floor(F.col("shard") * ranges / shards).cast("int")).sortWithinPartitions("slot")
 
 
+def _unpacked(batch: pa.RecordBatch, code: Codec, fill: bytes) -> pa.RecordBatch:
+    """The batch with its last column, packed, as tokens of full length."""
+    size = len(fill)
+    raw = (code.unpack(x.as_py()) for x in batch.column(batch.num_columns - 1))
+    tokens = [r if len(r) == size else r + fill[len(r) :] for r in raw]
+    return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(tokens, pa.binary())], names=[*batch.schema.names[:-1], "tokens"])
+
+
+def in_training_order(docs: DataFrame, tokenizer: Tokenizer | None = None, key: int = 20240601, length: int = LENGTH, per_shard: int = PER_SHARD, text: str = "text", doc_id: str = "doc_id", uri: str | None = None) -> DataFrame:
+    """slot, shard, offset (byte in the shard), doc_id, seq_no, n_tokens, tokens; partitioned by ranges of whole shards, sorted by slot.
+
+    With a uri, shards are written there as their rows are read; rows then have bytes and sha256 of their shard's file too.
+    """
+    tokenizer = tokenizer or Tokenizer()
+    code = codec(docs, tokenizer, length, text)
+    placed = _placed(docs, tokenizer, code, key, length, per_shard, text, doc_id)
+    fill = np.full(length, tokenizer.end, "<u2").tobytes()
+    into = T.StructType([*placed.schema.fields[:-1], T.StructField("tokens", T.BinaryType())])
+    if uri is not None:
+        into = _with_sums(into)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (_unpacked(b, code, fill) for b in batches)
+        return rows if uri is None else _written(rows, uri)
+
+    return placed.mapInArrow(run, into)
+
+
 class _Shards:
     """Writes ``shard-N.bin`` files of fixed stride to a folder.
 
@@ -208,39 +283,43 @@ def write_shards(ordered: DataFrame, uri: str) -> DataFrame:
     return materialise(ordered.select("shard", "tokens").mapInArrow(run, "shard long, n long, bytes long, sha256 string"), "shards")
 
 
-def through_shards(ordered: DataFrame, uri: str) -> DataFrame:
-    """The rows of ordered, each with bytes and sha256 of the shard file that it was written to. A task holds a shard at a time."""
-    into = T.StructType([*ordered.schema, T.StructField("bytes", T.LongType()), T.StructField("sha256", T.StringType())])
+def _with_sums(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema, T.StructField("bytes", T.LongType()), T.StructField("sha256", T.StringType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards, at, held = _Shards(uri), None, []
 
-        def close() -> Iterator[pa.RecordBatch]:
-            _, _, size, digest = shards.close(at, [t.as_py() for b in held for t in b.column("tokens")])
-            for b in held:
-                n = b.num_rows
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([size] * n, pa.int64()), pa.array([digest] * n)], names=into.names)
+def _written(batches: Iterator[pa.RecordBatch], uri: str) -> Iterator[pa.RecordBatch]:
+    """The batches, each row with bytes and sha256 of the shard file that it was written to. A shard is held at a time."""
+    shards, at, held = _Shards(uri), None, []
 
-        for batch in batches:
-            own = batch.column("shard").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if a == b:
-                    continue
-                if own[a] != at and held:
-                    yield from close()
-                    held = []
-                at = int(own[a])
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield from close()
-
-    return ordered.mapInArrow(run, into)
+    def close() -> Iterator[pa.RecordBatch]:
+        _, _, size, digest = shards.close(at, [t.as_py() for b in held for t in b.column("tokens")])
+        while held:
+            b = held.pop(0)
+            n = b.num_rows
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([size] * n, pa.int64()), pa.array([digest] * n)], names=[*b.schema.names, "bytes", "sha256"])
+
+    for batch in batches:
+        own = batch.column(batch.schema.get_field_index("shard")).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            if own[a] != at and held:
+                yield from close()
+            at = int(own[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield from close()
+
+
+def through_shards(ordered: DataFrame, uri: str) -> DataFrame:
+    """The rows of in_training_order, each with bytes and sha256 of the shard file that it was written to."""
+    return ordered.mapInArrow(lambda batches: _written(batches, uri), _with_sums(ordered.schema))
 
 
 def to_shards(docs: DataFrame) -> DataFrame:
     """The whole job: shard files in the shared folder, and in_training_order's rows with the files' bytes and sums."""
-    return through_shards(in_training_order(docs), new_dir(docs.sparkSession, "training"))
+    return in_training_order(docs, uri=new_dir(docs.sparkSession, "training"))
 
 
 def read_slots(uri: str, start: int = 0, per_shard: int = PER_SHARD, length: int = LENGTH) -> Iterator[np.ndarray]:
