@@ -25,19 +25,32 @@ def longest_first_phrases(symbols, source):
     return n
 
 
-def test_automaton_parses_like_brute_force():
+@pytest.mark.parametrize("lane,chunk", [(langid.LANE, langid.CHUNK), (7, 60), (64, 1000)])
+def test_automaton_parses_like_brute_force(monkeypatch, lane, chunk):
+    """Whole texts, longer than lanes and pieces, over alphabets of any size."""
+    monkeypatch.setattr(langid, "LANE", lane)
+    monkeypatch.setattr(langid, "CHUNK", chunk)
     r = np.random.default_rng(0)
-    samples = {"x": ["".join(r.choice(list("abc "), 300))], "y": ["".join(r.choice(list("abd "), 300, p=[0.5, 0.3, 0.1, 0.1]))]}
+    wide = [chr(0x4E00 + k) for k in range(900)]
+    samples = {"x": ["".join(r.choice(list("abc "), 300))] * 2, "y": ["".join(r.choice(list("abd "), 300, p=[0.5, 0.3, 0.1, 0.1]))], "z": ["".join(r.choice(wide, 700, p=(w := 1 / np.arange(1, 901)) / w.sum())), "aaaaaaaa" * 9]}
     p = langid.Parser(samples)
-    texts = ["".join(r.choice(list("abcde "), n)) for n in (1, 2, 7, 90, 500)]
+    texts = ["".join(r.choice(list("abcde "), n)) for n in (1, 2, 7, 90, 512, 513, 6000)] + ["".join(r.choice([*wide[:50], *"ab "], 1500)), "", "aaaa" * 400, samples["y"][0] * 9]
     streams = [p.symbols(t) for t in texts]
-    got = p.phrases(streams)
+    got = p.counts(streams)
     for s, g in zip(streams, got, strict=True):
         for k, lang in enumerate(p.languages):
-            source = [0, *p.symbols(samples[lang][0]).tolist()]
+            source = [c for t in samples[lang] for c in [0, *p.symbols(t).tolist()]]
             assert g[k] == (longest_first_phrases(s.tolist(), source) if len(s) else 0)
 
 
+def test_many_scripts_are_told_apart():
+    r = np.random.default_rng(3)
+    scripts = {"el": range(0x3B1, 0x3C9), "ru": range(0x430, 0x450), "uk": [*range(0x430, 0x448), 0x456, 0x457, 0x491], "ja": range(0x3041, 0x3090), "ko": range(0xAC00, 0xAF00)}
+    make = lambda k, n: "".join(" " if r.random() < 0.2 else chr(r.choice(list(scripts[k]))) for _ in range(n))
+    p = langid.Parser({k: [make(k, 400) for _ in range(20)] for k in scripts})
+    assert p.judge([make(k, 300) for k in scripts])[0] == list(scripts)
+
+
 def test_language_on_held_out(spark):
     got = queries.op10_langid(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r.lang == r.lang_pred for r in got) >= 0.98 * len(got) > 100
