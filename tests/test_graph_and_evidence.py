@@ -145,9 +145,34 @@ def test_wiki(spark):
     assert [(r.label, r.n) for r in unknown.collect()] == [("Odd", 1)]
 
 
-@pytest.mark.parametrize(("a", "b", "sure"), [("Greyfel Citadel", "Greyfell Citadel", True), ("Grefyell Citadel", "Greyfell Citadel", True), ("Ironfell Citadel", "Greyfell Citadel", False), ("Citadel", "Greyfell Citadel", False), ("Keep", "Kerp", False)])
-def test_typos(a, b, sure):
-    assert (analysis.typo_score(a, b) >= 0.9) == sure
+TYPOS = [
+    ("Greyfel Citadel", "Greyfell Citadel", True), ("Grefyell Citadel", "Greyfell Citadel", True), ("Ironfell Citadel", "Greyfell Citadel", False), ("Citadel", "Greyfell Citadel", False), ("Keep", "Kerp", False),
+    ("Northern Citadle Watchtowre", "Northern Citadel Watchtower", True), ("Xorthern Citadel Watchtowex", "Northern Citadel Watchtower", True), ("Marloew", "Marlowe", True), ("Mralowe Kepe", "Marlowe Keep", False), ("Greyfell Citadel", "Greyfell Citadel", False),
+]
+
+
+def test_typos(spark):
+    """Pairs meet whatever letters are wrong, one edit or swap a word, and are as alike as difflib says."""
+    from difflib import SequenceMatcher
+
+    for a, b, sure in TYPOS:
+        spans = spark.createDataFrame([(1, a)], "qid int, span string")
+        got = [r.score for r in analysis.typo_candidates(spans, entities(spark, b)).withColumn("score", analysis.likeness("low", "surface")).collect()]
+        assert bool(got) == sure and all(x == SequenceMatcher(None, a.lower(), b.lower()).ratio() for x in got)
+
+
+def test_one_edit_equals_brute_force(spark):
+    words = ["".join(w) for n in range(1, 5) for w in __import__("itertools").product("ab", repeat=n)]
+    df = spark.createDataFrame([(x, y) for x in words for y in words], "x string, y string")
+    near = lambda x, y: x != y and (any(x[:i] + x[i + 1 :] == y for i in range(len(x))) or any(y[:i] + y[i + 1 :] == x for i in range(len(y))) or (len(x) == len(y) and (sum(p != q for p, q in zip(x, y, strict=True)) == 1 or any(x[:i] + x[i + 1] + x[i] + x[i + 2 :] == y for i in range(len(x) - 1)))))
+    rows = df.select("x", "y", analysis.one_edit(df.x, df.y).alias("e"), (analysis.F.arrays_overlap(analysis.deletions(df.x), analysis.deletions(df.y))).alias("meet")).collect()
+    assert all(r.e == near(r.x, r.y) and (r.meet or not r.e) for r in rows)
+
+
+def test_names_of_many_words_are_found(spark):
+    long = "The Most Venerable And Ancient Order Of The Nine Drowned Lights Of Marlowe"
+    got = graph.mentions(spark.createDataFrame([(1, f"who leads {long}?")], "qid int, query string"), entities(spark, long, "Marlowe"), "query", "qid").collect()
+    assert [r.entity_id for r in got] == ["e0"]
 
 
 def test_corrections_need_a_lead(spark):

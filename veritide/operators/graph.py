@@ -113,19 +113,23 @@ def vocabulary(vertices: DataFrame, kind: str | None = None, limit: int | None =
     return rows.limit(limit) if limit else rows
 
 
-def mentions(texts: DataFrame, vertices: DataFrame, text: str = "query", key: str = "qid", most_words: int = 8) -> DataFrame:
+def mentions(texts: DataFrame, vertices: DataFrame, text: str = "query", key: str = "qid") -> DataFrame:
     """key, entity_id, name, at: entities whose name stands word by word in a text; longest names first, none within another.
 
-    Names meet the word runs of the texts in an equi-join on the normal form, so no text is tried against all names. Only a
-    name's first place counts, as does an entity's first name that fits.
+    A name meets a text where its first word stands, and is compared with what follows there, as many words as it has; so no
+    text is tried against all names, and only places where some name may begin are looked at. Only a name's first place
+    counts, as does an entity's first name that fits.
     """
     surfaces = vertices.where(F.col("type").isin(SEED_TYPES)).select("entity_id", F.posexplode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("nth", "surface"), F.length("name").alias("len"))
     surfaces = surfaces.withColumn("form", X.words(F.col("surface"))).where((F.length("surface") >= MIN_NAME) & (F.length("form") >= MIN_NAME))
-    w = F.split(X.words(F.col(text)), " ")
-    runs = texts.select(F.col(key), w.alias("w")).select(key, "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("at"))
-    runs = runs.select(key, "at", "w", F.explode(F.sequence(F.lit(1), F.least(F.lit(most_words), F.size("w") - F.col("at") + 1))).alias("n"))
-    runs = runs.select(key, F.array_join(F.slice("w", F.col("at"), F.col("n")), " ").alias("form"), "at", "n").groupBy(key, "form", "n").agg(F.min("at").alias("at"))
-    met = runs.join(surfaces, "form")
+    surfaces = surfaces.withColumn("_name", F.split("form", " ")).withColumn("_first", F.get("_name", F.lit(0))).withColumn("n", F.size("_name"))
+    #: One row: the most words of a name, which bounds what is carried from a place.
+    longest = surfaces.agg(F.coalesce(F.max("n"), F.lit(0)).alias("_most"))
+    words = texts.select(F.col(key), F.split(X.words(F.col(text)), " ").alias("w")).join(F.broadcast(longest), how="left")
+    places = words.select(key, F.explode(F.transform("w", lambda x, i: F.struct((i + 1).alias("at"), x.alias("_first"), F.slice("w", i + 1, F.col("_most")).alias("run")))).alias("p")).select(key, "p.*")
+    begun = places.join(surfaces, "_first").where(F.slice("run", F.lit(1), F.col("n")) == F.col("_name"))
+    first = begun.groupBy(key, "form", "n").agg(F.min("at").alias("at"))
+    met = first.join(surfaces.select("entity_id", "nth", "len", "form"), "form")
     each = met.groupBy(key, "entity_id").agg(F.min_by(F.struct("at", "n", "form", "len"), "nth").alias("m"))
     items = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("m.len")).alias("o"), "entity_id", F.col("m.at").alias("at"), (F.col("m.at") + F.col("m.n")).alias("to"), F.col("m.form").alias("form")))).alias("found"))
     inside = lambda acc, x: F.exists(acc, lambda c: (c["at"] <= x["at"]) & (x["to"] <= c["to"]))

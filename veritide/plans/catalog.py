@@ -535,24 +535,41 @@ def instruction_scan(v):
 # ---- questions -----------------------------------------------------------------------------------------------------
 
 
-@query("SELECT n_nationkey AS qid, 'ent_nation_' || n_nationkey AS entity_id FROM nation")
+@query("""WITH names AS (SELECT entity_id, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS form FROM v_entities WHERE length(name) >= 4),
+    sure AS (SELECT min(entity_id) AS entity_id, form FROM names GROUP BY form HAVING count(*) = 1)
+    SELECT q.entity_id AS qid, s.entity_id FROM v_entities q JOIN sure s ON contains(' ' || trim(regexp_replace(lower('Who rules “' || q.name || '”, and since when?'), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || s.form || ' ')""", "v_entities")
 def name_mentions(v):
-    asked = v.t("nation").select(F.col("n_nationkey").alias("qid"), F.concat(F.lit("Who rules “"), "n_name", F.lit("”, and since when?")).alias("query"))
-    names = v.entities().where(F.col("entity_id").startswith("ent_nation_"))
-    return analysis.name_mentions(asked, names).select("qid", "entity_id")
+    asked = v.entities().select(F.col("entity_id").alias("qid"), F.concat(F.lit("Who rules “"), "name", F.lit("”, and since when?")).alias("query"))
+    return analysis.name_mentions(asked, v.entities()).select("qid", "entity_id")
 
 
-@query("SELECT s_suppkey AS qid, e.entity_id, levenshtein(lower(span), lower(e.name)) AS edits FROM (SELECT s_suppkey, s_name || 'x' AS span FROM supplier) JOIN v_entities e ON e.entity_id LIKE 'ent_supplier_%' AND levenshtein(lower(span), lower(e.name)) BETWEEN 1 AND 2", "v_entities")
+#: Names with a letter put in, left out and swapped, by number of the entity.
+MISSPELT = {"put_in": "name || 'x'", "left_out": "substr(name, 1, 3) || substr(name, 5)", "swapped": "substr(name, 1, 5) || substr(name, 7, 1) || substr(name, 6, 1) || substr(name, 8)"}
+MISSPELT_SQL = "typed AS (" + " UNION ALL ".join(f"SELECT '{k} ' || entity_id AS qid, {e} AS span FROM v_entities" for k, e in MISSPELT.items()) + ")"
+
+
+def misspelt(v):
+    rows = [v.entities().select(F.concat(F.lit(f"{k} "), "entity_id").alias("qid"), F.expr(e).alias("span")) for k, e in MISSPELT.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+#: One edit or swap in one-word names: words of five letters and more, none but those that differ.
+ALIKE_SQL = "alike AS (SELECT qid, span, entity_id, name FROM typed, v_entities WHERE abs(length(span) - length(name)) <= 1 AND least(length(span), length(name)) >= 5 AND NOT contains(span, ' ') AND NOT contains(name, ' ') AND damerau_levenshtein(lower(span), lower(name)) = 1)"
+
+
+@query(f"WITH {MISSPELT_SQL}, {ALIKE_SQL} SELECT qid, entity_id, levenshtein(lower(span), lower(name)) AS edits FROM alike", "v_entities")
 def typo_candidates(v):
-    spans = v.t("supplier").select(F.col("s_suppkey").alias("qid"), F.concat("s_name", F.lit("x")).alias("span"))
-    names = v.entities().where(F.col("entity_id").startswith("ent_supplier_"))
-    return analysis.typo_candidates(spans, names).select("qid", "entity_id", F.col("edits").cast("long").alias("edits"))
+    one_word = v.entities().where(~F.contains("name", F.lit(" ")))
+    return analysis.typo_candidates(misspelt(v), one_word).where(~F.contains("span", F.lit(" "))).select("qid", "entity_id", F.col("edits").cast("long").alias("edits"))
 
 
-@query()
+@query(f"""WITH {MISSPELT_SQL}, {ALIKE_SQL},
+    scored AS (SELECT qid, span, entity_id, CASE WHEN length(span) <> length(name) THEN 2.0::double * least(length(span), length(name)) / (length(span) + length(name)) ELSE 2.0::double * (length(name) - 1) / (2 * length(name)) END AS score FROM alike),
+    best AS (SELECT *, row_number() OVER (PARTITION BY qid, span ORDER BY score DESC, entity_id) AS n, coalesce(lead(score) OVER (PARTITION BY qid, span ORDER BY score DESC, entity_id), 0) AS follows FROM scored)
+    SELECT qid, span, entity_id, round(score, 9) AS score FROM best WHERE n = 1 AND score >= 0.9 AND score - follows >= 0.08 AND regexp_matches(span, '^[A-Z]')""", "v_entities")
 def typo_corrections(v):
-    spans = v.t("supplier").select(F.col("s_suppkey").alias("qid"), F.regexp_replace("s_name", "Suppl", "Supl").alias("span"))
-    return analysis.corrections(spans, v.entities().where(F.col("entity_id").startswith("ent_supplier_")))
+    one_word = v.entities().where(~F.contains("name", F.lit(" ")))
+    return analysis.corrections(misspelt(v).where(~F.contains("span", F.lit(" "))), one_word).withColumn("score", F.round("score", 9))
 
 
 # ---- metrics -------------------------------------------------------------------------------------------------------

@@ -61,15 +61,26 @@ def read_lines_or_set_aside(spark: SparkSession, path: str, schema: str) -> tupl
 
 
 def write_lines(df: DataFrame, path: str) -> None:
-    """JSON lines under a name that appears only when all are written."""
+    """JSON lines under a name that always stands for a whole table.
+
+    The new table is written beside the old one, which steps aside only for the rename and is deleted last; should the rename
+    fail, the old one takes its name again. What a crash leaves beside them is never read.
+    """
     spark = df.sparkSession
-    part = f"{path}.{uuid.uuid4().hex}"
-    df.write.json(part)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path
-    fs = jpath(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(jpath(path), True)
-    if not fs.rename(jpath(part), jpath(path)):
-        raise OSError(f"{part} could not be moved to {path}")
+    mark = uuid.uuid4().hex
+    df.write.json(f"{path}.new.{mark}")
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    here, new, old = at(path), at(f"{path}.new.{mark}"), at(f"{path}.old.{mark}")
+    replaced = fs.exists(here)
+    if replaced and not fs.rename(here, old):
+        raise OSError(f"{path} could not be moved aside")
+    if not fs.rename(new, here):
+        if replaced:
+            fs.rename(old, here)
+        raise OSError(f"{path}.new.{mark} could not be moved to {path}")
+    if replaced:
+        fs.delete(old, True)
 
 
 def route(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
