@@ -8,8 +8,9 @@ looked at again, some bits deeper. No level reads the texts again.
 
 What no bit can part (rows equal in id and text) is dealt to numbered overflow shards; one row above the limit is a shard of its own.
 
-Defined cases: a null text has 0 bytes; a null id is a value of its own; empty input gives no shards. Extra columns are kept
-(own columns replace any of the same name).
+Defined cases: a null or empty text has 0 bytes; a very long text counts by its bytes like any other; a null id is a value of its
+own; ties do not arise, as a shard is a bucket; an empty table gives no shards. Extra columns are kept (own columns replace any of
+the same name).
 """
 
 from __future__ import annotations
@@ -42,9 +43,15 @@ def bits(p: Column, depth: Column) -> Column:
 
 def split(cells: DataFrame, limit: int, low: int, deep: int) -> DataFrame:
     """cells (cell: prefixes of ``deep`` bits, b, n) with the depth, from ``low`` on, at which their bucket fits: cell, depth, shard_bytes, shard_rows; no row for those above the limit even at ``deep``."""
-    levels = cells.select("cell", "b", "n", F.explode(F.sequence(F.lit(low), F.lit(deep))).alias("d")).withColumn("p", F.call_function("shiftright", F.col("cell"), (F.lit(deep) - F.col("d")).cast("int")))
-    fits = levels.groupBy("d", "p").agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("shard_rows")).where(F.col("shard_bytes") <= limit)
-    met = levels.join(fits.hint("merge"), ["d", "p"])
+
+    def levels(least: int) -> DataFrame:
+        return cells.select("cell", "b", "n", F.explode(F.sequence(F.lit(least), F.lit(deep))).alias("d")).withColumn("p", F.call_function("shiftright", F.col("cell"), (F.lit(deep) - F.col("d")).cast("int")))
+
+    sums = levels(low).groupBy("d", "p").agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("shard_rows"))
+    fits = materialise(sums.where(F.col("shard_bytes") <= limit), "fits")
+    #: Above the first depth at which any bucket fits no cell has its shard, and few buckets hold all cells: these are not joined.
+    least = fits.agg(F.min("d")).first()[0]
+    met = levels(deep if least is None else least).select("cell", "d", "p").join(fits.hint("merge"), ["d", "p"])
     return met.groupBy("cell").agg(F.min(F.struct("d", "p", "shard_bytes", "shard_rows")).alias("m")).select("cell", F.col("m.d").alias("depth"), bits(F.col("m.p"), F.col("m.d")).alias("shard"), "m.shard_bytes", "m.shard_rows")
 
 
