@@ -21,6 +21,17 @@ def test_urls(spark):
     assert {r.verdict for r in url_filter.judge(pages, rules.limit(0)).collect()} == {"allow"}
 
 
+def test_long_urls_and_shared_prefixes(spark, monkeypatch):
+    """A URL of many labels costs no more than a short one; rules that share a join key are told apart by their digests."""
+    rules = spark.createDataFrame([("a.b", "/", "block"), ("c.a.b", "/x", "allow"), ("a.b", "/x/y/", "block"), ("zz", "/", "block")], "host string, path string, verdict string")
+    long = "http://" + "q." * 50_000 + "c.a.b/x" + "/p" * 20_000
+    pages = spark.createDataFrame([(1, long), (2, "http://c.a.b/x/y/"), (3, "http://a.b/x/y/z"), (4, "http://b/"), (5, "http://ca.b/"), (6, "http://.a.b/"), (7, "http://a.b./")], "page_id long, url string")
+    want = {1: "c.a.b/x", 2: "a.b/x/y/", 3: "a.b/x/y/", 4: None, 5: None, 6: "a.b/", 7: None}
+    assert {r.page_id: r.rule for r in url_filter.judge(pages, rules).collect()} == want
+    plan = url_filter.judge(pages, rules)._jdf.queryExecution().optimizedPlan().toString()
+    assert "(_prefix" in plan and "= digest" not in [x for x in plan.splitlines() if "Join LeftOuter" in x][0]
+
+
 def brute_hits(text, items):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     low = lambda t: word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))

@@ -1,11 +1,12 @@
 """URL filters by expression expansion, short hash prefixes and full digests. DataFrame functions only.
 
-Each URL is expanded into its host suffixes times its path prefixes. The expressions meet the rules in an equi-join
-on the first 32 bits of their SHA-256; a match is confirmed by the whole digest, and the longest confirmed rule wins.
-The rule table is joined by whichever strategy its size allows (Spark broadcasts it below its own threshold and
-shuffles both sides beyond it), so a list of many millions of rules needs no other code.
+Each URL is expanded into its host suffixes times its path prefixes, of the numbers of labels and the lengths that rules have. The
+expressions meet the rules in an equi-join on the first 32 bits of their SHA-256 alone; what meets is confirmed by the whole
+digest, and the longest confirmed rule wins. The rule table is joined by whichever strategy its size allows (Spark broadcasts it
+below its own threshold and shuffles both sides beyond it), so a list of many millions of rules needs no other code.
 
-Defined cases: a null URL, or one without ``://``, has an empty host and path and no rule. Rows are judged one by one,
+Defined cases: a null URL, or one without ``://``, has an empty host and path and no rule. A very long URL is expanded as often as a
+short one: no more than rules have lengths. Empty tables give no rows, or the default for all. Rows are judged one by one,
 so repeated rows give repeated results. Rules with a null host or path never fit; repeated rules count once, and of the
 same rule listed with both verdicts, block wins. No rule: ``default``. Extra columns are kept; the operator's own
 columns replace any of the same name.
@@ -29,10 +30,9 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def host_suffixes(host: Column) -> Column:
-    """The host itself and each suffix that starts after a dot."""
-    parts = F.split(host, r"\.", -1)
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+def host_suffixes(host: Column, counts: Column) -> Column:
+    """The host's last labels, as many as some rule's host has."""
+    return F.transform(F.filter(counts, lambda n: n <= F.regexp_count(host, F.lit(r"\.")) + 1), lambda n: F.call_function("substring_index", host, F.lit("."), -n))
 
 
 def path_prefixes(path: Column, lengths: Column) -> Column:
@@ -50,8 +50,9 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
         .withColumn("digest", F.sha2(F.concat("host", F.lit("\u0000"), "path"), 256))
         .select(F.substring("digest", 1, 8).alias("prefix"), "digest", "rule_text", "rule_verdict", F.length("host").alias("host_length"))
     )
-    #: One row: the distinct path lengths of the rules, which a URL's own length bounds.
-    lengths = rules.where("host is not null and path is not null").agg(F.array_sort(F.collect_set(F.length("path"))).alias("_lengths"))
+    #: One row: the numbers of labels of the rules' hosts and the lengths of their paths. Hosts and paths bound both, not the number of rules.
+    labels = F.regexp_count("host", F.lit(r"\.")) + 1
+    lengths = rules.where("host is not null and path is not null").agg(F.array_sort(F.collect_set(labels)).alias("_labels"), F.array_sort(F.collect_set(F.length("path"))).alias("_lengths"))
 
     host, path = url_parts(F.col(url))
     kept = [c for c in pages.columns if c not in ADDED]
@@ -63,20 +64,19 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     )
     rows = rows.withColumn(
         "_digests",
-        F.when(F.col("_host") != "", F.flatten(F.transform(host_suffixes(F.col("_host")), lambda h: F.transform(path_prefixes(F.col("_path"), F.col("_lengths")), lambda p: F.sha2(F.concat(h, F.lit("\u0000"), p), 256))))),
+        F.when(F.col("_host") != "", F.flatten(F.transform(host_suffixes(F.col("_host"), F.col("_labels")), lambda h: F.transform(path_prefixes(F.col("_path"), F.col("_lengths")), lambda p: F.sha2(F.concat(h, F.lit("\u0000"), p), 256))))),
     )
+    expanded = rows.drop("_lengths", "_labels").withColumn("_full", F.explode_outer("_digests")).withColumn("_prefix", F.substring("_full", 1, 8)).drop("_digests")
+    #: The join key is the prefix alone; a rule that shares it by chance has another digest.
+    confirmed = F.col("_full") == F.col("digest")
     judged = (
-        rows.drop("_lengths")
-        .withColumn("_full", F.explode_outer("_digests"))
-        .withColumn("_prefix", F.substring("_full", 1, 8))
-        .drop("_digests")
-        .join(known, (F.col("_prefix") == known["prefix"]) & (F.col("_full") == known["digest"]), "left")
+        expanded.join(known, F.col("_prefix") == F.col("prefix"), "left")
         .groupBy("_row")
         .agg(
             *(F.first(c).alias(c) for c in kept),
             F.first("_host").alias("host"),
             F.first("_path").alias("path"),
-            F.max(F.when(F.col("rule_text").isNotNull(), F.struct(F.length("rule_text").alias("n"), "host_length", "rule_verdict", "rule_text"))).alias("_best"),
+            F.max(F.when(confirmed, F.struct(F.length("rule_text").alias("n"), "host_length", "rule_verdict", "rule_text"))).alias("_best"),
         )
     )
     return judged.select(*kept, "host", "path", F.col("_best.rule_text").alias("rule"), F.coalesce(F.col("_best.rule_verdict"), F.lit(default)).alias("verdict"))
