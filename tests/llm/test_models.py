@@ -91,6 +91,47 @@ def test_quality_gradients():
         assert (up - down) / 2e-5 == pytest.approx(g[k][at], rel=0.02, abs=2e-6)
 
 
+def plain_score(model, text):
+    """A text's score passage by passage: softmax attention over the encodings of its passages."""
+    data = text.encode()
+    words = [m.start() for m in re.finditer(rb"[^\x09\x0a-\x0d\x20]+", data)]
+    cuts = [0, *words[quality.PASSAGE :: quality.PASSAGE], len(data)]
+    e, h = [], []
+    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        x = quality.passages([data[a:b]], goes_on=k < len(cuts) - 2)[0]
+        assert len(x) == 1
+        z = np.clip((x[0].astype(float) - model.mean) * model.scale, -6, 6)
+        own = np.tanh(z @ model.p["W"] + model.p["b"])
+        e.append(float(np.sum(np.tanh(own @ model.p["V"]) / (1 + np.exp(-(own @ model.p["U"]))) * model.p["w"])))
+        h.append(own)
+    w = [math.exp(x - max(e)) for x in e]
+    pooled = sum(a * b for a, b in zip(w, h, strict=True)) / sum(w)
+    return 1 / (1 + math.exp(-(float(pooled @ model.p["c"]) + float(model.p["o"][0]))))
+
+
+def test_quality_scores_equal_a_plain_forward_pass(spark, monkeypatch):
+    """In batches, alone, and in parts of any size."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    model = quality.learn(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    texts = [r.text for r in docs.limit(60).collect()] + ["", " a", "\n\nx y\n", "One two. " * 3000]
+    want = [plain_score(model, t) for t in texts]
+    assert 0.1 < np.std(want)
+    for size in (quality.CHUNK, 3000, 400):
+        monkeypatch.setattr(quality, "CHUNK", size)
+        assert model.score([t.encode() for t in texts]) == pytest.approx(want, abs=2e-4)
+        assert all(b"".join(p for p, _ in quality.parts(t.encode())) == t.encode() for t in texts)
+
+
+def test_quality_memory_does_not_follow_the_text():
+    import tracemalloc
+
+    text = b"some more words of a very long text. " * 800_000
+    tracemalloc.start()
+    assert 0 <= quality.Model().score([text])[0] <= 1
+    assert tracemalloc.get_traced_memory()[1] < 400 << 20
+    tracemalloc.stop()
+
+
 def test_quality_cases(spark):
     texts = [None, "", "  \n", "Fine words here.", "BAD!! BAD!!", " lead", "x " * 60000]
     docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)] + [(3, "Fine words here.", "clash")], "doc_id long, text string, score string")
