@@ -105,3 +105,14 @@ def test_mixing_is_unbiased(spark):
             taken[r.doc_id] = taken.get(r.doc_id, 0) + r.copies
             share = r.target / r.source_size
     assert abs(sum(taken.values()) / (6 * len(taken)) - share) < 0.15 and len({*taken.values()}) > 2
+
+
+def test_targets_of_many_sources(spark):
+    """Sources by the thousand, dealt over ranges, as by the plain model."""
+    sizes = {f"host{k * 7919 % 5003}": 1 + k * k % 997 + (50_000 if k % 500 == 0 else 0) for k in range(3000)}
+    rows = spark.createDataFrame([(s, False, n) for s, n in sizes.items()], "_source string, _null boolean, size long")
+    for share, cap in ((1.5, 2.0), (0.3, 2.0), (3.0, 2.0)):
+        got = {r._source: r.target for r in mixing.source_targets(rows, (3, 1, 2), share, cap).collect()}
+        order = sorted(sizes, key=str.encode)
+        want = level({s: sizes[s] for s in order}, [(3, 1, 2)[k % 3] for k in range(len(order))], min(share, cap), cap)
+        assert got.keys() == want.keys() and all(abs(got[s] - want[s]) <= 1e-6 * want[s] for s in got)

@@ -11,17 +11,19 @@ Units meet in blocks of bounded expected size, dealt by a hash of the document;
 these meet in the next level's blocks, until each source has one left: a reduction tree of depth
 log(documents) / log(block). All chance comes from hashes of ids and the seed, so reruns agree.
 
-Defined cases: a null text has no words; a document without words takes none; a null source is a source of its own, the
-last. Rows equal in source, id and size are one unit of so many rows until the end, so a hot id is never gathered
+Defined cases: a null or empty text has no words; a document without words takes none; a very long text is a unit of its size; a null
+source is a source of its own, the last. Rows equal in source, id and size are one unit of so many rows until the end, so a hot id is never gathered
 in one task. Empty input gives an empty result. Extra columns are kept; own columns replace any of the same name.
 """
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise
+from .common import WORD, materialise, tasks
 
 ADDED = ("size", "source_size", "target", "copies", "taken")
 #: Units that meet in one block, on average.
@@ -32,26 +34,31 @@ KEY = ("_source", "_null", "_id", "size")
 def source_targets(sized: DataFrame, weights: tuple[float, ...], share: float, max_repeat: float) -> DataFrame:
     """_source, _null, source_size, target. Sources by code point (null last) take the weights in turn.
 
-    The fixed point of "hold at the cap, share the excess by weight" is min(cap, level * weight), and the level follows
-    from running sums over the sources in the order in which they reach their caps: no loop. One row per source.
+    A target is min(cap, level * weight). The level rises from "nobody is capped" by sharing what capped sources cannot take
+    among the others, until no further source is capped; a round is one aggregate over the stored sources. Sources are numbered
+    within ranges of a distributed sort, so none of this gathers them, be they tens or all hosts of a crawl.
     """
-    sizes = sized.groupBy("_source", "_null").agg(F.sum("size").alias("source_size"))
-    everything = Window.partitionBy()
-    order = Window.orderBy("_null", F.col("_source").cast("binary"))
-    filling = Window.orderBy("_at", "_null", F.col("_source").cast("binary"))
-    before = filling.rowsBetween(Window.unboundedPreceding, -1)
-    after = filling.rowsBetween(0, Window.unboundedFollowing)
-    turn = (F.row_number().over(order) - 1) % len(weights)
-    weighed = sizes.withColumn("_weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (turn + 1).cast("int")))
-    wanted = F.least(F.lit(float(share)), F.lit(float(max_repeat))) * F.sum("source_size").over(everything)
-    levels = (
-        weighed.withColumn("_cap", max_repeat * F.col("source_size"))
-        .withColumn("_at", F.col("_cap") / F.col("_weight"))
-        .withColumn("_level", (wanted - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / F.sum("_weight").over(after))
-        #: The first source whose cap lies above the level that those after it would share.
-        .withColumn("_final", F.min(F.when(F.col("_level") <= F.col("_at"), F.struct("_at", "_level"))).over(everything)["_level"])
-    )
-    return levels.select("_source", "_null", "source_size", F.least("_cap", F.coalesce(F.col("_final"), F.lit(float("inf"))) * F.col("_weight")).alias("target"))
+    spark = sized.sparkSession
+    sizes = sized.groupBy("_source", "_null").agg(F.sum("size").alias("source_size")).withColumn("_key", F.col("_source").cast("binary"))
+    order = ("_null", "_key")
+    #: The id is the range and the place in it, in the order of the sort.
+    sorted_ = sizes.repartitionByRange(tasks(spark), *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    numbered = materialise(sorted_.withColumn("_range", F.shiftright("_id", 33)).withColumn("_place", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))), "mixsources")
+    counts = sorted(numbered.groupBy("_range").count().collect())
+    first = dict(zip((r["_range"] for r in counts), accumulate((r["count"] for r in counts), initial=0), strict=False))
+    starts = F.create_map(*(F.lit(x) for kv in (first or {0: 0}).items() for x in kv))
+    turn = (F.element_at(starts, F.col("_range")) + F.col("_place")) % len(weights)
+    weighed = numbered.withColumn("_weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (turn + 1).cast("int"))).withColumn("_cap", max_repeat * F.col("source_size"))
+    total = numbered.agg(F.sum("source_size")).first()[0] or 0
+    wanted, level, capped = min(float(share), float(max_repeat)) * total, 0.0, None
+    while total:
+        held = F.col("_cap") <= level * F.col("_weight")
+        n, caps, open_ = weighed.agg(F.count_if(held), F.sum(F.when(held, F.col("_cap")).otherwise(0.0)), F.sum(F.when(held, 0.0).otherwise(F.col("_weight")))).first()
+        if n == capped or not open_:
+            level = level if open_ else float("inf")
+            break
+        capped, level = n, (wanted - caps) / open_
+    return weighed.select("_source", "_null", "source_size", F.least("_cap", F.lit(level) * F.col("_weight")).alias("target"))
 
 
 def _chance(*columns: Column) -> Column:
