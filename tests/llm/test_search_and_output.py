@@ -53,6 +53,24 @@ def test_an_id_in_many_equal_rows_hides_no_other(spark):
     assert [(x.vec_id, x.score) for x in got] == [(i, 0.0) for i in range(1, 11)]
 
 
+def test_traversal_is_best_bin_first_and_widens_by_query():
+    r = np.random.default_rng(5)
+    x = np.concatenate([r.standard_normal((400, 6)) * 0.05 + c for c in r.standard_normal((8, 6)) * 4])
+    tree = ann.Tree(x, 20)
+    everything, far = tree.best_bins(x[0], float("inf"))
+    assert sorted(everything) == list(range(tree.leaves)) and far == sorted(far) and far[0] == 1
+    reach = far[len(far) // 3]
+    some, _ = tree.best_bins(x[0], reach)
+    assert some == everything[: len(some)] and far[len(some) - 1] <= reach < far[len(some)]
+    assert len({len(tree.best_bins(v, reach)[0]) for v in x[::50]}) > 1
+
+
+def test_extra_columns_of_clashing_names(spark):
+    df = spark.createDataFrame([(k * 50, [float(k), 1.0], k, "x") for k in range(8)], "vec_id long, embedding array<float>, query_id int, score string")
+    got = ann.search(df)
+    assert got.columns == ["query_id", "rank", "vec_id", "score"] and got.where("query_id = 0").orderBy("rank").first().vec_id == 50
+
+
 def test_few_and_no_candidates(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.5, 0.0])], "vec_id long, embedding array<float>")
     assert [(x["rank"], x.vec_id, x.score) for x in ann.search(df).orderBy("rank").collect()] == [(1, 2, 0.5), (2, 1, 1.0)]

@@ -2,16 +2,18 @@
 
 The tree is fitted on a bounded sample (``SAMPLE`` vectors, by hash). Every row is then put into its leaf and packed
 with others of that leaf into blocks, within its own task, so indexing shuffles nothing. A query walks the tree
-through a priority queue of branches by distance to their centres and visits leaves, nearest branch first. How many is
-calibrated: for ``CALIBRATION`` queries the true neighbours among all rows are found, and visits widen until the wanted
-share of them lies in visited leaves. Queries and blocks meet by leaf; distances are exact.
+through a priority queue of branches by distance to their centres and visits leaves, nearest branch first. It stops once the next
+branch is so many times as far as the first leaf was: a query between leaves visits more of them than one amid its own. How many times
+is calibrated: for ``CALIBRATION`` queries the true neighbours among all rows are found, and the reach widens until the wanted share
+of them lies in visited leaves. Queries and blocks meet by leaf; distances are exact.
 
 Leaves above ``HOT`` rows are split over salts on both sides. Of equal vectors in one block only the k + 1 smallest ids
 are kept, as ties go to the smaller id and no other could rank.
 
 Defined cases: vectors that are null, zero, of another than the usual length, or with a null or non-finite component take no part, nor
 do rows with a null id; a query's own id is never its neighbour; an id listed twice is one query (the smaller
-vector) and at most one neighbour (the nearer vector); fewer candidates than k: all of them.
+vector) and at most one neighbour (the nearer vector); ties go to the smaller id; fewer candidates than k: all of them; an empty table
+gives no rows. Extra columns are neither read nor returned, whatever their names.
 """
 
 from __future__ import annotations
@@ -72,17 +74,22 @@ class Tree:
                 work += [(child, rows[own == k]) for k, child in enumerate(self.children[node])]
         return out
 
-    def best_bins(self, q: np.ndarray, visits: int) -> list[int]:
-        """Leaves in the order of best-bin-first traversal."""
-        heap, out = [(0.0, self.root)], []
-        while heap and len(out) < visits:
-            _, node = heapq.heappop(heap)
+    def best_bins(self, q: np.ndarray, reach: float) -> tuple[list[int], list[float]]:
+        """Leaves in the order of best-bin-first traversal, as far as the reach, and how far each was, the first counting 1."""
+        heap, out, far, first, at = [(0.0, self.root)], [], [], None, 0.0
+        while heap:
+            d, node = heapq.heappop(heap)
+            at = max(at, d)
+            if first is not None and at > reach * first:
+                break
             if node < 0:
+                first = max(at, 1e-300) if first is None else first
                 out.append(-1 - node)
+                far.append(at / first)
             else:
                 for d, child in zip(((self.centres[node] - q) ** 2).sum(1).tolist(), self.children[node], strict=True):
                     heapq.heappush(heap, (d, child))
-        return out
+        return out, far
 
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -161,19 +168,18 @@ def brute_force(rows: DataFrame, queries: list[tuple[int, np.ndarray]], width: i
     return _ranked(rows.select("id", "v").mapInArrow(run, "query_id long, vec_id long, score double"), k)
 
 
-def calibrate(tree: Tree, rows: DataFrame, width: int, count: int, k: int, recall: float, calibration: int = CALIBRATION) -> int:
-    """Leaf visits that reach the recall on queries sampled from the rows."""
+def calibrate(tree: Tree, rows: DataFrame, width: int, count: int, k: int, recall: float, calibration: int = CALIBRATION) -> float:
+    """The reach that gives the recall on queries sampled from the rows."""
     chance = F.pmod(F.xxhash64(F.lit("calibration"), F.col("id")), F.lit(1 << 30)) / float(1 << 30)
     picked = rows.where(chance < 4.0 * calibration / max(count, 1)).orderBy(F.xxhash64(F.lit("calibration"), F.col("id"))).limit(calibration).collect()
     truth = brute_force(rows, [(r["id"], np.array(r["v"], float)) for r in picked], width, k)
-    truth = truth.select(F.col("query_id"), F.col("vec_id").alias("id")).join(rows, "id").select("query_id", "v").collect()
+    truth = truth.select("query_id", F.col("vec_id").alias("id")).join(rows.groupBy("id").agg(F.min("v").alias("v")), "id").select("query_id", "v").collect()
     if not truth:
-        return tree.leaves
-    vectors = {r["id"]: np.array(r["v"], float) for r in picked}
+        return float("inf")
     leaf = tree.assign(np.array([r["v"] for r in truth], float))
-    order = {i: {b: n for n, b in enumerate(tree.best_bins(v, tree.leaves))} for i, v in vectors.items()}
-    needed = np.sort([order[r["query_id"]][b] + 1 for r, b in zip(truth, leaf.tolist(), strict=True)])
-    return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)])
+    far = {r["id"]: dict(zip(*tree.best_bins(np.array(r["v"], float), float("inf")), strict=True)) for r in picked}
+    needed = np.sort([far[r["query_id"]][b] for r, b in zip(truth, leaf.tolist(), strict=True)])
+    return float(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)])
 
 
 def _blocks(rows: DataFrame, tree: Tree, width: int, k: int) -> DataFrame:
@@ -218,7 +224,7 @@ def _blocks(rows: DataFrame, tree: Tree, width: int, k: int) -> DataFrame:
     return rows.select("id", "v").mapInArrow(run, "leaf long, n long, ids binary, data binary")
 
 
-def _asked(queries: DataFrame, tree: Tree, width: int, visits: int) -> DataFrame:
+def _asked(queries: DataFrame, tree: Tree, width: int, reach: float) -> DataFrame:
     """q_leaf, q_ids, q_data: the queries at each leaf they visit."""
     shared = queries.sparkSession.sparkContext.broadcast(tree)
 
@@ -227,7 +233,7 @@ def _asked(queries: DataFrame, tree: Tree, width: int, visits: int) -> DataFrame
             ids, x = batch.column(0).to_numpy(), _matrix(batch.column(1), width)
             at: dict[int, list[int]] = {}
             for n, v in enumerate(x.astype(float)):
-                for leaf in shared.value.best_bins(v, visits):
+                for leaf in shared.value.best_bins(v, reach)[0]:
                     at.setdefault(leaf, []).append(n)
             spans = [(leaf, rows[s : s + QUERY_BLOCK]) for leaf, rows in at.items() for s in range(0, len(rows), QUERY_BLOCK)]
             yield pa.RecordBatch.from_arrays([pa.array([leaf for leaf, _ in spans], pa.int64()), pa.array([ids[r].tobytes() for _, r in spans], pa.binary()), pa.array([x[r].tobytes() for _, r in spans], pa.binary())], names=["q_leaf", "q_ids", "q_data"])
@@ -249,7 +255,7 @@ def search(rows: DataFrame, k: int = 10, every: int = 100, recall: float = RECAL
         return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
     #: Leaves hold about LEAF_ROWS of all rows, as long as the sample can tell them apart.
     tree = Tree(np.array([r["v"] for r in fitted], float), max(8, LEAF_ROWS * len(fitted) // max(count, 1)))
-    visits = calibrate(tree, rows, width, count, k, recall)
+    reach = calibrate(tree, rows, width, count, k, recall)
     blocks = materialise(_blocks(rows, tree, width, k), "blocks")
     #: Leaves are bounded by the sample; only the hot ones are listed.
     hot = {r["leaf"]: int(-(-r["n"] // HOT)) for r in blocks.groupBy("leaf").agg(F.sum("n").alias("n")).where(F.col("n") > HOT).collect()}
@@ -257,7 +263,7 @@ def search(rows: DataFrame, k: int = 10, every: int = 100, recall: float = RECAL
     for leaf, n in hot.items():
         salts = F.when(F.col("leaf") == leaf, n).otherwise(salts)
     queries = rows.where(F.pmod("id", F.lit(every)) == 0).groupBy("id").agg(F.min("v").alias("v"))
-    asked = materialise(_asked(queries, tree, width, visits).withColumn("leaf", F.col("q_leaf")).withColumn("q_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("leaf"), "asked")
+    asked = materialise(_asked(queries, tree, width, reach).withColumn("leaf", F.col("q_leaf")).withColumn("q_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("leaf"), "asked")
     met = asked.join(blocks.withColumn("salt", F.pmod(F.xxhash64("ids"), salts).cast("int")), (F.col("leaf") == F.col("q_leaf")) & (F.col("salt") == F.col("q_salt"))).select("q_ids", "q_data", "ids", "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
