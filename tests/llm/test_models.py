@@ -176,10 +176,16 @@ def test_rare_words_are_looked_up_in_the_whole_vocabulary(spark, monkeypatch):
     assert one == two
 
 
-def test_words_are_spelled_together_as_alone():
+def small_scorer(words=(), counts=(), sample=()):
     tok = lm.Tokenizer()
-    none = lm.Spelling(np.full(tok.end + 1, lm.SPELLED), np.zeros((lm.SPELLED + 2, lm.SPELLED + 2)), np.zeros(tok.end + 1))
-    s = lm.Scorer(tok, [], np.zeros(0), 0, 0, 0, np.zeros(tok.end + 1), none, [])
+    index = np.full(tok.end + 1, lm.SPELLED)
+    index[-1] = lm.SPELLED + 1
+    pairs = lm.Pairs(index, np.zeros((lm.SPELLED + 2, lm.SPELLED + 2)), np.zeros(tok.end + 1), lm.opens_word(tok), 0.01)
+    return lm.Scorer(tok, list(words), np.array(counts, float), 0, 0, 0, pairs, np.ones(tok.end + 1), list(sample))
+
+
+def test_words_are_spelled_together_as_alone():
+    s = small_scorer()
     words = [w.encode() for w in ["the", "don't", "\xa0x", "x\xa0", "\u3000", "é\x85é", "12,3", "漢字", "...", "a\x1cb", "\U0001f600", "x" * 300]]
     ids, n = s.spell_all(words)
     assert n.tolist() == [len(s.spell(w)) for w in words] and ids.tolist() == np.concatenate([s.spell(w) for w in words]).tolist()
@@ -191,29 +197,38 @@ def test_windows_score_each_place_once():
         assert sorted(target[scored].tolist()) == list(range(1000, 1000 + n))
 
 
+def small_network(n=1, seed=1):
+    r = np.random.default_rng(seed)
+    net = lm.Attention(r.integers(0, 10, 40), 10)
+    ids, prior = r.integers(0, 40, (n, lm.STEP + lm.OVERLAP)), np.log(r.dirichlet(np.ones(10), n * lm.STEP)).astype(np.float32)
+    return net, ids, prior, r
+
+
 def test_network_is_causal_and_normalised():
-    net = lm.Attention(10)
-    c = np.random.default_rng(1).integers(0, 10, (1, lm.STEP + lm.OVERLAP))
-    own, everything, ones = c[:, lm.OVERLAP :], np.ones((1, lm.STEP), bool), np.ones(10, np.float32)
-    logs = np.stack([net.log_probs(c, np.full_like(own, k), everything, ones)[0] for k in range(10)])
+    net, ids, prior, _ = small_network()
+    own, everything, ones = ids[:, lm.OVERLAP :] % 10, np.ones((1, lm.STEP), bool), np.ones(10, np.float32)
+    logs = np.stack([net.log_probs(ids, prior, np.full_like(own, k), everything, ones)[0] for k in range(10)])
     assert np.allclose(np.exp(logs).sum(0), 1, atol=1e-4)
-    d = c.copy()
-    d[0, -1] = (d[0, -1] + 1) % 10
-    a, b = (net.log_probs(x, own, everything, ones)[0] for x in (c, d))
+    d = ids.copy()
+    d[0, -1] = (d[0, -1] + 1) % 40
+    a, b = (net.log_probs(x, prior, own, everything, ones)[0] for x in (ids, d))
     assert np.allclose(a[:-1], b[:-1]) and not np.allclose(a[-1], b[-1])
 
 
 def test_network_gradients():
-    net, r = lm.Attention(10), np.random.default_rng(0)
+    net, ids, prior, r = small_network(3, 0)
     net.p = {k: v.astype(float) for k, v in net.p.items()}
-    c, t, w = r.integers(0, 10, (3, lm.STEP + lm.OVERLAP)), r.integers(0, 10, (3, lm.STEP)), np.ones((3, lm.STEP))
+    prior, t, w = prior.astype(float), r.integers(0, 10, (3, lm.STEP)), np.ones((3, lm.STEP))
 
     def loss():
-        return -net.log_probs(c, t, w > 0, np.ones(10))[0].mean()
+        return -net.log_probs(ids, prior, t, w > 0, np.ones(10))[0].mean()
 
-    g = net.gradients(c, t, w)
+    g = net.gradients(ids, prior, t, w)
+    rows, move = g["E"]
+    g["E"] = np.zeros_like(net.p["E"])
+    g["E"][rows] = move
     for k, v in net.p.items():
-        at = tuple(r.integers(0, n) for n in v.shape)
+        at = (ids[0, 9], 3) if k == "E" else tuple(r.integers(0, n) for n in v.shape)
         old = v[at]
         v[at] = old + 1e-5
         up = loss()
@@ -223,16 +238,93 @@ def test_network_gradients():
         assert (up - down) / 2e-5 == pytest.approx(g[k][at], rel=1e-3, abs=1e-7), k
 
 
-def test_model_beats_base_on_held_out_text_it_can_know(spark):
-    """On whole held-out texts, words and all; unseen words count at the base's flat rate there, so seen ones are compared."""
-    rows = lm.score(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), fold("doc_id", 7) == 2).where("not held_out").collect()
-    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+def learned_scorer(spark, sf, **how):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text")
+    vocabulary = lm.materialise(lm.count_words(docs, "text"), "vocabulary").cache()
+    return lm.learn(docs, vocabulary, "text", "doc_id", **how)[0], vocabulary
+
+
+def plain_score(s, counts, text):
+    """A text's log10 probability, place by place: one masked attention row a place, softmax over classes, ids within classes by their definition."""
+    p = {k: v.astype(float) for k, v in s.net.p.items()}
+    words = text.encode().translate(lm.LOWER).split()
+    spelled = [s.spell(w).tolist() for w in words]
+    line = [s.tokenizer.end, *(i for w in spelled for i in w), s.tokenizer.end]
+    logs, opens = [], []
+    for t in range(len(line) - 1):
+        begin = t // lm.STEP * lm.STEP - lm.OVERLAP
+        x = [p["E"][line[max(j, 0)]] + p["P"][j - begin] for j in range(begin, t + 1)]
+        q = x[-1] @ p["Q"]
+        e = np.exp([q @ (v @ p["K"]) / math.sqrt(lm.WIDTH) for v in x])
+        h = x[-1] + sum(a * (v @ p["V"]) for a, v in zip(e / e.sum(), x, strict=True))
+        y = h + np.maximum(h @ p["A"] + p["a"], 0) @ p["B"]
+        z = np.exp(y @ p["O"] + p["o"] + s.prior[s.place[line[t]]])
+        z /= z.sum()
+        logs.append(math.log(z[s.classes[line[t + 1]]]))
+        opens.append(math.log(z[s.starts > 0].sum()))
+    at, total = 0, 0.0
+    for w, ids in zip(words, spelled, strict=True):
+        kind, each = s.classes[ids[0]], 0.0
+        for k, i in enumerate(ids):
+            if k == 0:
+                each += logs[at] + s.opening[i]
+            else:
+                before = s.place[ids[k - 1]]
+                mates = np.flatnonzero(s.classes[:-1] == s.classes[i])
+                share = np.exp(s.log_on[before, s.place[mates]] + s.log_within[mates])
+                each += logs[at + k] + math.log(share[mates == i][0] / share.sum())
+        each += opens[at + len(ids)] - opens[at]
+        total += math.log(math.exp(each + s.weights[0, kind]) + counts.get(w, 0) * math.exp(logs[at] - opens[at] - s.log_in_class[kind] + s.weights[1, kind]))
+        at += len(ids)
+    return (total + logs[at] - opens[at]) / math.log(10)
+
+
+def test_scores_equal_a_plain_masked_forward_pass(spark, monkeypatch):
+    """Words sent to the tasks, joined and never seen; texts shorter and longer than windows."""
+    monkeypatch.setattr(lm, "STEPS", 150)
+    s, vocabulary = learned_scorer(spark, "sf0.001", per_million=500, frequent=800)
+    counts = {r.word: r.c for r in vocabulary.collect()}
+    counts = {bytes(k): c for k, c in counts.items()}
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(6).collect()] + ["", "The", "zzyzzx qqq the of zzyzzx", "Nunca jamás " * 20]
+    for t, (n, _, _, score, rare, a, b) in zip(texts, s.score([t.encode() for t in texts]), strict=True):
+        whole = score + sum(math.log10(x + counts.get(w, 0) * y) for w, x, y in zip(rare, a, b, strict=True) if counts.get(w, 0))
+        assert n == len(t.encode().split()) + 1 and whole == pytest.approx(plain_score(s, counts, t), rel=2e-3, abs=2e-3)
+
+
+def test_words_and_ids_sum_to_one(spark, monkeypatch):
+    """Within a class the ids sum to 1 after any id; over the classes so do the priors."""
+    monkeypatch.setattr(lm, "STEPS", 5)
+    s, _ = learned_scorer(spark, "sf0.001", per_million=500)
+    assert np.allclose(np.exp(s.prior).sum(1), 1, atol=1e-3)
+    opening = s.opens_word[:-1]
+    assert np.allclose(np.bincount(s.classes[:-1][opening], weights=np.exp(s.opening[:-1][opening]), minlength=lm.CLASSES)[np.unique(s.classes[:-1][opening])], 1)
+    for before in (0, 5, 700):
+        share = np.exp(s.log_on[before, s.place[:-1]] + s.log_within[:-1]) * ~opening
+        by_class = np.bincount(s.classes[:-1], weights=share, minlength=lm.CLASSES)
+        inside = np.unique(s.classes[:-1][~opening])
+        assert np.allclose(np.log(by_class[inside]), s.prior[before, inside], atol=1e-3)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_model_beats_base_on_held_out_text(spark, sf):
+    """On whole held-out texts, words and all."""
+    rows = lm.score(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text"), fold("doc_id", 7) == 2).where("held_out").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).first()
+    assert rows.score > rows.base
+
+
+def test_what_training_gathers_grows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    sizes = [len(lm.passages(docs, "text", "doc_id", tokens, per_million=100)) for tokens in (10**6, 8 * 10**6, 10**9)]
+    assert 1.6 < sizes[1] / sizes[0] < 2.4 and 8 < sizes[2] / sizes[0] < 12
+    got = lm.passages(docs, "text", "doc_id", 10**6, per_million=3000)
+    whole = {r.text for r in docs.collect()}
+    assert all(any(t.decode() in w for w in whole) for t, *_ in got[::97]) and 0.2 < sum(not b for _, b, _ in got) / len(got) < 0.95
 
 
 def test_rare_words_score_by_their_counts(spark, monkeypatch):
     """A score is the same, whether words are sent to the tasks or joined."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(300)
     one = {r.doc_id: r.score for r in lm.score(docs, fold("doc_id", 7) == 2).collect()}
-    monkeypatch.setattr(lm.learn, "__defaults__", (None, lm.SAMPLE_DOCS, 200))
+    monkeypatch.setattr(lm.learn, "__defaults__", (None, lm.PASSAGES, 200))
     two = {r.doc_id: r.score for r in lm.score(docs, fold("doc_id", 7) == 2).collect()}
     assert len(one) == 300 and two == pytest.approx(one, rel=1e-4)
