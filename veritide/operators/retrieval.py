@@ -6,6 +6,7 @@ queries' terms before anything is ranked, and per-query limits are window limits
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritide.functions import text as X
+from veritide.sources import store
 
 #: Fixed: BM25 and fusion constants, and how deep each list goes for k results.
 K1, B, RRF_K, DEPTH = 1.5, 0.75, 60, 4
@@ -24,26 +26,18 @@ INTENT_POLICY = {"multi_hop": (False, True), "contradiction": (False, True), "vi
 
 @dataclass(frozen=True)
 class Index:
-    """chunks (chunk_id, doc_id, text, chunk_pos, ...), terms (term, chunk_id: a row an occurrence), lengths (chunk_id, dl), totals (n, avgdl)."""
+    """A stored index: chunks with their texts, meta (what filters and expansions read, without texts), postings (term, chunk_id, chunk_pos, tf, dl) in
+    ranges of terms, terms (term, df), totals (n, avgdl: one row)."""
 
     chunks: DataFrame
+    meta: DataFrame
+    postings: DataFrame
     terms: DataFrame
-    lengths: DataFrame
     totals: DataFrame
 
     @property
-    def postings(self) -> DataFrame:
-        """term, chunk_id, tf."""
-        return self.terms.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
-
-    @property
-    def frequencies(self) -> DataFrame:
-        """term, df."""
-        return self.postings.groupBy("term").agg(F.count("*").alias("df"))
-
-    def of(self, terms: DataFrame) -> "Index":
-        """The index of these terms alone: other occurrences go before anything is counted."""
-        return Index(self.chunks, self.terms.join(terms, "term", "left_semi"), self.lengths, self.totals)
+    def size(self) -> int:
+        return self.totals.first()["n"]
 
 
 @dataclass(frozen=True)
@@ -52,12 +46,30 @@ class SearchConfig:
     k: int = 10
     filters: dict[str, list] = field(default_factory=dict)
     rerank: bool = False
+    #: None, "section", "graph" or "both".
+    expand: str | None = None
+
 
+def index_tables(chunks: DataFrame) -> dict[str, DataFrame | str]:
+    """The tables of an index over chunks (chunk_id, chunk_pos, text, ...), postings written already. Texts are read and cut into tokens once."""
+    spark = chunks.sparkSession
+    tokens = chunks.select("chunk_id", "chunk_pos", X.tokens(F.col("text")).alias("t"))
+    counted = tokens.select("chunk_id", "chunk_pos", F.size("t").alias("dl"), F.explode_outer("t").alias("term")).groupBy("term", "chunk_id", "chunk_pos", "dl").agg(F.count("term").alias("tf"))
+    #: Ranges of terms, a frequent one over several. A chunk without tokens keeps one row, of no term: it counts among all chunks.
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    path = store.written(counted.repartitionByRange(ranges, "term", "chunk_id").sortWithinPartitions("term"), "postings")
+    postings = spark.read.parquet(path)
+    return {
+        "meta": chunks.drop("text"),
+        "postings": path,
+        "terms": postings.where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df")),
+        "totals": postings.select("chunk_id", "dl").distinct().agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")),
+    }
 
-def build_index(chunks: DataFrame) -> Index:
-    terms = chunks.select("chunk_id", F.explode(X.tokens(F.col("text"))).alias("term"))
-    lengths = chunks.select("chunk_id", F.size(X.tokens(F.col("text"))).alias("dl"))
-    return Index(chunks, terms, lengths, lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
+
+def build_index(chunks: DataFrame, key: str | None = None) -> Index:
+    """An index, built and stored. key: a name under which a later call in this application finds it again."""
+    return Index(chunks, **store.once(chunks.sparkSession, f"index {key or uuid.uuid4().hex}", lambda: index_tables(chunks)))
 
 
 def passes(chunks: DataFrame, filters: dict[str, list]) -> Column:
@@ -76,22 +88,21 @@ def top(scored: DataFrame, k: int, tie: str = "chunk_id") -> DataFrame:
 
 
 def bm25(index: Index, queries: DataFrame, k: int = 10, filters: dict[str, list] | None = None) -> DataFrame:
-    """qid, chunk_id, score, rank. Filters hold before ranking; a repeated query term counts each time."""
+    """qid, chunk_id, score, rank. Filters hold before ranking; a repeated query term counts each time; a query without tokens has no hits."""
     asked = queries.select("qid", F.explode(X.tokens(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    own = index.of(asked.select("term"))
-    chunks = index.chunks.where(passes(index.chunks, filters or {})).select("chunk_id", "chunk_pos")
+    postings = index.postings
+    if any((filters or {}).values()):
+        postings = postings.join(index.meta.where(passes(index.meta, filters)).select("chunk_id"), "chunk_id", "left_semi")
     met = (
-        own.postings.join(asked, "term")
-        .join(own.frequencies, "term")
-        .join(index.lengths, "chunk_id")
+        postings.join(asked.join(index.terms, "term"), "term")
         .join(F.broadcast(index.totals))
         .withColumn("part", F.col("qtf") * idf * weight)
-        .groupBy("qid", "chunk_id")
+        .groupBy("qid", "chunk_id", "chunk_pos")
         .agg(F.round(F.sum("part"), 6).alias("score"))
     )
-    return top(met.join(chunks, "chunk_id"), k, "chunk_pos").select("qid", "chunk_id", "score", "rank")
+    return top(met, k, "chunk_pos").select("qid", "chunk_id", "score", "rank")
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -178,6 +189,26 @@ def rerank(hits: DataFrame, queries: DataFrame, chunks: DataFrame, k: int, score
     return scored.withColumn("new_rank", F.row_number().over(w)).where(F.col("new_rank") <= k).drop("rank", "text", "query").withColumnRenamed("new_rank", "rank")
 
 
+def rerank_or_fused(hits: DataFrame, queries: DataFrame, chunks: DataFrame, k: int, scorer: Callable[[Column, Column], Column] = overlap_score) -> tuple[DataFrame, list[str]]:
+    """The reranked hits, or the fused order cut to k with a warning where the scorer fails or leaves a pair without a score."""
+    try:
+        out = store.stored(rerank(hits, queries, chunks, k, scorer), "reranked")
+        if out.where("rerank_score IS NULL").isEmpty():
+            return out, []
+        problem = "a pair has no score"
+    except Exception as e:  # noqa: BLE001  whatever a model outside the library raises
+        problem = type(e).__name__
+    return hits.where(F.col("rank") <= k).withColumn("rerank_score", F.lit(None).cast("double")), [f"rerank_skipped: {problem}"]
+
+
+def refuse_blank(queries: DataFrame) -> DataFrame:
+    """queries, unless one of them is blank, which is an error of whoever asks."""
+    blank = queries.where(F.coalesce(F.trim(F.regexp_replace("query", r"\s+", " ")), F.lit("")) == "")
+    if not blank.isEmpty():
+        raise ValueError(f"query {blank.first()['qid']} is blank")
+    return queries
+
+
 def search(index: Index, vectors: DataFrame, queries: DataFrame, config: SearchConfig | None = None) -> DataFrame:
     """The configured search: sparse, dense or hybrid, each list DEPTH times as deep as the result, then cut or reranked."""
     config = config or SearchConfig()
@@ -197,6 +228,32 @@ def search(index: Index, vectors: DataFrame, queries: DataFrame, config: SearchC
     return rerank(fused, queries, index.chunks, config.k) if config.rerank else fused
 
 
+def expanded(hits: DataFrame, config: SearchConfig, meta: DataFrame, seeds: DataFrame | None = None, edges: DataFrame | None = None, vertices: DataFrame | None = None) -> DataFrame:
+    """qid, chunk_id, rank, reason: hits with section neighbours, graph neighbours or both in the same number of places.
+
+    meta: chunk_id, doc_id, chunk_pos, section_path. Expansions share a budget, sections first; the weakest hits give way to them.
+    """
+    from veritide.operators import graph
+
+    if config.expand is None:
+        return hits.select("qid", "chunk_id", "rank", F.lit(None).cast("string").alias("reason"))
+    hits = store.stored(hits.select("qid", "chunk_id", "score", "rank"), "hits")
+    found = []
+    if config.expand in ("section", "both"):
+        near = graph.section_neighbours(hits, meta)
+        found.append(near.withColumn("_o", F.lit(0)).withColumn("_r", F.row_number().over(Window.partitionBy("qid").orderBy("chunk_id"))))
+    if config.expand in ("graph", "both"):
+        first = meta.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.min_by("chunk_id", "chunk_pos").alias("chunk_id"))
+        known = hits.join(meta.select("chunk_id", F.col("doc_id").cast("string").alias("doc_id")), "chunk_id").select("qid", "doc_id").distinct()
+        found.append(graph.expand(seeds, edges, vertices, first, known).select("qid", "chunk_id", "reason", F.lit(1).alias("_o"), F.col("rank").alias("_r")))
+    if not found:
+        raise ValueError(f"unknown expansion {config.expand}")
+    every = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    once = every.withColumn("_n", F.row_number().over(Window.partitionBy("qid", "chunk_id").orderBy("_o", "_r"))).where("_n = 1")
+    ordered = once.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("_o", "_r"))).select("qid", "chunk_id", "reason", "rank")
+    return graph.within_budget(hits, ordered, config.k).select("qid", "chunk_id", "rank", "reason")
+
+
 def search_degrading(attempts: list[Callable[[], DataFrame]]) -> tuple[DataFrame, list[str]]:
     """The first attempt that runs, and a warning for each that failed."""
     warnings: list[str] = []

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritide.operators import chunking
+from veritide.sources import store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,10 +37,25 @@ class Views:
         return self.t("benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
 
     def gold(self) -> DataFrame:
-        """Documents that hold a passage whole: a stated query set (the benchmark) against all documents, bounded by its checked size."""
-        q = self.queries()
-        docs = self.t("documents").select("doc_id", "text")
-        return docs.join(q, F.contains("text", "query")).select("qid", "doc_id")
+        """Documents that hold a passage whole.
+
+        A passage's longest inner word (with spaces on both sides) stands in any such document as a word, so passages meet
+        documents by it, and only those that meet are searched. Passages of one or two words are tried against all texts.
+        """
+
+        def make() -> dict[str, DataFrame]:
+            parts = F.split("query", " ")
+            inner = F.slice(parts, F.lit(2), F.greatest(F.lit(0), F.size(parts) - 2))
+            longest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
+            asked = self.queries().withColumn("word", F.when(F.size(inner) > 0, longest))
+            docs = self.t("documents").select("doc_id", "text")
+            words = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
+            met = words.join(asked.where("word IS NOT NULL"), "word").select("qid", "query", "doc_id")
+            found = met.join(docs, "doc_id").where(F.contains("text", "query")).select("qid", "doc_id")
+            short = docs.join(asked.where("word IS NULL").select("qid", "query"), F.contains("text", "query")).select("qid", "doc_id")
+            return {"gold": found.unionByName(short)}
+
+        return store.once(self.spark, f"gold {self.dir}", make)["gold"]
 
     def vectors(self) -> DataFrame:
         return self.t("embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), "vec_id", "embedding", "label")
