@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise
+from .common import materialise, tidy
 
 #: Fixed by the word rule [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing A-Z: other ASCII separates words.
 KEPT = b"0123456789abcdefghijklmnopqrstuvwxyz"
@@ -160,6 +160,7 @@ def _frequencies(docs: DataFrame, text: str, windows: Windows) -> tuple[np.ndarr
     """The block's shingles that stand in any document, sorted, and in how many places. A task sends at most a row a shingle."""
     shared = docs.sparkSession.sparkContext.broadcast(windows)
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         keys = w.all_shingles()
@@ -221,6 +222,7 @@ def _mark(df: DataFrame, text: str, windows: Windows) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(windows)
     into = T.StructType([*df.schema.fields, *RESULT])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, *_result(*_found(batch, text, shared.value))], names=into.names)
@@ -232,6 +234,7 @@ def _marks(rows: DataFrame, text: str, windows: Windows) -> DataFrame:
     """_rid, spans, items of the rows that one block hits, stored."""
     shared = rows.sparkSession.sparkContext.broadcast(windows)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, spans, items = _found(batch, text, shared.value)
@@ -251,6 +254,7 @@ def _all_marks(rows: DataFrame, text: str, marks: DataFrame) -> DataFrame:
     kept = met.columns[:-2]
     into = T.StructType([*(met.schema[c] for c in kept), *RESULT])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, items = (batch.column(k).to_pylist() for k in (batch.num_columns - 2, batch.num_columns - 1))

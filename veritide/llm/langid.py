@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidy
+
 PASSAGES, SPAN = 96, 400
 LANE, CHUNK = 512, 1 << 20
 ADDED = ("lang_pred", "score")
@@ -288,6 +290,7 @@ def identify(docs: DataFrame, parser: Parser, text: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(parser)
     into = T.StructType([*(docs.schema[c] for c in kept), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
         for batch in batches:

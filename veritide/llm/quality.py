@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidy
+
 PASSAGE, BUCKETS, HIDDEN, GATE = 48, 128, 24, 12
 SAMPLE_DOCS, LEARNED, EPOCHS, BATCH = 4000, 64, 12, 64
 CHUNK = 1 << 20
@@ -220,6 +222,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
     #: At most sample_docs rows of an id, a label and a text: bounded, whatever the tables hold.
     chosen = labelled.select("a", "b").distinct().orderBy("a", "b").limit(sample_docs)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("t")).cast(pa.large_binary())
@@ -240,6 +243,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     into = T.StructType([*(docs.schema[c] for c in kept), T.StructField("score", T.DoubleType())])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:

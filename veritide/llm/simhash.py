@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise
+from .common import materialise, tidy
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 #: The most fingerprints that are compared with each other in one step of a task.
@@ -65,6 +65,7 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) ->
     names = [c for c in docs.columns if c != text]
     into = T.StructType([*(docs.schema[c] for c in names), T.StructField("_fp", T.LongType())])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary())
@@ -126,6 +127,7 @@ def _value(fp, group: list[int]):
 def plan(distinct: DataFrame, radius: int = RADIUS) -> tuple[list[list[int]], list[int]]:
     """Partitions of the bits and their thresholds, by counts over all distinct fingerprints."""
 
+    @tidy
     def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros((BITS, BITS)), 0
         for batch in batches:
@@ -206,6 +208,7 @@ def links(distinct: DataFrame, groups: list[list[int]], thresholds: list[int], r
     key = ["part", "v", "low", "high"]
     met = met.repartition(max(1, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *key).sortWithinPartitions(*key)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def answer(part: dict[str, np.ndarray]) -> pa.RecordBatch:
             a, b = _bucket_links(part, radius)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, new_dir, tasks
+from .common import materialise, new_dir, tasks, tidy
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern that this vocabulary was made for.
@@ -159,6 +159,7 @@ def sequences(docs: DataFrame, tokenizer: Tokenizer, codec: Codec, length: int =
     shared = docs.sparkSession.sparkContext.broadcast((tokenizer, codec))
     into = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), *(T.StructField(n, t) for n, t in (("seq_no", T.LongType()), ("n_tokens", T.IntegerType()), ("packed", T.BinaryType()), ("_task", T.LongType()), ("_place", T.LongType())))])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (tok, code), task, place = shared.value, TaskContext.get().partitionId(), 0
         held: list[tuple] = []
@@ -230,6 +231,7 @@ def in_training_order(docs: DataFrame, tokenizer: Tokenizer | None = None, key:
     if uri is not None:
         into = _with_sums(into)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (_unpacked(b, code, fill) for b in batches)
         return rows if uri is None else _written(rows, uri)
@@ -266,6 +268,7 @@ class _Shards:
 def write_shards(ordered: DataFrame, uri: str) -> DataFrame:
     """Write ``shard-N.bin`` files of fixed stride; shard, n, bytes, sha256 of each."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards = _Shards(uri)
         at, parts, done = None, [], []
