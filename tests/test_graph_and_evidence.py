@@ -99,7 +99,7 @@ def test_conflicts(spark):
 def test_assertions_belong_to_the_nearest_place(spark):
     text = "Blackford lies north. | Founded | 159 AS | Cindermere Hold is old. | Founded | 246AS | The Edge has no attunement cost. Garrison strength of **1,114** men."
     rows = spark.createDataFrame([("c", "d", 1, ["Edge"], text), ("c", "d", 1, ["Edge"], text)], "chunk_id string, doc_id string, authority_tier int, section_path array<string>, text string")
-    names = [("Blackford", "Location"), ("Cindermere Hold", "Location"), ("Edge", "Artifact")]
+    names = spark.createDataFrame([("Blackford", "Location"), ("Cindermere Hold", "Location"), ("Edge", "Artifact")], "name string, type string")
     got = {(r.entity, r.attribute, r.value) for r in evidence.assertions(rows, names).collect()}
     assert got == {("Blackford", "founding year", "159 AS"), ("Cindermere Hold", "founding year", "246 AS"), ("Edge", "attunement cost", "none recorded"), ("Cindermere Hold", "garrison strength", "1114")}
 

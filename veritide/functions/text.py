@@ -183,3 +183,13 @@ def point_id(namespace: bytes, key: Column) -> Column:
     part = lambda a, n: F.substring(h, a, n)
     variant = F.lower(F.hex(F.conv(part(17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)))
     return F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("5"), part(14, 3)), F.concat(variant, part(18, 3)), part(21, 12))
+
+
+def iso_time(ts: Column) -> Column:
+    """A UTC time as text, to the second, with its offset."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def elapsed_ms(begin: Column, end: Column) -> Column:
+    """Whole milliseconds from one time to another."""
+    return F.floor((F.unix_micros(end.cast("timestamp")) - F.unix_micros(begin.cast("timestamp"))) / 1000)

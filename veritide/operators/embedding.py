@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,15 +27,24 @@ class Embedder:
 
 
 def hashing(size: int = 64) -> Embedder:
-    """Counts of tokens by the first 32 bits of their MD5 modulo size, of length 1. Expressions only, so the same on every machine."""
+    """Counts of index tokens by the first 32 bits of their MD5 modulo size, of length 1: the same on every machine."""
+    token = re.compile(X.TOKEN)
 
-    def embed(text: Column) -> Column:
-        places = F.transform(X.tokens(text), lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(size)))
-        counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(places, lambda p: p == k)).cast("double"))
-        norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-        return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def run(texts: pd.Series) -> pd.Series:
+        known: dict[str, int] = {}
+
+        def one(text: str) -> np.ndarray:
+            words = token.findall(text.lower())
+            for w in words:
+                if w not in known:
+                    known[w] = int(hashlib.md5(w.encode(), usedforsecurity=False).hexdigest()[:8], 16) % size
+            counts = np.bincount([known[w] for w in words], minlength=size).astype(float) if words else np.zeros(size)
+            return counts / max(np.sqrt((counts**2).sum()), 1e-300)
+
+        return pd.Series([one(t or "") for t in texts])
 
-    return Embedder(f"hashing-{size}", size, embed)
+    return Embedder(f"hashing-{size}", size, run)
 
 
 def of_model(name: str, size: int, batch: Callable[[list[str]], list], query_prefix: str = "") -> Embedder:

@@ -88,6 +88,13 @@ def profile(pages: DataFrame, keys: list[str]) -> DataFrame:
     return pages.groupBy(*keys).agg(n.alias("pages"), F.sum("chars").alias("chars"), (F.count_if(kind == "scanned") / n).alias("scanned_share"), (F.count_if(kind == "sparse") / n).alias("sparse_share"))
 
 
+def worst(pages: DataFrame, most: int = 25) -> tuple[DataFrame, DataFrame]:
+    """(files that could not be read, files that mostly need recognition), the first by path and the first by their share of scanned pages. pages: path, chars, error."""
+    scanned = F.count_if(X.scan_class(F.col("chars")) == "scanned")
+    by = pages.groupBy("path").agg(F.max("error").alias("error"), F.count("*").alias("pages"), (scanned / F.count("*")).alias("scanned_share"))
+    return by.where("error IS NOT NULL").orderBy("path").limit(most).select("path", "error"), by.where("error IS NULL AND scanned_share > 0.5").orderBy(F.desc("scanned_share"), F.desc("pages"), "path").limit(most).select("path", "pages", "scanned_share")
+
+
 def verdict(scanned_share: Column) -> Column:
     """What a share of scanned pages means for reading a corpus."""
     return F.when(scanned_share < 0.05, "text").when(scanned_share < 0.3, "mixed").otherwise("needs recognition")
@@ -170,3 +177,21 @@ def docx_blocks(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     parsed = files.select("doc_id", "content").mapInPandas(run, "doc_id string, ord int, block_type string, text string, section_path array<string>, error string")
     blocks = parsed.where("error IS NULL").drop("error").withColumn("block_type", F.when((F.col("block_type") == "text") & X.is_caption(F.col("text")), "caption").otherwise(F.col("block_type")))
     return blocks, parsed.where("error IS NOT NULL").select("doc_id", "error")
+
+
+def run(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(blocks, files set aside, counters a document) of files (path, text, content), each by the scan that its ending and head ask for.
+
+    text: what the file holds if it is plain, content: its bytes. A file that no scan reads or that does not parse is set aside.
+    """
+    from veritide.operators import chunking
+
+    named = files.withColumn("doc_id", X.document_id(F.col("path"))).withColumn("reader", reader_for(F.col("path"), F.col("text")))
+    read = {"markdown": chunking.markdown_blocks, "text": chunking.text_blocks}
+    parts = [scan(named.where(F.col("reader") == kind)) for kind, scan in read.items()]
+    pages, dead = docx_blocks(named.where("reader = 'docx'"))
+    columns = ["doc_id", "ord", "block_type", "text", "section_path"]
+    blocks = parts[0].select(columns).unionByName(parts[1].select(columns)).unionByName(pages.select(columns))
+    unread = named.where("reader IS NULL OR reader = 'pdf'").select("path", F.when(F.col("reader").isNull(), "no scan reads it").otherwise("needs a parser outside the library").alias("error"))
+    broken = dead.join(named.where("reader = 'docx'").select("doc_id", "path"), "doc_id").select("path", "error")
+    return blocks, unread.unionByName(broken), block_counts(blocks)

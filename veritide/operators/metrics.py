@@ -140,3 +140,16 @@ def review_summary(reviews: DataFrame, expected: DataFrame) -> DataFrame:
     known = reviews.join(expected.select("item_id", F.lit(True).alias("_k")).distinct(), "item_id", "left")
     n = expected.select("item_id").distinct().count()
     return known.agg(F.avg(F.when(F.col("_k"), F.col("score"))).alias("mean"), (F.count_distinct(F.when(F.col("_k"), F.col("item_id"))) / F.lit(max(n, 1))).alias("complete"), (F.count("*") - F.count_distinct("item_id")).alias("repeated"), F.count_if(F.col("_k").isNull()).alias("unknown"))
+
+
+def recent(traces: DataFrame, n: int, at: str = "created_at", key: str = "trace") -> DataFrame:
+    """The newest traces, newest first."""
+    return traces.orderBy(F.desc(at), F.col(key)).limit(n)
+
+
+def novelty(steps: DataFrame) -> DataFrame:
+    """trace, step, found, new_docs, seen: how many documents each step gave, and how many of them no earlier step had. steps: trace, step, doc_id."""
+    first = steps.groupBy("trace", "doc_id").agg(F.min("step").alias("step")).groupBy("trace", "step").agg(F.count("*").alias("new_docs"))
+    found = steps.groupBy("trace", "step").agg(F.count_distinct("doc_id").alias("found"))
+    w = Window.partitionBy("trace").orderBy("step")
+    return found.join(first, ["trace", "step"], "left").withColumn("new_docs", F.coalesce("new_docs", F.lit(0))).withColumn("seen", F.sum("new_docs").over(w))

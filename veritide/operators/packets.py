@@ -46,8 +46,9 @@ def figures(claims: DataFrame, quotes: DataFrame, assets: DataFrame) -> DataFram
     wanted = claims.select("trace_id", "ord", F.col("text").alias("claim"), "question", F.explode("asset_ids").alias("asset_id")).join(assets, "asset_id")
     scored = answers.score_assets(wanted).where(F.col("score") >= FIGURE_SCORE)
     met = scored.join(quotes, ["trace_id", "ord"]).where(F.array_contains("shown", F.col("asset_id")))
-    names_it = F.contains(F.concat(F.lit(" "), X.words(F.col("quote")), F.lit(" ")), F.concat(F.lit(" "), F.regexp_replace(X.words(F.col("subject")), "^the ", ""), F.lit(" ")))
-    return met.where(names_it & evidence.bound_value(F.col("values"), F.col("claim"), F.col("quote"), F.col("subject"))).select("trace_id", "ord", "asset_id").distinct()
+    subject = F.regexp_replace(X.words(F.col("subject")), "^the ", "")
+    names_it = F.contains(F.concat(F.lit(" "), X.words(F.col("quote")), F.lit(" ")), F.concat(F.lit(" "), subject, F.lit(" ")))
+    return met.where(names_it & evidence.bound_value(F.col("values"), F.col("claim"), F.col("quote"), subject)).select("trace_id", "ord", "asset_id").distinct()
 
 
 def accept(claims: DataFrame, chunks: DataFrame, assets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -470,13 +470,17 @@ def conflict_resolution(v):
     return evidence.conflicts(v.claims()).select("entity", "resolution", "rationale")
 
 
-@query("SELECT p_partkey AS chunk_id, 'Keep ' || p_partkey AS entity, 'garrison strength' AS attribute, cast(p_size AS varchar) AS value FROM part")
+@query("""WITH t AS (SELECT p_partkey, [' Keep ' || p_partkey || ' ', ' Keep 1 ', ' Order of Nowhere '] AS names, 'Keep 1. Order of Nowhere. Then Keep ' || p_partkey || CASE WHEN p_partkey % 3 = 0 THEN repeat('; and so on', 50) ELSE '' END || ':' || chr(10) AS lead, p_size FROM part)
+    SELECT p_partkey AS chunk_id, CASE WHEN contains(right(lead, 400), 'Keep ' || p_partkey) THEN 'Keep ' || p_partkey ELSE 'Hall of ' || p_size END AS entity, 'garrison strength' AS attribute, cast(p_size AS varchar) AS value FROM t""")
 def assertion_extract(v):
-    """A gazetteer entry a part: a place that is too far up, another kind of thing, the place, a cell. The nearest place before the value owns it."""
+    """A gazetteer entry a part: a place that is too far up, another kind of thing, the place, a cell. The nearest place before the value owns it, or else the section's."""
     k = F.col("p_partkey").cast("string")
-    text = F.concat(F.lit("Keep 1. Order of Nowhere. Then Keep "), k, F.lit(":\n| Garrison strength | "), F.col("p_size").cast("string"), F.lit(" troops |\n"))
-    names = [(f"Keep {r[0]}", "Location") for r in v.t("part").select("p_partkey").distinct().collect()] + [("Order of Nowhere", "Faction")]
-    rows = v.t("part").select(k.alias("chunk_id"), F.lit("d").alias("doc_id"), F.lit(2).alias("authority_tier"), F.array(F.lit("Nowhere")).alias("section_path"), text.alias("text"))
+    far = F.when(F.col("p_partkey") % 3 == 0, F.repeat(F.lit("; and so on"), 50)).otherwise("")
+    text = F.concat(F.lit("Keep 1. Order of Nowhere. Then Keep "), k, far, F.lit(":\n| Garrison strength | "), F.col("p_size").cast("string"), F.lit(" troops |\n"))
+    hall = F.concat(F.lit("Hall of "), F.col("p_size").cast("string"))
+    names = v.t("part").select(F.concat(F.lit("Keep "), k).alias("name"), F.lit("Location").alias("type")).unionByName(v.t("part").select(hall.alias("name"), F.lit("Location").alias("type")).distinct())
+    names = names.unionByName(v.spark.createDataFrame([("Order of Nowhere", "Faction")], "name string, type string"))
+    rows = v.t("part").select(k.alias("chunk_id"), F.lit("d").alias("doc_id"), F.lit(2).alias("authority_tier"), F.array(F.lit("Unheard"), hall).alias("section_path"), text.alias("text"))
     return evidence.assertions(rows, names).select(F.col("chunk_id").cast("long").alias("chunk_id"), "entity", "attribute", "value")
 
 
