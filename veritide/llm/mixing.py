@@ -23,7 +23,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, tasks
+from .common import WORD, materialise
 
 ADDED = ("size", "source_size", "target", "copies", "taken")
 #: Units that meet in one block, on average.
@@ -38,11 +38,10 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...], share: float, m
     among the others, until no further source is capped; a round is one aggregate over the stored sources. Sources are numbered
     within ranges of a distributed sort, so none of this gathers them, be they tens or all hosts of a crawl.
     """
-    spark = sized.sparkSession
     sizes = sized.groupBy("_source", "_null").agg(F.sum("size").alias("source_size")).withColumn("_key", F.col("_source").cast("binary"))
     order = ("_null", "_key")
     #: The id is the range and the place in it, in the order of the sort.
-    sorted_ = sizes.repartitionByRange(tasks(spark), *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    sorted_ = sizes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
     numbered = materialise(sorted_.withColumn("_range", F.shiftright("_id", 33)).withColumn("_place", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))), "mixsources")
     counts = sorted(numbered.groupBy("_range").count().collect())
     first = dict(zip((r["_range"] for r in counts), accumulate((r["count"] for r in counts), initial=0), strict=False))
@@ -139,7 +138,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     )
     #: (source, id, size) and how many rows. All that is gathered works on this, without texts.
     slim = materialise(sized.groupBy(*KEY).agg(F.count("*").alias("_rows")), "mixrows")
-    per_source = materialise(source_targets(slim.withColumn("size", F.col("size") * F.col("_rows")), weights, share, max_repeat), "mixsources")
+    per_source = source_targets(slim.withColumn("size", F.col("size") * F.col("_rows")), weights, share, max_repeat)
     units = (
         slim.join(per_source.withColumnsRenamed({"_source": "s_source", "_null": "s_null"}), (F.col("_null") == F.col("s_null")) & F.col("_source").eqNullSafe(F.col("s_source")))
         .drop("s_source", "s_null")
