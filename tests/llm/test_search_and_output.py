@@ -168,11 +168,15 @@ def test_query_and_stage_write_every_shard(spark, tmp_path, monkeypatch):
 
 
 def test_rows_go_through_shards(spark, tmp_path):
+    """In one wave or in more waves than shards, files and rows are the same."""
     docs = spark.createDataFrame([(i, f"text {i} " * (i % 40)) for i in range(300)], "doc_id long, text string").repartition(3)
     ordered = tokens.in_training_order(docs, length=32, per_shard=7)
-    uri = f"file://{tmp_path}/a"
-    rows = sorted(tokens.through_shards(ordered, uri).collect(), key=lambda r: r.slot)
-    assert [r[:7] for r in rows] == sorted(tuple(r) for r in ordered.collect())
-    assert [x.tobytes() for x in tokens.read_slots(uri, 0, 7, 32)] == [r.tokens for r in rows]
-    manifest = {m.shard: (m.bytes, m.sha256) for m in tokens.write_shards(ordered, uri).collect()}
-    assert {r.shard: (r.bytes, r.sha256) for r in rows} == manifest
+    manifest = {m.shard: (m.bytes, m.sha256) for m in tokens.write_shards(ordered, f"file://{tmp_path}/whole").collect()}
+    for waves in (1, 4, 500):
+        uri = f"file://{tmp_path}/{waves}"
+        rows = sorted(tokens.to_shards(docs, uri, length=32, per_shard=7, waves=waves).collect(), key=lambda r: r.slot)
+        assert [r[:7] for r in rows] == sorted(tuple(r) for r in ordered.collect())
+        assert [x.tobytes() for x in tokens.read_slots(uri, 0, 7, 32)] == [r.tokens for r in rows]
+        assert {r.shard: (r.bytes, r.sha256) for r in rows} == manifest
+    assert tokens.to_shards(docs.limit(0)).count() == 0
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"

@@ -23,12 +23,13 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,7 +38,7 @@ from .common import materialise, new_dir, tasks, tidy
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern that this vocabulary was made for.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LENGTH, PER_SHARD, ROUNDS = 512, 8192, 6
+LENGTH, PER_SHARD, ROUNDS, WAVES = 512, 8192, 6, 4
 #: Characters in a run of a long text; texts and characters of each that the dictionary is made from, and its bytes.
 RUN, DICT_DOCS, DICT_CHARS, DICT_BYTES = 1 << 20, 400, 20_000, 1 << 18
 #: A space between two words belongs to the second: no token lies across its left side.
@@ -186,9 +187,8 @@ def sequences(docs: DataFrame, tokenizer: Tokenizer, codec: Codec, length: int =
     return docs.select(doc_id, text).mapInArrow(run, into)
 
 
-def _placed(docs: DataFrame, tokenizer: Tokenizer, code: Codec, key: int, length: int, per_shard: int, text: str, doc_id: str) -> DataFrame:
-    """slot, shard, offset, doc_id, seq_no, n_tokens, packed; partitioned by ranges of whole shards, sorted by slot."""
-    spark = docs.sparkSession
+def _numbered(docs: DataFrame, tokenizer: Tokenizer, code: Codec, key: int, length: int, per_shard: int, text: str, doc_id: str) -> tuple[DataFrame, int]:
+    """(slot, shard, offset, doc_id, seq_no, n_tokens, packed as stored, not in order; the number of sequences)."""
     stored = materialise(sequences(docs, tokenizer, code, length, text, doc_id), "sequences")
     counts = stored.groupBy("_task").agg(F.count("*").alias("_n"))
     counts = materialise(counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))), "seqcounts")
@@ -201,13 +201,16 @@ def _placed(docs: DataFrame, tokenizer: Tokenizer, code: Codec, key: int, length
 
         return pd.Series(order.slots(index.to_numpy()))
 
-    shards = max(1, -(-n // per_shard))
-    #: A range of slots a partition: whole shards, about half a gigabyte at most.
-    ranges = min(shards, max(tasks(spark), -(-n * 2 * length // (512 << 20))))
     shard: Column = F.floor(F.col("slot") / per_shard)
     numbered = stored.join(counts.select(F.col("_task").alias("_t"), "_before"), F.col("_task") == F.col("_t")).withColumn("slot", slot(F.col("_before") + F.col("_place")))
-    placed = numbered.select("slot", shard.alias("shard"), (F.pmod("slot", F.lit(per_shard)) * 2 * length).alias("offset"), "doc_id", "seq_no", "n_tokens", "packed")
-    return placed.repartitionById(ranges, F.floor(F.col("shard") * ranges / shards).cast("int")).sortWithinPartitions("slot")
+    return numbered.select("slot", shard.alias("shard"), (F.pmod("slot", F.lit(per_shard)) * 2 * length).alias("offset"), "doc_id", "seq_no", "n_tokens", "packed"), n
+
+
+def _ranged(numbered: DataFrame, first: int, last: int, length: int, per_shard: int, least: int) -> DataFrame:
+    """The rows of the shards from first up to last, partitioned by ranges of whole shards, sorted by slot. A range holds about half a gigabyte at most."""
+    some = max(1, last - first)
+    ranges = min(some, max(least, -(-some * per_shard * 2 * length // (512 << 20))))
+    return numbered.repartitionById(ranges, F.floor((F.col("shard") - first) * ranges / some).cast("int")).sortWithinPartitions("slot")
 
 
 def _unpacked(batch: pa.RecordBatch, code: Codec, fill: bytes) -> pa.RecordBatch:
@@ -218,25 +221,25 @@ def _unpacked(batch: pa.RecordBatch, code: Codec, fill: bytes) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(tokens, pa.binary())], names=[*batch.schema.names[:-1], "tokens"])
 
 
-def in_training_order(docs: DataFrame, tokenizer: Tokenizer | None = None, key: int = 20240601, length: int = LENGTH, per_shard: int = PER_SHARD, text: str = "text", doc_id: str = "doc_id", uri: str | None = None) -> DataFrame:
-    """slot, shard, offset (byte in the shard), doc_id, seq_no, n_tokens, tokens; partitioned by ranges of whole shards, sorted by slot.
-
-    With a uri, shards are written there as their rows are read; rows then have bytes and sha256 of their shard's file too.
-    """
+def in_training_order(docs: DataFrame, tokenizer: Tokenizer | None = None, key: int = 20240601, length: int = LENGTH, per_shard: int = PER_SHARD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """slot, shard, offset (byte in the shard), doc_id, seq_no, n_tokens, tokens; partitioned by ranges of whole shards, sorted by slot."""
     tokenizer = tokenizer or Tokenizer()
     code = codec(docs, tokenizer, length, text)
-    placed = _placed(docs, tokenizer, code, key, length, per_shard, text, doc_id)
+    numbered, n = _numbered(docs, tokenizer, code, key, length, per_shard, text, doc_id)
+    return _whole(_ranged(numbered, 0, -(-n // per_shard), length, per_shard, tasks(docs.sparkSession)), tokenizer, code, length)
+
+
+def _whole(packed: DataFrame, tokenizer: Tokenizer, code: Codec, length: int) -> DataFrame:
+    """packed with tokens of full length in place of its column packed."""
     fill = np.full(length, tokenizer.end, "<u2").tobytes()
-    into = T.StructType([*placed.schema.fields[:-1], T.StructField("tokens", T.BinaryType())])
-    if uri is not None:
-        into = _with_sums(into)
+    columns = [*(c for c in packed.columns if c != "packed"), "packed"]
+    into = T.StructType([*(packed.schema[c] for c in columns[:-1]), T.StructField("tokens", T.BinaryType())])
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (_unpacked(b, code, fill) for b in batches)
-        return rows if uri is None else _written(rows, uri)
+        return (_unpacked(b, code, fill) for b in batches)
 
-    return placed.mapInArrow(run, into)
+    return packed.select(columns).mapInArrow(run, into)
 
 
 class _Shards:
@@ -265,64 +268,74 @@ class _Shards:
         return shard, len(parts), len(body), digest
 
 
-def write_shards(ordered: DataFrame, uri: str) -> DataFrame:
-    """Write ``shard-N.bin`` files of fixed stride; shard, n, bytes, sha256 of each."""
-
-    @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards = _Shards(uri)
-        at, parts, done = None, [], []
-        for batch in batches:
-            for s, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if s != at and parts:
-                    done.append(shards.close(at, parts))
-                    parts = []
-                at = s
-                parts.append(t.as_py())
-        if parts:
-            done.append(shards.close(at, parts))
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done, strict=True) if done else [[]] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["shard", "n", "bytes", "sha256"])
-
-    return materialise(ordered.select("shard", "tokens").mapInArrow(run, "shard long, n long, bytes long, sha256 string"), "shards")
-
-
-def _with_sums(schema: T.StructType) -> T.StructType:
-    return T.StructType([*schema, T.StructField("bytes", T.LongType()), T.StructField("sha256", T.StringType())])
-
-
 def _written(batches: Iterator[pa.RecordBatch], uri: str) -> Iterator[pa.RecordBatch]:
-    """The batches, each row with bytes and sha256 of the shard file that it was written to. A shard is held at a time."""
-    shards, at, held = _Shards(uri), None, []
+    """shard, n, bytes, sha256 of each shard that the batches (shard, tokens; in order) are written to. A shard is held at a time."""
+    shards, at, held, done = _Shards(uri), None, [], []
 
-    def close() -> Iterator[pa.RecordBatch]:
-        _, _, size, digest = shards.close(at, [t.as_py() for b in held for t in b.column("tokens")])
-        while held:
-            b = held.pop(0)
-            n = b.num_rows
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([size] * n, pa.int64()), pa.array([digest] * n)], names=[*b.schema.names, "bytes", "sha256"])
+    def close() -> None:
+        if held:
+            done.append(shards.close(at, [t.as_py() for c in held for t in c]))
+            held.clear()
 
     for batch in batches:
-        own = batch.column(batch.schema.get_field_index("shard")).to_numpy()
+        own, tokens = batch.column(batch.schema.get_field_index("shard")).to_numpy(), batch.column(batch.schema.get_field_index("tokens"))
         cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if a == b:
                 continue
-            if own[a] != at and held:
-                yield from close()
+            if own[a] != at:
+                close()
             at = int(own[a])
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield from close()
+            held.append(tokens.slice(a, b - a))
+    close()
+    columns = zip(*done, strict=True) if done else [[]] * 4
+    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["shard", "n", "bytes", "sha256"])
+
+
+MANIFEST = "shard long, n long, bytes long, sha256 string"
 
 
-def through_shards(ordered: DataFrame, uri: str) -> DataFrame:
-    """The rows of in_training_order, each with bytes and sha256 of the shard file that it was written to."""
-    return ordered.mapInArrow(lambda batches: _written(batches, uri), _with_sums(ordered.schema))
+def write_shards(ordered: DataFrame, uri: str) -> DataFrame:
+    """Write ``shard-N.bin`` files of fixed stride from in_training_order(); shard, n, bytes, sha256 of each."""
+    return materialise(ordered.select("shard", "tokens").mapInArrow(tidy(lambda batches: _written(batches, uri)), MANIFEST), "shards")
+
+
+@contextmanager
+def _shuffles_end_with_their_job(spark: SparkSession) -> Iterator[None]:
+    """While this holds, what a write has shuffled is deleted once it is written, not when the driver's memory is next tidied."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
-def to_shards(docs: DataFrame) -> DataFrame:
-    """The whole job: shard files in the shared folder, and in_training_order's rows with the files' bytes and sums."""
-    return in_training_order(docs, uri=new_dir(docs.sparkSession, "training"))
+def to_shards(docs: DataFrame, uri: str | None = None, tokenizer: Tokenizer | None = None, key: int = 20240601, length: int = LENGTH, per_shard: int = PER_SHARD, waves: int = WAVES, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The whole job: shard files under uri (a folder in the shared one, if None), and in_training_order's rows, not in order, with bytes and sha256 of their shard's file.
+
+    Shards are written in waves: each shuffles and sorts the sequences of a run of shards, so shuffled data never hold more than
+    one wave's, and after a failure whole waves of files are there already.
+    """
+    spark, tokenizer = docs.sparkSession, tokenizer or Tokenizer()
+    uri = uri or new_dir(spark, "training")
+    code = codec(docs, tokenizer, length, text)
+    numbered, n = _numbered(docs, tokenizer, code, key, length, per_shard, text, doc_id)
+    shards = -(-n // per_shard)
+    bounds = [shards * w // waves for w in range(waves + 1)]
+    manifest = None
+    with _shuffles_end_with_their_job(spark):
+        for first, last in zip(bounds[:-1], bounds[1:], strict=True):
+            if first < last:
+                some = numbered.where((F.col("shard") >= first) & (F.col("shard") < last)).select("slot", "shard", "packed")
+                own = write_shards(_whole(_ranged(some, first, last, length, per_shard, tasks(spark)), tokenizer, code, length), uri)
+                manifest = own if manifest is None else manifest.unionByName(own)
+    if manifest is None:
+        manifest = spark.createDataFrame([], MANIFEST)
+    sums = manifest.select(F.col("shard").alias("_shard"), "bytes", "sha256")
+    rows = _whole(numbered.join(sums, F.col("shard") == F.col("_shard")).drop("_shard"), tokenizer, code, length)
+    return rows.select("slot", "shard", "offset", "doc_id", "seq_no", "n_tokens", "tokens", "bytes", "sha256")
 
 
 def read_slots(uri: str, start: int = 0, per_shard: int = PER_SHARD, length: int = LENGTH) -> Iterator[np.ndarray]:
