@@ -67,6 +67,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The targets that op8 mixes to, a row a source."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.groupBy("source").agg(F.first("source_size").alias("source_size"), F.round(F.first("target"), 3).alias("target"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.group(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fingerprint", "component_id")
 
@@ -104,6 +110,15 @@ best AS (SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN best USING (page_id)
 """
 
+#: The level at which all targets add up, from running sums in the order in which sources reach their caps.
+TARGETS_SQL = """
+WITH s AS (SELECT source, sum(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')))::bigint AS source_size FROM documents GROUP BY 1),
+w AS (SELECT *, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1]::double AS weight, 2.0 * source_size AS cap FROM s),
+l AS (SELECT *, cap / weight AS reach, (1.5 * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+f AS (SELECT *, (SELECT arg_min(level, reach) FROM l x WHERE x.level <= x.reach) AS final FROM l)
+SELECT source, source_size, round(least(cap, coalesce(final, 'inf'::double) * weight), 3) AS target FROM f
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_lm_score": op2_lm_score,
@@ -115,5 +130,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
     "op10_langid": op10_langid,
+    "mixing_targets": mixing_targets,
 }
-ORACLE_SQL: dict[str, str] = {"op5_sharding": OP5_SQL, "op6_decontaminate": OP6_SQL, "op7_url_filter": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_sharding": OP5_SQL, "op6_decontaminate": OP6_SQL, "op7_url_filter": OP7_SQL, "mixing_targets": TARGETS_SQL}
