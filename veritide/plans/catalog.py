@@ -771,7 +771,7 @@ def review_summary(v):
     return metrics.review_summary(v.t("labels").select(F.col("doc_id").alias("item_id"), F.col("quality").alias("score")), v.t("documents").select(F.col("doc_id").alias("item_id")))
 
 
-# ---- folds: no SQL, held against plain models in the tests --------------------------------------------------------
+# ---- folds: the chunker has no SQL and is held against plain models in the tests --------------------------------------------------------
 
 
 def typed_blocks(v):
@@ -796,7 +796,15 @@ def chunk_sweep(v):
     return out
 
 
-@query()
+#: Sentences, then a fold over them: a part is closed by the sentence that would take it above the target.
+PACKING_SQL = """WITH RECURSIVE s AS (SELECT doc_id, unnest(l) AS x, unnest(range(len(l))) AS k FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])["''”’]?[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(1), 'g'), chr(1)) AS l FROM documents)),
+    w AS (SELECT doc_id, k, length(x) AS chars, greatest(1, length(x) // 4) AS n FROM s),
+    f AS (SELECT doc_id, k, 1 AS parts, 0 AS largest, chars, n AS size FROM w WHERE k = 0
+        UNION ALL SELECT w.doc_id, w.k, CASE WHEN f.size + w.n > 100 THEN f.parts + 1 ELSE f.parts END, CASE WHEN f.size + w.n > 100 THEN greatest(f.largest, greatest(1, f.chars // 4)) ELSE f.largest END, CASE WHEN f.size + w.n > 100 THEN w.chars ELSE f.chars + 1 + w.chars END, CASE WHEN f.size + w.n > 100 THEN w.n ELSE f.size + w.n END FROM f JOIN w ON w.doc_id = f.doc_id AND w.k = f.k + 1)
+    SELECT doc_id, CASE WHEN greatest(1, length(text) // 4) <= 100 THEN 1 ELSE parts END AS parts, CASE WHEN greatest(1, length(text) // 4) <= 100 THEN greatest(1, length(text) // 4) ELSE greatest(largest, greatest(1, chars // 4)) END AS largest FROM documents JOIN (SELECT doc_id, arg_max(parts, k) AS parts, arg_max(largest, k) AS largest, arg_max(chars, k) AS chars FROM f GROUP BY 1) USING (doc_id)"""
+
+
+@query(PACKING_SQL)
 def sentence_packing(v):
     return v.t("documents").select("doc_id", chunking.pack_sentences(F.col("text"), 100).alias("p")).select("doc_id", F.size("p").alias("parts"), F.array_max(F.transform("p", X.token_estimate)).alias("largest"))
 
