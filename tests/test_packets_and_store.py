@@ -135,3 +135,103 @@ def test_names_meet_texts_only_where_one_begins(spark):
     vertices = spark.createDataFrame([("e0", "Old Keep", "Location", [], [])], "entity_id string, name string, type string, aliases array<string>, doc_ids array<string>")
     texts = spark.createDataFrame([(1, "the old keep, the old hold"), (2, "older keep"), (3, "")], "qid int, query string")
     assert [(r.qid, r["at"]) for r in graph.mentions(texts, vertices).collect()] == [(1, 2)]
+
+
+def plain_pdf(lines, sizes):
+    """Blocks of (page, line, text, size, bold), read in order with a stack of titles."""
+    out, path, seen, held, page = [], [], set(), [], None
+
+    def flush():
+        if held:
+            out.append(("text", " ".join(held), list(path), page))
+            held.clear()
+
+    chars = {}
+    for p, _, text, *_ in lines:
+        chars[p] = chars.get(p, 0) + len(text)
+    for p, _, text, size, bold in lines:
+        if chars[p] < 50:
+            continue
+        if p != page:
+            flush()
+            page = p
+        sized = size in sizes
+        if sized or (bold and len(text) <= 80 and text[-1] not in ".,;:!?"):
+            flush()
+            if sized:
+                seen.add(size)
+            path = [*path[: sum(s > size for s in seen) if sized else len(path)], text]
+            out.append(("heading", text, list(path), p))
+        else:
+            held.append(text)
+    flush()
+    return out, sorted(p for p, n in chars.items() if n < 50)
+
+
+def test_pdf_spans_equal_a_plain_reader(spark):
+    import random
+
+    r = random.Random(2)
+    lines, spans = [], []
+    for page in range(1, 9):
+        for line in range(1 if page == 5 else 14):
+            size, bold = r.choice([(10.0, False)] * 6 + [(10.0, True), (14.0, False), (18.0, False)])
+            text = f"Title {page} {line}" if size > 10 or bold else f"words of page {page} and line {line} go on and on" + r.choice([".", ""])
+            text = "x" if page == 5 else text
+            lines.append((page, line, text, size, bold))
+            cut = len(text) // 2
+            spans += [("d", page, line, 0, text[:cut], size, bold, 1.0, line * 2.0, 5.0, line * 2.0 + 1), ("d", page, line, 1, text[cut:], size - 0.01, bold, 5.0, line * 2.0, 9.0, line * 2.0 + 1), ("d", page, line, 2, " ", 10.0, False, 0.0, 0.0, 99.0, 99.0)]
+    df = spark.createDataFrame(spans, "doc_id string, page int, line int, at int, text string, size double, bold boolean, x0 double, y0 double, x1 double, y1 double")
+    blocks, scanned = ingest.pdf_blocks(df)
+    got = blocks.orderBy("ord").collect()
+    want, without = plain_pdf(lines, {14.0, 18.0})
+    assert [(b.block_type, b.text, b.section_path, b.page) for b in got] == want and [r.page for r in scanned.collect()] == without == [5]
+    assert all(b.bbox[0] == 1.0 and b.bbox[2] == 9.0 and b.bbox[1] < b.bbox[3] <= 29 for b in got) and [b.ord for b in got] == list(range(len(got)))
+
+
+def test_saved_graphs_and_indexes(spark, tmp_path):
+    v = Views(spark, SF)
+    root = f"file://{tmp_path}/g"
+    graph.save(v.entities(), v.places(), root)
+    graph.save(v.entities().limit(3), v.places(), root)
+    entities, relations = graph.load(spark, root)
+    assert entities.count() == 3 and relations.count() == v.places().count()
+    index = retrieval.build_index(v.chunks(), f"chunks {SF}")
+    retrieval.save_index(index, f"file://{tmp_path}/i")
+    again = retrieval.load_index(v.chunks(), f"file://{tmp_path}/i")
+    rows = lambda i: sorted(map(tuple, retrieval.bm25(i, v.queries()).collect()))
+    assert rows(index) == rows(again) and again.size == index.size
+
+
+def test_paths_between_names(spark):
+    v = Views(spark, SF)
+    asked = spark.createDataFrame([(1, "ent_supplier_1", "ent_region_0"), (2, "ent_supplier_1", "nowhere at all")], "qid int, ref string, to string")
+    found, lost = graph.act("graph_paths", asked, v.places(), v.entities(), 4)
+    assert [r.qid for r in lost.collect()] == [2] and {r.qid for r in found.collect()} <= {1}
+    with pytest.raises(ValueError, match="unknown action"):
+        graph.act("graph_walk", asked, v.places(), v.entities())
+
+
+def test_caches_traces_and_records(spark):
+    from veritide.operators import metrics
+
+    cache = spark.createDataFrame([("a", "1", 1), ("a", "2", 2)], "key string, value string, created_at int")
+    asked = spark.createDataFrame([("a",), ("b",), ("b",)], "key string")
+    got, after = metrics.get_or_set(asked, cache, lambda m: m.select("key", F.upper("key").alias("value"), F.lit(3).alias("created_at")))
+    assert sorted((r.key, r.value, r.hit) for r in got.collect()) == [("a", "2", True), ("b", "B", False), ("b", "B", False)] and after.count() == 3
+    old = spark.createDataFrame([("t", 1, 1, "x")], "trace string, step int, written long, text string")
+    new = spark.createDataFrame([("t", 1, "y", 5), ("t", 2, "z", 6), ("u", 1, "w", 1)], "trace string, step int, text string, at int")
+    both = metrics.append_steps(old, new)
+    assert sorted((r.trace, r.step, r.text) for r in metrics.latest_steps(both).collect()) == [("t", 1, "y"), ("t", 2, "z"), ("u", 1, "w")]
+    assert sorted(r.written for r in both.where("trace = 't'").collect()) == [1, 2, 3]
+    images = spark.createDataFrame([("p", "s1"), ("q", "s2")], "path string, checksum string")
+    records = spark.createDataFrame([("s1", "old", 1), ("s1", "new", 2)], "checksum string, description string, recorded_at int")
+    done, left = ingest.described(images, records)
+    assert [(r.path, r.description) for r in done.collect()] == [("p", "new")] and [r.path for r in left.collect()] == ["q"]
+
+
+def test_conflict_detectors_are_any_function(spark):
+    hits = spark.createDataFrame([(1, "c", "x", 1, 0.5)], "qid int, chunk_id string, text string, authority_tier int, score double")
+    claims = spark.createDataFrame([("e", 1)], "entity string, n int")
+    merged, found = packets.bundle(hits, claims, lambda df: df.where("n > 0"))
+    assert merged.count() == 1 and found.first().entity == "e"

@@ -193,3 +193,14 @@ def iso_time(ts: Column) -> Column:
 def elapsed_ms(begin: Column, end: Column) -> Column:
     """Whole milliseconds from one time to another."""
     return F.floor((F.unix_micros(end.cast("timestamp")) - F.unix_micros(begin.cast("timestamp"))) / 1000)
+
+
+def canonical_json(pairs: Column) -> Column:
+    """A map as JSON with its keys in order, so that equal maps are equal texts."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(pairs))))
+
+
+def unfenced(text: Column) -> Column:
+    """What stands in the first code fence of a text, or the text itself: models wrap JSON in fences."""
+    inner = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
+    return F.when(inner != "", inner).otherwise(F.trim(text))

@@ -5,10 +5,11 @@ vertices: entity_id, name, type, aliases, doc_ids. edges: subject_id, predicate,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veritide.functions import text as X
+from veritide.sources import tables
 
 EDGE_KEY = ["subject_id", "predicate", "object_id", "evidence"]
 #: Fixed: entity types that may seed an expansion; the shortest name; least confidence of an edge that may evict a hit.
@@ -191,3 +192,37 @@ def within_budget(base: DataFrame, expanded: DataFrame, k: int) -> DataFrame:
     more = extra.select("qid", "chunk_id", F.lit(0.0).alias("score"), "reason", F.lit(1).alias("_e"), "rank")
     w = Window.partitionBy("qid").orderBy("_e", "rank")
     return hits.unionByName(more).withColumn("rank", F.row_number().over(w)).drop("_e")
+
+
+def save(vertices: DataFrame, edges: DataFrame, root: str) -> None:
+    """The whole graph in place of the one under root."""
+    tables.write_tables({"entities": vertices, "relations": edges}, root)
+
+
+def load(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    found = tables.read_tables(spark, root, ["entities", "relations"])
+    return found["entities"], found["relations"]
+
+
+def act(action: str, asked: DataFrame, edges: DataFrame, vertices: DataFrame, hops: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(edges with names that an action gives each query, queries that name something unknown).
+
+    graph_neighbors asks by qid and ref; graph_paths by qid, ref and to. An edge is given once a query.
+    """
+    ends = ["ref", "to"] if action == "graph_paths" else ["ref"]
+    if action not in ("graph_paths", "graph_neighbors"):
+        raise ValueError(f"unknown action {action}")
+    known = asked
+    for end in ends:
+        found = resolve(vertices, asked.select(F.col(end).alias("ref")).distinct()).select(F.col("ref").alias(f"_{end}"), F.col("entity_id").alias(f"{end}_id"), F.col("resolved").alias(f"{end}_known"))
+        known = known.join(found, F.col(end) == F.col(f"_{end}")).drop(f"_{end}")
+    sure = F.col("ref_known") & F.col("to_known") if len(ends) == 2 else F.col("ref_known")
+    good = known.where(sure)
+    if action == "graph_neighbors":
+        met = neighbours(edges, good.select(F.col("ref_id").alias("seed"), F.col("ref_id").alias("entity_id")).distinct(), hops)[1]
+        out = good.select("qid", F.col("ref_id").alias("seed")).distinct().join(met, "seed").drop("seed").dropDuplicates(["qid", *EDGE_KEY])
+    else:
+        pairs = good.select(F.col("ref_id").alias("source"), F.col("to_id").alias("target")).distinct()
+        on = paths(edges, pairs, hops).select("source", "target", F.explode("evidence").alias("evidence")).distinct()
+        out = good.select("qid", F.col("ref_id").alias("source"), F.col("to_id").alias("target")).distinct().join(on, ["source", "target"]).join(edges, "evidence").select("qid", *edges.columns).dropDuplicates(["qid", *EDGE_KEY])
+    return named(out, vertices), known.where(~sure).select("qid").distinct()

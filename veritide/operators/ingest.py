@@ -8,10 +8,11 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritide.functions import text as X
+from veritide.sources import tables
 
 #: Fixed: first guesses of a tier by words in a path, tried in this order.
 TIER_WORDS = [
@@ -179,6 +180,62 @@ def docx_blocks(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return blocks, parsed.where("error IS NOT NULL").select("doc_id", "error")
 
 
+#: Fixed: the longest heading told by its size, the longest told by its weight, the marks that end no heading.
+SIZED_CHARS, BOLD_CHARS, END_MARKS = 200, 80, r"[.,;:!?]\s*$"
+
+
+def span_lines(spans: DataFrame) -> DataFrame:
+    """doc_id, page, line, text, size, bold, box: the lines of a page from its text spans (doc_id, page, line, at, text, size, bold, x0, y0, x1, y1).
+
+    A line is as large as its largest span, bold if all of them are, and its box holds them all; blank spans say nothing.
+    """
+    said = spans.where(F.trim("text") != "")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "")
+    box = F.array(F.min("x0"), F.min("y0"), F.max("x1"), F.max("y1"))
+    return said.groupBy("doc_id", "page", "line").agg(F.trim(text).alias("text"), F.max(F.round("size", 1)).alias("size"), F.bool_and("bold").alias("bold"), box.alias("box"))
+
+
+def pdf_blocks(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(blocks: doc_id, ord, page, block_type, text, section_path, bbox; pages without a text layer: doc_id, page) from text spans.
+
+    A heading is a line of a heading's size, or a short bold one without an end mark; the lines between headings, page by page, are one
+    paragraph with a box around all of them. A sized heading's depth is how many larger ones were seen, a bold one goes one below.
+    """
+    sizes = tables.heading_sizes(spans.withColumn("size", F.round("size", 1))).select(F.col("doc_id").alias("_d"), F.col("size").alias("_s"))
+    lines = span_lines(spans)
+    pages = spans.groupBy("doc_id", "page").agg(F.lit(1)).select("doc_id", "page").join(lines.groupBy("doc_id", "page").agg(F.sum(F.length("text")).alias("chars")), ["doc_id", "page"], "left")
+    scanned = pages.where(X.scan_class(F.coalesce("chars", F.lit(0))) == "scanned").select("doc_id", "page")
+    told = lines.join(scanned, ["doc_id", "page"], "left_anti").join(sizes, (F.col("doc_id") == F.col("_d")) & (F.col("size") == F.col("_s")), "left")
+    sized = F.col("_s").isNotNull() & (F.length("text") < SIZED_CHARS)
+    heading = sized | (F.col("bold") & (F.length("text") <= BOLD_CHARS) & ~F.col("text").rlike(END_MARKS))
+    w = Window.partitionBy("doc_id").orderBy("page", "line")
+    told = told.withColumn("sized", sized).withColumn("heading", heading)
+    new = F.col("heading") | F.coalesce(F.lag("heading").over(w), F.lit(True)) | (F.lag("page").over(w) != F.col("page"))
+    told = told.withColumn("block", F.sum(F.when(new, 1).otherwise(0)).over(w))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), " ")
+    side = lambda f, k: f(F.get("box", F.lit(k)))
+    blocks = told.groupBy("doc_id", "block").agg(F.min("page").alias("page"), F.bool_or("heading").alias("heading"), F.bool_or("sized").alias("sized"), F.max("size").alias("size"), body.alias("text"), F.array(side(F.min, 0), side(F.min, 1), side(F.max, 2), side(F.max, 3)).alias("bbox"))
+    so_far = Window.partitionBy("doc_id").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    heads = F.collect_list(F.when(F.col("heading"), F.struct("sized", "size", "text"))).over(so_far)
+
+    def step(acc: Column, h: Column) -> Column:
+        seen = F.when(h["sized"], F.array_distinct(F.concat(acc["seen"], F.array(h["size"])))).otherwise(acc["seen"])
+        level = F.when(h["sized"], F.size(F.filter(seen, lambda x: x > h["size"]))).otherwise(F.size(acc["path"]))
+        return F.struct(seen.alias("seen"), F.concat(F.slice(acc["path"], F.lit(1), level), F.array(h["text"])).alias("path"))
+
+    start = F.struct(F.array().cast("array<double>").alias("seen"), F.array().cast("array<string>").alias("path"))
+    path = F.aggregate(heads, start, step, lambda a: a["path"])
+    kind = F.when(F.col("heading"), "heading").when(X.is_caption(F.col("text")), "caption").otherwise("text")
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("block")) - 1
+    return blocks.select("doc_id", order.alias("ord"), "page", kind.alias("block_type"), "text", path.alias("section_path"), "bbox"), scanned
+
+
+def described(images: DataFrame, records: DataFrame, key: str = "checksum") -> tuple[DataFrame, DataFrame]:
+    """(images with what a model recorded of equal bytes, images that none was recorded of). records: key and the model's fields, the last of a key counts."""
+    last = records.groupBy(key).agg(F.max_by(F.struct(*(c for c in records.columns if c != key)), "recorded_at").alias("_r"))
+    return images.join(last, key).select(*images.columns, "_r.*"), images.join(last, key, "left_anti")
+
+
 def run(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(blocks, files set aside, counters a document) of files (path, text, content), each by the scan that its ending and head ask for.
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritide.functions import text as X
+from veritide.sources import store
 
 #: Fixed: how far a gated figure may move, and which figures are gated.
 TOLERANCE, GATED = 0.001, ["recall", "coverage", "ndcg", "mrr"]
@@ -153,3 +156,19 @@ def novelty(steps: DataFrame) -> DataFrame:
     found = steps.groupBy("trace", "step").agg(F.count_distinct("doc_id").alias("found"))
     w = Window.partitionBy("trace").orderBy("step")
     return found.join(first, ["trace", "step"], "left").withColumn("new_docs", F.coalesce("new_docs", F.lit(0))).withColumn("seen", F.sum("new_docs").over(w))
+
+
+def append_steps(written: DataFrame, new: DataFrame) -> DataFrame:
+    """Trace records (trace, step, ...) with the new ones behind them: each trace's writes are numbered on, in the order of ``at``."""
+    last = written.groupBy("trace").agg(F.max("written").alias("_last"))
+    number = F.row_number().over(Window.partitionBy("trace").orderBy("at"))
+    more = new.join(last, "trace", "left").withColumn("written", F.coalesce("_last", F.lit(0)) + number).drop("_last")
+    return written.unionByName(more.select(*written.columns))
+
+
+def get_or_set(requests: DataFrame, cache: DataFrame, compute: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(each request with its value and whether it was in the cache, the cache with what was computed). compute: from misses to (key, value, created_at)."""
+    hits, misses = cache_split(requests, cache)
+    made = store.stored(compute(misses).select(*cache.columns), "computed")
+    answered = hits.withColumn("hit", F.lit(True)).unionByName(requests.join(made.select("key", "value"), "key").withColumn("hit", F.lit(False)))
+    return answered, cache.unionByName(made)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,3 +162,31 @@ def graph_counts(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 def listed(column: Column) -> Column:
     """A list that was stored as one string with bars between its items; blanks are none."""
     return F.filter(F.split(column, r"\|"), lambda x: x != "")
+
+
+def bundle(hits: DataFrame, claims: DataFrame, detector: Callable[[DataFrame], DataFrame] = evidence.conflicts, hop_order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(merged evidence of each query, conflicts among claims by a detector that may be any function of a table of claims)."""
+    return evidence.merge_evidence(hits, hop_order), detector(claims)
+
+
+def assess(packets: DataFrame, covered: DataFrame, latest: DataFrame, history: DataFrame) -> DataFrame:
+    """trace_id, sufficient, missing, next_action, next_query: whether evidence suffices, by rule.
+
+    packets: trace_id, question, intent, step, sub_questions, requires_visual; covered: trace_id, sub_question, quoted verbatim in known
+    chunks; latest: trace_id, place, name, what the last step found; history: trace_id, action, query. A chain of hops needs two steps. The next search leads with
+    the first name found that neither the question nor a search has had; no action is taken twice.
+    """
+    none = F.array().cast("array<string>")
+    done = covered.groupBy("trace_id").agg(F.collect_set("sub_question").alias("_done"))
+    used = history.groupBy("trace_id").agg(F.lower(F.array_join(F.collect_list("query"), " ")).alias("_used"), F.collect_set(F.concat_ws("\u0001", "action", "query")).alias("_taken"))
+    names = latest.groupBy("trace_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]).alias("_names"))
+    rows = packets.join(done, "trace_id", "left").join(used, "trace_id", "left").join(names, "trace_id", "left")
+    open_ = F.array_except("sub_questions", F.coalesce("_done", none))
+    enough = (F.size(open_) == 0) & ~((F.col("intent") == "multi_hop") & (F.col("step") < 2))
+    before = F.concat(F.coalesce("_used", F.lit("")), F.lit(" "), F.lower("question"))
+    new = F.get(F.filter(F.coalesce("_names", none), lambda n: ~F.contains(before, F.lower(n))), F.lit(0))
+    action = F.when(new.isNotNull(), "hybrid_search").when(F.col("requires_visual"), "figure_search").otherwise("hybrid_search")
+    query = F.when(new.isNotNull(), F.concat_ws(" ", new, "question")).otherwise(F.col("question"))
+    again = F.array_contains(F.coalesce("_taken", none), F.concat_ws("\u0001", action, query))
+    missing = F.when(enough, none).when(F.size(open_) > 0, open_).otherwise(F.array(F.concat(F.lit("The complete relationship chain for "), "question")))
+    return rows.select("trace_id", enough.alias("sufficient"), missing.alias("missing"), F.when(~enough & ~again, action).alias("next_action"), F.when(~enough & ~again, query).alias("next_query"))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritide.functions import text as X
-from veritide.sources import store
+from veritide.sources import store, tables
 
 #: Fixed: BM25 and fusion constants, and how deep each list goes for k results.
 K1, B, RRF_K, DEPTH = 1.5, 0.75, 60, 4
@@ -72,6 +72,19 @@ def build_index(chunks: DataFrame, key: str | None = None) -> Index:
     return Index(chunks, **store.once(chunks.sparkSession, f"index {key or uuid.uuid4().hex}", lambda: index_tables(chunks)))
 
 
+INDEX = ["meta", "postings", "terms", "totals"]
+
+
+def save_index(index: Index, root: str) -> None:
+    """The index's tables under a folder of the caller's, for other applications."""
+    tables.write_tables({name: getattr(index, name) for name in INDEX}, root)
+
+
+def load_index(chunks: DataFrame, root: str) -> Index:
+    """A saved index of these chunks."""
+    return Index(chunks, **tables.read_tables(chunks.sparkSession, root, INDEX))
+
+
 def passes(chunks: DataFrame, filters: dict[str, list]) -> Column:
     """All filters that name values; an empty list is no filter."""
     test = F.lit(True)

@@ -789,11 +789,7 @@ def chunk_documents(v):
 @query()
 def chunk_sweep(v):
     """Counts by chunk size."""
-    out = None
-    for size in (300, 450, 600):
-        one = chunking.chunk(typed_blocks(v), size).agg(F.lit(size).alias("target"), F.count("*").alias("chunks"), F.count_if(F.col("token_count") > 512).alias("over_512"), F.median("token_count").alias("median_tokens"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return chunking.sweep(typed_blocks(v))
 
 
 #: Sentences, then a fold over them: a part is closed by the sentence that would take it above the target.

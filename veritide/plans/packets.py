@@ -333,3 +333,28 @@ def packet_errors(v):
 @query("SELECT c_custkey, translate('“' || c_name || '” – it’s', '‑–—‐’‘“”', '----''''\"\"') AS folded FROM customer")
 def folded_quotes(v):
     return v.t("customer").select("c_custkey", X.fold_quotes(F.concat(F.lit("“"), "c_name", F.lit("” – it’s"))).alias("folded"))
+
+
+@query("SELECT p_partkey, '{\"brand\":\"' || p_brand || '\",\"name\":\"' || p_name || '\",\"type\":\"' || p_type || '\"}' AS json FROM part")
+def canonical_json(v):
+    pairs = F.create_map(F.lit("type"), "p_type", F.lit("name"), "p_name", F.lit("brand"), "p_brand")
+    return v.t("part").select("p_partkey", X.unfenced(F.concat(F.lit("Here:\n```json\n"), X.canonical_json(pairs), F.lit("\n```\n"))).alias("json"))
+
+
+@query("SELECT 'q' || n_nationkey AS qid, subject_id || ' ' || object_id AS edge FROM nation JOIN v_places ON subject_id = 'ent_nation_' || n_nationkey OR object_id = 'ent_nation_' || n_nationkey", "v_places")
+def graph_action(v):
+    asked = v.t("nation").select(F.concat(F.lit("q"), F.col("n_nationkey").cast("string")).alias("qid"), F.col("n_name").alias("ref"))
+    unknown = v.spark.createDataFrame([("lost", "No such place")], "qid string, ref string")
+    found, lost = graph.act("graph_neighbors", asked.unionByName(unknown), v.places(), v.entities().where(F.col("entity_id").startswith("ent_nation_")))
+    return found.join(lost, "qid", "left_anti").select("qid", F.concat_ws(" ", "subject_id", "object_id").alias("edge"))
+
+
+@query("WITH l AS (SELECT l_orderkey AS trace_id, l_linenumber AS ord, CASE WHEN l_returnflag = 'N' THEN 'multi_hop' ELSE 'direct' END AS intent FROM lineitem WHERE l_linenumber = 1), c AS (SELECT trace_id, intent, trace_id % 3 AS step, trace_id % 2 = 0 AS all_covered FROM l) SELECT trace_id, all_covered AND NOT (intent = 'multi_hop' AND step < 2) AS sufficient, CASE WHEN all_covered AND NOT (intent = 'multi_hop' AND step < 2) THEN 0 ELSE 1 END AS n_missing, CASE WHEN all_covered AND NOT (intent = 'multi_hop' AND step < 2) THEN NULL WHEN trace_id % 5 = 0 THEN 'Keep ' || trace_id || ' who?' WHEN trace_id % 7 = 0 THEN NULL ELSE 'who?' END AS next_query FROM c")
+def critic(v):
+    li = v.t("lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("trace_id"), F.when(F.col("l_returnflag") == "N", "multi_hop").otherwise("direct").alias("intent"))
+    rows = li.select("trace_id", F.lit("who?").alias("question"), "intent", (F.col("trace_id") % 3).alias("step"), F.array(F.lit("a"), F.lit("b")).alias("sub_questions"), F.lit(False).alias("requires_visual"))
+    subs = F.when(F.col("trace_id") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a")))
+    covered = rows.select("trace_id", F.explode(subs).alias("sub_question"))
+    latest = rows.where("trace_id % 5 = 0").select("trace_id", F.explode(F.array(F.struct(F.lit(0).alias("place"), F.lit("WHO").alias("name")), F.struct(F.lit(1).alias("place"), F.concat(F.lit("Keep "), F.col("trace_id").cast("string")).alias("name")))).alias("n")).select("trace_id", "n.*")
+    history = rows.where("trace_id % 7 = 0 AND trace_id % 5 <> 0").select("trace_id", F.lit("hybrid_search").alias("action"), F.lit("who?").alias("query"))
+    return packets.assess(rows, covered, latest, history).select("trace_id", "sufficient", F.size("missing").alias("n_missing"), "next_query")

@@ -60,29 +60,43 @@ def read_lines_or_set_aside(spark: SparkSession, path: str, schema: str) -> tupl
     return parsed.where(~bad).select("r.*").drop("_bad"), parsed.where(bad).select("value")
 
 
-def write_lines(df: DataFrame, path: str) -> None:
-    """JSON lines under a name that always stands for a whole table.
+def replaced(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """What write() puts under a path, under a name that always stands for a whole table.
 
     The new table is written beside the old one, which steps aside only for the rename and is deleted last; should the rename
     fail, the old one takes its name again. What a crash leaves beside them is never read.
     """
-    spark = df.sparkSession
     mark = uuid.uuid4().hex
-    df.write.json(f"{path}.new.{mark}")
+    write(f"{path}.new.{mark}")
     at = spark._jvm.org.apache.hadoop.fs.Path
     fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     here, new, old = at(path), at(f"{path}.new.{mark}"), at(f"{path}.old.{mark}")
-    replaced = fs.exists(here)
-    if replaced and not fs.rename(here, old):
+    before = fs.exists(here)
+    if before and not fs.rename(here, old):
         raise OSError(f"{path} could not be moved aside")
     if not fs.rename(new, here):
-        if replaced:
+        if before:
             fs.rename(old, here)
         raise OSError(f"{path}.new.{mark} could not be moved to {path}")
-    if replaced:
+    if before:
         fs.delete(old, True)
 
 
+def write_lines(df: DataFrame, path: str) -> None:
+    """JSON lines, replaced as a whole."""
+    replaced(df.sparkSession, path, df.write.json)
+
+
+def write_tables(named: dict[str, DataFrame], root: str) -> None:
+    """Tables under a folder, each replaced as a whole: a graph's entities and relations, an index's postings and counts."""
+    for name, df in named.items():
+        replaced(df.sparkSession, f"{root.rstrip('/')}/{name}", df.write.parquet)
+
+
+def read_tables(spark: SparkSession, root: str, names: list[str]) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{root.rstrip('/')}/{name}") for name in names}
+
+
 def route(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
     """(rows that pass every rule, the others with ``problem``: the first rule they break). A rule that is null is broken."""
     problem = F.lit(None).cast("string")
