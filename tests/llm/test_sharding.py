@@ -47,3 +47,15 @@ def test_empty_and_files(spark, tmp_path):
     sharding.write(docs, str(tmp_path / "out"), limit=100_000)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == docs.count() and back.select("shard").distinct().count() > 1
+
+
+def test_very_long_texts_and_no_hot_level(spark):
+    """A text above the limit is a shard of its own; levels above the first that fits are not joined."""
+    rows = [(i, "x" * (i % 90)) for i in range(500)] + [(999, "y" * 3_000_000), (None, "z" * 200_000), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.bytes): r for r in sharding.shard(docs, limit=2000).collect()}
+    assert len(got) == len(rows) and got[999, 3_000_000].shard_rows == got[None, 200_000].shard_rows == 1
+    sizes = {}
+    for r in got.values():
+        sizes[r.shard] = sizes.get(r.shard, 0) + r.bytes
+    assert all(sizes[r.shard] == r.shard_bytes and (r.shard_bytes <= 2000 or r.shard_rows == 1) for r in got.values())
