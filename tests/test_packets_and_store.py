@@ -235,3 +235,20 @@ def test_conflict_detectors_are_any_function(spark):
     claims = spark.createDataFrame([("e", 1)], "entity string, n int")
     merged, found = packets.bundle(hits, claims, lambda df: df.where("n > 0"))
     assert merged.count() == 1 and found.first().entity == "e"
+
+
+def test_as_of_equals_brute_force(spark):
+    import random
+
+    from veritide.operators import joins
+
+    r = random.Random(8)
+    left = [(n, r.randrange(4), r.choice([None, *range(12)])) for n in range(60)]
+    right = [(r.randrange(5), r.choice([None, *range(12)]), r.randrange(99)) for _ in range(40)]
+    a, b = spark.createDataFrame(left, "n int, k int, t int"), spark.createDataFrame(right, "k int, t int, v int")
+    for or_equal in (False, True):
+        want = {}
+        for n, k, t in left:
+            before = [(u, v) for j, u, v in right if j == k and u is not None and t is not None and (u < t or (or_equal and u == t))]
+            want[n] = max(before)[1] if before else None
+        assert {x.n: x.last_v for x in joins.as_of(a, b, "k", "t", ["v"], or_equal).collect()} == want

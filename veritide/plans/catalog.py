@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veritide.functions import text as X
-from veritide.operators import analysis, answers, chunking, evidence, graph, ingest, metrics, retrieval, wiki
+from veritide.operators import analysis, answers, chunking, evidence, graph, ingest, joins, metrics, retrieval, wiki
 from veritide.plans.fixtures import TOKEN_SQL
 from veritide.plans.registry import ORACLE_SQL, QUERIES, query
 from veritide.sources import store, tables
@@ -486,12 +486,10 @@ def assertion_extract(v):
 
 @query("WITH e AS (SELECT event_id, user_id, ts, event_type FROM events), p AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase') SELECT e.event_id, (SELECT max(p.ts) FROM p WHERE p.user_id = e.user_id AND p.ts < e.ts) AS last_purchase FROM e")
 def near_preceding_asof(v):
-    """The nearest earlier purchase of the same user: an as-of join as one window over the union of both sides."""
-    from pyspark.sql import Window
-
-    e = v.t("events").select("event_id", "user_id", "ts", "event_type").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    w = Window.partitionBy("user_id").orderBy("us").rangeBetween(Window.unboundedPreceding, -1)
-    return e.select("event_id", F.max(F.when(F.col("event_type") == "purchase", F.col("ts"))).over(w).alias("last_purchase"))
+    """The nearest earlier purchase of the same user."""
+    e = v.t("events").select("event_id", "user_id", "ts")
+    bought = v.t("events").where("event_type = 'purchase'").select("user_id", "ts", F.col("ts").alias("purchase"))
+    return joins.as_of(e, bought, "user_id", "ts", ["purchase"]).select("event_id", "last_purchase")
 
 
 @query("SELECT md5(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) AS form, min(doc_id) AS kept, count(*) AS copies FROM documents GROUP BY 1")
