@@ -89,6 +89,13 @@ def profile(pages: DataFrame, keys: list[str]) -> DataFrame:
     return pages.groupBy(*keys).agg(n.alias("pages"), F.sum("chars").alias("chars"), (F.count_if(kind == "scanned") / n).alias("scanned_share"), (F.count_if(kind == "sparse") / n).alias("sparse_share"))
 
 
+def walk(files: DataFrame) -> DataFrame:
+    """files (path, length) that a profile looks at, with ``kind``: their ending, or ``none``. Hidden files and all below hidden folders are skipped."""
+    path = F.translate(F.col("path"), "\\", "/")
+    ext = F.lower(F.regexp_extract(path, r"[^/]\.([^./]+)$", 1))
+    return files.where(~path.rlike(r"(^|/)\.[^./]")).withColumn("kind", F.when(ext == "", "none").otherwise(ext))
+
+
 def worst(pages: DataFrame, most: int = 25) -> tuple[DataFrame, DataFrame]:
     """(files that could not be read, files that mostly need recognition), the first by path and the first by their share of scanned pages. pages: path, chars, error."""
     scanned = F.count_if(X.scan_class(F.col("chars")) == "scanned")

@@ -283,6 +283,13 @@ def ingest_set_aside(v):
     return ingest.run(files)[1].select(F.regexp_extract("path", r"a/(\d+)", 1).cast("long").alias("doc_id"), F.split_part("error", F.lit(":"), F.lit(1)).alias("problem"))
 
 
+@query("SELECT lower(CASE doc_id % 5 WHEN 0 THEN 'MD' WHEN 1 THEN 'txt' WHEN 4 THEN 'none' ELSE 'pdf' END) AS kind, count(*) AS files, sum(length(text))::bigint AS bytes FROM documents WHERE doc_id % 5 <> 2 GROUP BY 1")
+def profile_walk(v):
+    k, d = F.col("doc_id") % 5, F.col("doc_id").cast("string")
+    path = F.when(k == 0, F.concat(F.lit("a/"), d, F.lit(".MD"))).when(k == 1, F.concat(F.lit("./a.b/"), d, F.lit(".x.txt"))).when(k == 2, F.concat(F.lit("a/.git/"), d, F.lit(".md"))).when(k == 3, F.concat(F.lit("../"), d, F.lit(".pdf"))).otherwise(F.concat(F.lit("a.b/"), d))
+    return ingest.walk(v.t("documents").select(path.alias("path"), F.length("text").alias("length"))).groupBy("kind").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+
+
 @query("SELECT doc_id, NOT regexp_matches(lower(path), '(^|/)(sample_questions\\.json|readme\\.txt)$') AS in_corpus FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'a/README.txt' WHEN 1 THEN 'Sample_Questions.json' WHEN 2 THEN 'readme.txt.md' ELSE 'b\\readme.txt' END AS path FROM documents) WHERE doc_id % 4 < 3 UNION ALL SELECT doc_id, false FROM documents WHERE doc_id % 4 = 3")
 def corpus_files(v):
     k = F.col("doc_id") % 4
