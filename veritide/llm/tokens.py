@@ -38,7 +38,7 @@ from .common import materialise, new_dir, tasks, tidy
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern that this vocabulary was made for.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LENGTH, PER_SHARD, ROUNDS, WAVES = 512, 8192, 6, 4
+LENGTH, PER_SHARD, ROUNDS, WAVES = 512, 8192, 6, 3
 #: Characters in a run of a long text; texts and characters of each that the dictionary is made from, and its bytes.
 RUN, DICT_DOCS, DICT_CHARS, DICT_BYTES = 1 << 20, 400, 20_000, 1 << 18
 #: A space between two words belongs to the second: no token lies across its left side.
@@ -138,7 +138,7 @@ class Codec:
     def pack(self, data: bytes) -> bytes:
         if self._pack is None:
             d = {"dict_data": zstandard.ZstdCompressionDict(self.dictionary)} if self.dictionary else {}
-            self._pack = zstandard.ZstdCompressor(level=6, write_checksum=False, write_dict_id=False, **d).compress
+            self._pack = zstandard.ZstdCompressor(level=3, write_checksum=False, write_dict_id=False, **d).compress
         return self._pack(data)
 
     def unpack(self, data: bytes) -> bytes:
