@@ -149,7 +149,8 @@ def words_of(t):
     return re.findall(r"[^\x20\x09-\x0D]+", low) + [None]
 
 
-def test_base_scores_equal_brute_force(spark):
+def test_base_scores_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(lm, "STEPS", 60)
     texts = [None, "", "A b c a", "a a b", "é É é", "long " * 4000, "z", "a a b", "qq \x1c qq"]
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(None, "null id", 2)], "doc_id long, text string, score int")
     held = F.coalesce(F.pmod("doc_id", F.lit(4)) == 2, F.lit(False))
@@ -169,6 +170,7 @@ def test_base_scores_equal_brute_force(spark):
 
 def test_rare_words_are_looked_up_in_the_whole_vocabulary(spark, monkeypatch):
     """With hardly any frequent words, the join gives the same base scores."""
+    monkeypatch.setattr(lm, "STEPS", 60)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     one = {r.doc_id: (r.n_known, round(r.base_score, 6)) for r in lm.score(docs, fold("doc_id", 7) == 2).collect()}
     monkeypatch.setattr(lm.learn, "__defaults__", (None, 100, 60))
@@ -323,6 +325,7 @@ def test_what_training_gathers_grows(spark):
 
 def test_rare_words_score_by_their_counts(spark, monkeypatch):
     """A score is the same, whether words are sent to the tasks or joined."""
+    monkeypatch.setattr(lm, "STEPS", 600)
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(300)
     one = {r.doc_id: r.score for r in lm.score(docs, fold("doc_id", 7) == 2).collect()}
     monkeypatch.setattr(lm.learn, "__defaults__", (None, lm.PASSAGES, 200))
