@@ -89,3 +89,11 @@ def test_groups_not_ids_choose_the_rows_that_stay(spark):
     want = sorted([(7, a), (3, b), *((5, t) for t in hot), *((None, t) for t in none)], key=str)
     for dedup in (simhash.deduplicate, near.deduplicate):
         assert sorted(((x.doc_id, x.text) for x in dedup(docs).collect()), key=str) == want
+
+
+def test_long_texts_are_hashed_in_runs(monkeypatch):
+    texts = [b"", b" ", b"one", b"one two", b"A b C d e f g h " * 40, b"x" * 300 + b" y", b"\n a  b\tc \x0bd\xc3\xa9 " * 30, b"w" * 50 + b" " + b"v " * 90]
+    whole = [(simhash.fingerprint(t), [np.concatenate([*simhash.hashes(t, n), np.zeros(0, np.uint64)]).tolist() for n in (1, 3, 5)]) for t in texts]
+    for run in (1, 7, 64):
+        monkeypatch.setattr(simhash, "RUN", run)
+        assert [(simhash.fingerprint(t), [np.concatenate([*simhash.hashes(t, n), np.zeros(0, np.uint64)]).tolist() for n in (1, 3, 5)]) for t in texts] == whole

@@ -12,12 +12,14 @@
 5. Components over the links: labels go to neighbours and jump along labels until none moves, with a stored table a round.
 
 Defined cases: null, empty or blank text has fingerprint 0, linked like any other; fewer words than a shingle: one shingle
-of them all; a null id never is a component's id unless there is no other; repeated rows stay rows of their own.
+of them all; a very long text is hashed run by run; a null id never is a component's id unless there is no other; repeated rows stay
+rows of their own; an empty table gives no rows.
 Extra columns are kept (own columns replace any of the same name).
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from math import comb
 
@@ -36,28 +38,44 @@ BLOCK = 4096
 #: Fixed: the bytes of A-Z to a-z.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 ADDED = ("fingerprint", "component_id")
-
-
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    w = (text or b"").translate(LOWER).split()
-    if not w:
-        return 0
-    if len(w) <= shingle:
-        h = [xxhash.xxh64_intdigest(b" ".join(w), SEED)]
-    else:
-        joined = b" ".join(w)
-        end = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
+#: Bytes in a run of a long text.
+RUN = 1 << 20
+_SPACE = re.compile(rb"[\x09-\x0d\x20]")
+
+
+def word_runs(text: bytes, keep: int) -> Iterator[list[bytes]]:
+    """A text's words, A-Z lower-cased, in runs of about ``RUN`` bytes, each led by the last ``keep`` words before it."""
+    low, at, last = text.translate(LOWER), 0, []
+    while at < len(low):
+        cut = _SPACE.search(low, at + RUN) if at + RUN < len(low) else None
+        end = cut.end() if cut else len(low)
+        words = last + low[at:end].split()
+        yield words
+        last, at = words[max(0, len(words) - keep) :] if keep else [], end
+
+
+def hashes(text: bytes | None, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 values of a text's shingles, repeats included, run by run; of fewer words than a shingle, one value of them all."""
+    digest, few, words = xxhash.xxh64_intdigest, True, []
+    for words in word_runs(text or b"", shingle - 1):
+        if len(words) < shingle:
+            continue
+        few, joined = False, b" ".join(words)
+        end = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         start = np.concatenate([[0], end[:-1] + 1])
-        digest = xxhash.xxh64_intdigest
-        h = [digest(joined[a:b], SEED) for a, b in zip(start[: len(w) - shingle + 1].tolist(), end[shingle - 1 :].tolist(), strict=True)]
-    return majority(np.array(h, dtype=np.uint64))
+        h = [digest(joined[a:b], SEED) for a, b in zip(start[: len(words) - shingle + 1].tolist(), end[shingle - 1 :].tolist(), strict=True)]
+        yield np.array(h, dtype=np.uint64)
+    if few and words:
+        yield np.array([digest(b" ".join(words), SEED)], np.uint64)
 
 
-def majority(h: np.ndarray) -> int:
-    ones = np.zeros(BITS, np.int64)
-    for k in range(0, len(h), 65536):
-        ones += np.unpackbits(h[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    ones, n = np.zeros(BITS, np.int64), 0
+    for h in hashes(text, shingle):
+        for k in range(0, len(h), 65536):
+            ones += np.unpackbits(h[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(h)
+    return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
