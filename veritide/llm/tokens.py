@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -187,23 +187,39 @@ def sequences(docs: DataFrame, tokenizer: Tokenizer, codec: Codec, length: int =
     return docs.select(doc_id, text).mapInArrow(run, into)
 
 
-def _numbered(docs: DataFrame, tokenizer: Tokenizer, code: Codec, key: int, length: int, per_shard: int, text: str, doc_id: str) -> tuple[DataFrame, int]:
-    """(slot, shard, offset, doc_id, seq_no, n_tokens, packed as stored, not in order; the number of sequences)."""
-    stored = materialise(sequences(docs, tokenizer, code, length, text, doc_id), "sequences")
-    counts = stored.groupBy("_task").agg(F.count("*").alias("_n"))
-    counts = materialise(counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))), "seqcounts")
-    n = counts.agg(F.sum("_n")).first()[0] or 0
-    order = Feistel(n, key)
-
-    @F.pandas_udf("long")
-    def slot(index):
-        import pandas as pd
-
-        return pd.Series(order.slots(index.to_numpy()))
-
-    shard: Column = F.floor(F.col("slot") / per_shard)
-    numbered = stored.join(counts.select(F.col("_task").alias("_t"), "_before"), F.col("_task") == F.col("_t")).withColumn("slot", slot(F.col("_before") + F.col("_place")))
-    return numbered.select("slot", shard.alias("shard"), (F.pmod("slot", F.lit(per_shard)) * 2 * length).alias("offset"), "doc_id", "seq_no", "n_tokens", "packed"), n
+class _Slots:
+    """The stored sequences of a table, and which slot each has: everything that a task needs to tell it."""
+
+    def __init__(self, docs: DataFrame, tokenizer: Tokenizer, code: Codec, key: int, length: int, per_shard: int, text: str, doc_id: str):
+        self.stored = materialise(sequences(docs, tokenizer, code, length, text, doc_id), "sequences")
+        #: One number a task: at which sequence it starts.
+        counts = np.array(sorted(map(tuple, self.stored.groupBy("_task").count().collect())), np.int64).reshape(-1, 2)
+        self.starts = np.zeros(int(counts[:, 0].max(initial=-1)) + 1, np.int64)
+        self.starts[counts[:, 0]] = np.cumsum(counts[:, 1]) - counts[:, 1]
+        self.n = int(counts[:, 1].sum())
+        self.shards = -(-self.n // per_shard)
+        self.order, self.code, self.length, self.per_shard = Feistel(self.n, key), code, length, per_shard
+        self.fill = np.full(length, tokenizer.end, "<u2").tobytes()
+
+    def rows(self, columns: list[str], first: int, last: int, whole: bool) -> DataFrame:
+        """slot, shard, offset, the columns, and packed (or whole: tokens of full length) of the sequences in shards from first up to last, not in order."""
+        spark, kind = self.stored.sparkSession, self.stored.schema
+        shared = spark.sparkContext.broadcast((self.starts, self.order, self.code, self.fill))
+        per_shard, stride = self.per_shard, 2 * self.length
+        into = T.StructType([*(T.StructField(n, T.LongType()) for n in ("slot", "shard", "offset")), *(kind[c] for c in columns), T.StructField("tokens" if whole else "packed", T.BinaryType())])
+
+        @tidy
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            starts, order, code, fill = shared.value
+            for batch in batches:
+                slot = order.slots(starts[batch.column(0).to_numpy()] + batch.column(1).to_numpy())
+                shard = slot // per_shard
+                here = (shard >= first) & (shard < last)
+                some, slot, shard = batch.filter(pa.array(here)), slot[here], shard[here]
+                data = some.column(some.num_columns - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(shard), pa.array(slot % per_shard * stride), *some.columns[2:-1], _unpacked(data, code, fill) if whole else data], names=into.names)
+
+        return self.stored.select("_task", "_place", *columns, "packed").mapInArrow(run, into)
 
 
 def _ranged(numbered: DataFrame, first: int, last: int, length: int, per_shard: int, least: int) -> DataFrame:
@@ -213,33 +229,30 @@ def _ranged(numbered: DataFrame, first: int, last: int, length: int, per_shard:
     return numbered.repartitionById(ranges, F.floor((F.col("shard") - first) * ranges / some).cast("int")).sortWithinPartitions("slot")
 
 
-def _unpacked(batch: pa.RecordBatch, code: Codec, fill: bytes) -> pa.RecordBatch:
-    """The batch with its last column, packed, as tokens of full length."""
-    size = len(fill)
-    raw = (code.unpack(x.as_py()) for x in batch.column(batch.num_columns - 1))
-    tokens = [r if len(r) == size else r + fill[len(r) :] for r in raw]
-    return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(tokens, pa.binary())], names=[*batch.schema.names[:-1], "tokens"])
+def _unpacked(packed: pa.Array, code: Codec, fill: bytes) -> pa.Array:
+    """Packed sequences as tokens of full length."""
+    raw = (code.unpack(x.as_py()) for x in packed)
+    return pa.array([r + fill[len(r) :] for r in raw], pa.binary())
 
 
 def in_training_order(docs: DataFrame, tokenizer: Tokenizer | None = None, key: int = 20240601, length: int = LENGTH, per_shard: int = PER_SHARD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """slot, shard, offset (byte in the shard), doc_id, seq_no, n_tokens, tokens; partitioned by ranges of whole shards, sorted by slot."""
     tokenizer = tokenizer or Tokenizer()
-    code = codec(docs, tokenizer, length, text)
-    numbered, n = _numbered(docs, tokenizer, code, key, length, per_shard, text, doc_id)
-    return _whole(_ranged(numbered, 0, -(-n // per_shard), length, per_shard, tasks(docs.sparkSession)), tokenizer, code, length)
+    slots = _Slots(docs, tokenizer, codec(docs, tokenizer, length, text), key, length, per_shard, text, doc_id)
+    return _whole(_ranged(slots.rows(["doc_id", "seq_no", "n_tokens"], 0, slots.shards, False), 0, slots.shards, length, per_shard, tasks(docs.sparkSession)), slots)
 
 
-def _whole(packed: DataFrame, tokenizer: Tokenizer, code: Codec, length: int) -> DataFrame:
-    """packed with tokens of full length in place of its column packed."""
-    fill = np.full(length, tokenizer.end, "<u2").tobytes()
-    columns = [*(c for c in packed.columns if c != "packed"), "packed"]
-    into = T.StructType([*(packed.schema[c] for c in columns[:-1]), T.StructField("tokens", T.BinaryType())])
+def _whole(packed: DataFrame, slots: _Slots) -> DataFrame:
+    """packed with tokens of full length in place of its last column."""
+    code, fill = slots.code, slots.fill
+    into = T.StructType([*packed.schema.fields[:-1], T.StructField("tokens", T.BinaryType())])
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return (_unpacked(b, code, fill) for b in batches)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], _unpacked(b.column(b.num_columns - 1), code, fill)], names=into.names)
 
-    return packed.select(columns).mapInArrow(run, into)
+    return packed.mapInArrow(run, into)
 
 
 class _Shards:
@@ -295,9 +308,16 @@ def _written(batches: Iterator[pa.RecordBatch], uri: str) -> Iterator[pa.RecordB
 MANIFEST = "shard long, n long, bytes long, sha256 string"
 
 
-def write_shards(ordered: DataFrame, uri: str) -> DataFrame:
-    """Write ``shard-N.bin`` files of fixed stride from in_training_order(); shard, n, bytes, sha256 of each."""
-    return materialise(ordered.select("shard", "tokens").mapInArrow(tidy(lambda batches: _written(batches, uri)), MANIFEST), "shards")
+def write_shards(ordered: DataFrame, uri: str, slots: _Slots | None = None) -> DataFrame:
+    """Write ``shard-N.bin`` files of fixed stride from in_training_order(), or from its rows still packed; shard, n, bytes, sha256 of each."""
+    code, fill = (slots.code, slots.fill) if slots else (None, b"")
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = (b if code is None else pa.RecordBatch.from_arrays([b.column(0), _unpacked(b.column(1), code, fill)], names=["shard", "tokens"]) for b in batches)
+        return _written(whole, uri)
+
+    return materialise(ordered.select("shard", "packed" if slots else "tokens").mapInArrow(run, MANIFEST), "shards")
 
 
 @contextmanager
@@ -320,22 +340,20 @@ def to_shards(docs: DataFrame, uri: str | None = None, tokenizer: Tokenizer | No
     """
     spark, tokenizer = docs.sparkSession, tokenizer or Tokenizer()
     uri = uri or new_dir(spark, "training")
-    code = codec(docs, tokenizer, length, text)
-    numbered, n = _numbered(docs, tokenizer, code, key, length, per_shard, text, doc_id)
-    shards = -(-n // per_shard)
-    bounds = [shards * w // waves for w in range(waves + 1)]
+    slots = _Slots(docs, tokenizer, codec(docs, tokenizer, length, text), key, length, per_shard, text, doc_id)
+    bounds = [slots.shards * w // waves for w in range(waves + 1)]
     manifest = None
     with _shuffles_end_with_their_job(spark):
         for first, last in zip(bounds[:-1], bounds[1:], strict=True):
             if first < last:
-                some = numbered.where((F.col("shard") >= first) & (F.col("shard") < last)).select("slot", "shard", "packed")
-                own = write_shards(_whole(_ranged(some, first, last, length, per_shard, tasks(spark)), tokenizer, code, length), uri)
+                some = slots.rows([], first, last, False).select("slot", "shard", "packed")
+                own = write_shards(_ranged(some, first, last, length, per_shard, tasks(spark)), uri, slots)
                 manifest = own if manifest is None else manifest.unionByName(own)
     if manifest is None:
         manifest = spark.createDataFrame([], MANIFEST)
     sums = manifest.select(F.col("shard").alias("_shard"), "bytes", "sha256")
-    rows = _whole(numbered.join(sums, F.col("shard") == F.col("_shard")).drop("_shard"), tokenizer, code, length)
-    return rows.select("slot", "shard", "offset", "doc_id", "seq_no", "n_tokens", "tokens", "bytes", "sha256")
+    rows = slots.rows(["doc_id", "seq_no", "n_tokens"], 0, slots.shards, True)
+    return rows.join(sums, F.col("shard") == F.col("_shard")).drop("_shard")
 
 
 def read_slots(uri: str, start: int = 0, per_shard: int = PER_SHARD, length: int = LENGTH) -> Iterator[np.ndarray]:
