@@ -7,7 +7,7 @@ import ctypes
 import functools
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,6 +60,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table that materialise() wrote and that no plan will read again."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        _delete(df.sparkSession, path)
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run, which then gives freed memory back: a worker waits for its next task with no more than it needs."""
 
@@ -73,6 +79,17 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return whole
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def carry(docs: DataFrame, without: Iterable[str] = ()) -> Column:
+    """The columns of docs, but for some, as one struct: a row travels in it beside an operator's own columns, and no names clash."""
+    leave = {c.lower() for c in without}
+    return F.struct(*(F.col(quoted(c)) for c in docs.columns if c.lower() not in leave))
+
+
 def fold(column: Column | str, mod: int) -> Column:
     """crc32 of the id as text, modulo mod. A null id counts as the empty text."""
     return F.crc32(F.coalesce((F.col(column) if isinstance(column, str) else column).cast("string"), F.lit(""))) % mod

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, lm, mixing, quality, sharding, simhash, tokens, url_filter
+from . import ann, audit, decontaminate, exact, langid, lloyd, lm, mixing, quality, sharding, simhash, tokens, url_filter
 from .common import fold, table
 
 #: The rules of the url query (host, path, verdict).
@@ -77,6 +77,18 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.group(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fingerprint", "component_id")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), table(spark, sf_dir, "labels"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.mark(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 OP5_SQL = f"""
@@ -119,6 +131,57 @@ f AS (SELECT *, (SELECT arg_min(level, reach) FROM l x WHERE x.level <= x.reach)
 SELECT source, source_size, round(least(cap, coalesce(final, 'inf'::double) * weight), 3) AS target FROM f
 """
 
+#: All 120 orders are walked step by step over the mask counts, and what a filter removes is added up over them.
+OP11_SQL = """
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+first AS (SELECT t, min(doc_id) AS least FROM d GROUP BY t),
+said AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+      CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * list_unique(w) < 65 * len(w) THEN 'B' ELSE '' END
+      || CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t) THEN 'C' ELSE '' END
+      || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN d.doc_id > least THEN 'E' ELSE '' END AS fails
+      FROM d JOIN first USING (t) LEFT JOIN said ON d.doc_id = said.doc_id),
+counts AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY ALL),
+f(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM orders),
+walk AS (SELECT part, filter_order, step, substr(filter_order, step, 1) AS x, n, good, toxic, fails, contains(fails, substr(filter_order, step, 1)) AS failing,
+         fails <> '' AND len(list_filter(str_split(substr(filter_order, 1, step - 1), ''), lambda y: y <> '' AND contains(fails, y))) > 0 AS before FROM counts, steps),
+told AS (SELECT part, filter_order, step, x, coalesce(sum(n) FILTER (NOT before AND NOT failing), 0) AS kept, coalesce(sum(n) FILTER (failing AND NOT before), 0) AS removed, coalesce(sum(n) FILTER (failing AND before), 0) AS redundant,
+         coalesce(sum(n) FILTER (fails = x), 0) AS unique_fails, coalesce(sum(good) FILTER (failing AND NOT before), 0) AS good_lost, coalesce(sum(toxic) FILTER (failing AND NOT before), 0) AS toxic_lost FROM walk GROUP BY ALL)
+SELECT part, filter_order, cast(step AS integer) AS step, cast(kept AS bigint) AS kept, cast(removed AS bigint) AS removed, cast(redundant AS bigint) AS redundant, cast(unique_fails AS bigint) AS unique_fails,
+       cast(good_lost AS bigint) AS good_lost, cast(toxic_lost AS bigint) AS toxic_lost, cast(sum(removed) OVER (PARTITION BY part, x) AS bigint) AS shapley FROM told
+"""
+
+OP12_SQL = """
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS t FROM documents),
+r AS (SELECT *, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER w = 1 AS kept FROM d WINDOW w AS (PARTITION BY t ORDER BY n DESC, doc_id))
+SELECT doc_id, keep_id, group_size, kept, sha256(t) AS text_sha256 FROM r
+"""
+
+
+def _rounds_sql(k: int, n: int) -> str:
+    """Plain Lloyd rounds: every vector meets every centroid in each."""
+    parts = [
+        "k AS MATERIALIZED (SELECT vec_id, embedding AS e FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)",
+        "v AS MATERIALIZED (SELECT vec_id, unnest(range(0, 64)) AS j, unnest(list_transform(e, lambda x: cast(floor(1024 * cast(x AS double)) AS bigint))) AS x FROM k)",
+        f"s AS MATERIALIZED (SELECT vec_id, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c FROM k ORDER BY sha256('3:' || vec_id) LIMIT {k})",
+        "c0 AS MATERIALIZED (SELECT c, j, x FROM s JOIN v USING (vec_id))",
+    ]
+    for r in range(n + 1):
+        parts.append(f"d{r} AS MATERIALIZED (SELECT vec_id, c, sum((v.x - c{r}.x) * (v.x - c{r}.x))::bigint AS d FROM v JOIN c{r} USING (j) GROUP BY vec_id, c)")
+        parts.append(f"a{r} AS MATERIALIZED (SELECT vec_id, c, d FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, c) AS n FROM d{r}) WHERE n = 1)")
+        if r < n:
+            parts.append(f"m{r} AS MATERIALIZED (SELECT c, j, sum(x)::bigint AS s, count(*)::bigint AS n FROM a{r} JOIN v USING (vec_id) GROUP BY c, j)")
+            parts.append(f"c{r + 1} AS MATERIALIZED (SELECT c, j, coalesce((s - ((s % n) + n) % n) // n, x) AS x FROM c{r} LEFT JOIN m{r} USING (c, j))")
+    parts.append(f"z AS (SELECT c, sha256(string_agg(x::varchar, ',' ORDER BY j)) AS centroid_sha256 FROM c{n} GROUP BY c)")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, c::integer AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::bigint AS cluster_inertia, sum(d) OVER ()::bigint AS inertia, centroid_sha256 FROM a{n} JOIN z USING (c)
+"""
+
+
+OP13_SQL = _rounds_sql(lloyd.K, lloyd.ROUNDS)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_lm_score": op2_lm_score,
@@ -130,6 +193,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
     "op10_langid": op10_langid,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_centroids": op13_centroids,
     "mixing_targets": mixing_targets,
 }
-ORACLE_SQL: dict[str, str] = {"op5_sharding": OP5_SQL, "op6_decontaminate": OP6_SQL, "op7_url_filter": OP7_SQL, "mixing_targets": TARGETS_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_sharding": OP5_SQL, "op6_decontaminate": OP6_SQL, "op7_url_filter": OP7_SQL, "op11_filter_audit": OP11_SQL, "op12_exact_dedup": OP12_SQL, "op13_centroids": OP13_SQL, "mixing_targets": TARGETS_SQL}
