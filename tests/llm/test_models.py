@@ -91,7 +91,7 @@ def test_quality_gradients():
         assert (up - down) / 2e-5 == pytest.approx(g[k][at], rel=0.02, abs=2e-6)
 
 
-def plain_score(model, text):
+def plain_quality(model, text):
     """A text's score passage by passage: softmax attention over the encodings of its passages."""
     data = text.encode()
     words = [m.start() for m in re.finditer(rb"[^\x09\x0a-\x0d\x20]+", data)]
@@ -114,7 +114,7 @@ def test_quality_scores_equal_a_plain_forward_pass(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     model = quality.learn(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     texts = [r.text for r in docs.limit(60).collect()] + ["", " a", "\n\nx y\n", "One two. " * 3000]
-    want = [plain_score(model, t) for t in texts]
+    want = [plain_quality(model, t) for t in texts]
     assert 0.1 < np.std(want)
     for size in (quality.CHUNK, 3000, 400):
         monkeypatch.setattr(quality, "CHUNK", size)
@@ -246,7 +246,7 @@ def learned_scorer(spark, sf, **how):
     return lm.learn(docs, vocabulary, "text", "doc_id", **how)[0], vocabulary
 
 
-def plain_score(s, counts, text):
+def plain_text_score(s, counts, text):
     """A text's log10 probability, place by place: one masked attention row a place, softmax over classes, ids within classes by their definition."""
     p = {k: v.astype(float) for k, v in s.net.p.items()}
     words = text.encode().translate(lm.LOWER).split()
@@ -290,7 +290,7 @@ def test_scores_equal_a_plain_masked_forward_pass(spark, monkeypatch):
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(6).collect()] + ["", "The", "zzyzzx qqq the of zzyzzx", "Nunca jamás " * 20]
     for t, (n, _, _, score, rare, a, b) in zip(texts, s.score([t.encode() for t in texts]), strict=True):
         whole = score + sum(math.log10(x + counts.get(w, 0) * y) for w, x, y in zip(rare, a, b, strict=True) if counts.get(w, 0))
-        assert n == len(t.encode().split()) + 1 and whole == pytest.approx(plain_score(s, counts, t), rel=2e-3, abs=2e-3)
+        assert n == len(t.encode().split()) + 1 and whole == pytest.approx(plain_text_score(s, counts, t), rel=2e-3, abs=2e-3)
 
 
 def test_words_and_ids_sum_to_one(spark, monkeypatch):
