@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +61,72 @@ def test_expansion_takes_one_chunk_a_document_best_edges_first(spark):
     assert graph.expand(seeds, edges(spark), people, first, spark.createDataFrame([("q", "b")], "qid string, doc_id string")).count() == 0
 
 
+def greedy(seeds, relations, docs, chunks, exclude, budget):
+    """(document, reason) of a query in order: edges by confidence and tier, each taking the first document that is left."""
+    around = [e for e in relations if e[0] != e[2] and e[5] >= 1.0 and (e[0] in seeds or e[2] in seeds)]
+    taken, seen = [], set()
+    for e in sorted(around, key=lambda e: (-e[5], e[4], e[0], e[1], e[2], e[3])):
+        if e[:3] in seen or len(taken) == budget:
+            continue
+        seen.add(e[:3])
+        for ref in docs.get(e[2] if e[0] in seeds else e[0], []):
+            doc = ref if ref in chunks else ref.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+            if doc in chunks and doc not in exclude and doc not in [t for t, _ in taken]:
+                taken.append((doc, e[3]))
+                break
+    return taken
+
+
+EDGE_TYPE = "subject_id string, predicate string, object_id string, evidence string, tier int, confidence double, qualifier string"
+
+
+@pytest.mark.parametrize("budget", [1, 2, 3, 12])
+def test_expansion_where_neighbours_share_documents(spark, budget):
+    """A better edge takes one document and leaves its others to the edges after it."""
+    r = random.Random(budget)
+    docs = {f"e{k}": [r.choice([f"wiki/d{x}.md", f"img/p{x}.png", f"d{x}", f"none/{x}"]) for x in r.choices(range(6), k=r.randrange(4))] for k in range(40)}
+    docs |= {"A": ["wiki/d1.md", "d2"], "B": ["d2", "wiki/d3.md"]}
+    chunks = {f"d{x}" for x in range(6)} | {f"img/p{x}.png" for x in range(0, 6, 2)} | {"p1", "p3"}
+    relations = [(a, b) if r.random() < 0.5 else (b, a) for a, b in [("s", x) for x in docs] + [("t", f"e{k}") for k in range(0, 40, 3)] + [("t", "s"), ("s", "s")]]
+    relations = [(a, r.choice("pq"), b, f"x{n}", r.choice([1, 2, 3]), r.choice([1.0, 1.0, 0.6]), None) for n, (a, b) in enumerate(relations)]
+    relations += [(*e[:3], f"{e[3]}again", 1, 1.0, None) for e in relations[::7]]
+    exclude = {"q1": set(), "q2": {"d0", "p1"}, "q3": set(chunks)}
+    seeds = {"q1": ["s"], "q2": ["s", "t", "t"], "q3": ["s"]}
+    people = spark.createDataFrame(list(docs.items()), "entity_id string, doc_ids array<string>")
+    first = spark.createDataFrame([(c, f"{c}:c0") for c in sorted(chunks)], "doc_id string, chunk_id string")
+    barred = spark.createDataFrame([(q, d) for q, ds in exclude.items() for d in ds], "qid string, doc_id string")
+    asked = spark.createDataFrame([(q, e) for q, es in seeds.items() for e in es], "qid string, entity_id string")
+    got = graph.expand(asked, spark.createDataFrame(relations, EDGE_TYPE), people, first, barred, budget).collect()
+    for q in seeds:
+        rows = sorted((x["rank"], x.doc_id, x.reason.rpartition(" ")[2], x.chunk_id) for x in got if x.qid == q)
+        want = greedy(set(seeds[q]), relations, docs, chunks, exclude[q], budget)
+        assert [(d, e) for _, d, e, _ in rows] == want and [n for n, *_ in rows] == list(range(1, len(want) + 1))
+        assert all(c == f"{d}:c0" for _, d, _, c in rows)
+
+
+def test_expansion_over_two_hops(spark):
+    relations = spark.createDataFrame([("s", "p", "a", "x1", 1, 1.0, None), ("a", "p", "b", "x2", 1, 1.0, None), ("b", "p", "c", "x3", 1, 1.0, None)], EDGE_TYPE)
+    people = spark.createDataFrame([(x, [f"{x}.md"]) for x in "sabc"], "entity_id string, doc_ids array<string>")
+    first = spark.createDataFrame([(x, f"{x}:c0") for x in "sabc"], "doc_id string, chunk_id string")
+    none, seeds = spark.createDataFrame([], "qid string, doc_id string"), spark.createDataFrame([("q", "s")], "qid string, entity_id string")
+    found = {n: sorted(r.doc_id for r in graph.expand(seeds, relations, people, first, none, hops=n).collect()) for n in (1, 2)}
+    #: Of an edge that no seed ends, the subject is the neighbour.
+    assert found == {1: ["a"], 2: ["a"]}
+    assert graph.expand(seeds.limit(0), relations, people, first, none).count() == 0
+
+
+def test_names_that_begin_alike(spark):
+    """All names share their first word; rows of the join stay those that are found."""
+    names = [f"Keeper {k}" for k in range(300)] + ["Keeper 7 of the Gate", "Keeper"]
+    people = entities(spark, *names)
+    texts = spark.createDataFrame([(k, f"did keeper {k} or Keeper 7 of the gate speak?") for k in range(300)], "qid int, query string")
+    got = graph.mentions(texts, people)
+    want = {(k, f) for k in range(300) for f in (f"keeper {k}", "keeper 7 of the gate")}
+    assert {(r.qid, r.form) for r in got.collect() if r.form != "keeper"} == want - {(7, "keeper 7")} | {(7, "keeper 7")}
+    met = graph.runs(texts.select("qid", F.split(F.lower("query"), " ").alias("w")), F.col("w"), spark.createDataFrame([("keeper 7", 2)], "form string, n int")).join(spark.createDataFrame([("keeper 7",)], "form string"), "form")
+    assert met.count() == 301
+
+
 def test_budget_replaces_and_never_adds(spark):
     base = spark.createDataFrame([("q", f"c{n}", 1.0 / n, n) for n in range(1, 5)], "qid string, chunk_id string, score double, rank int")
     more = spark.createDataFrame([("q", f"x{n}", "why", n) for n in range(1, 9)], "qid string, chunk_id string, reason string, rank int")

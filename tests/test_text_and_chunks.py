@@ -4,6 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tests.plain_chunker import plain_chunks
 from veritide.functions import text as X
 from veritide.operators import chunking
 
@@ -120,15 +121,15 @@ def test_chunks_keep_tables_whole_and_sections_apart(spark):
 def test_long_text_is_split_and_overlaps(spark):
     sentence = words(30) + ". "
     rows = [("text", sentence * 40, ["A"])] + [("text", words(50), ["A"])] * 12
-    got = chunking.chunk(blocks(spark, rows)).collect()
+    got = sorted(chunking.chunk(blocks(spark, rows)).collect(), key=lambda c: int(c.chunk_id.split("c")[-1]))
     assert all(c.token_count <= 520 for c in got)
-    ids = [b for c in sorted(got, key=lambda c: int(c.chunk_id.split("c")[-1])) for b in c.block_ids]
+    ids = [b for c in got for b in c.block_ids]
     assert "d:b0.0" in ids and len(ids) > len(set(ids))
     assert [c.chunk_id for c in got] == [f"d:c{n}" for n in range(len(got))]
 
 
 def test_short_pieces_wait_for_what_follows(spark):
-    got = chunking.chunk(blocks(spark, [("heading", "Alone", ["A"]), ("text", words(60), ["B"]), ("text", "tail", ["B"]), ("text", "end", ["C"])])).collect()
+    got = chunking.chunk(blocks(spark, [("heading", "Alone", ["A"]), ("text", words(60), ["B"]), ("text", "tail", ["B"]), ("text", "end", ["C"])])).orderBy("chunk_id").collect()
     assert [(c.block_ids, c.section_path) for c in got] == [(["d:b0", "d:b1", "d:b2"], ["B"]), (["d:b3"], ["C"])]
 
 
@@ -141,3 +142,44 @@ def test_outline_overrides_depth(spark):
     b = spark.createDataFrame([("d", "heading", " Keep ", 3), ("d", "text", "Keep", 1)], "doc_id string, block_type string, text string, depth int")
     o = spark.createDataFrame([("d", 0, "keep", 1), ("d", 1, "KEEP", 2)], "doc_id string, pos int, title string, depth int")
     assert sorted((r.block_type, r.depth, r.outlined) for r in chunking.outline_depths(b, o).collect()) == [("heading", 2, True), ("text", 1, False)]
+
+
+def random_blocks(r, n):
+    """Blocks of all kinds and sizes: sections that return, empty and blank texts, long sentences."""
+    out, section = [], ["A"]
+    for _ in range(n):
+        if r.random() < 0.25:
+            section = r.choice([["A"], ["A", "B"], ["C"], []])
+        kind = r.choices(["text", "heading", "table", "figure", "caption"], [10, 3, 1, 1, 1])[0]
+        text = r.choice(["", " ", "end.", words(r.randrange(1, 12)), words(r.randrange(20, 70)) + ".", ". ".join(words(r.randrange(1, 40)) for _ in range(r.randrange(1, 25))), words(r.choice([150, 400]))])
+        out.append((kind, text, section))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_chunks_equal_one_plain_fold(spark, monkeypatch, seed):
+    """Documents of any length, in one segment and in many, under several sizes."""
+    r = random.Random(seed)
+    docs = {f"d{k}": random_blocks(r, n) for k, n in enumerate([0, 1, 2, 3, 40, 150, 400, 900])}
+    rows = [(d, f"{d}:b{n}", n, r.randrange(1, 5), k, t, s, f"{d}/{n}.png" if k == "figure" and n % 3 else None) for d, own in docs.items() for n, (k, t, s) in enumerate(own)]
+    df = spark.createDataFrame(r.sample(rows, len(rows)), "doc_id string, block_id string, ord int, page int, block_type string, text string, section_path array<string>, asset_path string")
+    target, overlap, segment = [(450, 0.15, 4096), (20, 0.5, 8), (60, 0.3, 8)][seed]
+    monkeypatch.setattr(chunking, "SEGMENT", segment)
+    cut = {}
+    for x in chunking.pieces(df, target, overlap).collect():
+        cut.setdefault(x.doc_id, []).append(x)
+    want = sorted(c for d, own in cut.items() for c in plain_chunks(d, [(x.section_path, x.block_id, x.block_type, x.piece, x.page, x.asset_path) for x in sorted(own, key=lambda x: (x.ord, x["at"]))], target, overlap))
+    got = sorted((c.chunk_id, c.block_ids, c.text, (c.page_lo, c.page_hi), c.section_path, c.asset_ids, c.token_count) for c in chunking.chunk(df, target, overlap).collect())
+    assert got == want and len(want) > 50
+
+
+def test_a_document_of_one_section_is_folded_in_segments(spark, monkeypatch):
+    """A long document without any place to start anew: as many tasks fold it as it has segments, and no window sees its texts."""
+    monkeypatch.setattr(chunking, "SEGMENT", 64)
+    r = random.Random(9)
+    rows = [("d", f"b{n}", n, 1, "text", words(r.randrange(1, 14)), ["A"], None) for n in range(20_000)]
+    df = spark.createDataFrame(rows, "doc_id string, block_id string, ord int, page int, block_type string, text string, section_path array<string>, asset_path string")
+    want = plain_chunks("d", [(s, b, k, t, p, a) for _, b, _, p, k, t, s, a in rows], 30, 0.4)
+    got = {c.chunk_id: (c.block_ids, c.token_count) for c in chunking.chunk(df, 30, 0.4).collect()}
+    assert got == {c[0]: (c[1], c[6]) for c in want}
+    assert chunking.chunk(df.limit(0)).count() == 0

@@ -142,7 +142,7 @@ def entity_id(name: Column) -> Column:
 
 def value_normal(raw: Column) -> Column:
     """Values by meaning: no marks or thousands separators, years as ``N AS``, a number without its unit, else lower case."""
-    v = F.regexp_replace(F.trim(raw), r"^[*_ ]+|[*_ ]+$", "")
+    v = F.regexp_replace(F.regexp_replace(raw, r"^\s+|\s+$", ""), r"^[*_ ]+|[*_ ]+$", "")
     v = F.regexp_replace(F.regexp_replace(v, ",", ""), r"\s+", " ")
     year = v.rlike(r"(?i)^\d+\s*AS$")
     united = v.rlike(r"(?i)^\d+\s*[a-z-]+$")

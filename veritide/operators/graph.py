@@ -114,22 +114,30 @@ def vocabulary(vertices: DataFrame, kind: str | None = None, limit: int | None =
     return rows.limit(limit) if limit else rows
 
 
+def runs(texts: DataFrame, words: Column, names: DataFrame) -> DataFrame:
+    """Every run of words of a text that is as long as some name, as rows: the columns of texts, at (from 1), form. names: form, n (its words).
+
+    A run meets names by all its words at once, in one equi-join: no first word that many names share brings pairs.
+    """
+    #: One row: the lengths that names have.
+    lengths = names.agg(F.collect_set("n").alias("_lengths"))
+    each = texts.withColumn("_w", words).join(F.broadcast(lengths), how="left").withColumn("_n", F.explode("_lengths")).where(F.size("_w") >= F.col("_n"))
+    starts = F.sequence(F.lit(1), F.size("_w") - F.col("_n") + 1)
+    cut = F.transform(starts, lambda i: F.array_join(F.slice("_w", i, F.col("_n")), " "))
+    return each.select(*texts.columns, F.posexplode(cut).alias("at", "form")).withColumn("at", F.col("at") + 1)
+
+
 def mentions(texts: DataFrame, vertices: DataFrame, text: str = "query", key: str = "qid") -> DataFrame:
     """key, entity_id, name, at: entities whose name stands word by word in a text; longest names first, none within another.
 
-    A name meets a text where its first word stands, and is compared with what follows there, as many words as it has; so no
-    text is tried against all names, and only places where some name may begin are looked at. Only a name's first place
-    counts, as does an entity's first name that fits.
+    Runs of words meet the names in one equi-join, so rows grow with what is found, however many names begin alike. Only a name's first
+    place counts, as does an entity's first name that fits.
     """
     surfaces = vertices.where(F.col("type").isin(SEED_TYPES)).select("entity_id", F.posexplode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("nth", "surface"), F.length("name").alias("len"))
     surfaces = surfaces.withColumn("form", X.words(F.col("surface"))).where((F.length("surface") >= MIN_NAME) & (F.length("form") >= MIN_NAME))
-    surfaces = surfaces.withColumn("_name", F.split("form", " ")).withColumn("_first", F.get("_name", F.lit(0))).withColumn("n", F.size("_name"))
-    #: One row: the most words of a name, which bounds what is carried from a place.
-    longest = surfaces.agg(F.coalesce(F.max("n"), F.lit(0)).alias("_most"))
-    words = texts.select(F.col(key), F.split(X.words(F.col(text)), " ").alias("w")).join(F.broadcast(longest), how="left")
-    places = words.select(key, F.explode(F.transform("w", lambda x, i: F.struct((i + 1).alias("at"), x.alias("_first"), F.slice("w", i + 1, F.col("_most")).alias("run")))).alias("p")).select(key, "p.*")
-    begun = places.join(surfaces, "_first").where(F.slice("run", F.lit(1), F.col("n")) == F.col("_name"))
-    first = begun.groupBy(key, "form", "n").agg(F.min("at").alias("at"))
+    forms = surfaces.select("form", F.size(F.split("form", " ")).alias("n")).distinct()
+    places = runs(texts.select(F.col(key), X.words(F.col(text)).alias("_text")), F.split("_text", " "), forms).drop("_text")
+    first = places.join(forms, "form").groupBy(key, "form", "n").agg(F.min("at").alias("at"))
     met = first.join(surfaces.select("entity_id", "nth", "len", "form"), "form")
     each = met.groupBy(key, "entity_id").agg(F.min_by(F.struct("at", "n", "form", "len"), "nth").alias("m"))
     items = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("m.len")).alias("o"), "entity_id", F.col("m.at").alias("at"), (F.col("m.at") + F.col("m.n")).alias("to"), F.col("m.form").alias("form")))).alias("found"))
@@ -138,28 +146,55 @@ def mentions(texts: DataFrame, vertices: DataFrame, text: str = "query", key: st
     return items.select(key, F.explode(kept).alias("m")).select(key, "m.entity_id", "m.form", "m.at")
 
 
-def expand(seeds: DataFrame, edges: DataFrame, vertices: DataFrame, first_chunks: DataFrame, exclude: DataFrame, budget: int = 12) -> DataFrame:
-    """One hop from the seeds of each query to new documents: qid, chunk_id, doc_id, reason, rank.
+def known_documents(vertices: DataFrame, first_chunks: DataFrame) -> DataFrame:
+    """entity_id, docs: the documents of an entity that have chunks, in its order, as (doc_id, chunk_id). A reference is tried as it stands, then by its slug."""
+    chunks = first_chunks.groupBy("doc_id").agg(F.min("chunk_id").alias("chunk_id"))
+    refs = vertices.select("entity_id", F.posexplode("doc_ids").alias("_nth", "ref")).withColumn("slug", X.doc_slug(F.col("ref")))
+    tried = refs.select("entity_id", "_nth", F.explode(F.array(F.struct(F.lit(0).alias("way"), F.col("ref").alias("doc_id")), F.struct(F.lit(1).alias("way"), F.col("slug").alias("doc_id")))).alias("t"))
+    met = tried.select("entity_id", "_nth", "t.way", "t.doc_id").join(chunks, "doc_id")
+    #: A document that several references name stands at the first of them.
+    one = met.groupBy("entity_id", "_nth").agg(F.min_by(F.struct("doc_id", "chunk_id"), "way").alias("d"))
+    return one.groupBy("entity_id", "d").agg(F.min("_nth").alias("_nth")).groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("_nth", "d"))).alias("docs")).select("entity_id", F.transform("docs", lambda x: x["d"]).alias("docs"))
+
 
-    seeds: qid, entity_id; first_chunks: doc_id, chunk_id; exclude: qid, doc_id. Edges by (confidence, tier), each triple once; an
-    edge gives the first document of the neighbour that is neither excluded nor taken by a better edge.
+def expand(seeds: DataFrame, edges: DataFrame, vertices: DataFrame, first_chunks: DataFrame, exclude: DataFrame, budget: int = 12, hops: int = 1) -> DataFrame:
+    """From the seeds of each query over edges within ``hops`` to new documents: qid, chunk_id, doc_id, reason, rank.
+
+    seeds: qid, entity_id; first_chunks: doc_id, chunk_id; exclude: qid, doc_id. Edges by (confidence, tier), each triple once; in that
+    order each takes the first document of its neighbour that is neither excluded nor taken, until the budget is full.
+
+    The order is a fold over the edges of a query, whose length is bounded: of a neighbour's documents the first ``budget`` that are
+    not excluded are enough, as fewer are taken when an edge's turn comes; of edges with the same set of n documents the first
+    n are; and an edge can only fail if its set lies within the budget - 1 documents taken, so (budget - 1) 2^(budget - 2) fail at most.
     """
-    good = edges.where((F.col("subject_id") != F.col("object_id")) & (F.col("confidence") >= MIN_CONFIDENCE))
-    s = seeds.select("qid", "entity_id")
-    hops = s.join(good, F.col("entity_id") == F.col("subject_id")).unionAll(s.join(good, F.col("entity_id") == F.col("object_id")))
-    order = Window.partitionBy("qid", "subject_id", "predicate", "object_id").orderBy(F.desc("confidence"), "tier", "evidence")
-    once = hops.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "entity_id")
+    triple = ["subject_id", "predicate", "object_id"]
+    s = seeds.select("qid", "entity_id").distinct()
+    ends = s.select(F.col("entity_id").alias("seed"), "entity_id").distinct()
+    around = neighbours(edges, ends, hops)[1].where((F.col("subject_id") != F.col("object_id")) & (F.col("confidence") >= MIN_CONFIDENCE))
+    order = Window.partitionBy("qid", *triple).orderBy(F.desc("confidence"), "tier", "evidence")
+    hop = s.withColumnRenamed("entity_id", "seed").join(around, "seed").drop("seed").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
     is_seed = s.select(F.col("qid").alias("_q"), F.col("entity_id").alias("_seed"))
-    once = once.join(is_seed, (F.col("qid") == F.col("_q")) & (F.col("subject_id") == F.col("_seed")), "left").withColumn("other", F.when(F.col("_seed").isNotNull(), F.col("object_id")).otherwise(F.col("subject_id"))).drop("_q", "_seed")
-    docs = once.join(vertices.select("entity_id", F.posexplode("doc_ids").alias("_nth", "ref")), F.col("other") == F.col("entity_id"))
-    docs = docs.withColumn("doc_id", X.doc_slug(F.col("ref"))).join(first_chunks, "doc_id").join(exclude, ["qid", "doc_id"], "left_anti")
-    rank = Window.partitionBy("qid", "doc_id").orderBy(F.desc("confidence"), "tier", "subject_id", "predicate", "object_id", "_nth")
-    best = docs.withColumn("_r", F.row_number().over(rank)).where("_r = 1")
-    per_edge = Window.partitionBy("qid", "subject_id", "predicate", "object_id").orderBy("_nth")
-    best = best.withColumn("_r", F.row_number().over(per_edge)).where("_r = 1")
-    cut = Window.partitionBy("qid").orderBy(F.desc("confidence"), "tier", "subject_id", "predicate", "object_id")
+    once = hop.join(is_seed, (F.col("qid") == F.col("_q")) & (F.col("subject_id") == F.col("_seed")), "left").withColumn("other", F.when(F.col("_seed").isNotNull(), F.col("object_id")).otherwise(F.col("subject_id"))).drop("_q", "_seed")
+    barred = exclude.groupBy("qid").agg(F.collect_set("doc_id").alias("_barred"))
+    docs = known_documents(vertices, first_chunks).withColumnRenamed("entity_id", "other")
+    free = F.filter("docs", lambda d: ~F.coalesce(F.array_contains("_barred", d["doc_id"]), F.lit(False)))
+    open_ = once.join(docs, "other").join(barred, "qid", "left").withColumn("docs", F.slice(free, 1, budget)).where(F.size("docs") > 0)
+    best = [F.desc("confidence"), "tier", *triple]
+    same = Window.partitionBy("qid", F.array_sort("docs")).orderBy(*best)
+    needed = open_.withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= F.size("docs"))
+    bound = (budget - 1) * 2 ** max(0, budget - 2) + budget
+    ranked = needed.withColumn("_r", F.row_number().over(Window.partitionBy("qid").orderBy(*best))).where(F.col("_r") <= min(bound, 2**31 - 1))
     reason = F.concat(F.lit("reached via "), "subject_id", F.lit(" -"), "predicate", F.lit("-> "), "object_id", F.lit(" | evidence "), "evidence")
-    return best.withColumn("rank", F.row_number().over(cut)).where(F.col("rank") <= budget).select("qid", "chunk_id", "doc_id", reason.alias("reason"), "rank")
+    lists = ranked.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("_r", "docs", reason.alias("reason")))).alias("edges"))
+    into = f"array<struct<doc_id:{first_chunks.schema['doc_id'].dataType.simpleString()},chunk_id:string,reason:string>>"
+
+    def take(taken: Column, edge: Column) -> Column:
+        left = F.filter(edge["docs"], lambda d: ~F.exists(taken, lambda t: t["doc_id"] == d["doc_id"]))
+        got = F.transform(F.slice(left, 1, 1), lambda d: F.struct(d["doc_id"].alias("doc_id"), d["chunk_id"].alias("chunk_id"), edge["reason"].alias("reason")))
+        return F.when(F.size(taken) >= budget, taken).otherwise(F.concat(taken, got))
+
+    folded = lists.select("qid", F.posexplode(F.aggregate("edges", F.array().cast(into), take)).alias("_place", "t"))
+    return folded.select("qid", "t.chunk_id", "t.doc_id", "t.reason", (F.col("_place") + 1).alias("rank"))
 
 
 def section_neighbours(hits: DataFrame, chunks: DataFrame, window: int = 1) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritide.functions import text as X
+from veritide.operators import ordered
 from veritide.sources import store
 
 #: Fixed: how far a gated figure may move, and which figures are gated.
@@ -34,22 +35,41 @@ def ranking(questions: DataFrame, gold: DataFrame, docs: DataFrame, k: int = 10)
     )
 
 
-def percentile_at(values: Column, share: float | None) -> Column:
-    """An element of the sorted values, without interpolation; None: the middle one."""
-    ordered = F.array_sort(F.collect_list(values))
-    n = F.size(ordered)
-    at = F.floor(n / 2) if share is None else F.least(n - 1, F.floor(n * share))
-    return F.when(n > 0, F.element_at(ordered, (at + 1).cast("int")))
+def elements_at(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float | None]) -> DataFrame:
+    """keys and, for each share (None: the middle), the element of the sorted values at that share, without interpolation.
+
+    Values are counted first; running counts over the distinct ones say which of them holds a rank. No key's values are gathered.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_value")).agg(F.count("*").alias("_n"))
+    placed = ordered.running(counts, keys, ["_value"], "_n", "_before")
+    totals = counts.groupBy(*(F.col(k).alias(f"_t{i}") for i, k in enumerate(keys))).agg(F.sum("_n").alias("_total"))
+    met = placed.join(totals, _all_equal(keys, "_t"))
+
+    def element(share: float | None) -> Column:
+        at = F.floor(F.col("_total") / 2) if share is None else F.least(F.col("_total") - 1, F.floor(F.col("_total") * share))
+        return F.max(F.when((F.col("_before") <= at) & (at < F.col("_before") + F.col("_n")), F.col("_value")))
+
+    return met.groupBy(*keys).agg(*(element(s).alias(name) for name, s in shares.items()))
+
+
+def _all_equal(keys: list[str], prefix: str) -> Column:
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"{prefix}{i}"))
+    return same
 
 
 def suite_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Means over scored questions, latencies over all. rows: keys, ranking() and latency_ms."""
     mean = lambda c: F.coalesce(F.avg(F.when(F.col("scored"), c)), F.lit(0.0))
-    return rows.groupBy(*keys).agg(
+    rows = store.stored(rows.select(*keys, "scored", "recall", "precision", "covered", "ndcg", "rr", "latency_ms"), "suites")
+    means = rows.groupBy(*keys).agg(
         F.count("*").alias("questions"), F.count_if("scored").alias("n_scored"), mean(F.col("recall")).alias("recall"), mean(F.col("precision")).alias("precision"),
         mean(F.col("covered").cast("double")).alias("coverage"), mean(F.col("ndcg")).alias("ndcg"), mean(F.col("rr")).alias("mrr"),
-        percentile_at(F.col("latency_ms"), None).alias("p50_ms"), percentile_at(F.col("latency_ms"), 0.95).alias("p95_ms"),
     )
+    late = elements_at(rows, keys, "latency_ms", {"p50_ms": None, "p95_ms": 0.95})
+    late = late.select(*(F.col(k).alias(f"_l{i}") for i, k in enumerate(keys)), "p50_ms", "p95_ms")
+    return means.join(late, _all_equal(keys, "_l"), "left").drop(*(f"_l{i}" for i in range(len(keys))))
 
 
 def set_quality(cited: DataFrame, gold: DataFrame, keys: DataFrame, item: str) -> DataFrame:

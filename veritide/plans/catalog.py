@@ -311,15 +311,26 @@ def entity_mentions(v):
     return graph.mentions(order_questions(v), v.entities()).select("qid", "entity_id", "form")
 
 
-@query("""WITH s AS (SELECT 'r' || r_regionkey AS qid, 'ent_region_' || r_regionkey AS entity_id FROM region),
-ed AS (SELECT s.qid, e.subject_id, e.evidence, e.tier, e.object_id FROM s JOIN v_places e ON e.object_id = s.entity_id),
-r AS (SELECT qid, 'ent_nation_' || substr(subject_id, 12) AS ent, 'nation/' || substr(subject_id, 12) || '.md' AS ref, evidence, subject_id, object_id, row_number() OVER (PARTITION BY qid ORDER BY tier, subject_id) AS rank FROM ed)
-SELECT qid, 'first:' || substr(subject_id, 12) AS chunk_id, substr(subject_id, 12) AS doc_id, 'reached via ' || subject_id || ' -located_in-> ' || object_id || ' | evidence ' || evidence AS reason, rank FROM r WHERE rank <= 12""", "v_places")
+#: What lies in a nation, with documents that many neighbours share: by slug, as they stand, and one that no chunk has.
+SHARED_DOCS = """WITH RECURSIVE k AS (SELECT subject_id AS other, cast(split_part(subject_id, '_', 3) AS bigint) AS k FROM v_places UNION SELECT object_id, cast(split_part(object_id, '_', 3) AS bigint) FROM v_places),
+firsts AS (SELECT 's' || i AS doc_id FROM range(20) t(i) UNION ALL SELECT 'raw/r' || i || '.md' FROM range(5) t(i)),
+docs AS (SELECT other, ['s' || k % 7, 'raw/r' || k % 5 || '.md', 's' || k * 3 % 20] AS docs FROM k),
+hops AS (SELECT object_id AS seed, * FROM v_places UNION SELECT subject_id, * FROM v_places),
+e AS (SELECT seed AS qid, h.*, list_filter(docs, lambda d: d <> 's' || cast(split_part(seed, '_', 3) AS bigint) % 4) AS docs, row_number() OVER (PARTITION BY seed ORDER BY tier, subject_id, predicate, object_id) AS n FROM hops h JOIN docs ON other = CASE WHEN subject_id = seed THEN object_id ELSE subject_id END),
+f AS (SELECT DISTINCT qid, 0::bigint AS n, []::varchar[] AS taken, NULL::varchar AS doc_id, NULL::varchar AS reason FROM e
+ UNION ALL SELECT f.qid, e.n, CASE WHEN len(taken) < 12 AND len(list_filter(docs, lambda d: NOT list_contains(taken, d))) > 0 THEN list_append(taken, list_filter(docs, lambda d: NOT list_contains(taken, d))[1]) ELSE taken END,
+  CASE WHEN len(taken) < 12 THEN list_filter(docs, lambda d: NOT list_contains(taken, d))[1] END, 'reached via ' || subject_id || ' -' || predicate || '-> ' || object_id || ' | evidence ' || evidence FROM f JOIN e ON e.qid = f.qid AND e.n = f.n + 1)"""
+
+
+@query(SHARED_DOCS + " SELECT qid, 'first:' || doc_id AS chunk_id, doc_id, reason, len(taken)::integer AS rank FROM f WHERE doc_id IS NOT NULL", "v_places")
 def graph_expand(v):
-    seeds = v.t("region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("qid"), F.concat(F.lit("ent_region_"), F.col("r_regionkey").cast("string")).alias("entity_id"))
-    firsts = v.t("nation").select(F.col("n_nationkey").cast("string").alias("doc_id"), F.concat(F.lit("first:"), F.col("n_nationkey").cast("string")).alias("chunk_id"))
-    none = v.spark.createDataFrame([], "qid string, doc_id string")
-    return graph.expand(seeds, v.places(), v.entities(), firsts, none)
+    ids = v.entities().select("entity_id").withColumn("k", F.split_part("entity_id", F.lit("_"), F.lit(3)).cast("long"))
+    slug = lambda n: F.concat(F.lit("docs/s"), n.cast("string"), F.lit(".md"))
+    vertices = ids.select("entity_id", F.array(slug(F.col("k") % 7), F.concat(F.lit("lost/"), F.col("k").cast("string")), F.concat(F.lit("raw/r"), (F.col("k") % 5).cast("string"), F.lit(".md")), slug(F.col("k") * 3 % 20)).alias("doc_ids"))
+    known = v.spark.range(20).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("doc_id")).unionByName(v.spark.range(5).select(F.concat(F.lit("raw/r"), F.col("id").cast("string"), F.lit(".md")).alias("doc_id")))
+    exclude = ids.select(F.col("entity_id").alias("qid"), F.concat(F.lit("s"), (F.col("k") % 4).cast("string")).alias("doc_id"))
+    seeds = ids.select(F.col("entity_id").alias("qid"), "entity_id")
+    return graph.expand(seeds, v.places(), vertices, known.withColumn("chunk_id", F.concat(F.lit("first:"), "doc_id")), exclude)
 
 
 @query("SELECT l_linenumber AS k, cast(o_orderkey % 7 AS int) AS fused, greatest(0, least(cast(floor(l_linenumber * 0.5) AS int), cast(o_orderkey % 7 AS int) - 1)) AS budget, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL")

@@ -120,4 +120,5 @@ def with_views(sql: str, *views: str) -> str:
     for v in views:
         order += [x for x in [*NEEDS.get(v, []), v] if x not in order]
     heads = ", ".join(f"{v} AS ({SQL[v]})" for v in order)
-    return f"WITH {heads}{', ' + sql.removeprefix('WITH ') if sql.startswith('WITH ') else ' ' + sql}"
+    again = "RECURSIVE " if sql.startswith("WITH RECURSIVE ") else ""
+    return f"WITH {again}{heads}{', ' + sql.removeprefix('WITH ').removeprefix('RECURSIVE ') if sql.startswith('WITH ') else ' ' + sql}"
