@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from veritide.functions import text as X
 from veritide.sources import store, tables
@@ -139,6 +140,7 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, filters: dict[str
     """
     rows = vectors.where(passes(vectors, filters or {})).select("chunk_id", "embedding").where("embedding is not null")
     kind = queries.schema["qid"].dataType.simpleString(), vectors.schema["chunk_id"].dataType.simpleString()
+    q_type = to_arrow_type(queries.schema["qid"].dataType)
 
     def against(held: list) -> DataFrame:
         q_ids = [r["qid"] for r in held]
@@ -161,7 +163,7 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, filters: dict[str
                     best = _best(s, i, k)
                     kept[n] = s[best], i[best]
             if id_type is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([q_ids[n] for n, (s, _) in enumerate(kept) for _ in s]), pa.array([x for _, i in kept for x in i], id_type), pa.array(np.concatenate([s for s, _ in kept]))], names=["qid", "chunk_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array([q_ids[n] for n, (s, _) in enumerate(kept) for _ in s], q_type), pa.array([x for _, i in kept for x in i], id_type), pa.array(np.concatenate([s for s, _ in kept]))], names=["qid", "chunk_id", "score"])
 
         return rows.mapInArrow(run, f"qid {kind[0]}, chunk_id {kind[1]}, score double")
 

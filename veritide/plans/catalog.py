@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veritide.functions import text as X
-from veritide.operators import analysis, answers, chunking, evidence, graph, ingest, joins, metrics, retrieval, wiki
+from veritide.operators import analysis, answers, chunking, evidence, graph, incremental, ingest, joins, metrics, retrieval, wiki
 from veritide.plans.fixtures import TOKEN_SQL
 from veritide.plans.registry import ORACLE_SQL, QUERIES, query
 from veritide.sources import store, tables
@@ -205,6 +205,21 @@ def bm25_topk(v):
     return retrieval.bm25(doc_index(v), v.queries())
 
 
+CHANGED_SRC = "WITH src AS (SELECT cast(doc_id AS varchar) AS chunk_id, doc_id AS chunk_pos, CASE WHEN doc_id % 5 = 1 THEN 'second edition. ' || text ELSE text END AS text, true AS keep FROM documents WHERE doc_id % 7 <> 3), "
+
+
+@query(CHANGED_SRC + BM25_SQL.removeprefix("WITH ") + " SELECT qid, chunk_id, score, rank FROM bm WHERE rank <= 10", "v_queries")
+def incremental_bm25(v):
+    """An index that grew: most documents, then the rest, new editions of some, a deletion, merges."""
+    root = store.fresh(v.spark, "segments")
+    d = v.t("documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "doc_id", F.col("doc_id").alias("chunk_pos"), "text")
+    for part in (d.where("doc_id % 3 <> 1"), d.where("doc_id % 3 = 1 AND doc_id % 2 = 0"), d.where("doc_id % 3 = 1 AND doc_id % 2 = 1"), d.where("doc_id % 5 = 1").withColumn("text", F.concat(F.lit("second edition. "), "text"))):
+        incremental.upsert(part, root)
+    incremental.delete(d.where("doc_id % 7 = 3").select("chunk_id"), root)
+    incremental.merge(v.spark, root)
+    return retrieval.bm25(incremental.opened(v.spark, root), v.queries())
+
+
 @query(DOC_SRC.format(keep="authority_tier IN (1, 2) AND source_type <> 'src0'") + BM25_SQL.removeprefix("WITH ") + " SELECT qid, chunk_id, score, rank FROM bm WHERE rank <= 10", "v_docs", "v_queries")
 def bm25_filtered_topk(v):
     return retrieval.bm25(doc_index(v), v.queries(), filters={"authority_tier": [1, 2], "source_type": [f"src{i}" for i in range(1, 20)]})
@@ -780,7 +795,7 @@ def review_summary(v):
     return metrics.review_summary(v.t("labels").select(F.col("doc_id").alias("item_id"), F.col("quality").alias("score")), v.t("documents").select(F.col("doc_id").alias("item_id")))
 
 
-# ---- folds: the chunker has no SQL and is held against plain models in the tests --------------------------------------------------------
+# ---- folds -----------------------------------------------------------------------------------------------------------------
 
 
 def typed_blocks(v):
@@ -790,15 +805,60 @@ def typed_blocks(v):
     return b
 
 
-@query()
+BLOCKS_SQL = "WITH RECURSIVE b AS (SELECT doc_id, ord, doc_id || ':b' || ord AS id, CASE WHEN ord % 13 = 12 THEN 'table' WHEN ord % 9 = 0 THEN 'heading' ELSE 'text' END AS kind, ord // 9 AS sec, t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS ord FROM documents)),"
+
+
+def chunk_sql(target: int) -> str:
+    """Common tables that end in ``chunks``: sentences, pieces, runs and chunks told one after the other by recursion, as one fold would."""
+    overlap = int(target * chunking.OVERLAP)
+    draft, held = "STRUCT(names VARCHAR[], t VARCHAR, sec BIGINT, closed BOOLEAN)", "STRUCT(names VARCHAR[], t VARCHAR, sec BIGINT, tok BIGINT)"
+    gap, lines = "chr(10) || chr(10)", r"'^\s+|\s+$', '', 'g'"
+    sql = f"""long AS (SELECT * FROM b WHERE kind = 'text' AND greatest(1, length(t) // 4) > {target - overlap}),
+    sent AS (SELECT doc_id, ord, unnest(l) AS x, unnest(range(len(l))) AS k FROM (SELECT doc_id, ord, string_split(regexp_replace(t, '([.!?])["''”’]?[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(1), 'g'), chr(1)) AS l FROM long)),
+    size AS (SELECT *, greatest(1, length(x) // 4) AS n FROM sent),
+    pack AS (SELECT doc_id, ord, k, 0 AS part, n AS brim FROM size WHERE k = 0 UNION ALL SELECT z.doc_id, z.ord, z.k, CASE WHEN p.brim + z.n > {target - overlap} THEN p.part + 1 ELSE p.part END, CASE WHEN p.brim + z.n > {target - overlap} THEN z.n ELSE p.brim + z.n END FROM pack p JOIN size z ON z.doc_id = p.doc_id AND z.ord = p.ord AND z.k = p.k + 1),
+    part AS (SELECT doc_id, ord, part, string_agg(x, ' ' ORDER BY k) AS t FROM pack JOIN sent USING (doc_id, ord, k) GROUP BY ALL),
+    piece AS (SELECT doc_id, ord, 0 AS part, id, kind, sec, t FROM b ANTI JOIN long USING (doc_id, ord) UNION ALL SELECT doc_id, ord, part.part, id || '.' || part.part, 'text', sec, part.t FROM part JOIN b USING (doc_id, ord)),
+    tok AS (SELECT *, greatest(1, length(t) // 4) AS tok, (kind = 'heading')::int AS hd, row_number() OVER w AS i, sec IS DISTINCT FROM lag(sec) OVER w AS fresh FROM piece WINDOW w AS (PARTITION BY doc_id ORDER BY ord, part)),
+    n AS MATERIALIZED (SELECT *, sum(tok) OVER w - tok AS c, sum(hd) OVER w - hd AS h FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    carry AS MATERIALIZED (SELECT p.doc_id, p.i, min(q.i) AS a, min(q.c) AS ac, min(q.h) AS ah FROM n p JOIN n q ON q.doc_id = p.doc_id AND q.i BETWEEN p.i - {overlap} - 1 AND p.i AND p.c - q.c <= {overlap} GROUP BY ALL),
+    st AS (SELECT DISTINCT doc_id, 0::bigint AS i, 1::bigint AS s, 0::hugeint AS sc, 0::hugeint AS sh, NULL::bigint AS lo, NULL::boolean AS ends, NULL::bigint AS alone FROM n
+      UNION ALL SELECT doc_id, i, CASE WHEN kind = 'table' THEN i + 1 WHEN brim THEN greatest(s0, a) ELSE s0 END, CASE WHEN kind = 'table' THEN c + tok WHEN brim THEN greatest(c0, ac) ELSE c0 END, CASE WHEN kind = 'table' THEN h + hd WHEN brim THEN greatest(h0, ah) ELSE h0 END,
+        CASE WHEN fresh AND s < i THEN s WHEN s0 < i AND (brim OR kind = 'table' AND NOT leads) THEN s0 END, fresh, CASE WHEN kind = 'table' THEN CASE WHEN leads THEN s0 ELSE i END END
+      FROM (SELECT *, s0 < i AND kind <> 'table' AND c - c0 + tok > {target} AS brim, s0 < i AND h - h0 = i - s0 AS leads
+            FROM (SELECT n.*, a, ac, ah, st.s, CASE WHEN fresh THEN n.i ELSE st.s END AS s0, CASE WHEN fresh THEN n.c ELSE st.sc END AS c0, CASE WHEN fresh THEN n.h ELSE st.sh END AS h0 FROM st JOIN n ON n.doc_id = st.doc_id AND n.i = st.i + 1 JOIN carry ON carry.doc_id = n.doc_id AND carry.i = n.i))),
+    ended AS (SELECT doc_id, max(i) AS i, arg_max(s, i) AS s FROM st GROUP BY doc_id),
+    run AS (SELECT doc_id, lo, i - 1 AS hi, ends FROM st WHERE lo IS NOT NULL UNION ALL SELECT doc_id, alone, i, false FROM st WHERE alone IS NOT NULL UNION ALL SELECT doc_id, s, i, true FROM ended WHERE s <= i),
+    said AS (SELECT run.doc_id, hi, ends, any_value(sec) AS sec, list(id ORDER BY i) AS names, sum(tok) AS toks, bool_or(kind = 'table') AS whole, bool_or(regexp_replace(t, {lines}) <> '') AS says, coalesce(regexp_replace(string_agg(t, {gap} ORDER BY i) FILTER (t <> ''), {lines}), '') AS t, string_agg(t, {gap} ORDER BY i) AS raw FROM run JOIN n ON n.doc_id = run.doc_id AND n.i BETWEEN lo AND hi GROUP BY ALL),
+    r AS MATERIALIZED (SELECT *, greatest(1, length(t) // 4) AS est, row_number() OVER (PARTITION BY doc_id ORDER BY hi) AS j FROM said),
+    fold AS (SELECT DISTINCT doc_id, 0::bigint AS j, []::{draft}[] AS outs, []::{held}[] AS held FROM n
+      UNION ALL SELECT doc_id, j, CASE WHEN tail OR says AND short AND joins THEN list_append(outs[:-2], {{'names': list_concat(outs[-1].names, names), 't': outs[-1].t || {gap} || CASE WHEN tail THEN raw ELSE t END, 'sec': outs[-1].sec, 'closed': outs[-1].closed}}::{draft})
+        WHEN NOT says OR short THEN outs
+        WHEN len(held) = 0 THEN list_append(outs, {{'names': names, 't': t, 'sec': sec, 'closed': whole}}::{draft})
+        WHEN whole OR waits + est > {chunking.TARGET} THEN list_append(list_append(outs, {{'names': flatten(list_transform(held, lambda x: x.names)), 't': array_to_string(list_transform(held, lambda x: x.t), {gap}), 'sec': held[1].sec, 'closed': false}}::{draft}), {{'names': names, 't': t, 'sec': sec, 'closed': whole}}::{draft})
+        ELSE list_append(outs, {{'names': list_concat(flatten(list_transform(held, lambda x: x.names)), names), 't': array_to_string(list_transform(held, lambda x: x.t), {gap}) || {gap} || t, 'sec': sec, 'closed': whole}}::{draft}) END,
+        CASE WHEN tail OR NOT says OR short AND joins THEN held WHEN short THEN list_append(held, {{'names': names, 't': t, 'sec': sec, 'tok': est}}::{held}) ELSE []::{held}[] END
+      FROM (SELECT *, joins AND ends AND toks < {chunking.MINIMUM} AS tail, est < {chunking.MINIMUM} AND NOT whole AS short, coalesce(list_sum(list_transform(held, lambda x: x.tok)), 0) AS waits
+            FROM (SELECT r.*, outs, held, len(outs) > 0 AND NOT coalesce(outs[-1].closed, true) AND coalesce(outs[-1].sec = r.sec, false) AS joins FROM fold JOIN r ON r.doc_id = fold.doc_id AND r.j = fold.j + 1))),
+    done AS (SELECT doc_id, arg_max(outs, j) AS outs, arg_max(held, j) AS held FROM fold GROUP BY doc_id),
+    all_ AS (SELECT doc_id, CASE WHEN len(held) = 0 THEN outs ELSE list_append(outs, {{'names': flatten(list_transform(held, lambda x: x.names)), 't': array_to_string(list_transform(held, lambda x: x.t), {gap}), 'sec': held[1].sec, 'closed': false}}::{draft}) END AS outs FROM done),
+    chunks AS (SELECT doc_id, unnest(outs) AS o, unnest(range(len(outs))) AS k FROM all_)"""
+    return f"{BLOCKS_SQL} {sql}"
+
+
+
+@query(f"{chunk_sql(chunking.TARGET)} SELECT doc_id || ':c' || k AS chunk_id, doc_id::varchar AS doc_id, greatest(1, length(o.t) // 4)::int AS token_count, array_to_string(o.names, ',') AS block_ids, 's' || o.sec AS section FROM chunks")
 def chunk_documents(v):
     return chunking.chunk(typed_blocks(v)).select("chunk_id", "doc_id", "token_count", F.array_join("block_ids", ",").alias("block_ids"), F.array_join("section_path", ">").alias("section"))
 
 
-@query()
+SWEPT = (300, chunking.TARGET, 600)
+
+
+@query(" UNION ALL ".join(f"SELECT {t} AS target, count(*) AS chunks, count(*) FILTER (greatest(1, length(o.t) // 4) > 512) AS over_limit, median(greatest(1, length(o.t) // 4))::double AS median_tokens FROM ({chunk_sql(t)} SELECT o FROM chunks)" for t in SWEPT))
 def chunk_sweep(v):
     """Counts by chunk size."""
-    return chunking.sweep(typed_blocks(v))
+    return chunking.sweep(typed_blocks(v), SWEPT)
 
 
 #: Sentences, then a fold over them: a part is closed by the sentence that would take it above the target.

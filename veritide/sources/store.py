@@ -34,12 +34,16 @@ def _delete(spark: SparkSession, path: str) -> None:
         return
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has yet; what is written there lives as long as the process."""
+    path = f"{shared_dir(spark)}/veritide-{name}-{uuid.uuid4().hex[:12]}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
 def written(df: DataFrame, name: str, path: str | None = None) -> str:
     """The path of a table written from df; without a path of its own it lives as long as the process."""
-    spark = df.sparkSession
-    if path is None:
-        path = f"{shared_dir(spark)}/veritide-{name}-{uuid.uuid4().hex[:12]}"
-        atexit.register(_delete, spark, path)
+    path = path or fresh(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return path
 

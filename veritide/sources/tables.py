@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veritide.functions import text as X
+from veritide.sources import versions
 
 #: Fixed: of copies of a document in several formats, the first of these is read.
 FORMATS = ["md", "docx", "pdf", "txt"]
@@ -49,52 +50,40 @@ def same_content(files: DataFrame) -> DataFrame:
 
 def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines under a closed schema; a line that does not fit fails the read."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(lines_at(spark, path))
 
 
 def read_lines_or_set_aside(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(records, lines that do not parse)."""
-    raw = spark.read.text(path).where(F.trim("value") != "")
+    raw = spark.read.text(lines_at(spark, path)).where(F.trim("value") != "")
     parsed = raw.select("value", F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
     bad = F.col("r").isNull() | F.col("r._bad").isNotNull()
     return parsed.where(~bad).select("r.*").drop("_bad"), parsed.where(bad).select("value")
 
 
-def replaced(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
-    """What write() puts under a path, under a name that always stands for a whole table.
-
-    The new table is written beside the old one, which steps aside only for the rename and is deleted last; should the rename
-    fail, the old one takes its name again. What a crash leaves beside them is never read.
-    """
-    mark = uuid.uuid4().hex
-    write(f"{path}.new.{mark}")
-    at = spark._jvm.org.apache.hadoop.fs.Path
-    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    here, new, old = at(path), at(f"{path}.new.{mark}"), at(f"{path}.old.{mark}")
-    before = fs.exists(here)
-    if before and not fs.rename(here, old):
-        raise OSError(f"{path} could not be moved aside")
-    if not fs.rename(new, here):
-        if before:
-            fs.rename(old, here)
-        raise OSError(f"{path}.new.{mark} could not be moved to {path}")
-    if before:
-        fs.delete(old, True)
+def write_lines(df: DataFrame, path: str) -> None:
+    """JSON lines in place of those under a path, which stands for the old lines or the new ones at any moment."""
+    spark, root = df.sparkSession, path.rstrip("/")
+    before = versions.read(spark, root)[0]
+    folder = f"lines-{uuid.uuid4().hex[:16]}"
+    df.write.json(f"{root}/{folder}")
+    versions.publish(spark, root, before + 1, {"tables": {"lines": folder}})
+    versions.vacuum(spark, root)
 
 
-def write_lines(df: DataFrame, path: str) -> None:
-    """JSON lines, replaced as a whole."""
-    replaced(df.sparkSession, path, df.write.json)
+def lines_at(spark: SparkSession, path: str) -> str:
+    """Where the lines of a path are: of its last version, or the path itself if it has none."""
+    said = versions.read(spark, path.rstrip("/"))[1]
+    return f"{path.rstrip('/')}/{said['tables']['lines']}" if said else path
 
 
 def write_tables(named: dict[str, DataFrame], root: str) -> None:
-    """Tables under a folder, each replaced as a whole: a graph's entities and relations, an index's postings and counts."""
-    for name, df in named.items():
-        replaced(df.sparkSession, f"{root.rstrip('/')}/{name}", df.write.parquet)
+    """Tables under a folder, all replaced at once: a graph's entities and relations, an index's postings and counts."""
+    versions.write(named, root)
 
 
 def read_tables(spark: SparkSession, root: str, names: list[str]) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{root.rstrip('/')}/{name}") for name in names}
+    return versions.tables(spark, root, names)
 
 
 def route(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
