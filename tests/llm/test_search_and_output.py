@@ -180,3 +180,13 @@ def test_rows_go_through_shards(spark, tmp_path):
         assert {r.shard: (r.bytes, r.sha256) for r in rows} == manifest
     assert tokens.to_shards(docs.limit(0)).count() == 0
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_stores_have_the_names_that_spark_uses(tmp_path):
+    from pyarrow import fs
+
+    for uri in ("s3a://bucket/a/b", "s3n://bucket/a/b", "s3://bucket/a/b"):
+        store, path = tokens.store_at(uri + "?region=eu-west-1")
+        assert isinstance(store, fs.S3FileSystem) and path == "bucket/a/b"
+    store, path = tokens.store_at(f"file://{tmp_path}/x")
+    assert isinstance(store, fs.LocalFileSystem) and path == f"{tmp_path}/x"

@@ -7,7 +7,7 @@ import ctypes
 import functools
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -90,6 +90,21 @@ def carry(docs: DataFrame, without: Iterable[str] = ()) -> Column:
     return F.struct(*(F.col(quoted(c)) for c in docs.columns if c.lower() not in leave))
 
 
+def shielded(docs: DataFrame, own: dict[str, str], added: Sequence[str], run: Callable[[DataFrame], DataFrame], drop: Sequence[str] = ()) -> DataFrame:
+    """What run gives for docs, whatever other columns docs has: columns of docs but for ``drop``, then ``added``.
+
+    own: the names that run reads, and which column of docs each is. All others travel in one struct, ``_doc``, so that they clash with no
+    column of run's; of those named like an added one nothing is kept.
+    """
+    taken = {c.lower() for c in (*own.values(), *added)}
+    rest = [c for c in docs.columns if c.lower() not in taken]
+    inner = docs.select(*(F.col(quoted(given)).alias(name) for name, given in own.items()), *([carry(docs, taken).alias("_doc")] if rest else []))
+    of = {given.lower(): name for name, given in own.items()}
+    kept = [c for c in docs.columns if c not in drop and c.lower() not in {a.lower() for a in added}]
+    back = [F.col(of[c.lower()]).alias(c) if c.lower() in of else F.col(f"_doc.{quoted(c)}").alias(c) for c in kept]
+    return run(inner).select(*back, *added)
+
+
 def fold(column: Column | str, mod: int) -> Column:
     """crc32 of the id as text, modulo mod. A null id counts as the empty text."""
     return F.crc32(F.coalesce((F.col(column) if isinstance(column, str) else column).cast("string"), F.lit(""))) % mod

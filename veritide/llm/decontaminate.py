@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, tidy
+from .common import materialise, quoted, shielded, tidy
 
 #: Fixed by the word rule [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing A-Z: other ASCII separates words.
 KEPT = b"0123456789abcdefghijklmnopqrstuvwxyz"
@@ -266,7 +266,11 @@ def _all_marks(rows: DataFrame, text: str, marks: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with n_words, n_hit, n_items, item_ids, items_sha256, hit_spans (start, end, start, end, ...), contaminated."""
-    kept = [c for c in docs.columns if c not in ADDED]
+    return shielded(docs, {"text": text}, ADDED, lambda rows: _judged(rows, benchmark.select(F.col(quoted(item_id)).alias("item_id"), F.col(quoted(item_text)).alias("text")), block_bytes))
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, block_bytes: int, text: str = "text", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
+    kept = docs.columns
     blocks = _blocks(benchmark, item_text, item_id, block_bytes)
     block, following = next(blocks, []), next(blocks, None)
     if following is None:

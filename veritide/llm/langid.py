@@ -26,11 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import tidy
+from .common import materialise, shielded, tidy
 
 PASSAGES, SPAN = 96, 400
 LANE, CHUNK = 512, 1 << 20
@@ -266,17 +266,13 @@ def learn(rows: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     """A parser from rows that all may teach. Gathers about twice the passages a language at most."""
     rows = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0))
     rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id).cast("string"), F.col(text)).alias("h"), F.ceil(F.length(text) / span).cast("int").alias("n"))
-    totals = dict(rows.groupBy("lang").agg(F.sum("n")).collect())
-    if not totals:
-        return Parser({})
-    limit: Column = F.lit(0.0)
-    for k, n in totals.items():
-        limit = F.when(F.col("lang") == k, F.lit(2.0 * passages / n)).otherwise(limit)
+    #: Languages and their passages are stored, so that Spark knows how to join them.
+    totals = materialise(rows.groupBy(F.col("lang").alias("of")).agg((2.0 * passages / F.sum("n")).alias("limit")), "languages")
     chance = lambda i: F.pmod(F.xxhash64("h", i), F.lit(1 << 30)) / float(1 << 30)
     chosen = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: chance(i) < F.col("limit"))
-    got = rows.withColumn("limit", limit).select("lang", "h", "text", F.explode(chosen).alias("i")).select("lang", chance(F.col("i")).alias("c"), F.substring(F.col("text"), F.col("i") * span + 1, F.lit(span)).alias("t")).collect()
+    got = rows.join(totals, F.col("lang") == F.col("of")).select("lang", "h", "text", F.explode(chosen).alias("i")).select("lang", chance(F.col("i")).alias("c"), F.substring(F.col("text"), F.col("i") * span + 1, F.lit(span)).alias("t")).collect()
     samples: dict[str, list[str]] = {}
-    for k in totals:
+    for k in sorted({r["lang"] for r in got}):
         #: Passages with letters only; a language whose few rows have none cannot be told.
         own = [r["t"] for r in sorted(got, key=lambda r: (r["c"], r["t"])) if r["lang"] == k and any(c.isalpha() for c in r["t"])][:passages]
         if own:
@@ -286,7 +282,11 @@ def learn(rows: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
 
 def identify(docs: DataFrame, parser: Parser, text: str = "text") -> DataFrame:
     """docs with lang_pred and score."""
-    kept = [c for c in docs.columns if c not in ADDED]
+    return shielded(docs, {"text": text}, ADDED, lambda rows: _identified(rows, parser))
+
+
+def _identified(docs: DataFrame, parser: Parser, text: str = "text") -> DataFrame:
+    kept = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(parser)
     into = T.StructType([*(docs.schema[c] for c in kept), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 

@@ -23,7 +23,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise
+from .common import WORD, materialise, shielded
 
 ADDED = ("size", "source_size", "target", "copies", "taken")
 #: Units that meet in one block, on average.
@@ -128,7 +128,11 @@ def round_copies(units: DataFrame, seed: int, block: int = BLOCK) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, max_repeat: float = 2.0, seed: int = 11, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
     """docs with size, source_size, target (both of its source), copies, and taken (size * copies)."""
-    kept = [c for c in docs.columns if c not in ADDED]
+    return shielded(docs, {"text": text, "source": source, "doc_id": doc_id}, ADDED, lambda rows: _mixed(rows, weights, share, max_repeat, seed))
+
+
+def _mixed(docs: DataFrame, weights: tuple[float, ...], share: float, max_repeat: float, seed: int, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
+    kept = docs.columns
     sized = docs.select(
         *kept,
         F.col(source).alias("_source"),

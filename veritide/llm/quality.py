@@ -4,8 +4,7 @@ A document is a bag of passages of ``PASSAGE`` words. Each passage is encoded fr
 classes, word lengths and repetition, and hashed words. A learned layer turns these into an encoding; a gated attention
 (tanh times sigmoid) learns from document labels how much each passage counts; the document's score is a logistic of the
 attention-weighted sum of encodings. Training is in numpy on the driver, on a bounded sample of labelled rows: ``SAMPLE_DOCS``
-documents, those of smallest hash, each with at most ``LEARNED`` passages, evenly spaced over the whole text. Tasks encode them, so no
-text reaches the driver. Scoring covers every passage of every text; a text above ``CHUNK`` bytes is taken in parts that end where a
+documents, those of smallest hash, each with all passages of its whole text. Tasks encode them, so no text reaches the driver. Scoring covers every passage of every text; a text above ``CHUNK`` bytes is taken in parts that end where a
 passage does, and its attention is summed up over the parts, so no text's length raises the memory needed.
 
 Defined cases: null, empty or blank text is one passage without words and gets a score too; labels that are null are not learned from,
@@ -23,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import tidy
+from .common import shielded, tidy
 
 PASSAGE, BUCKETS, HIDDEN, GATE = 48, 128, 24, 12
-SAMPLE_DOCS, LEARNED, EPOCHS, BATCH = 4000, 64, 12, 64
+SAMPLE_DOCS, EPOCHS, BATCH = 4000, 12, 64
 CHUNK = 1 << 20
 ADDED = ("score",)
 #: Fixed: the character classes. Line ends and other space, lower, upper, digits, some marks, other ASCII, beyond ASCII.
@@ -203,15 +202,9 @@ class Model:
         return np.concatenate([np.zeros(0), *each])
 
 
-def learned(text: bytes, most: int = LEARNED) -> np.ndarray:
-    """Features of a text's passages, or of so many of them, evenly spaced."""
-    made = [passages([p], goes_on)[0] for p, goes_on in parts(text)]
-    total = sum(map(len, made))
-    wanted, at, out = np.unique(np.linspace(0, total - 1, min(most, total)).astype(int)), 0, []
-    for x in made:
-        out.append(x[wanted[(wanted >= at) & (wanted < at + len(x))] - at])
-        at += len(x)
-    return np.concatenate(out)
+def learned(text: bytes) -> np.ndarray:
+    """Features of all of a text's passages."""
+    return np.concatenate([passages([p], goes_on)[0] for p, goes_on in parts(text)])
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", doc_id: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> Model:
@@ -239,7 +232,11 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with score, from 0 to 1."""
-    kept = [c for c in docs.columns if c not in ADDED]
+    return shielded(docs, {"text": text}, ADDED, lambda rows: _scored(rows, model))
+
+
+def _scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    kept = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)
     into = T.StructType([*(docs.schema[c] for c in kept), T.StructField("score", T.DoubleType())])
 

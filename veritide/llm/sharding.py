@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, shielded
 
 LIMIT, BITS, DEEPER, FIRST_MOST = 1 << 20, 60, 4, 22
 ADDED = ("bytes", "shard", "depth", "shard_bytes", "shard_rows")
@@ -75,7 +75,11 @@ def directory(slim: DataFrame, limit: int) -> tuple[list[tuple[int, DataFrame]],
 
 def shard(docs: DataFrame, limit: int = LIMIT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs with bytes, shard (its bits, and ``+n`` for overflow), depth, shard_bytes, shard_rows."""
-    kept = [c for c in docs.columns if c not in ADDED]
+    return shielded(docs, {"text": text, "doc_id": doc_id}, ADDED, lambda rows: _sharded(rows, limit))
+
+
+def _sharded(docs: DataFrame, limit: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    kept = docs.columns
     rows = docs.select(*kept, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"), hashed(F.col(doc_id), F.col(text)).alias("_h"))
     slim = materialise(rows.groupBy(F.col("_h").alias("h")).agg(F.sum("bytes").alias("b"), F.count("*").alias("n")), "hashes")
     rounds, stuck = directory(slim, limit)

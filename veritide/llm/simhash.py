@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, tidy
+from .common import carry, materialise, quoted, shielded, tidy
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 #: The most fingerprints that are compared with each other in one step of a task.
@@ -315,9 +315,11 @@ def labelled(docs: DataFrame, text: str, doc_id: str, radius: int, shingle: int,
 
 def group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """docs without the text, with fingerprint (16 hex digits) and component_id (smallest id within reach)."""
-    kept = [c for c in docs.columns if c not in ADDED]
-    reached = labelled(docs.select(*kept), text, doc_id, radius, shingle, block)
-    return reached.select(*(c for c in kept if c != text), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+    def run(rows: DataFrame) -> DataFrame:
+        return labelled(rows, "text", "doc_id", radius, shingle, block).withColumn("fingerprint", F.lower(F.lpad(F.hex("_fp"), 16, "0")))
+
+    return shielded(docs, {"text": text, "doc_id": doc_id}, ADDED, run, drop=[text])
 
 
 def keep_one(docs: DataFrame, label: Callable[[DataFrame], DataFrame], text: str, doc_id: str) -> DataFrame:
@@ -325,20 +327,21 @@ def keep_one(docs: DataFrame, label: Callable[[DataFrame], DataFrame], text: str
 
     label: from rows (_id, _row, text) to rows (_id, _row, _label). ``_row`` is the hash of a whole row.
     """
-    row = F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()))
-    rows = label(docs.select(F.col(doc_id).alias("_id"), row.alias("_row"), text)).groupBy("_label", "_id", "_row").agg(F.count("*").alias("_rows"))
+    row = F.xxhash64(*(F.col(quoted(f.name)) for f in docs.schema if "map<" not in f.dataType.simpleString()))
+    rows = label(docs.select(F.col(quoted(doc_id)).alias("_id"), row.alias("_row"), F.col(quoted(text)).alias("text"))).groupBy("_label", "_id", "_row").agg(F.count("*").alias("_rows"))
     least = rows.groupBy("_label").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row", "_rows")).alias("k"))
     keepers = materialise(least.select(F.col("k._id").alias("_keep"), F.col("k._row").alias("_row"), F.col("k._rows").alias("_rows")), "keepers")
     #: Keepers grow with the documents, so this is a merge join at any size, not a broadcast at some.
-    stay = docs.select("*", row.alias("_own")).join(keepers.hint("merge"), (F.col("_own") == F.col("_row")) & F.col(doc_id).eqNullSafe(F.col("_keep")))
-    once = stay.where("_rows = 1").select(*docs.columns)
+    whole = docs.select(carry(docs).alias("_doc"), F.col(quoted(doc_id)).alias("_id"), row.alias("_own"))
+    stay = whole.join(keepers.hint("merge"), (F.col("_own") == F.col("_row")) & F.col("_id").eqNullSafe(F.col("_keep")))
+    once = stay.where("_rows = 1").select("_doc.*")
     if keepers.where("_rows > 1").isEmpty():
         return once
     #: Rows that are repeated whole: the aggregate keeps one, whatever their number.
-    more = stay.where("_rows > 1").groupBy("_keep", "_row").agg(F.first(F.struct(*docs.columns)).alias("r")).select("r.*")
+    more = stay.where("_rows > 1").groupBy("_keep", "_row").agg(F.first("_doc").alias("r")).select("r.*")
     return once.unionByName(more)
 
 
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """docs, whole, with one row of each group: the row of smallest id."""
-    return keep_one(docs, lambda rows: labelled(rows, text, "_id", radius, shingle, block), text, doc_id)
+    return keep_one(docs, lambda rows: labelled(rows, "text", "_id", radius, shingle, block), text, doc_id)

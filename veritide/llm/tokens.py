@@ -266,7 +266,7 @@ class _Shards:
         from pyarrow import fs
 
         self.absent = fs.FileType.NotFound
-        self.store, self.root = fs.FileSystem.from_uri(uri)
+        self.store, self.root = store_at(uri)
         self.store.create_dir(self.root)
 
     def close(self, shard: int, parts: list[bytes]) -> tuple[int, int, int, str]:
@@ -356,11 +356,23 @@ def to_shards(docs: DataFrame, uri: str | None = None, tokenizer: Tokenizer | No
     return rows.join(sums, F.col("shard") == F.col("_shard")).drop("_shard")
 
 
+#: Names that Hadoop gives to stores, and those that the same stores have here.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss", "wasb": "abfs"}
+
+
+def store_at(uri: str):
+    """(file system, path) of a folder as Spark names it."""
+    from pyarrow import fs
+
+    scheme, colon, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + colon + rest)
+
+
 def read_slots(uri: str, start: int = 0, per_shard: int = PER_SHARD, length: int = LENGTH) -> Iterator[np.ndarray]:
     """The sequences from a slot on, in training order: one seek, then sequential reads."""
     from pyarrow import fs
 
-    store, root = fs.FileSystem.from_uri(uri)
+    store, root = store_at(uri)
     shard, within = divmod(start, per_shard)
     while store.get_file_info(name := f"{root}/shard-{shard:08d}.bin").type != fs.FileType.NotFound:
         with store.open_input_file(name) as f:

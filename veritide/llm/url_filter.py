@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise, shielded
+
 ADDED = ("host", "path", "rule", "verdict")
 
 
@@ -54,29 +56,16 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     labels = F.regexp_count("host", F.lit(r"\.")) + 1
     lengths = rules.where("host is not null and path is not null").agg(F.array_sort(F.collect_set(labels)).alias("_labels"), F.array_sort(F.collect_set(F.length("path"))).alias("_lengths"))
 
-    host, path = url_parts(F.col(url))
-    kept = [c for c in pages.columns if c not in ADDED]
-    rows = (
-        pages.withColumn("_host", host)
-        .withColumn("_path", path)
-        .withColumn("_row", F.monotonically_increasing_id())
-        .join(F.broadcast(lengths), how="left")
-    )
-    rows = rows.withColumn(
-        "_digests",
-        F.when(F.col("_host") != "", F.flatten(F.transform(host_suffixes(F.col("_host"), F.col("_labels")), lambda h: F.transform(path_prefixes(F.col("_path"), F.col("_lengths")), lambda p: F.sha2(F.concat(h, F.lit("\u0000"), p), 256))))),
-    )
-    expanded = rows.drop("_lengths", "_labels").withColumn("_full", F.explode_outer("_digests")).withColumn("_prefix", F.substring("_full", 1, 8)).drop("_digests")
-    #: The join key is the prefix alone; a rule that shares it by chance has another digest.
-    confirmed = F.col("_full") == F.col("digest")
-    judged = (
-        expanded.join(known, F.col("_prefix") == F.col("prefix"), "left")
-        .groupBy("_row")
-        .agg(
-            *(F.first(c).alias(c) for c in kept),
-            F.first("_host").alias("host"),
-            F.first("_path").alias("path"),
-            F.max(F.when(confirmed, F.struct(F.length("rule_text").alias("n"), "host_length", "rule_verdict", "rule_text"))).alias("_best"),
-        )
-    )
-    return judged.select(*kept, "host", "path", F.col("_best.rule_text").alias("rule"), F.coalesce(F.col("_best.rule_verdict"), F.lit(default)).alias("verdict"))
+    def judged(given: DataFrame) -> DataFrame:
+        host, path = url_parts(F.col("url"))
+        #: Stored, so that rows have numbers that stay theirs.
+        rows = materialise(given.select("*", host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("_row")), "pages")
+        pairs = F.flatten(F.transform(host_suffixes(F.col("host"), F.col("_labels")), lambda h: F.transform(path_prefixes(F.col("path"), F.col("_lengths")), lambda p: F.sha2(F.concat(h, F.lit("\u0000"), p), 256))))
+        slim = rows.where("host <> ''").select("_row", "host", "path").join(F.broadcast(lengths)).select("_row", F.explode(pairs).alias("_full")).withColumn("_prefix", F.substring("_full", 1, 8))
+        #: The join key is the prefix alone; a rule that shares it by chance has another digest. Only numbers and rules move, the rest of a row once.
+        met = slim.join(known, F.col("_prefix") == F.col("prefix")).where(F.col("_full") == F.col("digest"))
+        best = met.groupBy(F.col("_row").alias("_of")).agg(F.max(F.struct(F.length("rule_text").alias("n"), "host_length", "rule_verdict", "rule_text")).alias("_best"))
+        out = rows.join(best, F.col("_row") == F.col("_of"), "left")
+        return out.withColumn("rule", F.col("_best.rule_text")).withColumn("verdict", F.coalesce(F.col("_best.rule_verdict"), F.lit(default)))
+
+    return shielded(pages, {"url": url}, ADDED, judged)
