@@ -39,6 +39,45 @@ def test_paths_collapse(spark):
     assert [(r.hops, r.evidence) for r in one] == [(1, "x4"), (2, "x1,x2,x3")]
 
 
+def plain_paths(relations, source, target, max_hops, max_paths):
+    around = {}
+    for a, p, b, e, *_ in relations:
+        around.setdefault(a, []).append((b, f"{a} -{p}-> {b}", e))
+        if a != b:
+            around.setdefault(b, []).append((a, f"{a} -{p}-> {b}", e))
+    found, at = [], [(source, (source,), (), ())]
+    for hop in range(1, max_hops + 1):
+        at = [(b, (*seen, b), (*steps, step), (*via, e)) for node, seen, steps, via in at for b, step, e in around.get(node, []) if b not in seen]
+        found += [(hop, " | ".join(steps), " | ".join(via)) for node, _, steps, via in at if node == target]
+        at = [x for x in at if x[0] != target]
+    return sorted(found)[:max_paths]
+
+
+def test_paths_through_a_hub_equal_all_paths_and_keep_few_rows(spark, monkeypatch):
+    """A hub of 400 neighbours between two ends: what is kept of a step can still be completed."""
+    r = random.Random(3)
+    relations = [(f"n{k}", "in", "hub", f"h{k}", 1, 1.0, None) for k in range(400)]
+    relations += [("s", "at", "hub", "x0", 1, 1.0, None), ("hub", "has", "t", "x1", 1, 1.0, None), ("s", "is", "s", "x2", 1, 1.0, None)]
+    relations += [(f"n{r.randrange(12)}", "by", r.choice(["t", "s", f"n{r.randrange(12)}"]), f"y{k}", 1, 1.0, None) for k in range(30)]
+    df, kept = spark.createDataFrame(relations, EDGE_TYPE), []
+    stored = graph.store.stored
+
+    def counted(table, name):
+        out = stored(table, name)
+        kept.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(graph.store, "stored", counted)
+    ends = [("s", "t"), ("n300", "n301"), ("n3", "t"), ("s", "nowhere")]
+    for hops, most in ((3, 10), (4, 7)):
+        got = graph.paths(df, spark.createDataFrame(ends, "source string, target string"), hops, most).collect()
+        for a, b in ends:
+            own = sorted((x["rank"], x.hops, " | ".join(x.steps), " | ".join(x.evidence)) for x in got if (x.source, x.target) == (a, b))
+            assert [x[1:] for x in own] == plain_paths(relations, a, b, hops, most)
+    #: All partial paths of three hops that begin at s alone would be thousands.
+    assert max(n for name, n in kept if name == "partial") < 300
+
+
 def test_neighbours_and_merge(spark):
     seeds = spark.createDataFrame([("s", "a")], "seed string, entity_id string")
     nodes, around = graph.neighbours(edges(spark), seeds, 2)

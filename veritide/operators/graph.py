@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veritide.functions import text as X
-from veritide.sources import tables
+from veritide.sources import store, tables
 
 EDGE_KEY = ["subject_id", "predicate", "object_id", "evidence"]
 #: Fixed: entity types that may seed an expansion; the shortest name; least confidence of an edge that may evict a hit.
@@ -69,24 +69,44 @@ def neighbours(edges: DataFrame, seeds: DataFrame, hops: int = 1, predicates: li
     return visited, edges_out
 
 
+def reach(links: DataFrame, ends: DataFrame, radius: int) -> DataFrame:
+    """target, node, dist: nodes within ``radius`` links of each target, each once. links: a, b, from either end; ends: target."""
+    near = ends.select("target", F.col("target").alias("node"), F.lit(0).alias("dist")).distinct()
+    edge = near
+    for d in range(1, radius + 1):
+        step = edge.join(links, F.col("node") == F.col("b")).select("target", F.col("a").alias("node")).distinct()
+        edge = store.stored(step.join(near, ["target", "node"], "left_anti").withColumn("dist", F.lit(d)), "frontier")
+        near = near.unionByName(edge)
+    return near
+
+
 def paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 3, max_paths: int = 10) -> DataFrame:
     """Simple paths between pairs (source, target), undirected, shortest first: source, target, hops, steps, evidence, rank.
 
-    One join a hop; what is visited travels in an array. A step reads ``subject -predicate-> object``.
+    From both ends: first the nodes around each target, by their distance, each once; then partial paths from the source, which take a
+    step only to a node that is near enough to the target for the hops that are left. So a partial path that is kept can be
+    completed but for the rule that no node comes twice, a hub's other neighbours are met once and not kept, and a step costs at most the kept paths
+    times their last nodes' links; the nodes around a target are at most all nodes. Pairs that have max_paths are done: longer
+    paths rank behind. A step reads ``subject -predicate-> object``; what is visited travels in an array.
     """
     text = F.concat_ws(" ", "subject_id", F.concat(F.lit("-"), "predicate", F.lit("->")), "object_id")
     both = edges.select(F.col("subject_id").alias("a"), F.col("object_id").alias("b"), text.alias("step"), "evidence").unionByName(edges.where("subject_id <> object_id").select(F.col("object_id").alias("a"), F.col("subject_id").alias("b"), text.alias("step"), "evidence"))
+    near = reach(both.select("a", "b").distinct(), pairs.select("target"), max_hops - 1).select(F.col("target").alias("_t"), F.col("node").alias("_n"), "dist")
     at = pairs.select("source", "target", F.col("source").alias("node"), F.array("source").alias("seen"), F.array().cast("array<string>").alias("steps"), F.array().cast("array<string>").alias("via"))
     found = None
     for hop in range(1, max_hops + 1):
-        at = (
+        able = near.where(F.col("dist") <= max_hops - hop).drop("dist")
+        at = store.stored(
             at.join(both, F.col("node") == F.col("a"))
             .where(~F.array_contains("seen", F.col("b")))
-            .select("source", "target", F.col("b").alias("node"), F.concat("seen", F.array("b")).alias("seen"), F.concat("steps", F.array("step")).alias("steps"), F.concat("via", F.array("evidence")).alias("via"))
+            .join(able, (F.col("target") == F.col("_t")) & (F.col("b") == F.col("_n")), "left_semi")
+            .select("source", "target", F.col("b").alias("node"), F.concat("seen", F.array("b")).alias("seen"), F.concat("steps", F.array("step")).alias("steps"), F.concat("via", F.array("evidence")).alias("via")),
+            "partial",
         )
         done = at.where("node = target").select("source", "target", F.lit(hop).alias("hops"), "steps", F.col("via").alias("evidence"))
         found = done if found is None else found.unionByName(done)
-        at = at.where("node <> target")
+        full = found.groupBy("source", "target").count().where(F.col("count") >= max_paths).drop("count")
+        at = at.where("node <> target").join(full, ["source", "target"], "left_anti")
     w = Window.partitionBy("source", "target").orderBy("hops", F.array_join("steps", " | "), F.array_join("evidence", " | "))
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_paths)
 

@@ -795,6 +795,19 @@ def review_summary(v):
     return metrics.review_summary(v.t("labels").select(F.col("doc_id").alias("item_id"), F.col("quality").alias("score")), v.t("documents").select(F.col("doc_id").alias("item_id")))
 
 
+MESSY = {0: "'{\"k\": ' || user_id || ', \"at\": {\"v\": [' || event_id || ', \"' || event_type || '\"]}}'", 1: "'{\"k\": \"' || event_type || '\", \"extra\": true}'", 2: "'{\"k\": ' || user_id || ', \"at\": '", 3: "'   '", 4: "'[1, 2, ' || user_id || ']'"}
+MESSY_SQL = "CASE event_id % 5 " + " ".join(f"WHEN {k} THEN {e}" for k, e in MESSY.items()) + " END"
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN user_id END AS k, CASE event_id % 5 WHEN 0 THEN event_type END AS name, CASE event_id % 5 WHEN 0 THEN event_id END AS first, CASE event_id % 5 WHEN 4 THEN user_id END AS third, event_id % 5 = 2 AS broken FROM events WHERE event_id % 5 <> 3")
+def variant_lines(v):
+    """Lines that differ in what they hold, some cut off, some blank: read by path, the broken ones set aside."""
+    good, bad = tables.variant_lines(v.t("events").select("event_id", F.expr(MESSY_SQL).alias("value")))
+    told = [tables.field("record", p, kind).alias(name) for name, p, kind in (("k", "$.k", "long"), ("name", "$.at.v[1]", "string"), ("first", "$.at.v[0]", "long"), ("third", "$[2]", "long"))]
+    none = [F.lit(None).cast(kind).alias(name) for name, kind in (("k", "long"), ("name", "string"), ("first", "long"), ("third", "long"))]
+    return good.select("event_id", *told, F.lit(False).alias("broken")).unionByName(bad.select("event_id", *none, F.lit(True).alias("broken")))
+
+
 # ---- folds -----------------------------------------------------------------------------------------------------------------
 
 

@@ -61,6 +61,20 @@ def read_lines_or_set_aside(spark: SparkSession, path: str, schema: str) -> tupl
     return parsed.where(~bad).select("r.*").drop("_bad"), parsed.where(bad).select("value")
 
 
+def variant_lines(raw: DataFrame, line: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(the other columns with ``record``, a VARIANT of what a line holds; the lines that are no JSON). Blank lines are neither.
+
+    Lines need no schema and may differ from each other: what stands where is asked by path, with ``field``.
+    """
+    rows = raw.where(F.trim(line) != "").withColumn("record", F.try_parse_json(line))
+    return rows.where("record IS NOT NULL").drop(line), rows.where("record IS NULL").drop("record")
+
+
+def field(record: str | Column, path: str, kind: str) -> Column:
+    """What stands at a path (``$.a.b[0]``) of a VARIANT, null where nothing does or where it is no such kind."""
+    return F.try_variant_get(record, path, kind)
+
+
 def write_lines(df: DataFrame, path: str) -> None:
     """JSON lines in place of those under a path, which stands for the old lines or the new ones at any moment."""
     spark, root = df.sparkSession, path.rstrip("/")

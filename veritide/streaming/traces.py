@@ -7,10 +7,14 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 #: Fixed: failures in a row that open a breaker, and seconds until it lets one call try again.
 THRESHOLD, RESET = 5, 60
+#: The setting that names the provider of state stores, and one that has timers.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def usage_windows(events: DataFrame, width: str = "1 hour", late: str = "10 minutes", key: str = "event_type") -> DataFrame:
@@ -26,6 +30,81 @@ def latest_once(records: DataFrame, keys: list[str], late: str = "10 minutes") -
     return rows.dropDuplicatesWithinWatermark(keys) if records.isStreaming else rows.dropDuplicates(keys)
 
 
+TRANSITIONS = "backend string, at long, became string, failures int"
+
+
+def transitions(state: tuple[int, int | None], calls: list[tuple[int, bool]], until: int) -> tuple[tuple[int, int | None], list[tuple[int, str, int]]]:
+    """((failures, opened at), [(at, what a breaker became, failures)]) after calls (at, ok) in the order of time, and up to a time. Times in milliseconds.
+
+    THRESHOLD failures in a row open it. While it is open nothing is tried, so a call in the log changes nothing; RESET seconds later it lets calls
+    through again and counts from 0.
+    """
+    (failures, opened), out = state, []
+
+    def pass_time(now: int) -> None:
+        nonlocal failures, opened
+        if opened is not None and now - opened >= RESET * 1000:
+            out.append((opened + RESET * 1000, "half_open", 0))
+            failures, opened = 0, None
+
+    for at, ok in calls:
+        pass_time(at)
+        if opened is None:
+            failures = 0 if ok else failures + 1
+            if failures >= THRESHOLD:
+                opened = at
+                out.append((at, "open", failures))
+    pass_time(until)
+    return (failures, opened), out
+
+
+class _Breaker(StatefulProcessor):
+    """Keeps a backend's calls until the watermark has passed them, and folds them in the order of time. One timer a backend: its next call, or the time at which it opens again."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("breaker", "failures int, opened long")
+        self.waiting = handle.getListState("waiting", "at long, ok boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for pdf in rows:
+            self.waiting.appendList([(int(at), bool(ok)) for at, ok in zip(pdf["at"], pdf["ok"], strict=True)])
+        return self.advance(key, timerValues)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        return self.advance(key, timerValues)
+
+    def advance(self, key: tuple, times: TimerValues) -> Iterator[pd.DataFrame]:
+        now = times.getCurrentWatermarkInMs()
+        calls = sorted((int(r[0]), bool(r[1])) for r in self.waiting.get())
+        due, later = [c for c in calls if c[0] <= now], [c for c in calls if c[0] > now]
+        held = self.state.get() if self.state.exists() else None
+        state, out = transitions((int(held[0]), None if held[1] is None or held[1] < 0 else int(held[1])) if held else (0, None), due, now)
+        self.state.update((state[0], -1 if state[1] is None else state[1]))
+        if due:
+            self.waiting.put(later) if later else self.waiting.clear()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if then := [*(c[0] for c in later[:1]), *([state[1] + RESET * 1000] if state[1] is not None else [])]:
+            self.handle.registerTimer(min(then))
+        if out:
+            yield pd.DataFrame([(key[0], at, name, n) for at, name, n in out], columns=["backend", "at", "became", "failures"])
+
+    def close(self) -> None:
+        pass
+
+
+def breaker_log(calls: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """backend, at, became (open, half_open), failures: what breakers did over a stream of calls (backend, ok, ts), in the order of time.
+
+    A call counts once the watermark has passed it; one that comes after that is left out. That a breaker lets calls through again is told by a timer,
+    whether calls come or not. Only calls within the watermark's delay are kept. Needs a state store that has timers: ``STORE`` as the session's provider.
+    """
+    rows = calls.select("backend", "ok", "ts", F.unix_millis("ts").alias("at")).withWatermark("ts", late)
+    told = rows.groupBy("backend").transformWithStateInPandas(statefulProcessor=_Breaker(), outputStructType=TRANSITIONS, outputMode="Append", timeMode="EventTime")
+    return told.withColumn("at", F.timestamp_millis("at"))
+
+
 def breaker_step(state: tuple[str, int, float], ok: bool, at: float) -> tuple[str, int, float]:
     """(state, failures in a row, opened at) after a call's outcome at a time."""
     name, failures, opened = state
