@@ -74,8 +74,9 @@ def test_paths_through_a_hub_equal_all_paths_and_keep_few_rows(spark, monkeypatc
         for a, b in ends:
             own = sorted((x["rank"], x.hops, " | ".join(x.steps), " | ".join(x.evidence)) for x in got if (x.source, x.target) == (a, b))
             assert [x[1:] for x in own] == plain_paths(relations, a, b, hops, most)
-    #: All partial paths of three hops that begin at s alone would be thousands.
-    assert max(n for name, n in kept if name == "partial") < 300
+        if hops == 3:
+            #: From the hub alone 400 ways lead on, for each pair; those kept end at the target or beside it.
+            assert max(n for name, n in kept if name == "partial") < 100
 
 
 def test_neighbours_and_merge(spark):

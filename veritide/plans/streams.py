@@ -11,11 +11,11 @@ from veritide.streaming import sink, traces
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
-CALLS_SQL = """WITH RECURSIVE c AS (SELECT 'b' || user_id % 4 AS backend, epoch_ms(ts) AS at, value >= 8 AS ok FROM events), e AS (SELECT max(at) - 600000 AS w FROM c),
-n AS (SELECT backend, at, ok, row_number() OVER (PARTITION BY backend ORDER BY at, ok) AS i FROM c, e WHERE at <= w),
+CALLS_SQL = """WITH RECURSIVE c AS (SELECT 'b' || user_id % 4 AS backend, epoch_us(ts) // 1000 AS ms, value >= 30 AS ok FROM events), e AS (SELECT max(ms) - 600000 AS w FROM c),
+n AS (SELECT backend, ms, ok, row_number() OVER (PARTITION BY backend ORDER BY ms, ok) AS i FROM c, e WHERE ms <= w),
 f AS (SELECT DISTINCT backend, 0::bigint AS i, 0 AS failures, NULL::bigint AS opened, NULL::bigint AS half, NULL::bigint AS now FROM n
-  UNION ALL SELECT backend, i, CASE WHEN o0 IS NOT NULL THEN f0 WHEN ok THEN 0 ELSE f0 + 1 END, CASE WHEN o0 IS NOT NULL THEN o0 WHEN NOT ok AND f0 >= 4 THEN at END, half, CASE WHEN o0 IS NULL AND NOT ok AND f0 >= 4 THEN at END
-  FROM (SELECT n.*, CASE WHEN opened + 60000 <= at THEN 0 ELSE failures END AS f0, CASE WHEN opened + 60000 > at THEN opened END AS o0, CASE WHEN opened + 60000 <= at THEN opened + 60000 END AS half FROM f JOIN n ON n.backend = f.backend AND n.i = f.i + 1)),
+  UNION ALL SELECT backend, i, CASE WHEN o0 IS NOT NULL THEN f0 WHEN ok THEN 0 ELSE f0 + 1 END, CASE WHEN o0 IS NOT NULL THEN o0 WHEN NOT ok AND f0 >= 4 THEN ms END, half, CASE WHEN o0 IS NULL AND NOT ok AND f0 >= 4 THEN ms END
+  FROM (SELECT n.*, CASE WHEN opened + 60000 <= ms THEN 0 ELSE failures END AS f0, CASE WHEN opened + 60000 > ms THEN opened END AS o0, CASE WHEN opened + 60000 <= ms THEN opened + 60000 END AS half FROM f JOIN n ON n.backend = f.backend AND n.i = f.i + 1)),
 z AS (SELECT backend, arg_max(coalesce(opened, -1), i) AS opened FROM f GROUP BY backend)
 SELECT backend, half AS at_ms, 'half_open' AS became, 0 AS failures FROM f WHERE half IS NOT NULL UNION ALL SELECT backend, now, 'open', 5 FROM f WHERE now IS NOT NULL UNION ALL SELECT backend, opened + 60000, 'half_open', 0 FROM z, e WHERE opened >= 0 AND opened + 60000 <= w"""
 
@@ -32,7 +32,7 @@ def event_stream(v, files: int, at_once: int | None = None) -> DataFrame:
 def breaker_transitions(v):
     """When the breakers of four backends opened and let calls through again, up to the watermark that all events give."""
     v.spark.conf.set(*traces.STORE)
-    calls = event_stream(v, 4).select(F.concat(F.lit("b"), (F.col("user_id") % 4).cast("string")).alias("backend"), (F.col("value") >= 8).alias("ok"), "ts")
+    calls = event_stream(v, 4).select(F.concat(F.lit("b"), (F.col("user_id") % 4).cast("string")).alias("backend"), (F.col("value") >= 30).alias("ok"), "ts")
     out, cp = store.fresh(v.spark, "transitions"), store.fresh(v.spark, "checkpoint")
     tables = {"transitions": lambda b: b.select("backend", F.unix_millis("at").alias("at_ms"), "became", "failures")}
     run = sink.into(traces.breaker_log(calls), out, tables, cp).outputMode("append").trigger(availableNow=True).start()
