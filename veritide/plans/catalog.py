@@ -624,6 +624,28 @@ def typo_corrections(v):
     return analysis.corrections(misspelt(v).where(~F.contains("span", F.lit(" "))), one_word).withColumn("score", F.round("score", 9))
 
 
+#: Questions that swap two letters of a name, spell it, leave one letter out (which many names could have), swap with an ending, or misspell next to a right name.
+TOWERS_SQL = """WITH n AS (SELECT c_custkey AS k, 'ent_tower_' || c_custkey AS entity_id, 'ar' || translate(lpad(c_custkey::varchar, 6, '0'), '0123456789', 'bcdfghklmn') || 'on' AS code FROM customer),
+q AS (SELECT k, k % 5 AS kind, CASE k % 5 WHEN 2 THEN 'Ar' || substr(code, 3, 2) || substr(code, 6) WHEN 1 THEN 'Ar' || substr(code, 3) ELSE 'Ra' || substr(code, 3) END AS word FROM n),
+m AS (SELECT q.k, q.kind, q.word, n.entity_id, n.code, CASE WHEN length(word) <> length(code) THEN 2.0::double * (6 + length(word)) / (12 + length(word) + length(code)) ELSE 2.0::double * (5 + length(code)) / (2 * (6 + length(code))) END AS score FROM q JOIN n ON damerau_levenshtein(lower(word), code) = 1),
+b AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC) AS i, coalesce(lead(score) OVER (PARTITION BY k ORDER BY score DESC), 0) AS follows FROM m WHERE kind <> 1)"""
+
+
+@query(TOWERS_SQL + " SELECT k AS qid, CASE kind WHEN 4 THEN 17 ELSE 6 END + CASE kind WHEN 4 THEN length(code) ELSE 0 END AS start, 'Tower ' || word AS original, 'Tower ' || upper(code[1]) || substr(code, 2) AS \"to\", entity_id, round(score, 9) AS score FROM b WHERE i = 1 AND score >= 0.9 AND score - follows >= 0.08")
+def question_corrections(v):
+    """A tower a customer, with a name of letters that stand for its number, and a question a tower."""
+    k = F.col("c_custkey")
+    code = F.concat(F.lit("ar"), F.translate(F.lpad(k.cast("string"), 6, "0"), "0123456789", "bcdfghklmn"), F.lit("on"))
+    towers = v.t("customer").select(k, code.alias("code"))
+    right, swapped = F.concat(F.lit("Tower "), F.initcap("code")), F.concat(F.lit("Tower Ra"), F.substring("code", 3, 99))
+    short = F.concat(F.lit("Tower Ar"), F.substring("code", 3, 2), F.substring("code", 6, 99))
+    kind = F.col("c_custkey") % 5
+    asked = F.when(kind == 0, F.concat(F.lit("Where "), swapped, F.lit(" stands?"))).when(kind == 1, F.concat(F.lit("Where "), right, F.lit(" stands?"))).when(kind == 2, F.concat(F.lit("Where "), short, F.lit(" stands?"))).when(kind == 3, F.concat(F.lit("Where "), swapped, F.lit("’s hall stands?"))).otherwise(F.concat(F.lit("Where "), right, F.lit(" and "), swapped, F.lit(" stand?")))
+    questions = towers.select(F.col("c_custkey").alias("qid"), asked.alias("query"))
+    names = towers.select(F.concat(F.lit("ent_tower_"), k.cast("string")).alias("entity_id"), right.alias("name"), F.array().cast("array<string>").alias("aliases"))
+    return analysis.question_corrections(questions, names).select("qid", "start", "original", "to", "entity_id", F.round("score", 9).alias("score"))
+
+
 # ---- metrics -------------------------------------------------------------------------------------------------------
 
 
