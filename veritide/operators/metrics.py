@@ -59,14 +59,19 @@ def _all_equal(keys: list[str], prefix: str) -> Column:
     return same
 
 
-def suite_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Means over scored questions, latencies over all. rows: keys, ranking() and latency_ms."""
+def suite_means(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Questions, how many are scored, and means over these. rows: keys and ranking()."""
     mean = lambda c: F.coalesce(F.avg(F.when(F.col("scored"), c)), F.lit(0.0))
-    rows = store.stored(rows.select(*keys, "scored", "recall", "precision", "covered", "ndcg", "rr", "latency_ms"), "suites")
-    means = rows.groupBy(*keys).agg(
+    return rows.groupBy(*keys).agg(
         F.count("*").alias("questions"), F.count_if("scored").alias("n_scored"), mean(F.col("recall")).alias("recall"), mean(F.col("precision")).alias("precision"),
         mean(F.col("covered").cast("double")).alias("coverage"), mean(F.col("ndcg")).alias("ndcg"), mean(F.col("rr")).alias("mrr"),
     )
+
+
+def suite_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Means over scored questions, latencies over all. rows: keys, ranking() and latency_ms."""
+    rows = store.stored(rows.select(*keys, "scored", "recall", "precision", "covered", "ndcg", "rr", "latency_ms"), "suites")
+    means = suite_means(rows, keys)
     late = elements_at(rows, keys, "latency_ms", {"p50_ms": None, "p95_ms": 0.95})
     late = late.select(*(F.col(k).alias(f"_l{i}") for i, k in enumerate(keys)), "p50_ms", "p95_ms")
     return means.join(late, _all_equal(keys, "_l"), "left").drop(*(f"_l{i}" for i in range(len(keys))))

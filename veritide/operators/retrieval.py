@@ -133,50 +133,64 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -score[at]))][:k]
 
 
+#: Vectors of one packed row.
+PACKED = 4096
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """Vectors (chunk_id, embedding) in rows of up to ``PACKED``: ids, data (float64, unit length), width."""
+    kind = rows.schema["chunk_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PACKED):
+                part = batch.slice(at, PACKED)
+                x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(part.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(part.column(0).type)), pa.array([_unit(x).tobytes()], pa.binary()), pa.array([x.shape[1]], pa.int32())], names=["ids", "data", "width"])
+
+    return rows.mapInArrow(run, f"ids array<{kind}>, data binary, width int")
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.sqrt((x**2).sum(1, keepdims=True)), 1e-300)
+
+
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, filters: dict[str, list] | None = None, block: int = 2048) -> DataFrame:
     """Exact cosine top k. vectors: chunk_id, embedding; queries: qid, qvec, a stated set taken in blocks.
 
-    Each task multiplies its rows with a block of queries and sends on its k best a query, so neither pairs nor vectors move.
+    Queries lie in stored blocks of about so many, vectors are packed as they are read; every pack meets every block once, in one matrix product,
+    and a task sends on its k best a query. Neither queries nor vectors pass the driver, and vectors are read once, however many queries there are.
+    Spark sends the blocks to all tasks while they are below its threshold, and deals both sides out in pairs of partitions beyond it.
     """
     rows = vectors.where(passes(vectors, filters or {})).select("chunk_id", "embedding").where("embedding is not null")
-    kind = queries.schema["qid"].dataType.simpleString(), vectors.schema["chunk_id"].dataType.simpleString()
-    q_type = to_arrow_type(queries.schema["qid"].dataType)
-
-    def against(held: list) -> DataFrame:
-        q_ids = [r["qid"] for r in held]
-        q = np.array([r["qvec"] for r in held], float)
-        q /= np.maximum(np.sqrt((q**2).sum(1, keepdims=True)), 1e-300)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            kept: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, object))] * len(q)
-            id_type = None
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                id_type = batch.column(0).type
-                ids = np.array(batch.column(0).to_pylist(), object)
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(ids), -1)
-                scores = np.round((x / np.maximum(np.sqrt((x**2).sum(1, keepdims=True)), 1e-300)) @ q.T, 6)
-                for n, (s, i) in enumerate(kept):
-                    own = _best(scores[:, n], ids, k)
-                    s, i = np.append(s, scores[own, n]), np.append(i, ids[own])
+    asked = store.stored(queries.select("qid", "qvec").where("qvec is not null"), "asked")
+    kinds = queries.schema["qid"].dataType, vectors.schema["chunk_id"].dataType
+    q_type, id_type = map(to_arrow_type, kinds)
+    number = F.pmod(F.xxhash64("qid"), F.lit(max(1, -(-asked.count() // block))))
+    blocks = store.stored(asked.groupBy(number.alias("block")).agg(F.collect_list(F.struct("qid", F.col("qvec").cast("array<double>").alias("v"))).alias("q")).select("block", F.col("q.qid").alias("qids"), F.col("q.v").alias("qvecs")), "blocks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list, np.ndarray, list]] = {}
+        for batch in batches:
+            for n in range(batch.num_rows):
+                name = batch.column(0)[n].as_py()
+                if name not in held:
+                    q = np.array(batch.column(2)[n].as_py(), float)
+                    held[name] = batch.column(1)[n].as_py(), _unit(q), [(np.zeros(0), np.zeros(0, object))] * len(q)
+                _, q, kept = held[name]
+                ids = np.array(batch.column(3)[n].as_py(), object)
+                x = np.frombuffer(batch.column(4)[n].as_py()).reshape(len(ids), -1)
+                scores = np.round(x @ q.T, 6)
+                for j, (s, i) in enumerate(kept):
+                    own = _best(scores[:, j], ids, k)
+                    s, i = np.append(s, scores[own, j]), np.append(i, ids[own])
                     best = _best(s, i, k)
-                    kept[n] = s[best], i[best]
-            if id_type is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([q_ids[n] for n, (s, _) in enumerate(kept) for _ in s], q_type), pa.array([x for _, i in kept for x in i], id_type), pa.array(np.concatenate([s for s, _ in kept]))], names=["qid", "chunk_id", "score"])
-
-        return rows.mapInArrow(run, f"qid {kind[0]}, chunk_id {kind[1]}, score double")
-
-    found, held = None, []
-    for r in [*queries.select("qid", "qvec").where("qvec is not null").toLocalIterator(), None]:
-        if held and (r is None or len(held) == block):
-            part = against(held)
-            found, held = part if found is None else found.unionByName(part), []
-        if r is not None:
-            held.append(r)
-    if found is None:
-        found = queries.select("qid").limit(0).join(rows.select("chunk_id").limit(0)).withColumn("score", F.lit(0.0))
-    return top(found, k).select("qid", "chunk_id", "score", "rank")
+                    kept[j] = s[best], i[best]
+        for q_ids, _, kept in held.values():
+            yield pa.RecordBatch.from_arrays([pa.array([q_ids[j] for j, (s, _) in enumerate(kept) for _ in s], q_type), pa.array([x for _, i in kept for x in i], id_type), pa.array(np.concatenate([s for s, _ in kept]))], names=["qid", "chunk_id", "score"])
+
+    met = blocks.crossJoin(_packed(rows)).mapInArrow(run, f"qid {kinds[0].simpleString()}, chunk_id {kinds[1].simpleString()}, score double")
+    return top(met, k).select("qid", "chunk_id", "score", "rank")
 
 
 def rrf(sparse: DataFrame, dense_: DataFrame, k: int | None = None, constant: int = RRF_K) -> DataFrame:

@@ -48,9 +48,11 @@ def ablation_modes(v):
     return rows.where("n_scored > 0").select("config", "suite", "n_scored", *(F.round(c, 6).alias(c) for c in ("recall", "ndcg", "mrr")))
 
 
-@query("SELECT label, CASE label WHEN 'extraction' THEN 'ingestion / OCR / VLM' WHEN 'retrieval' THEN 'index / fusion / rerank' WHEN 'synthesis' THEN 'prompt / composer' WHEN 'refusal' THEN 'sufficiency critic / verifier' ELSE '-' END AS fix FROM (VALUES ('extraction'), ('none'), ('refusal'), ('retrieval'), ('synthesis')) t(label)")
+@query("SELECT label, CASE label WHEN 'extraction' THEN 'ingestion / OCR / VLM' WHEN 'retrieval' THEN 'index / fusion / rerank' WHEN 'synthesis' THEN 'prompt / composer' WHEN 'refusal' THEN 'sufficiency critic / verifier' ELSE '-' END AS fix, (SELECT count(*) FROM orders WHERE ['extraction', 'none', 'refusal', 'retrieval', 'synthesis'][o_orderkey % 4 + 1] = label) AS n FROM (VALUES ('extraction'), ('none'), ('refusal'), ('retrieval'), ('synthesis')) t(label)")
 def fix_location(v):
-    return evaluate.mended_in(metrics.distribution(v.spark.createDataFrame([], "label string"))).select("label", "fix")
+    """A failure an order, of four kinds out of five."""
+    failed = v.t("orders").select(F.element_at(F.array(*map(F.lit, metrics.FAILURES)), (F.col("o_orderkey") % 4 + 1).cast("int")).alias("label"))
+    return evaluate.mended_in(metrics.distribution(failed)).select("label", "fix", "n")
 
 
 # ---- plans and packets ---------------------------------------------------------------------------------------------
@@ -191,19 +193,24 @@ def rendered_answers(v):
     return evidence.render(v.t("orders").select(F.col("o_custkey").alias("trace_id"), k.alias("ord"), F.concat(F.lit("Order "), k.cast("string"), F.lit(" [FIG:1]")).alias("text"), F.array("o_orderstatus", F.lit("x")).alias("citation_ids")))
 
 
-SPLIT_SQL = "WITH d AS (SELECT doc_id, text, doc_id % 3 AS k FROM documents WHERE length(text) >= 200), f AS (SELECT doc_id, 0 AS part, substr(text, 1, 40) AS frag FROM d UNION ALL SELECT doc_id, 1, CASE WHEN k = 0 THEN 'zzzz nowhere in any of them' ELSE substr(text, 101, 60) END FROM d), n AS (SELECT doc_id, part, trim(frag) AS frag FROM f WHERE NOT contains(frag, '...') AND NOT contains(frag, '…'))"
+SPLIT_SQL = """WITH c AS (SELECT doc_id, k, substr(text, 1 + k * 200, 200) AS t FROM (SELECT doc_id, text, unnest(range(ceil(length(text) / 200.0)::bigint)) AS k FROM documents)),
+    q AS (SELECT a.doc_id, a.k, substr(a.t, 1, 40) AS a, CASE WHEN a.k % 3 = 0 THEN 'zzzz nowhere in any of them' ELSE substr(b.t, 1, 60) END AS b FROM c a JOIN c b ON b.doc_id = a.doc_id AND b.k = a.k + 1),
+    w AS (SELECT doc_id, k, a, b FROM q WHERE NOT contains(a || b, '...') AND NOT contains(a || b, '…') AND length(trim(a)) >= 20 AND length(trim(b)) >= 20),
+    n AS (SELECT doc_id, k, 0 AS part, trim(a) AS frag FROM w UNION ALL SELECT doc_id, k, 1, trim(b) FROM w),
+    h AS (SELECT n.doc_id, n.k, part, min(c.k) AS chunk FROM n JOIN c ON c.doc_id = n.doc_id AND contains(t, frag) GROUP BY ALL)"""
 
 
-@query(SPLIT_SQL + ", h AS (SELECT n.doc_id, part, min(c) AS chunk FROM n JOIN (SELECT doc_id, 0 AS c, substr(text, 1, 100) AS t FROM d UNION ALL SELECT doc_id, 1, substr(text, 101, 400) FROM d) x ON x.doc_id = n.doc_id AND contains(t, frag) WHERE length(frag) >= 20 GROUP BY ALL), w AS (SELECT doc_id FROM n WHERE length(frag) >= 20 GROUP BY 1 HAVING count(*) = 2) SELECT doc_id, part, doc_id || ':' || chunk AS chunk_id FROM h WHERE doc_id IN (SELECT doc_id FROM w) AND doc_id IN (SELECT doc_id FROM h GROUP BY 1 HAVING count(*) = 2)")
+@query(SPLIT_SQL + " SELECT doc_id, k, part, doc_id || ':' || chunk AS chunk_id FROM h WHERE (doc_id, k) IN (SELECT (doc_id, k) FROM h GROUP BY doc_id, k HAVING count(*) = 2)")
 def split_quotes(v):
-    """Quotations over two chunks of a document; with a part that stands nowhere nothing is cited."""
-    d = v.t("documents").where(F.length("text") >= 200).select("doc_id", "text", (F.col("doc_id") % 3).alias("k"))
-    a, b = F.substring("text", 1, 40), F.when(F.col("k") == 0, "zzzz nowhere in any of them").otherwise(F.substring("text", 101, 60))
+    """Texts as chunks of 200 characters, and quotations over each two that follow each other; with a part that stands nowhere nothing is cited."""
+    chunks = v.t("documents").select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.length("text") / 200).cast("int")) - 1), lambda k: F.substring(F.col("text"), k * 200 + 1, F.lit(200)))).alias("k", "t"))
+    after = chunks.select("doc_id", (F.col("k") - 1).alias("k"), F.col("t").alias("u"))
+    a, b = F.substring("t", 1, 40), F.when(F.col("k") % 3 == 0, "zzzz nowhere in any of them").otherwise(F.substring("u", 1, 60))
     whole = ~F.concat(a, b).rlike(r"\.\.\.|…") & (F.length(F.trim(a)) >= 20) & (F.length(F.trim(b)) >= 20)
-    quotes = d.where(whole).select(F.col("doc_id").alias("quote_id"), F.col("doc_id").alias("qid"), F.concat(a, F.lit(" ... "), b).alias("quote"))
-    chunk = lambda n, t: d.select(F.col("doc_id").alias("qid"), F.concat_ws(":", F.col("doc_id").cast("string"), F.lit(str(n))).alias("chunk_id"), F.lit(n).alias("rank"), t.alias("text"))
-    got = evidence.split_quote(quotes, chunk(0, F.substring("text", 1, 100)).unionByName(chunk(1, F.substring("text", 101, 400))))
-    return got.select(F.col("quote_id").alias("doc_id"), "part", "chunk_id")
+    quotes = chunks.join(after, ["doc_id", "k"]).where(whole).select(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("k").cast("string")).alias("quote_id"), F.col("doc_id").alias("qid"), F.concat(a, F.lit(" ... "), b).alias("quote"))
+    got = evidence.split_quote(quotes, chunks.select(F.col("doc_id").alias("qid"), F.concat_ws(":", F.col("doc_id").cast("string"), F.col("k").cast("string")).alias("chunk_id"), F.col("k").alias("rank"), F.col("t").alias("text")))
+    at = F.split("quote_id", ":")
+    return got.select(at[0].cast("long").alias("doc_id"), at[1].cast("long").alias("k"), "part", "chunk_id")
 
 
 @query("WITH h AS (SELECT l_orderkey AS qid, 'b' || l_linenumber AS c, l_linenumber AS rank, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem), x AS (SELECT DISTINCT qid, n, greatest(0, least(5, n - 1)) AS b FROM h), e AS (SELECT qid, 'e' || k AS c, k AS rank FROM x JOIN range(1, 4) t(k) ON k <= b), a AS (SELECT qid, count(*) AS used FROM e GROUP BY 1), k AS (SELECT h.qid, c, 0 AS o, rank FROM h LEFT JOIN a ON a.qid = h.qid WHERE rank <= 10 - coalesce(used, 0) UNION ALL SELECT qid, c, 1, rank FROM e) SELECT qid, c AS chunk_id, row_number() OVER (PARTITION BY qid ORDER BY o, rank) AS rank FROM k")
