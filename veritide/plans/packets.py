@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veritide.functions import text as X
-from veritide.operators import answers, chunking, embedding, evaluate, evidence, graph, ingest, metrics, packets
+from veritide.operators import answers, chunking, embedding, evaluate, evidence, graph, ingest, metrics, packets, retrieval, wiki
 from veritide.plans import catalog
 from veritide.plans.fixtures import TOKEN_SQL
 from veritide.plans.registry import ORACLE_SQL, QUERIES, query
+from veritide.sources import store, versions
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 WORDS_SQL = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
@@ -55,6 +56,58 @@ def fix_location(v):
     return evaluate.mended_in(metrics.distribution(failed)).select("label", "fix", "n")
 
 
+def stub_model(text: str, ids: list[str]) -> list[dict] | None:
+    """Stands for a model: reads who lives where from a passage, for some of them wrongly, for some not at all."""
+    who, where = (next((i for i in ids if i.startswith(k)), None) for k in ("ent_customer_", "ent_nation_"))
+    if who is None or where is None:
+        return []
+    one = {"subject_id": who, "predicate": "located_in", "object_id": where, "qualifier": "since " * 30, "quote": text.upper()[:18]}
+    kind = int(who.rpartition("_")[2]) % 7
+    wrong = {2: {"predicate": "likes"}, 3: {"quote": "never said"}, 4: {"object_id": who}, 5: {"subject_id": "ent_nobody"}, 6: {"quote": " "}}
+    return None if kind == 1 else [one, {**one, "qualifier": None}] if kind == 0 else [{**one, **wrong[kind]}]
+
+
+READ_SQL = "WITH c AS (SELECT o_orderkey AS qid, o_orderkey % 5 + 1 AS tier, c_custkey AS k, c_nationkey AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 5 + 1 IN (3, 4, 5))"
+
+
+def read_relations(v):
+    asked = catalog.order_questions(v).select(F.col("qid").alias("chunk_id"), F.col("query").alias("text"), (F.col("qid") % 5 + 1).alias("authority_tier"), F.lit("letter").alias("source_type"))
+    return wiki.extract_relations(ingest.edge_candidates(asked, v.entities()), stub_model, ["located_in"])
+
+
+@query(READ_SQL + " SELECT qid::varchar AS evidence, 'ent_customer_' || k AS subject_id, 'located_in' AS predicate, 'ent_nation_' || n AS object_id, tier::integer AS tier, 0.6::double AS confidence FROM c WHERE k % 7 = 0")
+def relation_extraction(v):
+    return read_relations(v)[0].select("evidence", "subject_id", "predicate", "object_id", "tier", "confidence")
+
+
+@query(READ_SQL + """ SELECT unnest(['candidates', 'failed', 'proposed', 'kept', 'instruction_like', 'bad_predicate', 'quote_not_in_text', 'self_loop', 'unknown_entity', 'no_quote']) AS what,
+    unnest([count(*), count(*) FILTER (k % 7 = 1), count(*) FILTER (k % 7 <> 1) + count(*) FILTER (k % 7 = 0), 2 * count(*) FILTER (k % 7 = 0), 0, count(*) FILTER (k % 7 = 2), count(*) FILTER (k % 7 = 3), count(*) FILTER (k % 7 = 4), count(*) FILTER (k % 7 = 5), count(*) FILTER (k % 7 = 6)]) AS n FROM c""")
+def extraction_counts(v):
+    return read_relations(v)[1]
+
+
+SWEPT = (300, 450)
+SWEEP_ROWS = " UNION ALL ".join(
+    f"SELECT {t} AS target, * FROM (WITH src AS (SELECT doc_id || ':c' || k AS chunk_id, doc_id, o.t AS text, 0 AS chunk_pos, true AS keep FROM ({catalog.chunk_sql(t)} SELECT * FROM chunks)), v_queries AS (SELECT item_id AS qid, text AS query FROM benchmark), {catalog.BM25_SQL.removeprefix('WITH ')} SELECT qid, bm.chunk_id, doc_id, score FROM bm JOIN src USING (chunk_id))"
+    for t in SWEPT
+)
+
+
+@query(f"""WITH s AS ({SWEEP_ROWS}), top AS (SELECT target, qid, max(score) AS score FROM s GROUP BY ALL)
+    SELECT target, count(*) AS questions, round(sum(score), 3) AS best FROM top GROUP BY target""")
+def sweep_best_scores(v):
+    """The best score of each question under two chunk sizes, each read from a root of its own, added up."""
+    root, q = store.fresh(v.spark, "sweeps"), v.queries().withColumn("suite", F.lit(0))
+    evaluate.swept(catalog.typed_blocks(v), q, v.gold(), root, SWEPT).collect()
+    out = None
+    for size in SWEPT:
+        own = versions.tables(v.spark, f"{root}/chunk_{size}", ["chunks", *retrieval.INDEX])
+        index = retrieval.Index(own.pop("chunks"), **own)
+        best = retrieval.bm25(index, q, 1).agg(F.lit(size).alias("target"), F.count("*").alias("questions"), F.round(F.sum("score"), 3).alias("best"))
+        out = best if out is None else out.unionByName(best)
+    return out
+
+
 # ---- plans and packets ---------------------------------------------------------------------------------------------
 
 SEEDS_SQL = "s AS (SELECT c_custkey AS qid, k AS pos, c_name || ' ' || k AS surface FROM customer JOIN range(12) t(k) ON k < c_custkey % 11)"
