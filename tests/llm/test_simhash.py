@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import xxhash
 
 from veritide.llm import near, simhash
@@ -97,3 +98,19 @@ def test_long_texts_are_hashed_in_runs(monkeypatch):
     for run in (1, 7, 64):
         monkeypatch.setattr(simhash, "RUN", run)
         assert [(simhash.fingerprint(t), [np.concatenate([*simhash.hashes(t, n), np.zeros(0, np.uint64)]).tolist() for n in (1, 3, 5)]) for t in texts] == whole
+
+
+def test_components_of_links_that_differ_from_reading_to_reading(spark):
+    """A forest that is spanned anew at each reading still joins what it joins: both ways of a link are of one reading."""
+    group = [(g, n) for g in range(40) for n in range(12)]
+    rows = spark.createDataFrame(group, "g long, n long").repartition(4, "g")
+
+    def chain(batches):
+        for pdf in batches:
+            for g, own in pdf.groupby("g"):
+                ids = (own["n"] + 100 * g).sample(frac=1).tolist()
+                yield pd.DataFrame({"a": ids[:-1], "b": ids[1:]})
+
+    links = rows.coalesce(1).sortWithinPartitions("g").mapInPandas(chain, "a long, b long")
+    for _ in range(3):
+        assert {r.node: r.label for r in simhash.components(links).collect()} == {100 * g + n: 100 * g for g, n in group}

@@ -288,7 +288,9 @@ def components(edges: DataFrame) -> DataFrame:
     A round takes the smallest label of the neighbours, then the label's own label, so long chains halve. Labels and edges
     are read from stored tables, so the planner sees their sizes and can split a node that holds many links.
     """
-    edges = materialise(edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b"), "links")
+    #: Stored before it is turned round: which links span a group may differ from one reading to the next, and both ways must be of one reading.
+    stored = materialise(edges.select("a", "b"), "links")
+    edges = stored.unionAll(stored.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = materialise(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "labels")
     while True:
         heard = edges.join(labels, F.col("b") == F.col("node")).select(F.col("a").alias("node"), "label")
