@@ -252,3 +252,33 @@ def test_as_of_equals_brute_force(spark):
             before = [(u, v) for j, u, v in right if j == k and u is not None and t is not None and (u < t or (or_equal and u == t))]
             want[n] = max(before)[1] if before else None
         assert {x.n: x.last_v for x in joins.as_of(a, b, "k", "t", ["v"], or_equal).collect()} == want
+
+
+def test_search_sends_no_pair_of_query_and_chunk_as_a_row(spark):
+    """Every chunk holds a word of every query: what is sorted for the ranks are the best of each task, not all pairs; scores are those of the formula."""
+    import math
+
+    from pyspark.sql import functions as F
+
+    from veritide.operators import retrieval
+
+    n, words = 300, ["ash", "birch", "cedar"]
+    chunks = spark.range(n).select(F.concat(F.lit("c"), "id").alias("chunk_id"), F.col("id").alias("chunk_pos"), F.concat_ws(" ", F.expr("repeat('ash ', int(id % 7) + 1)"), F.when(F.col("id") % 2 == 0, "birch"), F.when(F.col("id") % 5 == 0, "cedar cedar")).alias("text"))
+    queries = spark.range(40).select(F.col("id").alias("qid"), F.concat(F.lit("Ash ash "), F.element_at(F.array(*map(F.lit, words)), (F.col("id") % 3 + 1).cast("int"))).alias("query"))
+    index = retrieval.build_index(chunks)
+    texts = {r.chunk_id: r.text.split() for r in chunks.collect()}
+    mean = sum(map(len, texts.values())) / n
+    df = {w: sum(w in t for t in texts.values()) for w in words}
+    want = {}
+    for q in queries.collect():
+        own = q.query.lower().split()
+        score = {c: round(sum(math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * t.count(w) / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / mean)) for w in own if w in t), 6) for c, t in texts.items() if set(own) & set(t)}
+        want[q.qid] = sorted(score.items(), key=lambda x: (-x[1], int(x[0][1:])))[:5]
+    for block in (7, 2048):
+        found = retrieval.bm25(index, queries, 5, block=block)
+        got = {}
+        for r in found.orderBy("qid", "rank").collect():
+            got.setdefault(r.qid, []).append((r.chunk_id, r.score))
+        assert {q: [c for c, _ in x] for q, x in got.items()} == {q: [c for c, _ in x] for q, x in want.items()}
+        assert all(abs(a[1] - b[1]) < 2e-6 for q in want for a, b in zip(got[q], want[q], strict=True))
+        assert "HashAggregate(keys=[qid" not in found._jdf.queryExecution().executedPlan().toString()
