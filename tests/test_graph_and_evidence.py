@@ -334,3 +334,22 @@ def test_streams(spark, tmp_path):
     run = s.writeStream.outputMode("complete").format("memory").queryName("windows").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     assert run.awaitTermination(120)
     assert spark.table("windows").count() == traces.usage_windows(e).count()
+
+
+def test_paths_meet_only_links_that_lead_to_their_target(spark, monkeypatch):
+    """A hub of many leaves: its paths meet its links by target and node at once, not all links of the hub each."""
+    from veritide.operators import graph
+
+    plans, stored = [], graph.store.stored
+
+    def seen(df, name):
+        if name == "partial":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return stored(df, name)
+
+    monkeypatch.setattr(graph.store, "stored", seen)
+    edges = spark.range(50).selectExpr("concat('hub', id % 2) AS subject_id", "'has' AS predicate", "concat('leaf', id) AS object_id", "concat('e', id) AS evidence")
+    pairs = edges.selectExpr("subject_id AS source", "object_id AS target")
+    assert graph.paths(edges, pairs, 1).count() == 50
+    joins = [line for p in plans for line in p.splitlines() if "Join Inner" in line and "target" in line]
+    assert joins and all("_t" in j and "node" in j for j in joins)

@@ -85,8 +85,8 @@ def paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 3, max_paths: int
 
     From both ends: first the nodes around each target, by their distance, each once; then partial paths from the source, which take a
     step only to a node that is near enough to the target for the hops that are left. So a partial path that is kept can be
-    completed but for the rule that no node comes twice, a hub's other neighbours are met once and not kept, and a step costs at most the kept paths
-    times their last nodes' links; the nodes around a target are at most all nodes. Pairs that have max_paths are done: longer
+    completed but for the rule that no node comes twice. Links are met with the nodes around a target before paths take them: a path meets
+    only links that lead on to its own target, never a hub's others; the nodes around a target are at most all nodes. Pairs that have max_paths are done: longer
     paths rank behind. A step reads ``subject -predicate-> object``; what is visited travels in an array.
     """
     text = F.concat_ws(" ", "subject_id", F.concat(F.lit("-"), "predicate", F.lit("->")), "object_id")
@@ -96,10 +96,10 @@ def paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 3, max_paths: int
     found = None
     for hop in range(1, max_hops + 1):
         able = near.where(F.col("dist") <= max_hops - hop).drop("dist")
+        on = both.join(at.select(F.col("node").alias("_at")).distinct(), F.col("a") == F.col("_at"), "left_semi").join(able, F.col("b") == F.col("_n"))
         at = store.stored(
-            at.join(both, F.col("node") == F.col("a"))
+            at.join(on, (F.col("target") == F.col("_t")) & (F.col("node") == F.col("a")))
             .where(~F.array_contains("seen", F.col("b")))
-            .join(able, (F.col("target") == F.col("_t")) & (F.col("b") == F.col("_n")), "left_semi")
             .select("source", "target", F.col("b").alias("node"), F.concat("seen", F.array("b")).alias("seen"), F.concat("steps", F.array("step")).alias("steps"), F.concat("via", F.array("evidence")).alias("via")),
             "partial",
         )
