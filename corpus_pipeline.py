@@ -44,7 +44,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that of the smallest id. Linked: five-word Jaccard similarity of 0.8 at least, compared exactly."""
+    """One document of each group: that of the smallest id. Linked: five-word Jaccard similarity of 0.8 at least, compared exactly, of candidates by SimHash and by MinHash bands."""
     return near.deduplicate(docs)
 
 

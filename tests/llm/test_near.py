@@ -83,3 +83,30 @@ def test_stages_by_similarity(spark):
     mixed = stages["mixing"](spark, clean, SF)
     out = stages["token_output"](spark, mixed, SF).collect()
     assert len(out) == sum(-(-len(tokens.Tokenizer().encode(r.text)) // tokens.LENGTH) for r in mixed.collect())
+
+
+def test_candidates_by_fingerprint_alone(spark, monkeypatch):
+    """With no bands at all, sets whose fingerprints differ in three bits at most are candidates, and only these."""
+    r = random.Random(3)
+    w = [f"w{r.randrange(3000)}" for _ in range(3000)]
+    texts = [" ".join(w), " ".join([*w[:-1], "x"]), " ".join(["y", *w[1:]]), *(" ".join(f"v{r.randrange(3000)}" for _ in range(300)) for _ in range(40))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "_id long, text string")
+    prints = near._prints(docs, "text").cache()
+    told = {x._node: x._fp % 2**64 for x in prints.collect()}
+    want = {a for a in told for b in told if a != b and (told[a] ^ told[b]).bit_count() <= 3}
+    assert len(want) >= 2
+    assert {x.node for x in near.components(near.by_fingerprint(prints.select("_node", "_fp"))).collect()} == want
+    bare = prints.withColumn("_bands", F.array().cast("array<long>"))
+    assert {x.node for x in near.candidates(bare).collect()} == want
+
+
+def test_bands_of_the_same_copies_send_on_much_the_same_links(spark, monkeypatch):
+    """A large group of near copies: a node is tied to a few others, not to another one in each of its bands."""
+    r = random.Random(9)
+    w = [f"w{k}" for k in range(400)]
+    texts = [" ".join(f"x{r.randrange(10**6)}" if k in own else x for k, x in enumerate(w)) for own in (r.sample(range(400), 2) for _ in range(600))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "_id long, text string")
+    sent = []
+    monkeypatch.setattr(near, "components", lambda links: sent.append(links.count()))
+    near.candidates(near._prints(docs, "text").cache())
+    assert 599 <= sent[0] < 600 * 7

@@ -1,12 +1,14 @@
 """Near-duplicates by exact Jaccard similarity of word shingles, for stages that no fingerprint contract binds.
 
 1. A set a document: the XXH64 values of its five-word shingles. Equal sets are one node from here on.
-2. Candidates by MinHash: ``BANDS`` bands of ``ROWS`` minima. Two sets of similarity 0.8 share no band with a chance of
-   (1 - 0.8^4)^40 < 1e-9. (SimHash would need a radius of 17 of 64 bits or so for these, at which pigeonhole probes tell
-   nothing apart.) Sets of little in common share bands too, and in a corpus of templates such bands would chain all of it into
+2. Candidates by SimHash: the sets' fingerprints, majorities of their hashes, are probed and linked as in ``simhash.py``, within its radius.
+   Sets of similarity 0.8 differ in 9.7 bits on average, and a radius of 17 or so, which would find them all, probes nothing apart.
+   So candidates come by MinHash as well: ``BANDS`` bands of ``ROWS`` minima. Two sets of similarity 0.8 share no band with a chance of
+   (1 - 0.8^4)^40 < 1e-9. Sets of little in common share bands too, and in a corpus of templates such bands would chain all of it into
    one component. So the nodes of a band are told apart by sketches of ``SKETCH`` bytes, and only those that agree in ``AGREE`` of them
    are candidates: sets of similarity 0.8 fail with a chance below 1e-7, sets of 0.3 pass with one below 1e-12. A band whose nodes
-   another band has as well is looked at once. Of a band's candidates a spanning forest is sent on.
+   another band has as well is looked at once. Each node of a band's candidates is tied to the least that they reach, so bands of the same copies
+   send on much the same links.
 3. Within a component of candidates sets are compared exactly. What is linked already is not compared again, and only a spanning
    forest is sent on. Components above ``BLOCK`` texts or ``BLOCK_BYTES`` are cut into blocks that meet in pairs, spread over all tasks.
 4. Components over the verified links alone.
@@ -26,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, tasks, tidy
-from .simhash import SEED, components, hashes, keep_one
+from .simhash import SEED, components, hashes, keep_one, majority, plan, spanning
+from .simhash import links as within_radius
 
 SHINGLE, BANDS, ROWS, BLOCK, BLOCK_BYTES = 5, 40, 4, 2048, 16 << 20
 #: Bytes of a sketch (the last byte of so many minima), and in how many of them sets agree that may be similar enough.
@@ -103,23 +106,24 @@ def verified(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
 
 
 def _prints(docs: DataFrame, text: str) -> DataFrame:
-    """docs with ``_node`` (the hash of the set), ``_bands`` and ``_sketch`` instead of the text."""
+    """docs with ``_node`` (the hash of the set), ``_fp`` (its fingerprint), ``_bands`` and ``_sketch`` instead of the text."""
     names = [c for c in docs.columns if c != text]
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, keys, sketches = [], [], []
+            nodes, fps, keys, sketches = [], [], [], []
             for t in batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary()):
                 h = shingles(t.as_py())
                 nodes.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
+                fps.append(majority([h]))
                 key, sketch = bands(h)
                 keys.append(key.view(np.int64))
                 sketches.append(sketch)
-            node = pa.array(np.array(nodes, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), node, pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=[*names, "_node", "_bands", "_sketch"])
+            node, fp = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, fps))
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), node, fp, pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=[*names, "_node", "_fp", "_bands", "_sketch"])
 
-    return docs.mapInArrow(run, ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names), "_node long, _bands array<long>, _sketch binary"]))
+    return docs.mapInArrow(run, ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names), "_node long, _fp long, _bands array<long>, _sketch binary"]))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
@@ -128,12 +132,22 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple
     return (list(own) for _, own in groupby(rows, key=lambda r: r[-keys:]))
 
 
+def by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """(a, b): nodes (_node, _fp) whose fingerprints are within the radius, tied to the least node of a fingerprint."""
+    told = materialise(nodes.groupBy("_fp").agg(F.min("_node").alias("least")), "fingerprints")
+    found = within_radius(told.select("_fp"), *plan(told.select("_fp")))
+    side = lambda c: told.select(F.col("_fp").alias(c), F.col("least").alias(f"_{c}"))
+    apart = found.join(side("a"), "a").join(side("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    same = nodes.join(told.withColumnRenamed("_fp", "f"), F.col("_fp") == F.col("f")).where("_node <> least").select(F.col("_node").alias("a"), F.col("least").alias("b"))
+    return apart.unionByName(same)
+
+
 def candidates(prints: DataFrame, block: int = BLOCK) -> DataFrame:
     """(node, label): the nodes that may be similar enough to another, in components of such links.
 
-    Nodes of a band are compared in blocks of bounded size, which meet in pairs.
+    Nodes near by fingerprint, and those of a band that are alike by sketch; nodes of a band are compared in blocks of bounded size, which meet in pairs.
     """
-    nodes = prints.groupBy("_node").agg(F.first("_bands").alias("b"), F.first("_sketch").alias("sketch"))
+    nodes = prints.groupBy("_node").agg(F.first("_fp").alias("_fp"), F.first("_bands").alias("b"), F.first("_sketch").alias("sketch"))
     keys = nodes.select("_node", F.explode("b").alias("key"))
     told = [F.bit_xor(F.xxhash64(F.lit(k), "_node")).alias(f"x{k}") for k in range(2)]
     buckets = keys.groupBy("key").agg(F.min("_node").alias("least"), F.count("*").alias("n"), *told).where("n > 1")
@@ -154,9 +168,9 @@ def candidates(prints: DataFrame, block: int = BLOCK) -> DataFrame:
         for own in _groups(batches, 3):
             one, two = alike(np.frombuffer(b"".join(r[1] for r in own), np.uint8).reshape(len(own), SKETCH))
             if one:
-                yield pa.RecordBatch.from_arrays([pa.array([own[k][0] for k in x], pa.int64()) for x in (one, two)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in spanning(np.array([r[0] for r in own], np.int64), np.array(one), np.array(two))], names=["a", "b"])
 
-    return components(met.mapInArrow(run, "a long, b long").distinct())
+    return components(by_fingerprint(nodes.select("_node", "_fp")).unionByName(met.mapInArrow(run, "a long, b long")).distinct())
 
 
 def links(sets: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -206,6 +220,6 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", blo
         texts = rows.join(stand, F.col("_row") == F.col("_stands")).groupBy("node", "label").agg(F.first("text").alias("text"))
         linked = components(links(texts, block))
         #: A node of many exact copies is split by a merge join, and by no other.
-        return prints.drop("_bands", "_sketch").join(linked.hint("merge"), F.col("_node") == F.col("node"), "left").select("_id", "_row", F.coalesce("label", "_node").alias("_label"))
+        return prints.drop("_fp", "_bands", "_sketch").join(linked.hint("merge"), F.col("_node") == F.col("node"), "left").select("_id", "_row", F.coalesce("label", "_node").alias("_label"))
 
     return keep_one(docs, labelled, text, doc_id)

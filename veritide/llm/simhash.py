@@ -20,7 +20,7 @@ Extra columns are kept (own columns replace any of the same name).
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from math import comb
 
 import numpy as np
@@ -69,15 +69,20 @@ def hashes(text: bytes | None, shingle: int) -> Iterator[np.ndarray]:
         yield np.array([digest(b" ".join(words), SEED)], np.uint64)
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+def majority(runs: Iterable[np.ndarray]) -> int:
+    """The bits that over half of all hashes have set."""
     ones, n = np.zeros(BITS, np.int64), 0
-    for h in hashes(text, shingle):
+    for h in runs:
         for k in range(0, len(h), 65536):
             ones += np.unpackbits(h[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
         n += len(h)
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    return majority(hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """docs with ``_fp`` (the fingerprint as a signed long) instead of the text."""
     names = [c for c in docs.columns if c != text]
