@@ -244,6 +244,16 @@ def test_passages_that_repeat_are_told_apart(spark, tmp_path):
     assert len(got) > 6
 
 
+def test_runs_meet_names_once(spark):
+    """One join by form, then by text and entity: a second join or count by form would keep all texts of a common name in one task."""
+    texts = spark.createDataFrame([(k, "nation 7 and nation 7 of Northgate") for k in range(20)], "qid int, query string")
+    names = spark.createDataFrame([("e1", "Nation 7", "Location", ["Northgate"]), ("e2", "Northgate", "Location", None)], "entity_id string, name string, type string, aliases array<string>")
+    found = graph.mentions(texts, names)
+    assert {(r.entity_id, r.form, r["at"]) for r in found.collect()} == {("e1", "nation 7", 1), ("e2", "northgate", 7)} and found.count() == 40
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner, (form") == 1
+
+
 def test_split_quotations_need_every_part(spark):
     q = spark.createDataFrame([(1, 1, "the first long part of it ... the second long part of it"), (2, 1, "the first long part of it ... nowhere to be found at all")], "quote_id int, qid int, quote string")
     c = spark.createDataFrame([(1, "a", 1, "x the first long part of it"), (1, "b", 2, "the second long part of it, the first long part of it")], "qid int, chunk_id string, rank int, text string")

@@ -150,16 +150,14 @@ def runs(texts: DataFrame, words: Column, names: DataFrame) -> DataFrame:
 def mentions(texts: DataFrame, vertices: DataFrame, text: str = "query", key: str = "qid") -> DataFrame:
     """key, entity_id, name, at: entities whose name stands word by word in a text; longest names first, none within another.
 
-    Runs of words meet the names in one equi-join, so rows grow with what is found, however many names begin alike. Only a name's first
-    place counts, as does an entity's first name that fits.
+    Runs of words meet the names in one equi-join, so rows grow with what is found, however many names begin alike. What follows it goes by text
+    and entity, so tasks can share the runs of a word that all texts hold. Only a name's first place counts, as does an entity's first name that fits.
     """
     surfaces = vertices.where(F.col("type").isin(SEED_TYPES)).select("entity_id", F.posexplode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("nth", "surface"), F.length("name").alias("len"))
     surfaces = surfaces.withColumn("form", X.words(F.col("surface"))).where((F.length("surface") >= MIN_NAME) & (F.length("form") >= MIN_NAME))
-    forms = surfaces.select("form", F.size(F.split("form", " ")).alias("n")).distinct()
+    forms = surfaces.select("entity_id", "nth", "len", "form", F.size(F.split("form", " ")).alias("n"))
     places = runs(texts.select(F.col(key), X.words(F.col(text)).alias("_text")), F.split("_text", " "), forms).drop("_text")
-    first = places.join(forms, "form").groupBy(key, "form", "n").agg(F.min("at").alias("at"))
-    met = first.join(surfaces.select("entity_id", "nth", "len", "form"), "form")
-    each = met.groupBy(key, "entity_id").agg(F.min_by(F.struct("at", "n", "form", "len"), "nth").alias("m"))
+    each = places.join(forms, "form").groupBy(key, "entity_id").agg(F.min(F.struct("nth", "at", "n", "form", "len")).alias("m"))
     items = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("m.len")).alias("o"), "entity_id", F.col("m.at").alias("at"), (F.col("m.at") + F.col("m.n")).alias("to"), F.col("m.form").alias("form")))).alias("found"))
     inside = lambda acc, x: F.exists(acc, lambda c: (c["at"] <= x["at"]) & (x["to"] <= c["to"]))
     kept = F.aggregate("found", F.slice("found", 1, 0), lambda acc, x: F.when(inside(acc, x), acc).otherwise(F.concat(acc, F.array(x))))
