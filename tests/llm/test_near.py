@@ -109,4 +109,4 @@ def test_bands_of_the_same_copies_send_on_much_the_same_links(spark, monkeypatch
     sent = []
     monkeypatch.setattr(near, "components", lambda links: sent.append(links.count()))
     near.candidates(near._prints(docs, "text").cache())
-    assert 599 <= sent[0] < 600 * 7
+    assert 599 <= sent[0] < 600 * 2

@@ -24,7 +24,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, tasks, tidy
@@ -170,7 +170,10 @@ def candidates(prints: DataFrame, block: int = BLOCK) -> DataFrame:
             if one:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in spanning(np.array([r[0] for r in own], np.int64), np.array(one), np.array(two))], names=["a", "b"])
 
-    return components(by_fingerprint(nodes.select("_node", "_fp")).unionByName(met.mapInArrow(run, "a long, b long")).distinct())
+    found = by_fingerprint(nodes.select("_node", "_fp")).unionByName(met.mapInArrow(run, "a long, b long")).distinct()
+    #: A node keeps the least that it is tied to, and what else it is tied to is tied to that: few links, which many nodes share.
+    least = materialise(found.withColumn("least", F.min("b").over(Window.partitionBy("a"))), "tied")
+    return components(least.select("a", F.col("least").alias("b")).unionAll(least.where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))).distinct())
 
 
 def links(sets: DataFrame, block: int = BLOCK) -> DataFrame:
