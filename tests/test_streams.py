@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +93,31 @@ def test_a_batch_that_comes_again_writes_nothing_twice(spark, tmp_path, monkeypa
     assert sorted(x.id for x in sink.read(spark, root, "even", "id long").collect()) == list(range(0, 100, 2))
     assert not sink.write_batch(spark.range(3), 0, root, tables) and sink.read(spark, root, "all", "id long").count() == 100
     assert sink.read(spark, f"file://{tmp_path}/none", "all", "id long").count() == 0
+
+
+def test_transitions_in_slices_equal_a_plain_fold():
+    """Whatever the cuts between slices, and however many calls share a time."""
+    r = random.Random(9)
+    for case in range(300):
+        span = r.choice([20, 2_000, 400_000, 4_000_000])
+        calls = sorted((r.randrange(span), r.random() < r.choice([0.1, 0.3, 0.6])) for _ in range(r.randrange(0, 200)))
+        state, out = (0, None), []
+        cuts = sorted(r.randrange(0, len(calls) + 1) for _ in range(r.randrange(0, 6)))
+        for a, b in zip([0, *cuts], [*cuts, len(calls)], strict=True):
+            at, ok = np.array([c[0] for c in calls[a:b]], np.int64), np.array([c[1] for c in calls[a:b]], bool)
+            state, told = traces.transitions(state, at, ok)
+            out += told
+        assert out + traces.until(state, span)[1] == plain(calls, span), case
+
+
+def test_what_a_breaker_keeps_grows_with_time_not_with_calls(timed, tmp_path):
+    """Calls wait packed, not as a row of state each, and are folded slice by slice; a call without an outcome failed, one without a time is none."""
+    r, root = random.Random(3), f"file://{tmp_path}/out"
+    rows = [("a", r.random() < 0.4, r.randrange(5_000_000)) for _ in range(20_000)] + [("a", None, 5_100_000 + k) for k in range(5)] + [("a", True, None)] * 3 + [("a", True, 9_000_000)]
+    timed.createDataFrame(rows, CALLS).repartition(3).write.parquet(f"file://{tmp_path}/in")
+    stream = timed.readStream.schema(CALLS).parquet(f"file://{tmp_path}/in").select("backend", "ok", F.timestamp_millis("ms").alias("ts"))
+    run = sink.into(traces.breaker_log(stream, "30 seconds"), root, {"t": lambda b: b.select(F.unix_millis("at").alias("ms"), "became", "failures")}, f"file://{tmp_path}/cp").outputMode("append").trigger(availableNow=True).start()
+    assert run.awaitTermination(240)
+    got = sorted((x.ms, x.became, x.failures) for x in sink.read(timed, root, "t", "ms long, became string, failures int").collect())
+    assert got == sorted(plain([(at, bool(ok)) for _, ok, at in rows if at is not None], 8_970_000))
+    assert max(s["numRowsTotal"] for p in run.recentProgress for s in p["stateOperators"]) < 100
