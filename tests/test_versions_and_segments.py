@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veritide.operators import graph, incremental, retrieval
-from veritide.sources import tables, versions
+from veritide.sources import store, tables, versions
 
 
 def both(spark, root):
@@ -143,3 +143,17 @@ def test_which_segments_merge():
             sizes[run[0] : run[-1] + 1] = [{"rows": sum(sizes[k]["rows"] for k in run)}]
             written += sizes[run[0]]["rows"]
     assert len(sizes) < 30 and written < 1000 * 10
+
+
+def test_a_change_writes_what_is_large_once(spark, tmp_path, monkeypatch):
+    """Chunks and postings go to the root alone, whatever the change: none is stored beside it and copied."""
+    root, beside = f"file://{tmp_path}/i", []
+    written = store.written
+    monkeypatch.setattr(store, "written", lambda df, name, path=None: beside.append(name if path is None else "root") or written(df, name, path))
+    kind = "chunk_id string, chunk_pos long, text string, embedding array<double>"
+    for k in range(4):
+        incremental.upsert(spark.createDataFrame([(f"{k}{n}", k * 10 + n, "some words here", None) for n in range(4)], kind), root)
+    incremental.delete(spark.createDataFrame([("00",)], "chunk_id string"), root)
+    incremental.merge(spark, root)
+    assert not {"upsert", "merged", "postings"} & set(beside) and beside.count("root") == 5
+    assert sorted(r.chunk_id for r in incremental.opened(spark, root).chunks.collect()) == sorted(f"{k}{n}" for k in range(4) for n in range(4) if (k, n) != (0, 0))

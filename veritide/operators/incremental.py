@@ -66,9 +66,16 @@ def _live(spark: SparkSession, at: State, name: str, among: list[int] | None = N
     return out.join(latest, (F.col("chunk_id") == F.col("_gone")) & (F.col("_seg") < F.col("_by")), "left_anti").drop("_seg")
 
 
-def _segment(spark: SparkSession, at: State, chunks: DataFrame, ids: DataFrame) -> dict:
-    """A segment of these chunks that strikes out those of these ids that live."""
-    made = retrieval.index_tables(chunks)
+def _put(chunks: DataFrame, at: State) -> tuple[str, DataFrame]:
+    """Chunks in a folder of the root, where all else reads them: what is large is written once."""
+    folder = versions.put(chunks, at.root, "chunks")
+    return folder, chunks.sparkSession.read.schema(chunks.schema).parquet(f"{at.root}/{folder}")
+
+
+def _segment(spark: SparkSession, at: State, folder: str, chunks: DataFrame, ids: DataFrame) -> dict:
+    """A segment of the chunks in a folder that strikes out those of these ids that live."""
+    own = versions.fresh("postings")
+    made = retrieval.index_tables(chunks, f"{at.root}/{own}")
     postings = spark.read.parquet(made["postings"])
     lengths = F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")
     rows, tokens = postings.select("chunk_id", "dl").distinct().agg(*lengths).first()
@@ -82,8 +89,7 @@ def _segment(spark: SparkSession, at: State, chunks: DataFrame, ids: DataFrame)
         less = gone.where("term IS NOT NULL").groupBy("term").agg((-F.count("*")).alias("df"))
         added = added.unionByName(less).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
     put = lambda df, name: versions.put(df, at.root, name)
-    #: Postings keep their ranges of terms: a task of this write copies a file of theirs.
-    return {"chunks": put(chunks, "chunks"), "postings": put(postings, "postings"), "terms": put(added, "terms"), "struck": put(struck, "struck"), "rows": rows, "strikes": strikes, "n": n, "tokens": tokens}
+    return {"chunks": folder, "postings": own, "terms": put(added, "terms"), "struck": put(struck, "struck"), "rows": rows, "strikes": strikes, "n": n, "tokens": tokens}
 
 
 def _publish(spark: SparkSession, at: State, segments: list[dict]) -> State:
@@ -96,10 +102,10 @@ def upsert(chunks: DataFrame, root: str) -> State:
     """Chunks (chunk_id, chunk_pos, text, and any others, such as embedding) in place of those of the same ids, and beside all others. Ids stand once each."""
     spark = chunks.sparkSession
     at = state(spark, root)
-    chunks = store.stored(chunks, "upsert")
+    folder, chunks = _put(chunks, at)
     if not chunks.groupBy("chunk_id").count().where("count > 1").isEmpty():
         raise ValueError("an id stands twice among the chunks of one change")
-    return _publish(spark, at, [*at.segments, _segment(spark, at, chunks, chunks.select("chunk_id"))])
+    return _publish(spark, at, [*at.segments, _segment(spark, at, folder, chunks, chunks.select("chunk_id"))])
 
 
 def delete(ids: DataFrame, root: str) -> State:
@@ -108,8 +114,8 @@ def delete(ids: DataFrame, root: str) -> State:
     at = state(spark, root)
     if not at.segments:
         return at
-    none = _table(spark, at, at.segments[-1], "chunks").limit(0)
-    return _publish(spark, at, [*at.segments, _segment(spark, at, none, store.stored(ids.select("chunk_id").distinct(), "ids"))])
+    none = _put(_table(spark, at, at.segments[-1], "chunks").limit(0), at)
+    return _publish(spark, at, [*at.segments, _segment(spark, at, *none, store.stored(ids.select("chunk_id").distinct(), "ids"))])
 
 
 def due(segments: list[dict]) -> list[int] | None:
@@ -132,7 +138,7 @@ def merge(spark: SparkSession, root: str, everything: bool = False) -> State:
     at = state(spark, root)
     while (run := list(range(len(at.segments))) if everything and len(at.segments) > 1 else due(at.segments)) is not None:
         own = [at.segments[k] for k in run]
-        chunks = store.stored(_live(spark, at, "chunks", run), "merged")
+        folder, chunks = _put(_live(spark, at, "chunks", run), at)
         ranges = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
         postings = _live(spark, at, "postings", run).repartitionByRange(ranges, "term", "chunk_id").sortWithinPartitions("term")
         all_ = lambda name: [_table(spark, at, s, name) for s in own]  # noqa: B023, E731
@@ -144,7 +150,7 @@ def merge(spark: SparkSession, root: str, everything: bool = False) -> State:
         left = store.stored(left, "struck")
         put = lambda df, name: versions.put(df, at.root, name)  # noqa: B023, E731
         one = {
-            "chunks": put(chunks, "chunks"), "postings": put(postings, "postings"), "terms": put(terms[0].groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0"), "terms"), "struck": put(left, "struck"),
+            "chunks": folder, "postings": put(postings, "postings"), "terms": put(terms[0].groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0"), "terms"), "struck": put(left, "struck"),
             "rows": chunks.count(), "strikes": left.count(), "n": sum(s["n"] for s in own), "tokens": sum(s["tokens"] for s in own),
         }
         at = _publish(spark, at, [*at.segments[: run[0]], one, *at.segments[run[-1] + 1 :]])
