@@ -157,6 +157,8 @@ def test_a_change_writes_what_is_large_once(spark, tmp_path, monkeypatch):
     incremental.delete(spark.createDataFrame([("00",)], "chunk_id string"), root)
     incremental.merge(spark, root)
     assert not {"upsert", "merged", "postings"} & set(beside) and beside.count("root") == 5
+    #: The ids of each change lie apart from its texts, or their size is taken for that of texts and all postings are shuffled to meet them.
+    assert beside.count("ids") == 5
     assert sorted(r.chunk_id for r in incremental.opened(spark, root).chunks.collect()) == sorted(f"{k}{n}" for k in range(4) for n in range(4) if (k, n) != (0, 0))
 
 

@@ -105,7 +105,9 @@ def upsert(chunks: DataFrame, root: str) -> State:
     folder, chunks = _put(chunks, at)
     if not chunks.groupBy("chunk_id").count().where("count > 1").isEmpty():
         raise ValueError("an id stands twice among the chunks of one change")
-    return _publish(spark, at, [*at.segments, _segment(spark, at, folder, chunks, chunks.select("chunk_id"))])
+    #: Stored apart from texts, so that they are known to be small, and postings need not move to meet them.
+    ids = store.stored(chunks.select("chunk_id"), "ids")
+    return _publish(spark, at, [*at.segments, _segment(spark, at, folder, chunks, ids)])
 
 
 def delete(ids: DataFrame, root: str) -> State:
