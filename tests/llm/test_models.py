@@ -331,3 +331,33 @@ def test_rare_words_score_by_their_counts(spark, monkeypatch):
     monkeypatch.setattr(lm.learn, "__defaults__", (None, lm.PASSAGES, 200))
     two = {r.doc_id: r.score for r in lm.score(docs, fold("doc_id", 7) == 2).collect()}
     assert len(one) == 300 and two == pytest.approx(one, rel=1e-4)
+
+
+def test_all_training_texts_teach(spark, monkeypatch):
+    """Without any passages the network and the weights are learnt all the same, and tell texts of the training set better."""
+    monkeypatch.setattr(lm, "passages", lambda *a, **k: [])
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    vocabulary = lm.materialise(lm.count_words(docs, "text"), "vocabulary")
+    s = lm.learn(docs, vocabulary, "text", "doc_id", frequent=300)[0]
+    fresh = lm.Attention(s.classes, lm.CLASSES + 1)
+    met = np.unique(np.concatenate([s.ids((r.text or "").encode())[0] for r in docs.collect()]))
+    assert all((s.net.p[k] != fresh.p[k]).any() for k in fresh.p) and (s.net.p["E"][met] != fresh.p["E"][met]).any(1).all()
+    texts = [r.text.encode() for r in docs.limit(50).collect()]
+    taught = sum(x[3] for x in s.score(texts))
+    s.net, weights = fresh, s.weights
+    assert taught > sum(x[3] for x in s.score(texts))
+    s.weights = np.log(np.tile([[0.3], [0.7]], (1, lm.CLASSES + 1)))
+    assert not np.allclose(weights, s.weights)
+
+
+def test_odds_count_every_training_word(spark, monkeypatch):
+    """Frequent words and those met in the vocabulary alike."""
+    monkeypatch.setattr(lm, "STEPS", 5)
+    seen = []
+    monkeypatch.setattr(lm.Scorer, "fit_weights", lambda self, odds: seen.append(odds))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    vocabulary = lm.materialise(lm.count_words(docs, "text"), "vocabulary")
+    for frequent in (lm.FREQUENT, 50):
+        lm.learn(docs, vocabulary, "text", "doc_id", per_million=500, frequent=frequent)
+    assert seen[0].sum() == seen[1].sum() == vocabulary.agg(F.sum("c")).first()[0]
+    assert np.abs(seen[0] - seen[1]).sum() < 0.01 * seen[0].sum()

@@ -12,16 +12,19 @@ the sum over its words and its end: a true probability.
 Texts are laid out in windows of ``OVERLAP + STEP`` ids. Windows overlap, so each id is scored once, and with up to
 OVERLAP ids more of context than the start of its window would give; attention within a window is batched and masked.
 
-The corpus gives: counts of all words (a shuffle with map-side sums), from these the counts of all pairs of ids, and passages to train
-on, drawn by hash over all places of all training texts. There are ``PASSAGES`` of them for a million training tokens, and as the cube
-root of these more: a sum that the driver can read, while what it gathers grows with the input. Frequent words, at most
+The corpus gives: counts of all words (a shuffle with map-side sums), from these the counts of all pairs of ids, and all training texts
+to train on. Each task goes on from the same start, once over every window of its texts; then the moves of all tasks are averaged, those of
+an id's embedding by how often each task met the id. A window is scored just before it is first trained on, which says of every
+training word how probable the two ways to draw it make it; counts of this by class, whatever the input, are all that fits the weights.
+The start and the classes of ids come from passages, drawn by hash over all places of all training texts: ``PASSAGES`` of them
+for a million training tokens, and as the cube root of these more. Frequent words, at most
 ``FREQUENT`` by a threshold on their count, are sent to the tasks with their spelling and counts. Other words are spelled where they
 stand, and finish their mixture and base score in a join with the whole vocabulary, so no count is missed: a word counts the same
 whether it was sent or joined.
 
 Bounds that decide what is told apart: pairs of ids have counts of their own among the ``SPELLED`` most frequent ids; the rest share
-one place in pairs and keep their own single counts. Ids that the passages show less than twice have no embedding of their own but their
-class's.
+one place in pairs and keep their own single counts. Ids that the passages show less than twice share two classes; their embeddings start
+from these.
 
 Defined cases: a null text is the empty text, which is its end alone; without training texts all counts are 0; a null id counts as
 the empty text in the fold; rows are scored one by one, so repeated rows and ids do not matter; a very long text is a longer
@@ -30,6 +33,7 @@ stream; an empty table gives no rows. Of extra columns only the id is kept.
 
 from __future__ import annotations
 
+import copy
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -52,6 +56,12 @@ SPELLED = 2048
 NEVER = -700.0
 FREQUENT, LONGEST, PASSAGES, SPAN, STEPS, BATCH = 400_000, 48, 8000, 240, 6000, 96
 HELD_WORDS, CHUNK, ROWS = 300_000, 120_000, 64
+#: Windows that a task holds and trains on in any order; how far it steps at first, and after how many steps that has shrunk by the root of two.
+RUN, RATE, SETTLED = 3072, 0.005, 500
+#: Fixed: bins of the log odds of the two ways to draw a word, BIN wide, 0 in the middle; the first also holds what cannot be.
+BINS, BIN = 1201, 0.05
+#: Fixed: the key of the first bin, above all ids.
+ODDS = 1 << 20
 
 
 class Attention:
@@ -67,6 +77,8 @@ class Attention:
         size = STEP + OVERLAP
         self.p = {"E": (n(classes, WIDTH) * 3)[label], "P": n(size, WIDTH) * 0.4, "Q": n(WIDTH, WIDTH), "K": n(WIDTH, WIDTH), "V": n(WIDTH, WIDTH), "A": n(WIDTH, INNER), "a": np.zeros(INNER, np.float32), "B": n(INNER, WIDTH) * 0.5, "O": n(WIDTH, classes) * 0.1, "o": np.zeros(classes, np.float32)}
         self.label, self.classes = label, classes
+        #: How far the embedding of each id has moved in training.
+        self.seen = np.zeros(len(label), np.float32)
         self.mask = np.tril(np.ones((size, size), np.float32))[OVERLAP:]
         self.ones = np.ones((size, 1), np.float32)
 
@@ -114,34 +126,30 @@ class Attention:
 
     def train(self, ids: np.ndarray, prior: np.ndarray, before: np.ndarray, target: np.ndarray, weight: np.ndarray, steps: int = STEPS, batch: int = BATCH, seed: int = 2) -> None:
         """prior: a row of log probabilities of classes for each place of an id before; before: these places at the targets."""
-        r = np.random.default_rng(seed)
-        shared = {k: v for k, v in self.p.items() if k != "E"}
-        m = {k: np.zeros_like(v) for k, v in shared.items()}
-        s = {k: np.zeros_like(v) for k, v in shared.items()}
-        seen = np.zeros(len(self.p["E"]), np.float32)
+        r, moves = np.random.default_rng(seed), Moves(self)
         for t in range(1, steps + 1):
             own = r.integers(0, len(ids), batch)
-            g = self.gradients(ids[own], prior[before[own]], target[own], weight[own])
-            rate = 0.02 * min(1, t / 20) * (1 - t / (steps + 1))
-            for k in shared:
-                m[k] = 0.9 * m[k] + 0.1 * g[k]
-                s[k] = 0.99 * s[k] + 0.01 * g[k] * g[k]
-                self.p[k] -= (rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
-            #: Embeddings move as often as their ids are met; each has a rate of its own.
-            rows, move = g["E"]
-            seen[rows] += (move**2).mean(1)
-            self.p["E"][rows] -= 5 * rate * move / (np.sqrt(seen[rows]) + 1e-7)[:, None]
-
-    def gradients(self, ids: np.ndarray, prior: np.ndarray, target: np.ndarray, weight: np.ndarray) -> dict:
+            moves.step(self.gradients(ids[own], prior[before[own]], target[own], weight[own]), 0.02 * min(1, t / 20) * (1 - t / (steps + 1)))
+        self.seen = moves.seen
+
+    def gradients(self, ids: np.ndarray, prior: np.ndarray, target: np.ndarray, weight: np.ndarray, starts: np.ndarray | None = None) -> dict:
+        """starts: asks for what log_probs() says as well (told), at all places, scored or not."""
         p, (n, size) = self.p, ids.shape
         y, x, q, k, v, w, total, h, inner = self.forward(ids)
-        w = w / total
-        logits = y @ p["O"] + p["o"] + prior.reshape(len(y), -1)
-        e = np.exp(logits - logits.max(1, keepdims=True))
-        d = e / e.sum(1, keepdims=True)
-        d[np.arange(len(d)), target.ravel()] -= 1
-        d *= (weight.ravel() / max(weight.sum(), 1))[:, None].astype(np.float32)
-        g = {"O": y.T @ d, "o": d.sum(0)}
+        w /= total
+        d = y @ p["O"]
+        d += p["o"]
+        d += prior.reshape(len(y), -1)
+        d -= d.max(1, keepdims=True)
+        at, to = np.arange(len(d)), target.ravel()
+        t = d[at, to]
+        np.exp(d, out=d)
+        sums = d.sum(1)
+        told = None if starts is None else (t - np.log(sums), np.log(np.maximum(d @ starts, 1e-30)) - np.log(sums))
+        share = (weight.ravel() / max(weight.sum(), 1)).astype(d.dtype)
+        d *= (share / sums)[:, None]
+        d[at, to] -= share
+        g = {"O": y.T @ d, "o": d.sum(0), "told": told}
         dy = d @ p["O"].T
         di = (dy @ p["B"].T) * (inner > 0)
         g |= {"B": inner.T @ dy, "A": h.reshape(-1, WIDTH).T @ di, "a": di.sum(0)}
@@ -155,13 +163,34 @@ class Attention:
         dx = (dk.reshape(-1, WIDTH) @ p["K"].T + dv.reshape(-1, WIDTH) @ p["V"].T).reshape(n, size, WIDTH)
         dx[:, OVERLAP:] += dh + (dq.reshape(-1, WIDTH) @ p["Q"].T).reshape(n, STEP, WIDTH)
         g["P"] = dx.sum(0)
-        rows, place = np.unique(ids, return_inverse=True)
-        move = np.zeros((len(rows), WIDTH), x.dtype)
-        np.add.at(move, place.ravel(), dx.reshape(-1, WIDTH))
-        g["E"] = rows, move
+        flat_ids = ids.ravel().astype(np.uint16)
+        order = np.argsort(flat_ids, kind="stable")
+        rows = flat_ids[order]
+        first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+        g["E"] = rows[first], np.add.reduceat(dx.reshape(-1, WIDTH)[order], first)
         return g
 
 
+class Moves:
+    """Steps of a network along its gradients, with rates that follow these."""
+
+    def __init__(self, net: Attention):
+        self.net, self.t, self.seen = net, 0, net.seen.copy()
+        self.m, self.s = ({k: np.zeros_like(v) for k, v in net.p.items() if k != "E"} for _ in range(2))
+
+    def step(self, g: dict, rate: float) -> None:
+        p, m, s = self.net.p, self.m, self.s
+        self.t += 1
+        for k in m:
+            m[k] = 0.9 * m[k] + 0.1 * g[k]
+            s[k] = 0.99 * s[k] + 0.01 * g[k] * g[k]
+            p[k] -= (rate * (m[k] / (1 - 0.9**self.t)) / (np.sqrt(s[k] / (1 - 0.99**self.t)) + 1e-8)).astype(np.float32)
+        #: Embeddings move as often as their ids are met; each has a rate of its own.
+        rows, move = g["E"]
+        self.seen[rows] += (move**2).mean(1)
+        p["E"][rows] -= 5 * rate * move / (np.sqrt(self.seen[rows]) + 1e-7)[:, None]
+
+
 def windows(stream: np.ndarray, *others: np.ndarray) -> tuple[np.ndarray, ...]:
     """Overlapping windows over one stream, what the others hold at their last STEP places, and which of these are scored: every place once."""
     size, n = STEP + OVERLAP, len(stream)
@@ -274,8 +303,8 @@ class Pairs:
 class Scorer:
     """All that a task needs: frequent words with spelling and counts, classes of ids, pairs, the network."""
 
-    def __init__(self, tokenizer: Tokenizer, words: list[bytes], counts: np.ndarray, ends: int, total: int, distinct: int, pairs: Pairs, firsts: np.ndarray, sample: list[tuple[bytes, bool, bool]], other_counts: dict[bytes, int] | None = None):
-        """firsts: how often training words begin with each id. sample: passages, and whether a text begins and ends with them."""
+    def __init__(self, tokenizer: Tokenizer, words: list[bytes], counts: np.ndarray, ends: int, total: int, distinct: int, pairs: Pairs, firsts: np.ndarray, sample: list[tuple[bytes, bool, bool]]):
+        """firsts: how often training words begin with each id. sample: passages that training starts from, and whether a text begins and ends with them."""
         self.tokenizer, self.ends = tokenizer, ends
         self.words = {w: k for k, w in enumerate(words)}
         self.opens_word = opens_word(tokenizer)
@@ -307,9 +336,8 @@ class Scorer:
         self.net = Attention(self.classes, CLASSES + 1)
         self.weights = np.log(np.tile([[0.3], [0.7]], (1, CLASSES + 1)))
         if sample:
-            taught = max(1, len(sample) * 4 // 5)
             made = []
-            for ids, (_, begins, ends_) in zip(spelled[:taught], sample[:taught], strict=True):
+            for ids, (_, begins, ends_) in zip(spelled, sample, strict=True):
                 line = np.concatenate([[tokenizer.end] * begins, ids, [tokenizer.end] * ends_]).astype(np.int32)
                 if len(line) > 1:
                     made.append(windows(line[:-1], self.place[line[:-1]].astype(np.int16), self.classes[line[1:]].astype(np.int16)))
@@ -318,7 +346,6 @@ class Scorer:
                 made = None
                 self.net.train(ids, self.prior, before, target, weight, max(STEPS, len(ids) // BATCH))
                 ids = before = target = weight = None
-            self.fit_weights([t for t, *_ in sample[taught:]] or [t for t, *_ in sample], other_counts or {})
         self.net.p = {k: v.astype(np.float32) for k, v in self.net.p.items()}
 
     def spell(self, word: bytes) -> np.ndarray:
@@ -355,14 +382,18 @@ class Scorer:
         out[known] = self.spelling[source[known]]
         return out, length, number, rare_words
 
-    def network(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Natural log probabilities, at all ids and ends of the texts in order, of the class that stands there and of any start of a word."""
+    def laid_out(self, texts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        """Ids of the windows of all texts in order, and at their scored places the place of the id before, the class that stands there and whether it is scored."""
         end = [self.tokenizer.end]
         made = []
         for s in texts:
             line = np.concatenate([end, s, end])
             made.append(windows(line[:-1], self.place[line[:-1]], self.classes[line[1:]]))
-        ids, before, target, kept = (np.concatenate(c) for c in zip(*made, strict=True))
+        return tuple(np.concatenate(c) for c in zip(*made, strict=True))
+
+    def network(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Natural log probabilities, at all ids and ends of the texts in order, of the class that stands there and of any start of a word."""
+        ids, before, target, kept = self.laid_out(texts)
         out = []
         for i in range(0, len(ids), ROWS):
             k = kept[i : i + ROWS]
@@ -378,14 +409,13 @@ class Scorer:
         out[starts] = self.opening[ids[starts]]
         return out
 
-    def parts(self, texts: list[bytes], fitting: dict[bytes, int] | None = None) -> list[tuple]:
-        """For each text: words' log probabilities id by id and as a whole, the end's, the words, the rare ones, these as a whole if seen once, and the classes of first ids.
-
-        fitting: the counts of the texts' rare words; one occurrence of each word is taken out.
-        """
+    def parts(self, texts: list[bytes]) -> list[tuple]:
+        """For each text: words' log probabilities id by id and as a whole, the end's, the words, the rare ones, these as a whole if seen once, and the classes of first ids."""
         spelled = [self.ids(t) for t in texts]
-        logs, boundary = self.network([s[0] for s in spelled])
-        own = self.own if fitting is None else self.own_without
+        return self.ways(spelled, *self.network([s[0] for s in spelled]), self.own)
+
+    def ways(self, spelled: list[tuple], logs: np.ndarray, boundary: np.ndarray, own: np.ndarray) -> list[tuple]:
+        """parts() of spelled texts, given what the network says of them. own: the log share of each frequent word in its class."""
         out, at = [], 0
         for ids, length, number, rare in spelled:
             net, opens = logs[at : at + len(ids)], boundary[at : at + len(ids) + 1]
@@ -402,9 +432,6 @@ class Scorer:
             if rare:
                 k = np.flatnonzero(number == len(self.words))
                 once = begin[k] - self.log_in_class[kind[k]]
-                if fitting is not None:
-                    seen = np.fromiter((fitting.get(w, 0) for w in rare), np.int64, len(rare)) - 1
-                    whole[k[seen > 0]] = once[seen > 0] + np.log(seen[seen > 0])
             each = np.add.reduceat(net + self.within(ids, start), start) - opens[start] + opens[start + length]
             out.append((np.stack([each, whole]), end, number, rare, once, kind))
         return out
@@ -413,14 +440,15 @@ class Scorer:
         logs = logs + self.weights[:, kind]
         return np.logaddexp(logs[0], logs[1])
 
-    def fit_weights(self, sample: list[bytes], other_counts: dict[bytes, int]) -> None:
-        """Expectation maximisation on the sample, with one occurrence of each word taken out of its own share, for each class of first ids."""
-        made = self.parts(sample, other_counts)
-        logs, kind = np.concatenate([p[0] for p in made], axis=1), np.concatenate([p[5] for p in made])
-        for _ in range(30 if logs.shape[1] else 0):
-            share = np.exp(logs + self.weights[:, kind] - self.mixed(logs, kind))
+    def fit_weights(self, odds: np.ndarray) -> None:
+        """Expectation maximisation for each class of first ids. odds: by class and bin, how many training words are so much likelier as a whole than id by id."""
+        ratio = np.exp(BIN * (np.arange(BINS) - BINS // 2))
+        for _ in range(30 if odds.sum() else 0):
+            w = np.exp(self.weights)[:, :, None]
+            whole = w[1] * ratio / (w[0] + w[1] * ratio)
+            by = np.stack([((1 - whole) * odds).sum(1), (whole * odds).sum(1)])
             #: A class with few words leans on all of them.
-            by = np.stack([np.bincount(kind, weights=x, minlength=CLASSES + 1) for x in share]) + 20 * share.mean(1)[:, None]
+            by += 20 * by.sum(1, keepdims=True) / odds.sum()
             self.weights = np.log(by / by.sum(0))
 
     def score(self, texts: list[bytes]) -> list[tuple]:
@@ -533,12 +561,110 @@ def passages(training: DataFrame, text: str, doc_id: str, tokens: int, per_milli
     return out
 
 
-def counts_of(words: set[bytes], vocabulary: DataFrame) -> dict[bytes, int]:
-    """The counts of some words, as many as the sample has."""
-    if not words:
-        return {}
-    asked = vocabulary.sparkSession.createDataFrame(pa.table({"w": pa.array(sorted(words), pa.binary())}))
-    return dict(asked.join(vocabulary, F.col("w") == F.col("word")).select("word", "c").toArrow().to_pandas().itertuples(index=False, name=None))
+class Lesson:
+    """What one task learns of its texts: how the network moves from where it started, and the odds of the two ways to draw each word."""
+
+    def __init__(self, scorer: Scorer, seed: int):
+        self.s, self.net = scorer, copy.copy(scorer.net)
+        self.net.p = {k: v.copy() for k, v in scorer.net.p.items()}
+        self.moves, self.random = Moves(self.net), np.random.default_rng(seed)
+        self.met, self.windows = np.zeros(len(self.net.label)), 0
+        self.odds = np.zeros((CLASSES + 1) * BINS)
+
+    def learn(self, spelled: list[tuple]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Trains on all windows of some texts. Gives their rare words, the classes of these, and their log odds if they were seen once."""
+        s = self.s
+        ids, before, target, kept = s.laid_out([x[0] for x in spelled])
+        logs, boundary = np.zeros(kept.shape), np.zeros(kept.shape)
+        order = self.random.permutation(len(ids))
+        for k in range(0, len(order), BATCH):
+            own = order[k : k + BATCH]
+            g = self.net.gradients(ids[own], s.prior[before[own]], target[own], kept[own], s.starts)
+            logs[own], boundary[own] = (x.reshape(len(own), STEP) for x in g["told"])
+            t = self.moves.t + 1
+            self.moves.step(g, RATE * min(1, t / 20) / np.sqrt(1 + t / SETTLED))
+        self.met += np.bincount(ids.ravel(), minlength=len(self.met))
+        self.windows += len(ids)
+        words, kinds, left = [], [np.zeros(0, np.int64)], [np.zeros(0)]
+        #: One occurrence of each word is taken out of its own share.
+        for (each, whole), _, number, rare, once, kind in s.ways(spelled, logs[kept], boundary[kept], s.own_without):
+            known = number < len(s.words)
+            at = np.clip(np.floor((whole - each)[known] / BIN + 0.5) + BINS // 2, 0, BINS - 1).astype(np.int64)
+            self.odds += np.bincount(kind[known] * BINS + at, minlength=len(self.odds))
+            words += rare
+            kinds.append(kind[~known])
+            left.append(once - each[~known])
+        return words, np.concatenate(kinds), np.concatenate(left)
+
+    def told(self, start: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys, weights, and moves times weights: of ids (embeddings), of the other parameters in rows of WIDTH (-1, -2, ...), and of bins, which have weights alone."""
+        rows = np.flatnonzero(self.met)
+        of_ids = (self.net.p["E"][rows] - start["E"][rows]) * self.met[rows, None]
+        others = _in_rows(self.net.p) - _in_rows(start)
+        bins = np.flatnonzero(self.odds)
+        return (
+            np.concatenate([rows, -1 - np.arange(len(others)), bins + ODDS]),
+            np.concatenate([self.met[rows], np.full(len(others), float(self.windows)), self.odds[bins]]),
+            np.concatenate([of_ids, others * self.windows, np.zeros((len(bins), WIDTH))]),
+        )
+
+
+def _in_rows(p: dict[str, np.ndarray]) -> np.ndarray:
+    """All parameters but the embeddings of ids, in rows of WIDTH."""
+    flat = np.concatenate([v.ravel() for k, v in p.items() if k != "E"]).astype(float)
+    return np.pad(flat, (0, -len(flat) % WIDTH)).reshape(-1, WIDTH)
+
+
+def teach(scorer: Scorer, training: DataFrame, vocabulary: DataFrame, text: str) -> None:
+    """Trains the network on all training texts and fits the weights to all their words. What reaches the driver is bounded by ids, parameters and bins."""
+    shared = training.sparkSession.sparkContext.broadcast(scorer)
+    names = [f"v{k}" for k in range(WIDTH)]
+    kinds = {"key": pa.int64(), "n": pa.float64(), **dict.fromkeys(names, pa.float64()), "word": pa.binary(), "kind": pa.int32(), "left": pa.float64()}
+
+    def rows(**given: np.ndarray | list) -> pa.RecordBatch:
+        n = len(next(iter(given.values())))
+        return pa.RecordBatch.from_arrays([pa.array(given[k], t) if k in given else pa.nulls(n, t) for k, t in kinds.items()], names=list(kinds))
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = shared.value
+        lesson = Lesson(s, TaskContext.get().partitionId())
+        held, size = [], 0
+        for batch in batches:
+            for t in _bytes(batch, text):
+                held.append(s.ids(t))
+                size += len(held[-1][0]) // STEP + 1
+                if size >= RUN:
+                    words, kind, left = lesson.learn(held)
+                    yield rows(word=words, kind=kind, left=left)
+                    held, size = [], 0
+        if held:
+            words, kind, left = lesson.learn(held)
+            yield rows(word=words, kind=kind, left=left)
+        if lesson.windows:
+            key, n, v = lesson.told(s.net.p)
+            yield rows(key=key, n=n, **{name: v[:, k] for k, name in enumerate(names)})
+
+    told = materialise(training.select(text).mapInArrow(run, f"key long, n double, {', '.join(f'{v} double' for v in names)}, word binary, kind int, left double"), "lessons")
+    sums = told.where("key IS NOT NULL").groupBy("key").agg(F.sum("n").alias("n"), *(F.sum(v).alias(v) for v in names)).toArrow()
+    key, n = (sums.column(c).to_numpy() for c in ("key", "n"))
+    moved = np.stack([sums.column(v).to_numpy() for v in names], axis=1) / np.maximum(n, 1)[:, None]
+    p, own = scorer.net.p, (key >= 0) & (key < ODDS)
+    p["E"][key[own]] += moved[own].astype(np.float32)
+    others = _in_rows(p)
+    others[-1 - key[key < 0]] += moved[key < 0]
+    flat, at = others.ravel(), 0
+    for k in p:
+        if k != "E":
+            p[k], at = flat[at : at + p[k].size].reshape(p[k].shape).astype(np.float32), at + p[k].size
+    odds = np.zeros((CLASSES + 1) * BINS)
+    odds[key[key >= ODDS] - ODDS] = n[key >= ODDS]
+    #: Words that are not frequent have their counts in the vocabulary; one seen once is none of the other training words.
+    bins = F.when(F.col("c") > 1, F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((F.col("left") + F.log(F.col("c") - 1.0)) / BIN + 0.5) + BINS // 2))).otherwise(0)
+    rare = told.where("word IS NOT NULL").select(F.col("word").alias("w"), "kind", "left").join(vocabulary, F.col("w") == F.col("word")).groupBy((F.col("kind") * BINS + bins).alias("b")).count().toArrow()
+    odds[rare.column("b").to_numpy()] += rare.column("count").to_numpy()
+    scorer.fit_weights(odds.reshape(CLASSES + 1, BINS))
+    shared.unpersist()
 
 
 def learn(training: DataFrame, vocabulary: DataFrame, text: str, doc_id: str, tokenizer: Tokenizer | None = None, per_million: int = PASSAGES, frequent: int = FREQUENT) -> tuple[Scorer, int, int]:
@@ -560,9 +686,11 @@ def learn(training: DataFrame, vocabulary: DataFrame, text: str, doc_id: str, to
     words = top.column("word").to_pylist() if top else []
     counts = top.column("c").to_numpy() if top else np.zeros(0, np.int64)
     sample = passages(training, text, doc_id, total, per_million)
-    others = {w for t, *_ in sample for w in t.translate(LOWER).split()}.difference(words)
     pairs, firsts = count_ids(vocabulary, tokenizer, ends / max(total, 1))
-    return Scorer(tokenizer, words, counts, ends, total, distinct, pairs, firsts, sample, counts_of(others, vocabulary)), total, distinct
+    scorer = Scorer(tokenizer, words, counts, ends, total, distinct, pairs, firsts, sample)
+    if ends:
+        teach(scorer, training, vocabulary, text)
+    return scorer, total, distinct
 
 
 def score(docs: DataFrame, held_out, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
