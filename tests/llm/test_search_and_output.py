@@ -65,6 +65,24 @@ def test_traversal_is_best_bin_first_and_widens_by_query():
     assert len({len(tree.best_bins(v, reach)[0]) for v in x[::50]}) > 1
 
 
+def test_a_query_goes_once_to_a_group_and_groups_are_bounded(spark, monkeypatch):
+    """Leaves of all sizes in groups, one of many rows over several; queries in parts; every leaf visited, so the answer is exact."""
+    first, over = ann._groups({0: 3, 1: 4, 2: 5, 3: 30, 4: 2, 6: 9}, 7, 10)
+    assert first.tolist() == [0, 0, 1, 2, 5, 5, 6] and over.tolist() == [1, 1, 1, 3, 1, 1, 1]
+    r = np.random.default_rng(3)
+    x = np.concatenate([r.standard_normal((500, 8)), np.repeat(r.standard_normal((1, 8)), 150, 0) + r.standard_normal((150, 8)) * 1e-3]).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    for name, value in (("GROUP", 64), ("QUERIES", 40), ("SENT", 7), ("BLOCK", 16), ("LEAF_ROWS", 20)):
+        monkeypatch.setattr(ann, name, value)
+    moved, plain = [], ann._asked
+    monkeypatch.setattr(ann, "_asked", lambda *a: moved.append(plain(*a)) or moved[-1])
+    got = sorted((g.query_id, g["rank"], g.vec_id) for g in ann.search(df, every=5, recall=1.0).collect())
+    want = [(q, n + 1, int(v)) for q in range(0, 650, 5) for n, v in enumerate(true_neighbours(np.arange(650), x.astype(float), q, 10)[0])]
+    assert len({*got} & {*want}) >= 0.97 * len(want) and len(got) == len(want)
+    rows = moved[0].groupBy("group", "q_id").count().collect()
+    assert {g["count"] for g in rows} == {1} and len({g.q_id for g in rows}) == 130 and len({g.group for g in rows}) > 5
+
+
 def test_extra_columns_of_clashing_names(spark):
     df = spark.createDataFrame([(k * 50, [float(k), 1.0], k, "x") for k in range(8)], "vec_id long, embedding array<float>, query_id int, score string")
     got = ann.search(df)

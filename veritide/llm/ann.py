@@ -5,9 +5,11 @@ with others of that leaf into blocks, within its own task, so indexing shuffles
 through a priority queue of branches by distance to their centres and visits leaves, nearest branch first. It stops once the next
 branch is so many times as far as the first leaf was: a query between leaves visits more of them than one amid its own. How many times
 is calibrated: for ``CALIBRATION`` queries the true neighbours among all rows are found, and the reach widens until the wanted share
-of them lies in visited leaves. Queries and blocks meet by leaf; distances are exact.
+of them lies in visited leaves. Neighbouring leaves make groups of up to ``GROUP`` rows, a larger leaf several. A query goes once to every group
+in which it visits leaves, with the numbers of these, and meets the group's rows in one task: what a task holds is a group and at most ``QUERIES``
+queries, and what moves is a query a group, not one a leaf. Distances are exact.
 
-Leaves above ``HOT`` rows are split over salts on both sides. Of equal vectors in one block only the k + 1 smallest ids
+Of equal vectors in one block only the k + 1 smallest ids
 are kept, as ties go to the smaller id and no other could rank.
 
 Defined cases: vectors that are null, zero, of another than the usual length, or with a null or non-finite component take no part, nor
@@ -26,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, tasks, tidy
 
-SAMPLE, BRANCH, LEAF_ROWS, CALIBRATION, RECALL, HOT = 40_000, 8, 64, 96, 0.97, 50_000
-BUFFER, BLOCK, QUERY_BLOCK = 65_536, 2_048, 128
+SAMPLE, BRANCH, LEAF_ROWS, CALIBRATION, RECALL = 40_000, 8, 64, 96, 0.97
+#: Rows that a task packs at once, rows of a block, rows of a group (an eighth of it at least), queries that meet a group in one task, rows of a batch that is sent on.
+BUFFER, BLOCK, GROUP, QUERIES, SENT = 65_536, 2_048, 8_192, 16_384, 2_048
 
 
 class Tree:
@@ -173,7 +176,9 @@ def calibrate(tree: Tree, rows: DataFrame, width: int, count: int, k: int, recal
     chance = F.pmod(F.xxhash64(F.lit("calibration"), F.col("id")), F.lit(1 << 30)) / float(1 << 30)
     picked = rows.where(chance < 4.0 * calibration / max(count, 1)).orderBy(F.xxhash64(F.lit("calibration"), F.col("id"))).limit(calibration).collect()
     truth = brute_force(rows, [(r["id"], np.array(r["v"], float)) for r in picked], width, k)
-    truth = truth.select("query_id", F.col("vec_id").alias("id")).join(rows.groupBy("id").agg(F.min("v").alias("v")), "id").select("query_id", "v").collect()
+    truth = materialise(truth.select("query_id", F.col("vec_id").alias("id")), "truth")
+    own = rows.join(F.broadcast(truth.select("id").distinct()), "id", "left_semi").groupBy("id").agg(F.min("v").alias("v"))
+    truth = truth.join(own, "id").select("query_id", "v").collect()
     if not truth:
         return float("inf")
     leaf = tree.assign(np.array([r["v"] for r in truth], float))
@@ -224,28 +229,55 @@ def _blocks(rows: DataFrame, tree: Tree, width: int, k: int) -> DataFrame:
     return rows.select("id", "v").mapInArrow(run, "leaf long, n long, ids binary, data binary")
 
 
-def _asked(queries: DataFrame, tree: Tree, width: int, reach: float) -> DataFrame:
-    """q_leaf, q_ids, q_data: the queries at each leaf they visit."""
-    shared = queries.sparkSession.sparkContext.broadcast(tree)
+def _groups(sizes: dict[int, int], leaves: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each leaf its group and how many groups from that one on it is dealt to: neighbouring leaves share one of up to ``most`` rows, a larger leaf has several."""
+    first, over, group, held = np.zeros(leaves, np.int64), np.ones(leaves, np.int64), 0, 0
+    for leaf in range(leaves):
+        n = sizes.get(leaf, 0)
+        if held and held + n > most:
+            group, held = group + 1, 0
+        first[leaf], over[leaf] = group, max(1, -(-n // most))
+        held += n
+        if over[leaf] > 1:
+            group, held = group + int(over[leaf]), 0
+    return first, over
+
+
+def _asked(queries: DataFrame, tree: Tree, groups: tuple[np.ndarray, np.ndarray], width: int, reach: float, parts: int) -> DataFrame:
+    """group, part, q_id, q_data, leaves: each query once for every group in which it visits leaves, with these."""
+    shared = queries.sparkSession.sparkContext.broadcast((tree, *groups))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, x = batch.column(0).to_numpy(), _matrix(batch.column(1), width)
-            at: dict[int, list[int]] = {}
-            for n, v in enumerate(x.astype(float)):
-                for leaf in shared.value.best_bins(v, reach)[0]:
-                    at.setdefault(leaf, []).append(n)
-            spans = [(leaf, rows[s : s + QUERY_BLOCK]) for leaf, rows in at.items() for s in range(0, len(rows), QUERY_BLOCK)]
-            yield pa.RecordBatch.from_arrays([pa.array([leaf for leaf, _ in spans], pa.int64()), pa.array([ids[r].tobytes() for _, r in spans], pa.binary()), pa.array([x[r].tobytes() for _, r in spans], pa.binary())], names=["q_leaf", "q_ids", "q_data"])
+        tree, first, over = shared.value
+        held: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=["group", "part", "q_id", "q_data", "leaves"])
+
+        for given in batches:
+            for i, v in zip(given.column(0).to_pylist(), _matrix(given.column(1), width), strict=True):
+                leaf = np.array(tree.best_bins(v.astype(float), reach)[0], np.int64)
+                n = over[leaf]
+                at = np.repeat(first[leaf] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                leaf, order = np.repeat(leaf, n), np.argsort(at, kind="stable")
+                leaf, at, data = leaf[order].astype(np.int32), at[order], v.tobytes()
+                cuts = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(at)]
+                held += [(int(at[a]), i % parts, i, data, leaf[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                if len(held) >= SENT:
+                    yield batch()
+                    held.clear()
+        if held:
+            yield batch()
 
-    return queries.select("id", "v").mapInArrow(run, "q_leaf long, q_ids binary, q_data binary")
+    return queries.select("id", "v").mapInArrow(tidy(run), "group long, part long, q_id long, q_data binary, leaves binary")
 
 
 def search(rows: DataFrame, k: int = 10, every: int = 100, recall: float = RECALL, vector: str = "embedding", vec_id: str = "vec_id", sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by ``every``."""
     rows, width = _valid(rows, vector, vec_id)
     rows = materialise(rows, "vectors")
-    count = rows.count()
+    spark, count = rows.sparkSession, rows.count()
     kind = "<f4" if rows.schema["v"].dataType.elementType.typeName() == "float" else "<f8"
     chance = F.pmod(F.xxhash64(F.lit("tree"), F.col("id")), F.lit(1 << 30)) / float(1 << 30)
     fitted = rows.where(chance < 1.2 * sample / max(count, 1)).orderBy(F.xxhash64(F.lit("tree"), F.col("id")), "id").limit(sample).select("v").collect()
@@ -257,29 +289,35 @@ def search(rows: DataFrame, k: int = 10, every: int = 100, recall: float = RECAL
     tree = Tree(np.array([r["v"] for r in fitted], float), max(8, LEAF_ROWS * len(fitted) // max(count, 1)))
     reach = calibrate(tree, rows, width, count, k, recall)
     blocks = materialise(_blocks(rows, tree, width, k), "blocks")
-    #: Leaves are bounded by the sample; only the hot ones are listed.
-    hot = {r["leaf"]: int(-(-r["n"] // HOT)) for r in blocks.groupBy("leaf").agg(F.sum("n").alias("n")).where(F.col("n") > HOT).collect()}
-    salts = F.lit(1)
-    for leaf, n in hot.items():
-        salts = F.when(F.col("leaf") == leaf, n).otherwise(salts)
-    queries = rows.where(F.pmod("id", F.lit(every)) == 0).groupBy("id").agg(F.min("v").alias("v"))
-    asked = materialise(_asked(queries, tree, width, reach).withColumn("leaf", F.col("q_leaf")).withColumn("q_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("leaf"), "asked")
-    met = asked.join(blocks.withColumn("salt", F.pmod(F.xxhash64("ids"), salts).cast("int")), (F.col("leaf") == F.col("q_leaf")) & (F.col("salt") == F.col("q_salt"))).select("q_ids", "q_data", "ids", "data")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            #: A block of queries meets all blocks of its leaf in the batch at once.
-            by_queries: dict[tuple[bytes, bytes], list[tuple[bytes, bytes]]] = {}
-            for a, b, c, d in zip(*(col.to_pylist() for col in batch.columns), strict=True):
-                by_queries.setdefault((a, b), []).append((c, d))
-            parts: list = []
-            for (a, b), blocks_met in by_queries.items():
-                ids = np.frombuffer(b"".join(c for c, _ in blocks_met), np.int64)
-                x = np.frombuffer(b"".join(d for _, d in blocks_met), kind).reshape(-1, width).astype(float)
-                parts.append(_near(np.frombuffer(a, np.int64), np.frombuffer(b, kind).reshape(-1, width).astype(float), ids, x, k))
-                if len(parts) > 256:
-                    merged = _out(parts, k)
-                    parts = [tuple(col.to_numpy() for col in merged.columns)]
-            yield _out(parts, k)
-
-    return _ranked(met.mapInArrow(run, "query_id long, vec_id long, score double"), k)
+    #: Leaves are bounded by the sample.
+    sizes = {r["leaf"]: r["n"] for r in blocks.groupBy("leaf").agg(F.sum("n").alias("n")).collect()}
+    first, over = _groups(sizes, tree.leaves, min(GROUP, max(GROUP // 8, -(-count // tasks(spark)))))
+    dealt = spark.createDataFrame(pa.table({"leaf": np.arange(tree.leaves), "first": first, "over": over}))
+    queries = materialise(rows.where(F.pmod("id", F.lit(every)) == 0).groupBy("id").agg(F.min("v").alias("v")), "queries")
+    parts = max(1, -(-queries.count() // QUERIES))
+    #: A walk through the tree is work, however little it reads.
+    asked = materialise(_asked(queries.repartition(tasks(spark), "id"), tree, (first, over), width, reach, parts), "asked")
+    group = (F.col("first") + F.pmod(F.xxhash64("ids"), F.col("over"))).alias("group")
+    held = blocks.join(F.broadcast(dealt), "leaf").select(group, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), "leaf", "n", "ids", "data")
+
+    def run(own: pa.Table, met: pa.Table) -> pa.Table:
+        """The nearest of a group's rows to each query that visits it, among the leaves that it visits."""
+        if not own.num_rows or not met.num_rows:
+            return pa.Table.from_batches([_out([], k)])
+        leaf = np.repeat(own.column("leaf").to_numpy(), own.column("n").to_numpy())
+        order = np.argsort(leaf, kind="stable")
+        ids = np.frombuffer(b"".join(own.column("ids").to_pylist()), np.int64)[order]
+        x = np.frombuffer(b"".join(own.column("data").to_pylist()), kind).reshape(-1, width)[order].astype(float)
+        there, starts = np.unique(leaf[order], return_index=True)
+        ends = np.append(starts[1:], len(leaf))
+        found: list = []
+        for i, data, leaves in zip(*(met.column(c).to_pylist() for c in ("q_id", "q_data", "leaves")), strict=True):
+            at = np.flatnonzero(np.isin(there, np.frombuffer(leaves, np.int32)))
+            rows_at = slice(None) if len(at) == len(there) else np.concatenate([np.arange(a, b) for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)] or [np.zeros(0, np.int64)])
+            found.append(_near(np.array([i], np.int64), np.frombuffer(data, kind).reshape(1, width).astype(float), ids[rows_at], x[rows_at], k))
+        return pa.Table.from_batches([_out(found, k)])
+
+    #: As many tasks as groups, whatever the size of what moves: work is in the pairs.
+    n = max(tasks(spark), min(4 * tasks(spark), parts * (int((first + over).max()))))
+    sides = (side.repartition(n, "group", "part").groupBy("group", "part") for side in (held, asked))
+    return _ranked(next(sides).cogroup(next(sides)).applyInArrow(run, "query_id long, vec_id long, score double"), k)
