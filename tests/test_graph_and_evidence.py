@@ -387,3 +387,26 @@ def test_paths_meet_only_links_that_lead_to_their_target(spark, monkeypatch):
     assert graph.paths(edges, pairs, 1).count() == 50
     joins = [line for p in plans for line in p.splitlines() if "Join Inner" in line and "target" in line]
     assert joins and all("_t" in j and "node" in j for j in joins)
+
+
+def test_direct_paths_equal_paths_of_one_hop_and_move_links_once(spark, monkeypatch):
+    r = random.Random(8)
+    relations = [(f"n{r.randrange(9)}", r.choice(["by", "in"]), f"n{r.randrange(9)}", f"y{k}", 1, 1.0, None) for k in range(120)]
+    df = spark.createDataFrame(relations, EDGE_TYPE)
+    pairs = spark.createDataFrame([(f"n{a}", f"n{b}") for a in range(9) for b in range(9)] + [(None, "n1"), ("n1", "n99")], "source string, target string")
+    told = lambda rows: sorted((x.source, x.target, x["rank"], x.hops, *x.steps, *x.evidence) for x in rows.collect())
+    want = told(graph.paths(df, pairs, 1, 4))
+    for few in (1 << 20, 0):
+        monkeypatch.setattr(graph, "TOLD", few)
+        assert told(graph.direct(df, pairs, 4)) == want and len(want) > 100
+    monkeypatch.undo()
+    by_text = {(a, b): plain_paths(relations, a, b, 1, 4) for a in ("n1", "n2") for b in ("n3", "n4")}
+    assert {k: [(x[3], x[4], x[5]) for x in want if x[:2] == k] for k in by_text} == by_text
+    #: As in a large table: no side is small enough to be sent to all tasks by itself.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        asked = df.selectExpr("subject_id AS source", "object_id AS target").distinct()
+        plan = graph.distinct_paths(graph.direct(df, asked, 1 << 20))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2

@@ -80,6 +80,22 @@ def reach(links: DataFrame, ends: DataFrame, radius: int) -> DataFrame:
     return near
 
 
+def _both_ways(edges: DataFrame) -> DataFrame:
+    """a, b, away, predicate, evidence: each link from either end, a self-loop once; ``away`` where it stands as it was given."""
+    away = edges.select(F.col("subject_id").alias("a"), F.col("object_id").alias("b"), F.lit(True).alias("away"), "predicate", "evidence")
+    return away.unionByName(edges.where("subject_id <> object_id").select(F.col("object_id").alias("a"), F.col("subject_id").alias("b"), F.lit(False).alias("away"), "predicate", "evidence"))
+
+
+def _step() -> Column:
+    """What a link reads, put together where it has been met, so that links move without it."""
+    return F.concat_ws(" ", F.when(F.col("away"), F.col("a")).otherwise(F.col("b")), F.concat(F.lit("-"), "predicate", F.lit("->")), F.when(F.col("away"), F.col("b")).otherwise(F.col("a")))
+
+
+def _shortest(found: DataFrame, max_paths: int) -> DataFrame:
+    w = Window.partitionBy("source", "target").orderBy("hops", F.array_join("steps", " | "), F.array_join("evidence", " | "))
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_paths)
+
+
 def paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 3, max_paths: int = 10) -> DataFrame:
     """Simple paths between pairs (source, target), undirected, shortest first: source, target, hops, steps, evidence, rank.
 
@@ -87,28 +103,44 @@ def paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 3, max_paths: int
     step only to a node that is near enough to the target for the hops that are left. So a partial path that is kept can be
     completed but for the rule that no node comes twice. Links are met with the nodes around a target before paths take them: a path meets
     only links that lead on to its own target, never a hub's others; the nodes around a target are at most all nodes. Pairs that have max_paths are done: longer
-    paths rank behind. A step reads ``subject -predicate-> object``; what is visited travels in an array.
+    paths rank behind. A step reads ``subject -predicate-> object``; what is visited travels in an array. Paths of one step alone: direct().
     """
-    text = F.concat_ws(" ", "subject_id", F.concat(F.lit("-"), "predicate", F.lit("->")), "object_id")
-    both = edges.select(F.col("subject_id").alias("a"), F.col("object_id").alias("b"), text.alias("step"), "evidence").unionByName(edges.where("subject_id <> object_id").select(F.col("object_id").alias("a"), F.col("subject_id").alias("b"), text.alias("step"), "evidence"))
+    both = _both_ways(edges)
     near = reach(both.select("a", "b").distinct(), pairs.select("target"), max_hops - 1).select(F.col("target").alias("_t"), F.col("node").alias("_n"), "dist")
     at = pairs.select("source", "target", F.col("source").alias("node"), F.array("source").alias("seen"), F.array().cast("array<string>").alias("steps"), F.array().cast("array<string>").alias("via"))
     found = None
     for hop in range(1, max_hops + 1):
         able = near.where(F.col("dist") <= max_hops - hop).drop("dist")
-        on = both.join(at.select(F.col("node").alias("_at")).distinct(), F.col("a") == F.col("_at"), "left_semi").join(able, F.col("b") == F.col("_n"))
+        on = _leaving(both, at.select("node")).join(able, F.col("b") == F.col("_n"))
         at = store.stored(
             at.join(on, (F.col("target") == F.col("_t")) & (F.col("node") == F.col("a")))
             .where(~F.array_contains("seen", F.col("b")))
-            .select("source", "target", F.col("b").alias("node"), F.concat("seen", F.array("b")).alias("seen"), F.concat("steps", F.array("step")).alias("steps"), F.concat("via", F.array("evidence")).alias("via")),
+            .select("source", "target", F.col("b").alias("node"), F.concat("seen", F.array("b")).alias("seen"), F.concat("steps", F.array(_step())).alias("steps"), F.concat("via", F.array("evidence")).alias("via")),
             "partial",
         )
         done = at.where("node = target").select("source", "target", F.lit(hop).alias("hops"), "steps", F.col("via").alias("evidence"))
         found = done if found is None else found.unionByName(done)
         full = found.groupBy("source", "target").count().where(F.col("count") >= max_paths).drop("count")
         at = at.where("node <> target").join(full, ["source", "target"], "left_anti")
-    w = Window.partitionBy("source", "target").orderBy("hops", F.array_join("steps", " | "), F.array_join("evidence", " | "))
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_paths)
+    return _shortest(found, max_paths)
+
+
+def direct(edges: DataFrame, pairs: DataFrame, max_paths: int = 10) -> DataFrame:
+    """What paths() gives for one hop. Pairs meet links by both ends at once: a link moves once, and what follows by pair moves nothing again."""
+    met = pairs.select("source", "target").where("source <> target").join(_leaving(_both_ways(edges), pairs.select("source")), (F.col("source") == F.col("a")) & (F.col("target") == F.col("b")))
+    return _shortest(met.select("source", "target", F.lit(1).alias("hops"), F.array(_step()).alias("steps"), F.array("evidence").alias("evidence")), max_paths)
+
+
+#: Nodes that are sent to all tasks at most, and bytes of their names.
+TOLD, TOLD_BYTES = 1 << 20, 64 << 20
+
+
+def _leaving(both: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The links that leave the nodes (one column): where these are few they are sent to the links, which then do not move for it. Where they are many, all links: a join drops the rest."""
+    own = store.stored(nodes.toDF("_at").where("_at IS NOT NULL").distinct(), "nodes")
+    n = own.agg(F.count("*").alias("n"), F.sum(F.octet_length("_at")).alias("size")).first()
+    few = n["n"] <= TOLD and (n["size"] or 0) <= TOLD_BYTES
+    return both.join(F.broadcast(own), F.col("a") == F.col("_at"), "left_semi") if few else both
 
 
 def distinct_paths(found: DataFrame, max_paths: int = 10) -> DataFrame:
