@@ -183,3 +183,23 @@ def test_a_document_of_one_section_is_folded_in_segments(spark, monkeypatch):
     got = {c.chunk_id: (c.block_ids, c.token_count) for c in chunking.chunk(df, 30, 0.4).collect()}
     assert got == {c[0]: (c[1], c[6]) for c in want}
     assert chunking.chunk(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("target", "overlap", "segment"), [(450, 0.15, 4096), (25, 0.4, 8)])
+def test_sweeps_count_chunks_without_their_texts(spark, monkeypatch, target, overlap, segment):
+    """Lengths told from pieces are those of the chunks, white space at their ends included; texts are neither stored nor moved, and what is stored on the way goes."""
+    r = random.Random(target)
+    blank = lambda: r.choice(["", " ", "\n", "  ", "\x1c", " \u0085\n"])
+    rows = [(f"d{d}", f"d{d}:b{n}", n, 1, k, blank() + t + blank(), s, None) for d, size in enumerate([0, 1, 3, 60, 300]) for n, (k, t, s) in enumerate(random_blocks(r, size))]
+    df = spark.createDataFrame(r.sample(rows, len(rows)), "doc_id string, block_id string, ord int, page int, block_type string, text string, section_path array<string>, asset_path string")
+    monkeypatch.setattr(chunking, "SEGMENT", segment)
+    want = sorted((c.chunk_id, c.token_count) for c in chunking.chunk(df, target, overlap).collect())
+    stored, plain = {}, chunking.store.written
+    monkeypatch.setattr(chunking.store, "written", lambda table, name, path=None: stored.setdefault(plain(table, name, path), table.columns) and [*stored][-1])
+    got = sorted((f"{c.doc_id}:c{c.chunk}", c.token_count) for c in chunking.token_counts(df, target, overlap).collect())
+    assert got == want and len(want) > 30
+    assert {c for columns in stored.values() for c in columns}.isdisjoint({"text", "piece", "raw_text"}) and len(stored) > 2
+    stored.clear()
+    one = chunking.sweep(df, (target,), 10).collect()[0]
+    counts = [n for _, n in sorted((c.chunk_id, c.token_count) for c in chunking.chunk(df, target).collect())]
+    assert (one.target, one.chunks, one.over_limit) == (target, len(counts), sum(n > 10 for n in counts))
